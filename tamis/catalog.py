@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tamis.oracles import ORACLES
+from tamis.queries import QUERIES, flagship
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = flagship
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
