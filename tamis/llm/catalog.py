@@ -1,4 +1,4 @@
-"""The queries of the text operators, and SQL for those that SQL can express."""
+"""The queries of the text operators; ORACLES has SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.llm import exact_dedup, host_rules, line_dedup, mixing, page_text, pieces, ppm, simhash, token_index, toxicity
+from tamis.llm.oracles import ORACLES
 from tamis.llm.text import fold_column
 from tamis.shared import new_folder, stash
 
@@ -78,4 +79,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_page_text, op2_host_quality, op3_source_mix, op4_token_shards, op5_exact_dedup, op6_line_dedup, op7_toxicity, op8_pieces, op9_lm_scores, op10_simhash, pipeline)}
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
