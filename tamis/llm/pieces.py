@@ -9,14 +9,16 @@ In a merge model a piece sequence is the model's own exactly if no adjacent two
 would have been merged differently on their own. So the restriction is a
 two-piece automaton: an arc from piece a to piece b weighs one if merging the
 text of a and b ends in a and b, and infinity if not. In the tropical semiring
-the shortest path through the composition is then the model's encoding, and
-from every prefix only one finite path survives, so the search keeps one state
-per character.
+the shortest path through the composition is then the model's encoding, the
+only path of finite weight. To every character at most one finite path leads,
+so a depth-first search that tries long pieces first and never enters a
+character twice finds it in time linear in the text.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -31,8 +33,26 @@ SPACE = "▁"
 INFINITY = float("inf")
 
 
+class Words(dict):
+    """Ids of words after ``mark``, computed on demand; words not used lately are forgotten."""
+
+    def __init__(self, owner: Transducer, mark: str, most: int):
+        super().__init__()
+        self.owner, self.mark, self.most, self.before = owner, mark, most, {}
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.before.get(word)
+        if out is None:
+            out = self.owner._packed(self.owner.shortest_path(self.mark + word))
+        if len(self) >= self.most:
+            self.before = dict(self)
+            self.clear()
+        self[word] = out
+        return out
+
+
 class Transducer:
-    def __init__(self, model: bytes, most: int = 300_000):
+    def __init__(self, model: bytes, most: int = 150_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -61,14 +81,14 @@ class Transducer:
         self.is_byte = np.zeros(len(self.written), bool)
         self.is_byte[self.byte_ids] = True
         self.kind = np.dtype("<u2") if len(self.written) <= 1 << 16 else np.dtype("<u4")
-        self.longest = max(map(len, self.ids))
         # where no piece has a space mark after another character, and none has a line break, texts can be cut there
         self.cut_at_space = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.cut_at_break = not any("\n" in p for p in self.ids)
-        self.most = most
-        self.spaced: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
-        self.follows: dict[tuple[str, str], bool] = {}
+        self.reach: dict[str, int] = {}  # the longest piece by its first two characters
+        for p in self.ids:
+            self.reach[p[:2]] = max(self.reach.get(p[:2], 0), len(p))
+        self.spaced, self.bare = Words(self, SPACE, most), Words(self, "", most // 3)
+        self.follows: dict[str, dict[str, bool]] = {}
         self.line_break = self._packed(["\n"])
 
     def merged(self, text: str) -> list[str]:
@@ -86,59 +106,57 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def weight(self, a: str, b: str) -> bool:
-        """Whether the arc from piece a to piece b has a finite weight; a may be empty, at the start."""
-        key = (a, b)
-        if (known := self.follows.get(key)) is None:
-            if len(self.follows) > 2_000_000:
-                self.follows.clear()
-            known = self.follows[key] = self.merged(a + b) == [a, b] if a else self.merged(b) == [b]
-        return known
+    def finite(self, a: str, b: str) -> bool:
+        """Whether the arc from piece a to piece b has a finite weight; a is empty at the start."""
+        if len(self.follows) > 100_000:
+            self.follows.clear()
+        out = self.follows.setdefault(a, {})[b] = self.merged(a + b) == ([a, b] if a else [b])
+        return out
 
     def shortest_path(self, text: str) -> list[str]:
         """The pieces (or single characters without one) along the shortest path."""
-        n, ids, longest, follows = len(text), self.ids, self.longest, self.follows
-        last: list[str | None] = [""] + [None] * n
-        for j in range(1, n + 1):
-            for i in range(max(0, j - longest), j):
-                before = last[i]
-                if before is None:
-                    continue
-                piece = text[i:j]
+        n, ids, follows, reach = len(text), self.ids, self.follows, self.reach
+        path: list[str] = []
+        at, before, closed = 0, "", set()
+        longest = min(n, reach.get(text[:2], 1)) if n else 0
+        while at < n:
+            known = follows.get(before)
+            for size in range(longest, 0, -1):
+                piece = text[at : at + size]
                 if piece in ids:
-                    ok = follows.get((before, piece))
-                    if ok if ok is not None else self.weight(before, piece):
-                        last[j] = piece
-                        break
-                elif j == i + 1:
-                    last[j] = piece  # the byte-fallback arc
-                    break
-        out, j = [], n
-        while j:
-            out.append(last[j])
-            j -= len(last[j])
-        return out[::-1]
+                    if at + size in closed:
+                        continue
+                    ok = known.get(piece) if known is not None else None
+                    if not (self.finite(before, piece) if ok is None else ok):
+                        continue
+                elif size > 1 or at + 1 in closed:
+                    continue  # one character without a piece: the byte-fallback arc
+                path.append(piece)
+                at += size
+                before = piece
+                longest = min(n - at, reach.get(text[at : at + 2], 1))
+                break
+            else:  # a dead end: the last piece was too long
+                closed.add(at)
+                last = path.pop()
+                at -= len(last)
+                before = path[-1] if path else ""
+                longest = len(last) - 1
+        return path
 
     def _packed(self, pieces: list[str]) -> bytes:
         out: list[int] = []
         for p in pieces:
             i = self.ids.get(p)
-            out.extend((i,) if i is not None else self.byte_ids[list(p.encode("utf-8", "surrogatepass"))].tolist())
-        return np.array(out, self.kind).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        """Ids of a word after a space."""
-        if len(self.spaced) > self.most:
-            self.spaced.clear()
-        out = self.spaced[word] = self._packed(self.shortest_path(SPACE + word))
-        return out
+            if i is not None:
+                out.append(i)
+            else:
+                out += self.byte_ids[list(p.encode("utf-8", "surrogatepass"))].tolist()
+        return self.pack(*out) if len(out) < 64 and self.kind.itemsize == 2 else np.array(out, self.kind).tobytes()
 
-    def _start(self, word: str) -> bytes:
-        """Ids of a word at the start of a later line."""
-        if len(self.bare) > self.most:
-            self.bare.clear()
-        out = self.bare[word] = self._packed(self.shortest_path(word))
-        return out
+    @staticmethod
+    def pack(*ids: int) -> bytes:
+        return struct.pack(f"<{len(ids)}H", *ids)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as the bytes of an array of ``kind``."""
@@ -153,13 +171,10 @@ class Transducer:
         for k, line in enumerate(text.split("\n") if self.cut_at_break else [text]):
             words = line.split(" ")
             if "" not in words:
-                head = words[0]
                 if k:
-                    parts = [bare.get(head) or self._start(head)]
-                    parts += [spaced.get(w) or self._word(w) for w in words[1:]]
+                    out.append(bare[words[0]] + b"".join([spaced[w] for w in words[1:]]))
                 else:
-                    parts = [spaced.get(w) or self._word(w) for w in words]
-                out.append(b"".join(parts))
+                    out.append(b"".join([spaced[w] for w in words]))
             else:
                 marked = ("" if k else SPACE) + line.replace(" ", SPACE)
                 runs = re.findall(f"^[^{SPACE}]+|{SPACE}+[^{SPACE}]*", marked)
@@ -238,13 +253,12 @@ def piece_summary(docs: DataFrame, model_file: str) -> DataFrame:
     """
     shared = _model(docs.sparkSession, model_file)
     encoded = encode_pieces(docs.select("doc_id", "text"), model_file)
-    decoded = decode_pieces(encoded, model_file)
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = machine(shared.value)
         for batch in batches:
             ids = [x.values.to_numpy() for x in batch.column(2)]
-            same = [(a.as_py() or "").replace(SPACE, " ") == b.as_py() for a, b in zip(batch.column(1), batch.column(3))]
+            same = [(t.as_py() or "").replace(SPACE, " ") == own.decode(x.tolist()) for t, x in zip(batch.column(1), ids)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -256,4 +270,4 @@ def piece_summary(docs: DataFrame, model_file: str) -> DataFrame:
                 ["doc_id", "n_tokens", "n_byte_tokens", "ids_crc32", "round_trip"],
             )
 
-    return decoded.select("doc_id", "text", "piece_ids", "piece_text").mapInArrow(summary, "doc_id long, n_tokens long, n_byte_tokens long, ids_crc32 long, round_trip boolean")
+    return encoded.select("doc_id", "text", "piece_ids").mapInArrow(summary, "doc_id long, n_tokens long, n_byte_tokens long, ids_crc32 long, round_trip boolean")

@@ -229,7 +229,19 @@ def slices_of(nodes: DataFrame, most: int) -> list[list[int] | None]:
     return out
 
 
-def load_trie(nodes: DataFrame, pairs: list[int] | None) -> Trie:
+class Slice:
+    """A slice's nodes as they are sent; each worker builds the trie from them once."""
+
+    def __init__(self, depth: np.ndarray, key: np.ndarray, n: np.ndarray, pairs: np.ndarray | None):
+        self.nodes, self.built = (depth.astype(np.int8), key, n, pairs), None
+
+    def trie(self) -> Trie:
+        if self.built is None:
+            self.built = Trie(*self.nodes)
+        return self.built
+
+
+def load_slice(nodes: DataFrame, pairs: list[int] | None) -> Slice:
     """A slice's nodes, at most about ``most`` of them, through the driver."""
     own = nodes
     if pairs is not None:
@@ -237,7 +249,7 @@ def load_trie(nodes: DataFrame, pairs: list[int] | None) -> Trie:
         chosen = nodes.sparkSession.createDataFrame([(p,) for p in pairs], "pair long")
         own = nodes.where("depth <= 2").unionByName(nodes.where("depth > 2").withColumn("pair", pair).join(F.broadcast(chosen), "pair", "left_semi").drop("pair"))
     table = own.select("depth", "key", "n").toArrow()
-    return Trie(*[table.column(k).to_numpy() for k in range(3)], None if pairs is None else np.array(sorted(pairs), np.int64))
+    return Slice(*[table.column(k).to_numpy() for k in range(3)], None if pairs is None else np.array(sorted(pairs), np.int64))
 
 
 # --- the operator -------------------------------------------------------------------------------
@@ -292,7 +304,7 @@ def lm_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, most_nodes: in
     rare = counts.where(F.col("n") <= least)
     nodes = stash(trie_nodes(gram_counts(train)))
     slices = slices_of(nodes, most_nodes)
-    tries = [spark.sparkContext.broadcast(load_trie(nodes, slices[0]))]
+    tries = [spark.sparkContext.broadcast(load_slice(nodes, slices[0]))]
     per_token = math.log10(n + v + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +328,7 @@ def lm_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, most_nodes: in
                     known += [len(hits) + (1 if ends else 0)] + [0] * m
                     base += [math.fsum(hits) + end] + [0.0] * m
                 scores = np.zeros(len(words))
-                scores[np.flatnonzero(np.array(tokens) > 0)] = text_scores(tries[0].value, texts[a:b])
+                scores[np.flatnonzero(np.array(tokens) > 0)] = text_scores(tries[0].value.trie(), texts[a:b])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out_ids, pa.int64()), pa.array(words, pa.binary()), pa.array(tf, pa.int64()), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores)],
                     ["doc_id", "word", "tf", "tokens", "known", "base", "score"],
@@ -332,7 +344,7 @@ def lm_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, most_nodes: in
         "score",
     )
     for pairs in slices[1:]:
-        tries.append(spark.sparkContext.broadcast(load_trie(nodes, pairs)))
+        tries.append(spark.sparkContext.broadcast(load_slice(nodes, pairs)))
         parts = parts.unionByName(_slice_scores(docs, tries[-1]))
     summed = parts.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("tokens", "known", "base", "score")])
     return summed.select(
@@ -350,7 +362,7 @@ def _slice_scores(docs: DataFrame, trie) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1).cast(pa.large_binary())]
-            out = [text_scores(trie.value, texts[a:b]) for a, b in chunks(texts, 1 << 20)]
+            out = [text_scores(trie.value.trie(), texts[a:b]) for a, b in chunks(texts, 1 << 20)]
             zero = np.zeros(batch.num_rows, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(zero), pa.array(zero), pa.array(zero.astype(float)), pa.array(np.concatenate(out) if out else zero.astype(float))], ["doc_id", "tokens", "known", "base", "score"])
 

@@ -17,6 +17,7 @@ A lookup hashes the key, reads one seed, one slot and one fingerprint.
 
 from __future__ import annotations
 
+import os
 import posixpath
 import struct
 import uuid
@@ -182,35 +183,55 @@ class CachedBpe:
     library whole.
     """
 
-    def __init__(self, definition: str, width: int, most: int = 400_000):
+    def __init__(self, definition: str, width: int, most: int = 300_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(definition)
         self.library.encode_special_tokens = True
         self.kind, self.most = np.dtype(f"<u{width}"), most
-        self.inner: dict[str, bytes | None] = {}
-        self.first: dict[str, bytes | None] = {}
+        self.inner: tuple[dict, dict] = ({}, {})  # of late, and before that
+        self.first: tuple[dict, dict] = ({}, {})
         self.line_break = self._encoded(["\n"])[0]
+        self.break_id = int(np.frombuffer(self.line_break, self.kind)[0])
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.kind).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, known: dict, wanted: set[str], before: str) -> None:
-        if len(known) > self.most:
-            known.clear()
-        new = [w for w in wanted if w not in known]
-        plain = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-        known.update(dict.fromkeys(new))
-        for k in range(0, len(plain), 20_000):
-            part = plain[k : k + 20_000]
-            known.update(zip(part, self._encoded([before + w for w in part])))
+    def _pieces(self, words: list[str]) -> list[bytes]:
+        """Ids of many pieces by one call: in a text with a piece per line, each line break is an id of its own."""
+        ids = np.array(self.library.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.flatnonzero(ids == self.break_id)
+        if len(ends) != len(words) - 1:
+            return self._encoded(words)
+        raw, width = ids.tobytes(), self.kind.itemsize
+        return [raw[i:j] for i, j in zip([0, *(width * (ends + 1)).tolist()], [*(width * ends).tolist(), len(raw)])]
+
+    def _learn(self, known: tuple[dict, dict], wanted: set[str], before: str) -> tuple[dict, dict]:
+        """``known`` with all wanted words in its first part."""
+        late, early = known
+        if len(late) > self.most:
+            late, early = {}, late
+        new = []
+        for w in wanted:
+            if w not in late:
+                if w in early:
+                    late[w] = early[w]
+                elif w and not w[0].isspace() and not w[-1].isspace():
+                    new.append(w)
+                else:
+                    late[w] = None
+        for k in range(0, len(new), 20_000):
+            part = new[k : k + 20_000]
+            late.update(zip(part, self._pieces([before + w for w in part])))
+        return late, early
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; call it with a few MB of text at a time."""
         cut = [[line.split(" ") for line in text.split("\n")] for text in texts]
-        self._learn(self.first, {line[0] for lines in cut for line in lines}, "")
-        self._learn(self.inner, {w for lines in cut for line in lines for w in line[1:]}, " ")
-        first, inner, out = self.first, self.inner, []
+        self.first = self._learn(self.first, {line[0] for lines in cut for line in lines}, "")
+        self.inner = self._learn(self.inner, {w for lines in cut for line in lines for w in line[1:]}, " ")
+        first, inner, out = self.first[0], self.inner[0], []
         for text, lines in zip(texts, cut):
             try:
                 out.append(self.line_break.join([b"".join([first[line[0]], *map(inner.__getitem__, line[1:])]) for line in lines]))
@@ -264,7 +285,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer_file: str, end_id
         writer = None
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, 1 << 20):
                 if writer is None:
                     where.create_dir(base, recursive=True)
                     out = where.open_output_stream(part)

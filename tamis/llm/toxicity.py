@@ -34,13 +34,17 @@ IDENTITY_GROUPS = (
 SWAPS = {term: group[(i + 1) % len(group)] for group in IDENTITY_GROUPS for i, term in enumerate(group)}
 
 TOKEN = re.compile(r"[^\W\d_]+")
-PREFIXES = (4, 6)
+PREFIXES, FORMS = (4, 6), 3
 
 
 def features(text: str | None) -> set[str]:
-    """Words of letters, lower-cased, and the beginnings of longer ones."""
+    """Words of letters, lower-cased; and for the beginnings of longer ones, how many different words have them (up to FORMS)."""
     own = set(TOKEN.findall((text or "").lower()))
-    return own.union(*[{w[:n] + "*" for w in own if len(w) > n} for n in PREFIXES])
+    out = set(own)
+    for n in PREFIXES:
+        for start, forms in Counter([w[:n] for w in own if len(w) > n]).items():
+            out.update(start + "*" * k for k in range(1, min(forms, FORMS) + 1))
+    return out
 
 
 def swapped(text: str) -> str | None:
