@@ -75,13 +75,16 @@ class Classifier:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def fit(rows: list[tuple[int, list[int]]], pairs: list[tuple[list[int], list[int]]], size: int, fairness: float, ridge: float, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Minimises mean log loss + fairness * mean squared change of the logit under swaps + ridge / rows * squared weights.
+def fit(rows: list[tuple[int, list[int]]], pairs: list[tuple[list[int], list[int]]], size: int, fairness: float, ridge: float, trust: np.ndarray | None = None, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Minimises mean log loss + fairness * mean squared change of the logit under swaps + ridge / rows * squared (weights / trust).
 
     ``rows`` are (label, feature indices); ``pairs`` the indices before and
-    after a swap. Accelerated gradient descent from zero: the result depends on
+    after a swap; ``trust`` says how far a feature's weight may go (all alike
+    without it), so that with few rows chance words stay light. Accelerated
+    gradient descent from zero over weight / trust: the result depends on
     nothing but its input.
     """
+    trust = np.ones(size) if trust is None else trust
     y = np.array([r[0] for r in rows], float)
     if not len(y):
         return np.zeros(size), -2.0
@@ -100,16 +103,17 @@ def fit(rows: list[tuple[int, list[int]]], pairs: list[tuple[list[int], list[int
     ahead, t, rate = w.copy(), 1.0, 4.0 * scale
 
     def loss_and_slope(v: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(owner, v[cols], len(rows)) + v[size]
+        u = np.append(v[:size] * trust, v[size])
+        z = np.bincount(owner, u[cols], len(rows)) + u[size]
         loss = np.logaddexp(0, z).mean() - (y * z).mean() + ridge * float(v[:size] @ v[:size])
-        error = (1 / (1 + np.exp(-z)) - y) / len(y)
+        error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / len(y)
         slope = np.bincount(cols, error[owner], size + 1)
-        slope[:size] += 2 * ridge * v[:size]
-        slope[size] = error.sum()
         if len(pairs):
-            change = np.bincount(d_owner, d_sign * v[d_cols], len(pairs))
+            change = np.bincount(d_owner, d_sign * u[d_cols], len(pairs))
             loss += fairness * (change**2).mean()
             slope += np.bincount(d_cols, 2 * fairness * (change[d_owner] * d_sign) / len(pairs), size + 1)
+        slope[:size] = slope[:size] * trust + 2 * ridge * v[:size]
+        slope[size] = error.sum()
         return float(loss), slope
 
     for _ in range(steps):
@@ -122,7 +126,7 @@ def fit(rows: list[tuple[int, list[int]]], pairs: list[tuple[list[int], list[int
         t_after = (1 + math.sqrt(1 + 4 * t * t)) / 2
         ahead = after + (t - 1) / t_after * (after - w)
         w, t, rate = after, t_after, rate * 1.1
-    return w[:size], float(w[size])
+    return w[:size] * trust, float(w[size])
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, most_rows: int = 20_000, vocabulary: int = 2048, fairness: float = 1.0, ridge: float = 0.1) -> Classifier:
@@ -158,9 +162,12 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out:
     n0, n1 = (max(totals["n0"], 1), max(totals["n1"], 1)) if totals else (1, 1)
     p = (F.col("n0") + F.col("n1") + 1) / (n0 + n1 + 2)
     z = F.abs(F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
-    top = counted.where("feature <> '' and n0 + n1 >= 4").orderBy(z.desc(), "feature").limit(vocabulary).select("feature").collect()
-    words = sorted({r["feature"] for r in top} | set(SWAPS))
+    top = counted.where("feature <> '' and n0 + n1 >= 3").select("feature", z.alias("z")).orderBy(F.desc("z"), "feature").limit(vocabulary).collect()
+    apart = {r["feature"]: r["z"] for r in top}
+    words = sorted({*apart, *SWAPS})
     index = {f: i for i, f in enumerate(words)}
+    usual = float(np.median(list(apart.values()) or [1.0])) or 1.0
+    trust = np.array([max(apart.get(f, 0.0) / usual, 0.05) for f in words])
 
     def design(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = lambda text: sorted(index[f] for f in features(text) if f in index)
@@ -175,7 +182,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out:
     rows = sample.mapInArrow(design, "toxic int, own array<int>, other array<int>").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["toxic"], r["own"]))
     pairs = [(r["own"], r["other"]) for r in rows if r["other"] is not None]
-    weights, bias = fit([(int(r["toxic"] > 0), r["own"]) for r in rows], pairs, len(words), fairness, ridge)
+    weights, bias = fit([(int(r["toxic"] > 0), r["own"]) for r in rows], pairs, len(words), fairness, ridge, trust)
     return Classifier(words, weights, bias)
 
 

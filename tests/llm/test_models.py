@@ -123,4 +123,4 @@ def test_counterfactuals_flatten_identity_terms():
     assert fair[2] > 1
     assert swapped("A Muslim woman, man") == "A christian man, woman"
     assert swapped("nothing here") is None and set(SWAPS) >= {"women", "men"}
-    assert features("Tables, table!") == {"tables", "table", "tabl*"}
+    assert features("Tables, table!") == {"tables", "table", "tabl*", "tabl**"}  # two words begin with tabl
