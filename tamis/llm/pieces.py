@@ -25,9 +25,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from tamis.llm.text import chunks
+from tamis.llm.text import slices
 
 SPACE = "▁"
 INFINITY = float("inf")
@@ -52,7 +52,7 @@ class Words(dict):
 
 
 class Transducer:
-    def __init__(self, model: bytes, most: int = 150_000):
+    def __init__(self, model: bytes, most: int = 80_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -204,29 +204,49 @@ def _model(spark: SparkSession, file: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode_pieces(docs: DataFrame, model_file: str) -> DataFrame:
-    """``docs`` with ``piece_ids``, the ids of each whole text (null and empty: none).
+def _with_columns(docs: DataFrame, model_file: str, fields: list[StructField], compute) -> DataFrame:
+    """``docs`` with what ``compute(machine, texts)`` gives for the column ``text``, a few MB of text at a time (null: empty).
 
-    A column of that name is replaced. Rows are taken each for itself, so
-    repeated rows and null ids need no rule.
+    Columns of the new names are replaced.
     """
     shared = _model(docs.sparkSession, model_file)
-    docs = docs.select([c for c in docs.columns if c != "piece_ids"])
+    names = [f.name for f in fields]
+    docs = docs.select([c for c in docs.columns if c not in names])
     place = docs.columns.index("text")
-    schema = StructType([*docs.schema.fields, StructField("piece_ids", ArrayType(IntegerType()))])
+    schema = StructType([*docs.schema.fields, *fields])
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = machine(shared.value)
         for batch in batches:
-            texts = batch.column(place).to_pylist()
-            for a, b in chunks(texts):
-                found = [own.encode(t or "") for t in texts[a:b]]
-                ends = np.cumsum([0, *map(len, found)]) // own.kind.itemsize
-                ids = np.frombuffer(b"".join(found), own.kind).astype(np.int32)
-                arrays = [c.slice(a, b - a) for c in batch.columns]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], schema.names)
+            for part in slices(batch, place):
+                texts = [t or "" for t in part.column(place).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, *compute(own, texts)], schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _comes_back(own: Transducer, texts: list[str], ids: list[bytes]) -> list[bool]:
+    return [t.replace(SPACE, " ") == own.decode(np.frombuffer(x, own.kind).tolist()) for t, x in zip(texts, ids)]
+
+
+def encode_pieces(docs: DataFrame, model_file: str, verify: bool = False) -> DataFrame:
+    """``docs`` with ``piece_ids``, the ids of each whole text (null and empty: none).
 
-    return docs.mapInArrow(encode, schema)
+    With ``verify`` the ids are decoded where they are made, and ``round_trip``
+    says whether that gave the text back; a space mark U+2581 in a text comes
+    back as a space. Columns of these names are replaced. Rows are taken each
+    for itself, so repeated rows and null ids need no rule.
+    """
+    fields = [StructField("piece_ids", ArrayType(IntegerType()))] + [StructField("round_trip", BooleanType())] * verify
+
+    def encode(own: Transducer, texts: list[str]) -> list[pa.Array]:
+        found = [own.encode(t) for t in texts]
+        ends = np.cumsum([0, *map(len, found)]) // own.kind.itemsize
+        ids = np.frombuffer(b"".join(found), own.kind).astype(np.int32)
+        out = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))]
+        return [*out, pa.array(_comes_back(own, texts, found), pa.bool_())] if verify else out
+
+    return _with_columns(docs, model_file, fields, encode)
 
 
 def decode_pieces(encoded: DataFrame, model_file: str) -> DataFrame:
@@ -249,25 +269,19 @@ def piece_summary(docs: DataFrame, model_file: str) -> DataFrame:
     """doc_id, n_tokens, n_byte_tokens, ids_crc32 (of the ids as unsigned 32-bit), round_trip, from encoding and decoding each text.
 
     round_trip says that decoding gave the text back; a text that holds the
-    space mark U+2581 itself comes back with a space there.
+    space mark U+2581 itself comes back with a space there. One pass: the ids
+    never leave the task that made them.
     """
-    shared = _model(docs.sparkSession, model_file)
-    encoded = encode_pieces(docs.select("doc_id", "text"), model_file)
-
-    def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = machine(shared.value)
-        for batch in batches:
-            ids = [x.values.to_numpy() for x in batch.column(2)]
-            same = [(t.as_py() or "").replace(SPACE, " ") == own.decode(x.tolist()) for t, x in zip(batch.column(1), ids)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([int(own.is_byte[x].sum()) for x in ids], pa.int64()),
-                    pa.array([zlib.crc32(x.astype("<u4")) for x in ids], pa.int64()),
-                    pa.array(same, pa.bool_()),
-                ],
-                ["doc_id", "n_tokens", "n_byte_tokens", "ids_crc32", "round_trip"],
-            )
-
-    return encoded.select("doc_id", "text", "piece_ids").mapInArrow(summary, "doc_id long, n_tokens long, n_byte_tokens long, ids_crc32 long, round_trip boolean")
+    fields = [StructField(c, LongType()) for c in ("n_tokens", "n_byte_tokens", "ids_crc32")] + [StructField("round_trip", BooleanType())]
+
+    def summary(own: Transducer, texts: list[str]) -> list[pa.Array]:
+        found = [own.encode(t) for t in texts]
+        ids = [np.frombuffer(x, own.kind) for x in found]
+        return [
+            pa.array([len(x) for x in ids], pa.int64()),
+            pa.array([int(own.is_byte[x].sum()) for x in ids], pa.int64()),
+            pa.array([zlib.crc32(x.astype("<u4")) for x in ids], pa.int64()),
+            pa.array(_comes_back(own, texts, found), pa.bool_()),
+        ]
+
+    return _with_columns(docs.select("doc_id", "text"), model_file, fields, summary).drop("text")

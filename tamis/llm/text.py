@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,3 +52,16 @@ def chunks(texts: list[str | None], most: int = 1 << 21):
             start, held = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def slices(batch: pa.RecordBatch, place: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of ``batch`` with about ``most`` bytes of the text in column ``place`` together."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        held += size
+        if held >= most:
+            yield batch.slice(start, i + 1 - start)
+            start, held = i + 1, 0
+    if start < batch.num_rows:
+        yield batch.slice(start)

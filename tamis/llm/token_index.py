@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tamis.llm.text import chunks
+from tamis.llm.text import slices
 
 MAGIC = b"TAMISIDX"
 TAIL = struct.Struct("<8sQQQQQ")
@@ -183,7 +183,7 @@ class CachedBpe:
     library whole.
     """
 
-    def __init__(self, definition: str, width: int, most: int = 300_000):
+    def __init__(self, definition: str, width: int, most: int = 120_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -284,13 +284,12 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer_file: str, end_id
         part = f"{name}.{uuid.uuid4().hex}.part"
         writer = None
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in chunks(texts, 1 << 20):
+            for rows in slices(batch, 1, 1 << 20):
                 if writer is None:
                     where.create_dir(base, recursive=True)
                     out = where.open_output_stream(part)
                     writer = ShardWriter(out, width)
-                for key, ids in zip(keys[a:b], bpe.encode([t or "" for t in texts[a:b]])):
+                for key, ids in zip(rows.column(0).to_pylist(), bpe.encode([t or "" for t in rows.column(1).to_pylist()])):
                     writer.add(key, ids + end)
         if writer is not None:
             n, ids = writer.close()

@@ -115,6 +115,11 @@ def test_pieces_over_tables(docs, odd_docs, no_docs, library):
             assert r["piece_text"] == (r["text"] or "").replace("▁", " ")
         for r in piece_summary(table, PIECES).collect():
             assert r["round_trip"]
+        both = encode_pieces(table, PIECES, verify=True)
+        assert both.columns[-2:] == ["piece_ids", "round_trip"]
+        for r in both.collect():
+            assert r["piece_ids"] == library.encode(r["text"] or "") and r["round_trip"]
+        assert both.count() == table.count()
 
 
 def test_shard_refuses_other_files():
