@@ -35,10 +35,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id and piece ids of each document, checked by decoding."""
-    model = catalog.tokenizer("piece_bpe_32k.model")
-    decoded = pieces.decode_pieces(pieces.encode_pieces(docs.select("doc_id", "source", "text"), model), model)
-    same = F.coalesce(F.col("piece_text"), F.lit("")) == F.translate(F.coalesce(F.col("text"), F.lit("")), pieces.SPACE, " ")
-    return decoded.select("doc_id", "source", F.size("piece_ids").cast("long").alias("n_tokens"), "piece_ids", same.alias("round_trip"))
+    encoded = pieces.encode_pieces(docs.select("doc_id", "source", "text"), catalog.tokenizer("piece_bpe_32k.model"), verify=True)
+    return encoded.select("doc_id", "source", F.size("piece_ids").cast("long").alias("n_tokens"), "piece_ids", "round_trip")
 
 
 STAGES = [
