@@ -17,6 +17,7 @@ A lookup hashes the key, reads one seed, one slot and one fingerprint.
 
 from __future__ import annotations
 
+import json
 import os
 import posixpath
 import struct
@@ -178,20 +179,27 @@ class CachedBpe:
 
     The pre-tokenizer never joins the text before a single space or line break
     with the text after it, if neither side is white space itself. So a text is
-    cut there and each distinct piece is encoded by the library once. A text
-    with a piece that starts or ends with white space, or is empty, goes to the
-    library whole.
+    cut there, each piece keeping the line break before it, and each distinct
+    piece is encoded by the library once. A text with a piece that starts or
+    ends with white space, or is empty, goes to the library whole. Where the
+    pre-tokenizer cuts between a letter and a stop after it, the ids of a word
+    and of its stops are looked up each for itself.
     """
 
-    def __init__(self, definition: str, width: int, most: int = 120_000):
+    STOPS = ",.;:!?"
+
+    def __init__(self, definition: str, width: int, most: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(definition)
         self.library.encode_special_tokens = True
         self.kind, self.most = np.dtype(f"<u{width}"), most
-        self.inner: tuple[dict, dict] = ({}, {})  # of late, and before that
-        self.first: tuple[dict, dict] = ({}, {})
+        spec = json.loads(definition)
+        cutter = spec.get("pre_tokenizer") or {}
+        self.cuts_stops = spec.get("normalizer") is None and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True)
+        self.late: dict[str, bytes | None] = {}  # pieces of late, and before that
+        self.early: dict[str, bytes | None] = {}
         self.line_break = self._encoded(["\n"])[0]
         self.break_id = int(np.frombuffer(self.line_break, self.kind)[0])
 
@@ -207,34 +215,49 @@ class CachedBpe:
         raw, width = ids.tobytes(), self.kind.itemsize
         return [raw[i:j] for i, j in zip([0, *(width * (ends + 1)).tolist()], [*(width * ends).tolist(), len(raw)])]
 
-    def _learn(self, known: tuple[dict, dict], wanted: set[str], before: str) -> tuple[dict, dict]:
-        """``known`` with all wanted words in its first part."""
-        late, early = known
-        if len(late) > self.most:
-            late, early = {}, late
-        new = []
-        for w in wanted:
-            if w not in late:
-                if w in early:
-                    late[w] = early[w]
-                elif w and not w[0].isspace() and not w[-1].isspace():
-                    new.append(w)
-                else:
-                    late[w] = None
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            late.update(zip(part, self._pieces([before + w for w in part])))
-        return late, early
+    def _learn(self, wanted: set[str]) -> dict[str, bytes | None]:
+        """The ids of pieces, all wanted ones among them; a piece that starts with a line break holds its id."""
+        if len(self.late) > self.most:
+            self.late, self.early = {}, self.late
+        late, early = self.late, self.early
+        new, stopped = {}, []
+        for w in wanted.difference(late):
+            if w in early:
+                late[w] = early[w]
+                continue
+            body = w[1:] if w[:1] == "\n" else w
+            if not body or body[0].isspace() or body[-1].isspace():
+                late[w] = None
+                continue
+            if self.cuts_stops and body[-1] in self.STOPS:
+                stem = w.rstrip(self.STOPS)
+                if stem and stem[-1].isalnum():
+                    stopped.append((w, stem))
+                    w = stem
+                    if stem in late:
+                        continue
+                    if stem in early:
+                        late[stem] = early[stem]
+                        continue
+            new[w] = w[1:] if w[0] == "\n" else " " + w
+        names = list(new)
+        for k in range(0, len(names), 20_000):
+            part = names[k : k + 20_000]
+            for w, ids in zip(part, self._pieces([new[w] for w in part])):
+                late[w] = self.line_break + ids if w[0] == "\n" else ids
+        ends = {w[len(stem) :] for w, stem in stopped}
+        tails = dict(zip(ends, self._encoded(list(ends))))
+        for w, stem in stopped:
+            late[w] = late[stem] + tails[w[len(stem) :]]
+        return late
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; call it with a few MB of text at a time."""
-        cut = [[line.split(" ") for line in text.split("\n")] for text in texts]
-        self.first = self._learn(self.first, {line[0] for lines in cut for line in lines}, "")
-        self.inner = self._learn(self.inner, {w for lines in cut for line in lines for w in line[1:]}, " ")
-        first, inner, out = self.first[0], self.inner[0], []
-        for text, lines in zip(texts, cut):
+        cut = [("\n" + text).replace("\n", " \n").split(" ")[1:] for text in texts]
+        known, skip, out = self._learn(set().union(*cut)), len(self.line_break), []
+        for text, words in zip(texts, cut):
             try:
-                out.append(self.line_break.join([b"".join([first[line[0]], *map(inner.__getitem__, line[1:])]) for line in lines]))
+                out.append(b"".join(map(known.__getitem__, words))[skip:])
             except TypeError:
                 out.append(self._encoded([text])[0])
         return out
@@ -284,7 +307,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer_file: str, end_id
         part = f"{name}.{uuid.uuid4().hex}.part"
         writer = None
         for batch in batches:
-            for rows in slices(batch, 1, 1 << 20):
+            for rows in slices(batch, 1):
                 if writer is None:
                     where.create_dir(base, recursive=True)
                     out = where.open_output_stream(part)

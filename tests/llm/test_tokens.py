@@ -39,7 +39,7 @@ def machine():
         return Transducer(f.read(), most=50)
 
 
-TEXTS = st.text(st.sampled_from(list("abt's1 \n\t\r  \u0085▁#,<é日😀")) | st.characters(exclude_categories=["Cs"]), max_size=40)
+TEXTS = st.text(st.sampled_from(list("abt's1,.;!? \n\t\r  \u0085▁#,<é日😀")) | st.characters(exclude_categories=["Cs"]), max_size=40)
 
 
 @settings(max_examples=400, deadline=None)
