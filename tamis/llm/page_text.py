@@ -27,6 +27,8 @@ CHROME_ROLE = frozenset("navigation banner contentinfo complementary search form
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 SPACE = re.compile(r"\s+")
+#: Shares of characters: below the first, pages are nearly equal; from the second on, articles are different ones.
+NEAR, DIFFERENT = 0.1, 0.5
 CLOSES = {"p": BLOCKS - {"li", "td", "th", "tr", "tbody", "thead", "tfoot", "dd", "dt", "body", "html"}}
 
 
@@ -174,19 +176,56 @@ def shared_lines(a: list[str], b: list[str]) -> list[bool]:
     return marked
 
 
-def difference(own: list[tuple[str, str]], other: list[tuple[str, str]] | None) -> list[str]:
-    """The page's lines less those shared with its neighbour, and less chrome.
+def own_share(a: list[str], b: list[str]) -> float:
+    """The share of the characters of ``a`` in lines that ``b`` does not have."""
+    there = set(b)
+    total = sum(map(len, a))
+    return sum(len(x) for x in a if x not in there) / total if total else 0.0
 
-    Pages may share lines of their articles too (quotations, licences, copies
-    of a whole article). A shared line inside the article element is the
-    article's own and stays; outside, it is the site's and goes. Where a page
-    has an article element, open lines outside it are not the article; else
-    they are what is left of it.
+
+def apart(a: list[str], b: list[str], least: float) -> bool:
+    """Whether each of the two has at least this share of its characters for itself."""
+    return own_share(a, b) >= least and own_share(b, a) >= least
+
+
+def article(page: list[tuple[str, str]]) -> list[str]:
+    """The lines of the article element, or without one all that are not chrome."""
+    return [x for x, zone in page if zone == "main"] or [x for x, zone in page if zone == "open"]
+
+
+def difference(own: list[tuple[str, str]], *others: list[tuple[str, str]] | None) -> list[str]:
+    """The page's lines less those that its neighbours have too, and less chrome.
+
+    A neighbour that is equal or nearly equal (less than ``NEAR`` of either
+    page's characters its own) says nothing. Of the others, a line goes when
+    more than half have it on a longest common subsequence with the page.
+    Inside an article element only neighbours vote whose articles are
+    different in at least half their characters, and all of them, two at least,
+    must have the line: so template text in an article goes, and a copied
+    article, or a licence or quotation that some neighbours share, stays. Chrome goes
+    whatever the neighbours have, for menus and adverts may differ from page
+    to page. With no neighbour to tell, open lines are text only where the page
+    has no article element.
     """
     kept = [(line, zone) for line, zone in own if zone != "chrome"]
+    lines = [x for x, _ in kept]
     inside = any(zone == "main" for _, zone in kept)
-    shared = shared_lines([x for x, _ in kept], [x for x, zone in other if zone != "chrome"]) if other else [False] * len(kept)
-    return [line for (line, zone), s in zip(kept, shared) if (zone == "main" if inside else not s)]
+    votes, article_votes, voters, article_voters = [0] * len(kept), [0] * len(kept), 0, 0
+    for other in others:
+        theirs = [x for x, zone in other or () if zone != "chrome"]
+        if not apart(lines, theirs, NEAR):
+            continue
+        shared = shared_lines(lines, theirs)
+        votes, voters = [v + s for v, s in zip(votes, shared)], voters + 1
+        if inside and apart(article(own), article(other), DIFFERENT):
+            article_votes, article_voters = [v + s for v, s in zip(article_votes, shared)], article_voters + 1
+    stays = []
+    for (_, zone), v, w in zip(kept, votes, article_votes):
+        if zone == "main":
+            stays.append(w < 2 or w < article_voters)
+        else:
+            stays.append(2 * v <= voters if voters else not inside)
+    return [line for line, s in zip(lines, stays) if s]
 
 
 def host(url: Column) -> Column:

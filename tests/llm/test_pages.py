@@ -70,3 +70,16 @@ def test_articles_of_the_test_pages(spark):
         want[r["page_id"]] = "\n".join(x for x in lines if x)
     got = {r["page_id"]: r["text"] for r in extract_pages(pages).collect()}
     assert got == want
+
+
+def test_lines_shared_with_other_articles_go_from_an_article():
+    def page(k, extra=""):
+        own = "".join(f"<p>paragraph {k}.{i} of this article alone</p>" for i in range(4))
+        return text_lines(f"<div>Home</div><article><h1>Title {k}</h1>{own}{extra}<div class='x'>Read more stories here</div></article><p>after {k}</p>")
+
+    own = ["Title 1", *[f"paragraph 1.{i} of this article alone" for i in range(4)]]
+    more, quoted = "Read more stories here", "<p>licence of two pages</p>"
+    assert difference(page(1), page(2), page(3)) == [*own, "after 1"]  # shared with other articles, in the element or not; own lines outside stay
+    assert difference(page(1, quoted), page(2, quoted), page(3), page(4)) == [*own, "licence of two pages", "after 1"]
+    assert difference(page(1), page(1), page(1)) == [*own, more]  # copies say nothing
+    assert difference(page(1), page(2)) == [*own, more, "after 1"]  # one neighbour is not enough in an article
