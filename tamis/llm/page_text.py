@@ -1,15 +1,19 @@
-"""Main text of web pages by differencing each page with its nearest URL."""
+"""Main text of web pages by differencing each page with its nearest URLs."""
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamis.shared import ordinals
+
 #: Elements whose content is never text, that end a line of text, and that hold what is not the article.
 NO_TEXT = frozenset("script style noscript template head title svg math iframe object canvas audio video select option textarea button".split())
 BLOCKS = frozenset(
@@ -29,6 +33,8 @@ ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"
 SPACE = re.compile(r"\s+")
 #: Shares of characters: below the first, pages are nearly equal; from the second on, articles are different ones.
 NEAR, DIFFERENT = 0.1, 0.5
+#: Rows on either side among which a page's neighbours are sought, and how many of them vote.
+REACH, VOTERS = 16, 4
 CLOSES = {"p": BLOCKS - {"li", "td", "th", "tr", "tbody", "thead", "tfoot", "dd", "dt", "body", "html"}}
 
 
@@ -155,8 +161,6 @@ def shared_lines(a: list[str], b: list[str]) -> list[bool]:
     places: dict[str, list[int]] = {}
     for j in range(len(b) - stop - 1, start - 1, -1):
         places.setdefault(b[j], []).append(j)
-    from bisect import bisect_left
-
     tails: list[int] = []
     chain: list[tuple] = []
     for i in range(start, len(a) - stop):
@@ -239,46 +243,125 @@ def path_key(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"(\d+)", "000000000000$1"), r"\d*(\d{12})(?!\d)", "$1")
 
 
+def common_segments(a: list[str], b: list[str]) -> int:
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return n
+
+
+class Page(NamedTuple):
+    """A row on its way through a chunk of the order; ``own`` if the chunk is to give its text."""
+
+    own: bool
+    page_id: int | None
+    url: str | None
+    host: str
+    path: list[str]
+    lines: list[tuple[str, str]]
+
+    @staticmethod
+    def of(own, page_id, url, host, path, text, zones) -> Page:
+        return Page(own, page_id, url, host, path.split("/"), [(x, "main" if z == "m" else "open") for x, z in zip(text.split("\n"), zones)])
+
+
+def neighbours(held: list[Page], i: int) -> list[list[tuple[str, str]]]:
+    """The lines of up to ``VOTERS`` pages of the host with other content, within ``REACH`` rows: longest common path first, then nearest."""
+    page, near = held[i], []
+    for j in range(max(0, i - REACH), min(len(held), i + REACH + 1)):
+        if j != i and held[j].host == page.host:
+            near.append((-common_segments(page.path, held[j].path), abs(j - i), j))
+    found: list[list[tuple[str, str]]] = []
+    lines = [x for x, _ in page.lines]
+    for _, _, j in sorted(near):
+        other = held[j].lines
+        if other not in found and apart(lines, [x for x, _ in other], NEAR):
+            found.append(other)
+            if len(found) == VOTERS:
+                break
+    return found
+
+
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html).
 
-    Pages are sorted by host and path over ranges of both, so a host with many
-    pages spreads over many tasks; a page's neighbour is the one before it in
-    the order if of the same host, else the one after, and at the edge of a
-    range the one inside it. A page alone on its host is not differenced. Null
-    html gives an empty text; null or repeated URLs sort as one path; repeated
-    rows are one another's neighbours and give equal texts if they have an
-    article element. Other columns are not read.
+    Pages are ranked by host, path, id, URL and a hash of their html. The order
+    is cut into chunks of equal counts, so a host with many pages spreads over
+    many tasks; the ``REACH`` rows on either side of a chunk come along, so that
+    no text depends on where it is cut. A page is differenced with up to
+    ``VOTERS`` pages of its host within that reach whose content is neither
+    equal nor nearly equal to its own or equal to one another's. One that has
+    none, as when it is alone on its host or in a longer run of copies, keeps
+    all of its article. Null html gives an empty text; null or repeated URLs
+    sort as one path. Other columns are not read.
     """
-    keyed = pages.select("page_id", "url", "html", host(F.col("url")).alias("_host"), path_key(F.col("url")).alias("_path"))
-    order = ["_host", "_path", "page_id"]
-    sorted_pages = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+    keyed = pages.select(
+        "page_id",
+        "url",
+        "html",
+        host(F.col("url")).alias("_host"),
+        path_key(F.col("url")).alias("_path"),
+        F.col("page_id").isNull().alias("_no_id"),
+        F.coalesce("page_id", F.lit(0)).cast("long").alias("_id"),
+        F.coalesce("url", F.lit("")).alias("_url"),
+        F.xxhash64("html").alias("_hash"),
+    )
+    order = ["_host", "_path", "_no_id", "_id", "_url", "_hash"]
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = max(4 * REACH, -(-pages.count() // parts))
+    place = (F.col("_ordinal") % size).alias("place")
+    marks = ordinals(keyed.select(*order), *[F.col(c) for c in order]).select("_ordinal", place, *order).where(F.col("place").isin(0, REACH, size - REACH)).collect()
+    at = {place: [tuple(r[2:]) for r in sorted(marks) if r["place"] == place] for place in (0, REACH, size - REACH)}
+    starts, heads, tails = at[0], at[REACH], at[size - REACH]
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+        names = ["chunk", "own", "page_id", "url", *order, "lines", "zones"]
+        types = [pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
+        for batch in batches:
+            done, chars = [], 0
+            for page_id, url, page, *key in zip(*[c.to_pylist() for c in batch.columns]):
+                lines = [x for x in text_lines(page) if x[1] != "chrome"]
+                row = (page_id, url, *key, "\n".join(x for x, _ in lines), "".join(zone[0] for _, zone in lines))
+                chunk = max(bisect_right(starts, tuple(key)) - 1, 0)
+                done.append((chunk, True, *row))
+                if chunk and (chunk >= len(heads) or tuple(key) < heads[chunk]):
+                    done.append((chunk - 1, False, *row))
+                if chunk + 1 < len(starts) and tuple(key) >= tails[chunk]:
+                    done.append((chunk + 1, False, *row))
+                chars += len(row[-2])
+                if len(done) >= 500 or chars > 4 << 20:
+                    yield out(done)
+                    done, chars = [], 0
+            if done:
+                yield out(done)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows):
-            texts = ["\n".join(x) for _, _, x in rows]
+            texts = ["\n".join(difference(held[i].lines, *neighbours(held, i))) for i in rows if held[i].own]
+            own = [held[i] for i in rows if held[i].own]
             return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                [pa.array([r.page_id for r in own], pa.int64()), pa.array([r.url for r in own], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"],
             )
 
-        before = None  # (host, lines)
-        waiting = None  # the first page of a host, until its next one comes
+        held: list[Page] = []  # the rows of a chunk that are in reach of those still to be given
+        given, now = 0, None
         for batch in batches:
-            done = []
-            for page_id, url, page, name in zip(*[batch.column(k).to_pylist() for k in range(4)]):
-                lines = text_lines(page)
-                same = before is not None and before[0] == name
-                if waiting is not None:
-                    done.append((*waiting[:2], difference(waiting[2], lines if same else None)))
-                    waiting = None
-                if same:
-                    done.append((page_id, url, difference(lines, before[1])))
-                else:
-                    waiting = (page_id, url, lines)
-                before = (name, lines)
-            yield out(done)
-        if waiting is not None:
-            yield out([(*waiting[:2], difference(waiting[2], None))])
-
-    return sorted_pages.select("page_id", "url", "html", "_host").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+            for chunk, *row in zip(*[c.to_pylist() for c in batch.columns]):
+                if chunk != now:
+                    yield out(range(given, len(held)))
+                    held, given, now = [], 0, chunk
+                held.append(Page.of(*row))
+                if len(held) - given > 4 * REACH:
+                    yield out(range(given, len(held) - REACH))
+                    held = held[-2 * REACH :]
+                    given = REACH
+        yield out(range(given, len(held)))
+
+    types = "chunk int, own boolean, page_id long, url string, _host string, _path string, _no_id boolean, _id long, _url string, _hash long, lines string, zones string"
+    parsed = keyed.select("page_id", "url", "html", *order).mapInArrow(parse, types)
+    chunks = parsed.repartition("chunk").sortWithinPartitions("chunk", *order)
+    return chunks.select("chunk", "own", "page_id", "url", "_host", "_path", "lines", "zones").mapInArrow(extract, "page_id long, url string, text string, n_chars long")

@@ -83,3 +83,25 @@ def test_lines_shared_with_other_articles_go_from_an_article():
     assert difference(page(1, quoted), page(2, quoted), page(3), page(4)) == [*own, "licence of two pages", "after 1"]
     assert difference(page(1), page(1), page(1)) == [*own, more]  # copies say nothing
     assert difference(page(1), page(2)) == [*own, more, "after 1"]  # one neighbour is not enough in an article
+
+
+def test_copies_keep_their_text_however_the_order_is_cut(spark):
+    def page(k):
+        own = "".join(f"<p>words {k} of {i} alone</p>" for i in range(4))
+        return f"<div>Home</div><div>About us</div>{own}<div>All rights reserved</div>"
+
+    want = {k: "\n".join(f"words {k} of {i} alone" for i in range(4)) for k in range(60)}
+    made = [(k, f"http://h/en/{k}", page(k)) for k in range(60)]
+    made += [(1000 * (c + 1) + k, f"https://h/en/{k}?ref={c}", page(k)) for k in range(60) for c in range(3)]  # four copies of each
+    made += [(9000 + k, f"http://x/{k}", f"<p>quoted by two</p>{page(k)}" if k < 2 else page(k)) for k in range(5)]
+    want |= {9000 + k: ("quoted by two\n" if k < 2 else "") + want[k] for k in range(5)}
+    pages = spark.createDataFrame(made, "page_id long, url string, html string")
+    for parts in ("1", "4", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = {r["page_id"]: r["text"] for r in extract_pages(pages.repartition(3)).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert len(got) == len(made)
+        for k, text in got.items():
+            assert text == want[k % 1000 if k < 9000 else k]
