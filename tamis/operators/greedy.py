@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tamis.functions.vectors import uniform
-from tamis.plans.blocks import Block, gathered, over_pairs, per_candidate, to_blocks, unpacked
+from tamis.plans.blocks import Block, cosine_features, cosine_gram, gathered, over_pairs, per_candidate, to_blocks, unpacked
 from tamis.shared import stash
 
 RESULT = "rank int, id long, score double"
@@ -66,6 +66,8 @@ MUTUAL = ("fl1mi", "fl2mi", "com", "gcmi", "logdetmi")
 CONDITIONAL = ("flcg", "gccg", "logdetcg")
 CONDITIONAL_MUTUAL = ("flcmi", "logdetcmi")
 RIDGE = 1e-6
+#: Rows of a query or private set up to which a log-determinant may take their own kernel.
+MOST_GATHERED = 5000
 
 
 def _log_det_gain(own: np.ndarray, cross: np.ndarray, within: np.ndarray) -> np.ndarray:
@@ -90,7 +92,7 @@ class _Kernel:
     def gain(self, a: Block, chosen: Block) -> np.ndarray:
         own = a.self_similarity(self.metric) + self.diagonal
         to = self._to(a)
-        own = own - np.einsum("ij,jk,ik->i", to, self.inverse, to)
+        own = own - np.einsum("ij,ij->i", to @ self.inverse, to)
         if not len(chosen.ids):
             return _log_det_gain(own, np.zeros((len(a.ids), 0)), np.zeros((0, 0)))
         c = self._to(chosen)
@@ -99,6 +101,31 @@ class _Kernel:
         return _log_det_gain(own, cross, within)
 
 
+class _GramKernel(_Kernel):
+    """The same for the cosine and any number of given rows, from the Gram matrices of their features.
+
+    With F the features of the given rows, W their weights and r the ridge,
+    what they explain of <x, y> is x' M y with M = F'W (FF' + r)^-1 WF. By the
+    Woodbury identity that takes only G = F'F of the rows of each weight. For
+    weights v on P and w on Q, A = P + Q + r and d = v - w it is
+    w^2 (P + Q) A^-1 + wd (P A^-1 + A^-1 P) + d^2 / r P A^-1 (Q + r),
+    where nothing nearly equal is subtracted.
+    """
+
+    def __init__(self, p: np.ndarray, q: np.ndarray, v: float, w: float, diagonal: float = RIDGE):
+        self.metric, self.diagonal, d = "cosine", diagonal, v - w
+        ridge = RIDGE * np.eye(len(p))
+        inverse = np.linalg.inv(p + q + ridge)
+        pa = p @ inverse
+        m = w * w * (p + q) @ inverse + w * d * (pa + pa.T)
+        if d:
+            m += d * d / RIDGE * pa @ (q + ridge)
+        self.inverse = (m + m.T) / 2
+
+    def _to(self, a: Block) -> np.ndarray:
+        return cosine_features(a) if len(a.ids) else np.zeros((0, len(self.inverse)))
+
+
 def maximise(
     pool: DataFrame,
     k: int,
@@ -211,19 +238,33 @@ def maximise(
         own = with_state(summed(blocks), summed(p))
         gains = local(own, lambda a, c: a.s[:, 0] - lam * (2 * to_chosen(a, c) + a.self_similarity(metric)) - 2 * lam * nu * a.s[:, 1])
     else:
-        none = Block.none()
-        qs = gathered(query) if query is not None else none
-        ps = gathered(private) if private is not None else none
-        plain = _Kernel(metric, none, 1.0)
+        plain = _Kernel(metric, Block.none(), 1.0)
+        from_q, from_p = (q, query, eta), (p, private, nu)
+
+        def given(*sets: tuple) -> _Kernel:
+            """What is left of the similarities; rows come to the driver only where they are fewer than features, or the metric has none."""
+            sets = [x for x in sets if not x[0].isEmpty()]
+            if not sets:
+                return plain
+            first = sets[0][0].select(F.size("ids").alias("n"), F.size("g").alias("g"), F.size("e").alias("e")).where("n > 0").first()
+            features = 1 + first["g"] // first["n"] * (first["e"] // first["n"])
+            if metric == "cosine" and sum(x[0].agg(F.sum(F.size("ids"))).first()[0] for x in sets) > min(features, MOST_GATHERED):
+                grams = [cosine_gram(x[0]) for x in sets]
+                empty = np.zeros_like(grams[0])
+                return _GramKernel(grams[0], grams[1] if len(sets) > 1 else empty, sets[0][2], sets[-1][2])
+            block, weights = Block.none(), []
+            for _, rows, w in sets:
+                own = gathered(rows, MOST_GATHERED)
+                block, weights = block.add(own), weights + [w] * len(own.ids)
+            return _Kernel(metric, block, np.array(weights))
+
         if function == "logdetmi":
-            other = _Kernel(metric, qs, eta)
+            other = given(from_q)
             gains = local(blocks, lambda a, c: plain.gain(a, c) - other.gain(a, c))
         elif function == "logdetcg":
-            gains = local(blocks, _Kernel(metric, ps, nu).gain)
+            gains = local(blocks, given(from_p).gain)
         else:
-            given_p = _Kernel(metric, ps, nu)
-            both = ps.add(qs)
-            given_both = _Kernel(metric, both, np.r_[np.full(len(ps.ids), nu), np.full(len(qs.ids), eta)])
+            given_p, given_both = given(from_p), given(from_p, from_q)
             gains = local(blocks, lambda a, c: given_p.gain(a, c) - given_both.gain(a, c))
 
     if modular is not None:

@@ -121,6 +121,32 @@ def gathered(rows: DataFrame, most: int = 5000) -> Block:
     return Block(*[x[order] for x in vars(block).values()])
 
 
+def cosine_features(block: Block) -> np.ndarray:
+    """Vectors whose inner products are the cosine similarities of the rows: one, and the row at length one, over the root of two."""
+    x = (block.g[:, :, None] * block.e[:, None, :]).reshape(len(block.ids), -1)
+    norms = np.sqrt(block.norms2())[:, None]
+    unit = np.divide(x, norms, out=np.zeros(x.shape), where=norms > 0)
+    return np.c_[np.ones(len(x)), unit] / np.sqrt(2)
+
+
+def cosine_gram(blocks: DataFrame) -> np.ndarray:
+    """Sum over all rows of the outer product of their cosine features: each task sums its own, features squared numbers go to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                f = cosine_features(unpacked(batch, k))
+                total = f.T @ f if total is None else total + f.T @ f
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["at", "v"])
+
+    summed = blocks.mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(summed.num_rows)
+    out[summed.column("at").to_numpy()] = summed.column("v").to_numpy()
+    return out.reshape(round(len(out) ** 0.5), -1)
+
+
 def per_candidate(blocks: DataFrame, compute: Callable[[Block], np.ndarray]) -> DataFrame:
     """(id, v) with a value for each row of the blocks."""
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tamis.functions import vectors as V
 from tamis.functions.text import clean
 from tamis.operators import adversarial, bayesian, bilevel, composite, greedy, rounds, uncertainty
-from tamis.plans.blocks import Block, represent
+from tamis.plans.blocks import Block, cosine_features, represent
 from tamis.plans.model import LinearHead, TwoLayer, average_weights, dropout_masks, saturated, train_linear
 from tamis.sources import files, pools
 from tamis.streaming.topk import merge
@@ -202,6 +202,35 @@ def test_greedy_is_the_brute_force_greedy(spark, name, metric):
     assert [i for i, _ in got] == chosen
 
 
+def test_gram_kernel_is_the_kernel_of_the_rows():
+    rng = np.random.default_rng(7)
+    x, q, p = rng.normal(size=(18, 8)), rng.normal(size=(60, 8)), rng.normal(size=(50, 8))
+    q[3] = p[4] = x[5] = 0
+    a, v, w = block(x), block(q), block(p)
+    gram = lambda b: cosine_features(b).T @ cosine_features(b)
+    for nu, eta in ((0.9, 0.9), (0.6, 0.0)):
+        rows = greedy._Kernel("cosine", w.add(v), np.r_[np.full(50, nu), np.full(60, eta)])
+        grams = greedy._GramKernel(gram(w), gram(v), nu, eta)
+        for chosen in (Block.none(), block(x[:3])):
+            assert grams.gain(a, chosen)[3:] == pytest.approx(rows.gain(a, chosen)[3:], abs=1e-5)
+
+
+@pytest.mark.parametrize("name", ["logdetmi", "logdetcg", "logdetcmi"])
+def test_log_determinants_given_more_rows_than_are_gathered(spark, name, monkeypatch):
+    rng = np.random.default_rng(7)
+    x, q, p = [rng.normal(size=(n, 8)) for n in (18, 60, 50)]
+    u, v, w = block(x), block(q), block(p)
+    sims = [a.similarity(b, "cosine") for a, b in ((u, u), (v, u), (w, u), (v, v), (w, w), (w, v))]
+    f = objective(name, *sims, x, eta=0.9, nu=0.9)
+    monkeypatch.setattr(greedy, "MOST_GATHERED", 5)
+    got = greedy.maximise(plain_rows(spark, x), 2, name, query=plain_rows(spark, q), private=plain_rows(spark, p), eta=0.9, nu=0.9)
+    chosen = []
+    for i, gain in got:
+        gains = [(-np.inf if j in chosen else f([*chosen, j]) - f(chosen)) for j in range(18)]
+        assert gain == pytest.approx(gains[i], abs=1e-5) and gains[i] == pytest.approx(max(gains), abs=1e-5)
+        chosen.append(i)
+
+
 def test_bad_objectives_are_refused(spark):
     rows = plain_rows(spark, RNG.normal(size=(5, 3)))
     for options in ({"function": "other"}, {"function": "graph_cut"}, {"function": "fl1mi"}, {"function": "flcg"}, {"function": "facility_location", "optimizer": "other"}):
