@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +27,16 @@ CHROME_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|promo|sponsor(?:ed)?|cookies?|consent|notice|popup|modal|newsletter|subscribe|sidebar|side-bar|widget|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|header|masthead|footer|share|sharing|social|related|recommended|comments?|replies|respond|disqus|login|signup|search|skip)(?:$|[\s_-])",
     re.I,
 )
+#: Inside an article only these words, and only where they are all that the class or id says, name what is not its text.
+CHROME_INSIDE = frozenset(
+    "ad ads advert adverts advertisement promo sponsor sponsored cookie cookies consent popup modal newsletter subscribe sidebar widget menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer share sharing social related recommended comment comments reply replies respond disqus login signup skip".split()
+)
 CHROME_ROLE = frozenset("navigation banner contentinfo complementary search form dialog menu menubar".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+#: What may stand in a head element; anything else ends one that was not closed.
+IN_HEAD = frozenset("title meta link script style base noscript template".split())
 SPACE = re.compile(r"\s+")
 #: Shares of characters: below the first, pages are nearly equal; from the second on, articles are different ones.
 NEAR, DIFFERENT = 0.1, 0.5
@@ -38,23 +45,26 @@ REACH, VOTERS = 16, 4
 CLOSES = {"p": BLOCKS - {"li", "td", "th", "tr", "tbody", "thead", "tfoot", "dd", "dt", "body", "html"}}
 
 
-def is_chrome(tag: str, attributes: str) -> bool:
+def is_chrome(tag: str, attributes: str, inside: bool = False) -> bool:
+    """Whether an element says of itself that it is navigation, an advert and the like; ``inside``: it stands in an article."""
     if tag in CHROME:
         return True
-    if not attributes:
-        return False
     for name, value in ATTRIBUTE.findall(attributes):
-        value = value.strip("\"'")
-        name = name.lower()
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and CHROME_NAME.search(value):
-            return True
-        if name == "role" and value.lower() in CHROME_ROLE:
-            return True
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+        name, value = name.lower(), value.strip("\"'")
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+            if (names_chrome(value) if inside else CHROME_NAME.search(value)) is not None:
+                return True
+        elif name == "role" and value.lower() in CHROME_ROLE or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
     return False
 
 
+def names_chrome(value: str) -> str | None:
+    """The value of a class or id inside an article if each of its names starts or ends with a word of CHROME_INSIDE."""
+    parts = [re.split("[_-]+", name.lower().strip("_-")) for name in value.split()]
+    return value if parts and all(p[0] in CHROME_INSIDE or p[-1] in CHROME_INSIDE for p in parts) else None
+
+
 def text_lines(page: str | None) -> list[tuple[str, str]]:
     """(line, zone) of a page: one line per block of text, in order.
 
@@ -100,12 +110,14 @@ def text_lines(page: str | None) -> list[tuple[str, str]]:
                     zone = stack[-1][1] if stack else "open"
                     break
             continue
+        if skip == "head" and tag not in IN_HEAD:
+            skip = None  # a head that was not closed ends here
         if skip is not None:
             continue
         if tag in NO_TEXT:
             if m[3].endswith("/"):
                 continue
-            if tag in ("script", "style", "textarea", "title", "iframe", "noscript"):
+            if tag in ("script", "style", "textarea", "title", "iframe", "noscript"):  # the text of these holds no elements
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
             else:
@@ -128,7 +140,7 @@ def text_lines(page: str | None) -> list[tuple[str, str]]:
             continue
         inner = zone
         if zone != "chrome":
-            if is_chrome(tag, m[3]) and not (tag == "header" and zone == "main"):
+            if is_chrome(tag, m[3], zone == "main") and not (tag == "header" and zone == "main"):
                 inner = "chrome"
             elif tag in MAIN:
                 inner = "main"
@@ -145,9 +157,10 @@ def text_lines(page: str | None) -> list[tuple[str, str]]:
 def shared_lines(a: list[str], b: list[str]) -> list[bool]:
     """Which lines of ``a`` lie on one longest common subsequence with ``b``.
 
-    Equal ends are matched first; what is left is aligned by runs of unique
-    ids, in time and memory that grow with the matching pairs (Hunt and
-    Szymanski 1977), not with the product of the lengths.
+    Equal ends are matched first and lines that the other page lacks left out.
+    What is left is aligned by rows of bits (Hyyro 2004): one long integer per
+    line of ``a``, so the time grows with the product of the lengths over the
+    word size, however often a line repeats.
     """
     marked = [False] * len(a)
     start = 0
@@ -158,28 +171,75 @@ def shared_lines(a: list[str], b: list[str]) -> list[bool]:
     while stop < min(len(a), len(b)) - start and a[-1 - stop] == b[-1 - stop]:
         marked[len(a) - 1 - stop] = True
         stop += 1
-    places: dict[str, list[int]] = {}
-    for j in range(len(b) - stop - 1, start - 1, -1):
-        places.setdefault(b[j], []).append(j)
-    tails: list[int] = []
-    chain: list[tuple] = []
-    for i in range(start, len(a) - stop):
-        for j in places.get(a[i], ()):
-            k = bisect_left(tails, j)
-            node = (i, chain[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                chain.append(node)
-            else:
-                tails[k] = j
-                chain[k] = node
-    node = chain[-1] if chain else None
-    while node:
-        marked[node[0]] = True
-        node = node[1]
+    left, right = range(start, len(a) - stop), b[start : len(b) - stop]
+    there, here = set(right), {a[i] for i in left}
+    left, right = [i for i in left if a[i] in there], [x for x in right if x in here]
+    for k in _aligned([a[i] for i in left], right):
+        marked[left[k]] = True
     return marked
 
 
+def _rows(a: list[str], b: list[str]) -> Iterator[int]:
+    """After each line of ``a``: a bit per line of ``b``, 0 where the longest common subsequence grows."""
+    full = (1 << len(b)) - 1
+    masks: dict[str, int] = {}
+    for j, x in enumerate(b):
+        masks.setdefault(x, []).append(j)
+    masks = {x: int.from_bytes(_bits(places, len(b)), "little") for x, places in masks.items()}
+    row = full
+    for x in a:
+        hit = row & masks.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+        yield row
+
+
+def _bits(places: list[int], n: int) -> bytes:
+    flags = np.zeros(n, np.uint8)
+    flags[places] = 1
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
+def _growth(row: int, n: int) -> np.ndarray:
+    """Length of the longest common subsequence with each beginning of ``b``, from a row."""
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(-(-n // 8) or 1, "little"), np.uint8), bitorder="little")[:n]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _aligned(a: list[str], b: list[str], most_bits: int = 1 << 26) -> list[int]:
+    """Places in ``a`` of one longest common subsequence; rows are kept up to ``most_bits``, larger problems halved (Hirschberg 1975)."""
+    parts, out = [(0, len(a), 0, len(b))], []
+    while parts:
+        i0, i1, j0, j1 = parts.pop()
+        own, other = a[i0:i1], b[j0:j1]
+        if not own or not other:
+            continue
+        if len(own) == 1:
+            out += [i0] if own[0] in other else []
+            continue
+        if len(own) * len(other) <= most_bits:
+            rows, i, j = list(_rows(own, other)), len(own), len(other)
+            while i and j:
+                longer = (~rows[i - 1] & ((1 << j) - 1)).bit_count()
+                if not longer:
+                    break
+                i -= 1
+                if longer > ((~rows[i - 1] & ((1 << j) - 1)).bit_count() if i else 0):
+                    j -= 1  # this line is needed; its last place serves
+                    while other[j] != own[i]:
+                        j -= 1
+                    out.append(i0 + i)
+            continue
+        middle = (i0 + i1) // 2
+        first = second = 0
+        for first in _rows(a[i0:middle], other):
+            pass
+        for second in _rows(a[middle:i1][::-1], other[::-1]):
+            pass
+        cut = j0 + int(np.argmax(_growth(first, len(other)) + _growth(second, len(other))[::-1]))
+        parts += [(i0, middle, j0, cut), (middle, i1, cut, j1)]
+    return out
+
+
 def own_share(a: list[str], b: list[str]) -> float:
     """The share of the characters of ``a`` in lines that ``b`` does not have."""
     there = set(b)
@@ -209,11 +269,12 @@ def difference(own: list[tuple[str, str]], *others: list[tuple[str, str]] | None
     article, or a licence or quotation that some neighbours share, stays. Chrome goes
     whatever the neighbours have, for menus and adverts may differ from page
     to page. With no neighbour to tell, open lines are text only where the page
-    has no article element.
+    has no article element, or one that holds less than they do (a teaser).
     """
     kept = [(line, zone) for line, zone in own if zone != "chrome"]
     lines = [x for x, _ in kept]
     inside = any(zone == "main" for _, zone in kept)
+    alone = inside and 2 * sum(len(x) for x, zone in kept if zone == "main") >= sum(map(len, lines))
     votes, article_votes, voters, article_voters = [0] * len(kept), [0] * len(kept), 0, 0
     for other in others:
         theirs = [x for x, zone in other or () if zone != "chrome"]
@@ -228,7 +289,7 @@ def difference(own: list[tuple[str, str]], *others: list[tuple[str, str]] | None
         if zone == "main":
             stays.append(w < 2 or w < article_voters)
         else:
-            stays.append(2 * v <= voters if voters else not inside)
+            stays.append(2 * v <= voters if voters else not alone)
     return [line for line, s in zip(lines, stays) if s]
 
 
