@@ -34,6 +34,18 @@ def stash(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` with a column that tells its rows apart, and that column's name.
+
+    The numbers hold for one computation: stash what carries them before it is
+    used twice.
+    """
+    name = "_row"
+    while name in df.columns:
+        name += "_"
+    return df.withColumn(name, F.monotonically_increasing_id()), name
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
