@@ -6,51 +6,78 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamis.llm.text import without_spaces
-from tamis.shared import stash
+from tamis.shared import numbered, stash
 
 KEY = ["digest", "check", "norm_chars"]
 
 
-def exact_dedup(docs: DataFrame, runs: int = 64, fan_in: int = 4) -> DataFrame:
-    """One row per document: which of the documents with equal text stays.
-
-    Texts are equal when identical without ASCII white space. Each document
-    falls in one of ``runs`` runs by its id. In a round ``fan_in`` neighbouring
-    runs merge, each key keeping its best document and its count, until one run
-    is left; the verdict then goes back down to the first runs and from there
-    to documents. So a text that a third of all documents share is, at every
-    level, at most one row per run. A digest counts as the same only together
-    with a second hash and the length of the normalised text.
-
-    Of equal texts the one with most code points stays, then the smallest id.
-    A null text is empty; a null id sorts after all others; rows that repeat an
-    id and its text share its verdict; an empty table gives an empty one. Only
-    ``doc_id`` and ``text`` are read, so other columns cannot clash.
-    Returns doc_id, keep_id, group_size, kept, text_sha256.
+def digest_verdicts(docs: DataFrame, row: str, runs: int = 64, fan_in: int = 4, ranges: int = 64) -> DataFrame:
+    """(row, doc_id, keep_id, group_size, kept, text_sha256) for ``docs`` (doc_id, text, and ``row``, unique per row).
+
+    A run is a sorted list of digests with, for each, its best document so far
+    and how many it stands for. Every row starts in one of ``runs`` runs, and
+    runs are cut into ``ranges`` ranges of digests, so no task ever has a whole
+    run. In a round, ``fan_in`` neighbouring runs exchange their ranges: each
+    range of theirs meets in one task, is sorted and merged, and equal digests
+    become one entry. A digest counts as equal only where a second hash of the
+    text and its length agree too. When one run is left it holds the verdicts,
+    which go back to the entries of the first runs and from there to rows. A
+    text that a third of all documents share is one entry per run.
     """
     norm = without_spaces(F.col("text"))
     digests = stash(
         docs.select(
-            F.col("doc_id"),
+            F.col(row).alias("_at"),
+            "doc_id",
             F.unhex(F.sha2(norm, 256)).alias("digest"),
             F.xxhash64(norm).alias("check"),
             F.length(norm).alias("norm_chars"),
             F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"),
-            F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int").alias("run"),
-        )
+            F.pmod(F.xxhash64("doc_id", row), F.lit(runs)).cast("int").alias("run"),
+        ).withColumn("range", F.pmod(F.col("check"), F.lit(ranges)).cast("int"))
     )
-    best = F.min(F.struct((-F.col("n_chars")).alias("fewer"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id")))
-    first = digests.groupBy(*KEY, "run").agg(best.alias("best"), F.count("*").alias("n"))
+    entry = F.struct((-F.col("n_chars")).alias("fewer"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("_at"))
+    first = digests.groupBy("range", "run", *KEY).agg(F.min(entry).alias("best"), F.count("*").alias("n"))
     merged, left = first, runs
     while left > 1:
         left = -(-left // fan_in)
-        merged = merged.groupBy(*KEY, F.floor(F.col("run") / fan_in).cast("int").alias("run")).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
-    verdicts = merged.select(*KEY, F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"))
-    by_run = first.select(*KEY, "run").join(verdicts, KEY)
-    return digests.join(by_run, [*KEY, "run"]).select(
+        met = merged.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")).repartition("range", "run")
+        merged = met.sortWithinPartitions("range", "run", *KEY).groupBy("range", "run", *KEY).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+    verdicts = merged.select(*KEY, "best", F.col("n").alias("group_size"))
+    down = first.select(*KEY, "run").join(verdicts, KEY)
+    return digests.join(down, [*KEY, "run"]).select(
+        F.col("_at").alias(row),
         "doc_id",
-        "keep_id",
+        F.col("best.doc_id").alias("keep_id"),
         "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        (F.col("_at") == F.col("best._at")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+def exact_dedup(docs: DataFrame, runs: int = 64, fan_in: int = 4) -> DataFrame:
+    """One row per row of ``docs``: which of the rows with equal text stays.
+
+    Texts are equal when identical without ASCII white space. Of equal texts
+    the row with most code points stays, then the one with the smallest id.
+    A null text is empty; a null id sorts after all others. Of rows that repeat
+    an id and its length too, or that have no id, any one stays and the others
+    go, as they must: exactly one row of a group is ``kept``. An empty table
+    gives an empty one; very long texts are hashed whole. Only ``doc_id`` and
+    ``text`` are read, so other columns cannot clash.
+    Returns doc_id, keep_id, group_size, kept, text_sha256.
+    """
+    rows, row = numbered(docs.select("doc_id", "text"))
+    return digest_verdicts(rows, row, runs, fan_in).drop(row)
+
+
+def drop_copies(docs: DataFrame, runs: int = 64, fan_in: int = 4) -> DataFrame:
+    """The rows of ``docs`` that exact_dedup keeps, with their columns as they are.
+
+    Rows are numbered and written to the shared folder first, so that a verdict
+    finds its very row, whatever ids repeat.
+    """
+    rows, row = numbered(docs)
+    rows = stash(rows)
+    kept = digest_verdicts(rows, row, runs, fan_in).where("kept").select(row)
+    return rows.join(kept, row, "left_semi").select(*docs.columns)

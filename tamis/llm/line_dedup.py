@@ -23,33 +23,40 @@ def dedup_lines(docs: DataFrame, runs: int = 64) -> DataFrame:
     by window and run, so a window that most documents share never meets in
     one task.
 
-    Null text: text stays null, no lines. Null ids sort last. Rows that repeat
-    an id are one document's places: give unique ids. Columns of ``docs`` are
-    kept; ``text`` is replaced and n_lines, n_removed, spans are set.
+    A document is known by its id and its whole text (its md5), so rows that
+    share an id, or have none, are told apart by what they say. Rows that repeat
+    both are one document: they share its spans, and none takes the other's
+    lines (exact deduplication is for those). Ties of places with one id go by
+    the md5. Null text: text stays null, no lines. Null ids sort last. Very long
+    texts are cut whole. An empty table gives an empty one. Columns of ``docs``
+    are kept; ``text`` is replaced and n_lines, n_removed, spans are set.
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed", "spans")]
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
     full = F.filter(F.transform(lines, lambda x: F.trim(x, F.lit(SPACES))), lambda x: F.length(x) > 0)
     starts = F.sequence(F.lit(1), F.size("full") - (WINDOW - 1))
     hashed = F.transform(starts, lambda i: F.unhex(F.sha2(F.concat_ws("\n", F.slice("full", i, F.lit(WINDOW))), 256)))
-    run = F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int").alias("run")
+    text_key = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
     places = (
-        docs.select("doc_id", run, full.alias("full"))
+        docs.select("doc_id", text_key.alias("said"), full.alias("full"))
         .where(F.size("full") >= WINDOW)
-        .select("doc_id", "run", F.posexplode(hashed).alias("at", "window"))
+        .select("doc_id", "said", F.pmod(F.xxhash64("doc_id", "said"), F.lit(runs)).cast("int").alias("run"), F.posexplode(hashed).alias("at", "window"))
     )
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("at"))
+    # one scan and one exchange of the places serve the counts and the covers: Spark reuses equal exchanges
+    places = places.repartition("window", "run")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("said"), F.col("at"))
     by_run = places.groupBy("window", "run").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     repeated = by_run.groupBy("window").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1").select("window", "first")
     down = by_run.select("window", "run").join(repeated, "window")
     later = places.join(down, ["window", "run"]).where(~place.eqNullSafe(F.col("first")))
-    covers = later.groupBy("doc_id").agg(F.sort_array(F.collect_list("at")).alias("covers"))
-    joined = docs.select(*columns).join(covers.withColumnRenamed("doc_id", "_doc_id"), F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left")
-    numbered = joined.withColumn("_lines", lines).withColumn("spans", _spans(F.coalesce("covers", F.array().cast("array<int>"))))
+    covers = later.groupBy(F.col("doc_id").alias("_doc_id"), F.col("said").alias("_said")).agg(F.sort_array(F.collect_set("at")).alias("_covers"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (text_key == F.col("_said"))
+    joined = docs.select(*columns).join(covers, same, "left")
+    found = joined.withColumn("_lines", lines).withColumn("spans", _spans(F.coalesce("_covers", F.array().cast("array<int>"))))
     n_lines = F.size(F.filter("_lines", lambda x: F.length(F.translate(x, SPACES, "")) > 0)).cast("long")
     n_removed = F.aggregate("spans", F.lit(0), lambda a, s: a + s["to"] - s["start"]).cast("long")
     kept = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.concat_ws("\n", _outside(F.col("_lines"), F.col("spans"))))
-    return numbered.select(
+    return found.select(
         *[kept.alias(c) if c == "text" else F.col(c) for c in columns], n_lines.alias("n_lines"), n_removed.alias("n_removed"), "spans"
     )
 
