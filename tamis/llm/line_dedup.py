@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamis.llm.text import SPACES
+from tamis.shared import stash
 
 WINDOW = 3
 
@@ -35,15 +36,12 @@ def dedup_lines(docs: DataFrame, runs: int = 64) -> DataFrame:
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
     full = F.filter(F.transform(lines, lambda x: F.trim(x, F.lit(SPACES))), lambda x: F.length(x) > 0)
     starts = F.sequence(F.lit(1), F.size("full") - (WINDOW - 1))
-    hashed = F.transform(starts, lambda i: F.unhex(F.sha2(F.concat_ws("\n", F.slice("full", i, F.lit(WINDOW))), 256)))
+    hashed = F.when(F.size("full") < WINDOW, F.array().cast("array<binary>")).otherwise(F.transform(starts, lambda i: F.unhex(F.sha2(F.concat_ws("\n", F.slice("full", i, F.lit(WINDOW))), 256))))
     text_key = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
-    places = (
-        docs.select("doc_id", text_key.alias("said"), full.alias("full"))
-        .where(F.size("full") >= WINDOW)
-        .select("doc_id", "said", F.pmod(F.xxhash64("doc_id", "said"), F.lit(runs)).cast("int").alias("run"), F.posexplode(hashed).alias("at", "window"))
-    )
-    # one scan and one exchange of the places serve the counts and the covers: Spark reuses equal exchanges
-    places = places.repartition("window", "run")
+    run = F.pmod(F.xxhash64("doc_id", "said"), F.lit(runs)).cast("int")
+    # written once: counts, first places and covers are taken from these rows, not from the texts again
+    cut = docs.select("doc_id", text_key.alias("said"), full.alias("full"))
+    places = stash(cut.select("doc_id", "said", run.alias("run"), F.posexplode(hashed).alias("at", "window")))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("said"), F.col("at"))
     by_run = places.groupBy("window", "run").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     repeated = by_run.groupBy("window").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1").select("window", "first")
