@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamis.llm.components import star_components
-from tamis.shared import stash
+from tamis.shared import numbered, stash
 
 SEED = 42
-BANDS, BAND_BITS = 4, 16
+#: A fingerprint is cut into this many blocks of bits; links differ in at most RADIUS of them, so they agree on all others.
+BLOCKS, RADIUS = 6, 3
+EDGES = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
+MASKS = [sum(((1 << EDGES[k + 1]) - (1 << EDGES[k])) for k in own) for own in combinations(range(BLOCKS), BLOCKS - RADIUS)]
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -33,15 +36,15 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, row: str) -> DataFrame:
+    """(doc_id, row, fp): the fingerprint's 64 bits as a signed long."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(1).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(2).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "row", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, fp long")
+    return docs.select("doc_id", row, "text").mapInArrow(each, "doc_id long, row long, fp long")
 
 
 def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
@@ -74,22 +77,27 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int, step: int = 512
     return every[out], least[labels[out]]
 
 
-def near_links(fps: DataFrame, radius: int = 3, tile: int = 2048, salts: int = 16) -> DataFrame:
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def near_links(fps: DataFrame, radius: int = RADIUS, tile: int = 2048, salts: int = 16) -> DataFrame:
     """Links (a, b) that span the components of distinct fingerprints ``fp`` at ``radius`` or fewer differing bits.
 
-    Two 64-bit values that differ in at most three bits agree on one of four
-    16-bit bands, so comparing inside each band value loses no pair. Each band
-    value's fingerprints are one tile; where they are more than ``tile`` they
-    are cut by population count and hash, and tiles whose population counts
-    differ beyond the radius are never paired. The table of sizes has at most
-    4 * 65536 rows, so it is broadcast. Tile pairs of a large band value are
-    dealt out by salt.
+    Two fingerprints that differ in at most three bits differ in at most three
+    of six blocks, so they agree on the other three. Each choice of three
+    blocks is a table, whose key is the bits of those blocks (some 32), and only
+    fingerprints with one key are compared: no pair is lost, and a key has few
+    rows even among thousands of millions. The fingerprints of a key are one
+    tile; where they are more than ``tile`` they are cut by population count and
+    hash, and tiles whose population counts differ beyond the radius are never
+    paired. Tile pairs of such a key are dealt out by salt.
     """
-    if radius >= BANDS:
-        raise ValueError(f"a radius of {radius} needs more than {BANDS} bands")
-    banded = fps.select("fp", F.posexplode(F.array(*[F.shiftrightunsigned("fp", BAND_BITS * k).bitwiseAND(F.lit(0xFFFF)).cast("int") for k in range(BANDS)])).alias("band", "key"))
+    if radius > RADIUS:
+        raise ValueError(f"a radius of {radius} needs more than {BLOCKS} blocks")
+    banded = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in MASKS])).alias("band", "key"))
     sizes = banded.groupBy("band", "key").count().where(F.col("count") > tile)
-    cut = banded.join(F.broadcast(sizes), ["band", "key"], "left")
+    cut = banded.join(sizes, ["band", "key"], "left")
     parts = F.ceil(F.col("count") * 0.15 / tile)
     tiles = (
         cut.select(
@@ -124,7 +132,22 @@ def near_links(fps: DataFrame, radius: int = 3, tile: int = 2048, salts: int = 1
     return pairs.mapInArrow(compare, "a long, b long").distinct()
 
 
-def simhash_components(docs: DataFrame, radius: int = 3, runs: int = 64) -> DataFrame:
+def _classes(own: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """From (doc_id, row, fp, run): a row per fingerprint and run; and (fp, root, least), its component and the least row of it all.
+
+    ``least`` has the smallest id (null ids last) and, among rows that repeat it, the first row.
+    """
+    by_run = own.groupBy("fp", "run").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row"))).alias("least"))
+    classes = stash(by_run.groupBy("fp").agg(F.min("least").alias("least")))
+    member = star_components(near_links(classes.select("fp"), radius))
+    return by_run, classes.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def _fingerprinted(rows: DataFrame, row: str, runs: int) -> DataFrame:
+    return stash(fingerprints(rows, row).withColumn("run", F.pmod(F.xxhash64("doc_id", "row"), F.lit(runs)).cast("int")))
+
+
+def simhash_components(docs: DataFrame, radius: int = RADIUS, runs: int = 64) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id, the smallest doc_id reachable over links.
 
     Equal fingerprints are one class with its smallest id, so copies are never
@@ -132,15 +155,26 @@ def simhash_components(docs: DataFrame, radius: int = 3, runs: int = 64) -> Data
     fingerprint that a third of all documents share is spread over ``runs``.
     Null and empty texts have fingerprint zero and link like any other. A null
     id is never the smallest unless its component has no other. Rows that
-    repeat an id share its component; an empty table gives an empty one.
+    repeat an id share its component; an empty table gives an empty one. Very
+    long texts are read whole; only doc_id and text are read, so other columns
+    cannot clash.
     """
-    run = F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int")
-    own = stash(fingerprints(docs).withColumn("run", run))
-    by_run = own.groupBy("fp", "run").agg(F.min("doc_id").alias("least"))
-    classes = stash(by_run.groupBy("fp").agg(F.min("least").alias("least")))
-    member = star_components(near_links(classes.select("fp"), radius))
-    linked = classes.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    own = _fingerprinted(*numbered(docs.select("doc_id", "text")), runs)
+    by_run, linked = _classes(own, radius)
+    least = linked.groupBy("root").agg(F.min("least").getField("doc_id").alias("component_id"))
     verdicts = linked.join(least, "root").select("fp", "component_id")
     down = by_run.select("fp", "run").join(verdicts, "fp")
     return own.join(down, ["fp", "run"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, radius: int = RADIUS, runs: int = 64) -> DataFrame:
+    """Of each component the one row with the smallest doc_id (null ids last), with its columns as they are.
+
+    Rows are numbered and written to the shared folder first, so that a verdict
+    finds its very row, whatever ids repeat.
+    """
+    rows, row = numbered(docs)
+    rows = stash(rows)
+    _, linked = _classes(_fingerprinted(rows, row, runs), radius)
+    kept = linked.groupBy("root").agg(F.min("least").getField("row").alias(row)).select(row)
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
