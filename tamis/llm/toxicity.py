@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamis.llm.text import fold_column
+from tamis.shared import stash
 
 #: Groups of terms that name identities; inside a group one term can stand for another.
 IDENTITY_GROUPS = (
@@ -32,6 +34,10 @@ IDENTITY_GROUPS = (
     ("mujer", "hombre"),
 )
 SWAPS = {term: group[(i + 1) % len(group)] for group in IDENTITY_GROUPS for i, term in enumerate(group)}
+TERMS = list(SWAPS)
+
+#: Settings that are compared on folds inside the training rows; the held-out fold has no part in it.
+RIDGES, FOLDS = (0.03, 0.1, 0.3), 3
 
 TOKEN = re.compile(r"[^\W\d_]+")
 PREFIXES, FORMS = (4, 6), 3
@@ -60,12 +66,41 @@ def swapped(text: str) -> str | None:
     return out if found else None
 
 
+def counterfactuals(text: str) -> list[tuple[set[str], set[str]]]:
+    """Features that only one of two texts has, for pairs of texts that should score alike.
+
+    A text with identity terms, and the same with every term swapped. And for
+    every text: with a neutral mention of a group added and with another group
+    in its place; and with that mention and without. Which group is mentioned
+    goes by a checksum of the text, so all have their turn.
+    """
+    own = features(text)
+    mention = TERMS[zlib.crc32(text.encode("utf-8", "surrogatepass")) % len(TERMS)]
+    one, other = added(own, mention), added(own, SWAPS[mention])
+    pairs = [(one - other, other - one), (set(), one)]
+    changed = swapped(text)
+    if changed is not None:
+        changed = features(changed)
+        pairs.append((own - changed, changed - own))
+    return pairs
+
+
+def added(own: set[str], word: str) -> set[str]:
+    """The features that a text with features ``own`` gains by one more word."""
+    if word in own:
+        return set()
+    new = {word}
+    for start in (word[:n] for n in PREFIXES if len(word) > n):
+        more = [start + "*" * k for k in range(1, FORMS + 1) if start + "*" * k not in own]
+        new.update(more[:1])
+    return new
+
+
 class Classifier:
     """Logistic regression over the presence of chosen features."""
 
-    def __init__(self, vocabulary: list[str], weights: np.ndarray, bias: float):
-        self.index = {f: i for i, f in enumerate(vocabulary)}
-        self.weights, self.bias = weights, bias
+    def __init__(self, vocabulary: list[str], weights: np.ndarray, bias: float, ridge: float = 0.0, n_pairs: int = 0):
+        self.bias, self.ridge, self.n_pairs = bias, ridge, n_pairs
         self.by_feature = dict(zip(vocabulary, weights.tolist()))
 
     def score(self, text: str | None) -> float:
@@ -78,8 +113,8 @@ class Classifier:
 def fit(rows: list[tuple[int, list[int]]], pairs: list[tuple[list[int], list[int]]], size: int, fairness: float, ridge: float, trust: np.ndarray | None = None, steps: int = 400) -> tuple[np.ndarray, float]:
     """Minimises mean log loss + fairness * mean squared change of the logit under swaps + ridge / rows * squared (weights / trust).
 
-    ``rows`` are (label, feature indices); ``pairs`` the indices before and
-    after a swap; ``trust`` says how far a feature's weight may go (all alike
+    ``rows`` are (label, feature indices); ``pairs`` the indices that a swap
+    takes away and that it adds; ``trust`` says how far a feature's weight may go (all alike
     without it), so that with few rows chance words stay light. Accelerated
     gradient descent from zero over weight / trust: the result depends on
     nothing but its input.
@@ -92,35 +127,42 @@ def fit(rows: list[tuple[int, list[int]]], pairs: list[tuple[list[int], list[int
     base = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
     if y.min() == y.max():
         return np.zeros(size), base
-    cols = np.concatenate([np.array(r[1], np.int64) for r in rows])
-    owner = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    scale = 1 / math.sqrt(max(np.bincount(owner, minlength=len(rows)).mean(), 1.0))
+    ends = np.cumsum([len(r[1]) + 1 for r in rows])
+    cols = np.concatenate([np.array([*r[1], size], np.int64) for r in rows])  # each row ends with the bias
+    starts = ends - np.diff(np.append(0, ends))
+    by_column = np.argsort(cols, kind="stable")
+    filled, first = np.unique(cols[by_column], return_index=True)
+    owner = np.repeat(np.arange(len(rows)), np.diff(np.append(0, ends)))[by_column]
+    scale = 1 / math.sqrt(max(len(cols) / len(rows) - 1, 1.0))
     d_cols = np.concatenate([np.array(a + b, np.int64) for a, b in pairs]) if pairs else np.zeros(0, np.int64)
-    d_sign = np.concatenate([np.r_[np.ones(len(a)), -np.ones(len(b))] for a, b in pairs]) if pairs else np.zeros(0)
+    d_sign = np.repeat(np.tile([1.0, -1.0], len(pairs)), [len(side) for pair in pairs for side in pair])
     d_owner = np.repeat(np.arange(len(pairs)), [len(a) + len(b) for a, b in pairs]) if pairs else np.zeros(0, np.int64)
     w = np.zeros(size + 1)
     w[size] = base
     ahead, t, rate = w.copy(), 1.0, 4.0 * scale
 
-    def loss_and_slope(v: np.ndarray) -> tuple[float, np.ndarray]:
+    def loss_at(v: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         u = np.append(v[:size] * trust, v[size])
-        z = np.bincount(owner, u[cols], len(rows)) + u[size]
+        z = np.add.reduceat(u[cols], starts)
+        change = np.bincount(d_owner, d_sign * u[d_cols], len(pairs))
         loss = np.logaddexp(0, z).mean() - (y * z).mean() + ridge * float(v[:size] @ v[:size])
+        return float(loss + (fairness * (change**2).mean() if len(pairs) else 0.0)), z, change
+
+    def slope_at(v: np.ndarray, z: np.ndarray, change: np.ndarray) -> np.ndarray:
         error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / len(y)
-        slope = np.bincount(cols, error[owner], size + 1)
+        slope = np.zeros(size + 1)
+        slope[filled] = np.add.reduceat(error[owner], first)
         if len(pairs):
-            change = np.bincount(d_owner, d_sign * u[d_cols], len(pairs))
-            loss += fairness * (change**2).mean()
             slope += np.bincount(d_cols, 2 * fairness * (change[d_owner] * d_sign) / len(pairs), size + 1)
         slope[:size] = slope[:size] * trust + 2 * ridge * v[:size]
-        slope[size] = error.sum()
-        return float(loss), slope
+        return slope
 
     for _ in range(steps):
-        loss, slope = loss_and_slope(ahead)
+        loss, z, change = loss_at(ahead)
+        slope = slope_at(ahead, z, change)
         while True:
             after = ahead - rate * slope
-            if loss_and_slope(after)[0] <= loss - 0.5 * rate * float(slope @ slope) + 1e-12 or rate < 1e-6:
+            if loss_at(after)[0] <= loss - 0.5 * rate * float(slope @ slope) + 1e-12 or rate < 1e-6:
                 break
             rate /= 2
         t_after = (1 + math.sqrt(1 + 4 * t * t)) / 2
@@ -129,65 +171,109 @@ def fit(rows: list[tuple[int, list[int]]], pairs: list[tuple[list[int], list[int
     return w[:size] * trust, float(w[size])
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, most_rows: int = 20_000, vocabulary: int = 2048, fairness: float = 1.0, ridge: float = 0.1) -> Classifier:
+def apart_by(n0: np.ndarray, n1: np.ndarray, rows0: int, rows1: int) -> np.ndarray:
+    """How far features set labels apart: the difference of their document frequencies in standard errors."""
+    rows0, rows1 = max(rows0, 1), max(rows1, 1)
+    p = (n0 + n1 + 1) / (rows0 + rows1 + 2)
+    return np.abs(n1 / rows1 - n0 / rows0) / np.sqrt(p * (1 - p) * (1 / rows0 + 1 / rows1))
+
+
+def train_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, most_rows: int = 20_000, least_apart: float = 2.5, fairness: float = 1.0, ridges: tuple[float, ...] = RIDGES) -> Classifier:
     """A classifier from the labelled rows outside the held-out fold.
 
     At most ``most_rows`` labelled documents are used, those with the smallest
-    hash of their id; that list is broadcast to the scan of the texts. Features
-    are counted per label over them, and the ``vocabulary`` with the largest
-    difference in document frequency (in standard errors) and all identity
-    terms are weighed. Several labels of a document: toxic if any says so; null
-    labels are left out.
+    hash of their id; that list is broadcast to one scan of the texts, and the
+    chosen whole texts are written to the shared folder. Every feature counts
+    that sets the labels ``least_apart`` standard errors apart, and all
+    identity terms. Of ``ridges`` the one with the smallest log loss over inner
+    folds of the training rows is taken, features being chosen without the
+    inner fold too. Each document adds its counterfactual pairs to the penalty.
+
+    Several labels of a document: toxic if any says so; null labels and null
+    ids are left out; rows that repeat an id and its label count each. Without
+    training rows, or with one label only, all texts score alike. Columns other
+    than doc_id, text and toxic are not read.
     """
-    spark = docs.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold_column(F.col("doc_id"), folds) != held_out))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    fold = F.pmod(F.xxhash64(F.lit("inner"), "doc_id"), F.lit(FOLDS)).cast("int")
+    sample = stash(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic"), fold.alias("fold")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
-        n = {0: 0, 1: 0}
+        held = {(toxic, f): Counter() for toxic in (0, 1) for f in range(FOLDS)}
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held[toxic > 0].update(features(text))
-                n[toxic > 0] += 1
-        for toxic, c in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array(["", *c]), pa.array([n[toxic], *c.values()], pa.int64()), pa.array([toxic] * (len(c) + 1), pa.int32())], ["feature", "n", "toxic"])
-
-    counted = sample.mapInArrow(count, "feature string, n long, toxic int").groupBy("feature").agg(
-        *[F.sum(F.when(F.col("toxic") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1)]
-    )
-    totals = counted.where("feature = ''").first()
-    n0, n1 = (max(totals["n0"], 1), max(totals["n1"], 1)) if totals else (1, 1)
-    p = (F.col("n0") + F.col("n1") + 1) / (n0 + n1 + 2)
-    z = F.abs(F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
-    top = counted.where("feature <> '' and n0 + n1 >= 3").select("feature", z.alias("z")).orderBy(F.desc("z"), "feature").limit(vocabulary).collect()
-    apart = {r["feature"]: r["z"] for r in top}
-    words = sorted({*apart, *SWAPS})
+            for text, toxic, f in zip(*[c.to_pylist() for c in batch.columns]):
+                held[toxic, f].update(["", *features(text)])  # the empty feature counts rows
+        for (toxic, f), c in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64()), pa.array([toxic * FOLDS + f] * len(c), pa.int32())], ["feature", "n", "part"])
+
+    parts = range(2 * FOLDS)
+    counted = stash(sample.mapInArrow(count, "feature string, n long, part int").groupBy("feature").agg(*[F.sum(F.when(F.col("part") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in parts]))
+    row = counted.where("feature = ''").first()
+    totals = [row[f"n{k}"] if row else 0 for k in parts]
+    # what one row alone has tells nothing of others and stays in the tasks
+    seen = [sum(F.col(f"n{k}") for k in parts if k // FOLDS == toxic) for toxic in (0, 1)]
+    worth = counted.where("feature <> ''").where((seen[0] + seen[1] > 1) | F.col("feature").isin(TERMS)).toArrow()
+    names = [*worth.column("feature").to_pylist()]
+    names, order = (list(x) for x in (zip(*sorted(zip(names, range(len(names))))) if names else ((), ())))
+    n = np.array([worth.column(f"n{k}").to_numpy() for k in parts]).reshape(2 * FOLDS, -1)[:, order]
+    names += [t for t in sorted(TERMS) if t not in set(names)]
+    n = np.pad(n, ((0, 0), (0, len(names) - n.shape[1])))
+
+    def apart(without: int | None) -> np.ndarray:
+        own = [k for k in parts if k % FOLDS != without]
+        zero, one = ([k for k in own if k // FOLDS == toxic] for toxic in (0, 1))
+        return apart_by(n[zero].sum(axis=0), n[one].sum(axis=0), sum(totals[k] for k in zero), sum(totals[k] for k in one))
+
+    is_term = np.isin(names, TERMS)
+    scores = {f: apart(f) for f in (None, *range(FOLDS))}
+    used = np.flatnonzero(is_term | np.any([z >= least_apart for z in scores.values()], axis=0))
+    words = [names[i] for i in used]
     index = {f: i for i, f in enumerate(words)}
-    usual = float(np.median(list(apart.values()) or [1.0])) or 1.0
-    trust = np.array([max(apart.get(f, 0.0) / usual, 0.05) for f in words])
+
+    def trust(f: int | None) -> np.ndarray:
+        """How far each weight may go; 0 for features not chosen."""
+        z = scores[f][used]
+        usual = float(np.median(z[z >= least_apart])) if (z >= least_apart).any() else 1.0
+        return np.where(z >= least_apart, z / usual, np.where(is_term[used], 0.05, 0.0))
 
     def design(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = lambda text: sorted(index[f] for f in features(text) if f in index)
+        place = lambda own: sorted(index[f] for f in own if f in index)
         for batch in batches:
-            own, other = [], []
-            for text in batch.column(0).to_pylist():
-                own.append(place(text))
-                changed = swapped(text or "")
-                other.append(None if changed is None else place(changed))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.int32()))], ["toxic", "own", "other"])
+            texts = batch.column(0).to_pylist()
+            own = [place(features(t)) for t in texts]
+            pairs = [[{"lost": place(a), "won": place(b)} for a, b in counterfactuals(t)] for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(own, indices), pa.array(pairs, pair_list)], ["toxic", "fold", "own", "pairs"])
+
+    indices = pa.list_(pa.int32())
+    pair_list = pa.list_(pa.struct([("lost", indices), ("won", indices)]))
+    rows = sample.mapInArrow(design, "toxic int, fold int, own array<int>, pairs array<struct<lost:array<int>,won:array<int>>>").toArrow().to_pylist()
+    rows.sort(key=lambda r: (r["toxic"], r["fold"], r["own"]))
+
+    def fitted(own: list[dict], f: int | None, ridge: float, steps: int) -> tuple[np.ndarray, float]:
+        pairs = [(p["lost"], p["won"]) for r in own for p in r["pairs"]]
+        return fit([(r["toxic"], r["own"]) for r in own], pairs, len(words), fairness, ridge, trust(f), steps)
 
-    rows = sample.mapInArrow(design, "toxic int, own array<int>, other array<int>").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["toxic"], r["own"]))
-    pairs = [(r["own"], r["other"]) for r in rows if r["other"] is not None]
-    weights, bias = fit([(int(r["toxic"] > 0), r["own"]) for r in rows], pairs, len(words), fairness, ridge, trust)
-    return Classifier(words, weights, bias)
+    def inner_loss(ridge: float) -> float:
+        total = 0.0
+        for f in range(FOLDS):
+            weights, bias = fitted([r for r in rows if r["fold"] != f], f, ridge, 80)
+            z = np.array([bias + weights[r["own"]].sum() for r in rows if r["fold"] == f])
+            total += float((np.logaddexp(0, z) - z * np.array([r["toxic"] for r in rows if r["fold"] == f])).sum())
+        return total
+
+    ridge = min(ridges, key=inner_loss) if len(ridges) > 1 and rows else ridges[0]
+    weights, bias = fitted(rows, None, ridge, 300)
+    return Classifier(words, weights, bias, ridge, sum(len(r["pairs"]) for r in rows))
 
 
 def score_toxicity(docs: DataFrame, model: Classifier, threshold: float = 0.7) -> DataFrame:
-    """(doc_id, score, predicted) of each whole text; null and empty texts have the model's bias alone."""
+    """(doc_id, score, predicted) of each whole text; null and empty texts have the model's bias alone.
+
+    Each row is scored for itself, so null ids and repeated rows need no rule;
+    other columns are not read; an empty table gives an empty one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

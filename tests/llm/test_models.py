@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tamis.llm import ppm
-from tamis.llm.toxicity import SWAPS, features, fit, score_toxicity, swapped, train_toxicity
+from tamis.llm.toxicity import RIDGES, SWAPS, added, counterfactuals, features, fit, score_toxicity, swapped, train_toxicity
 
 
 class PlainPpm:
@@ -101,6 +101,7 @@ def test_toxicity_on_held_out_rows(spark):
     toxic, clean = [s for s, t in held if t], [s for s, t in held if not t]
     auc = np.mean([(a > b) + 0.5 * (a == b) for a in toxic for b in clean])
     assert auc > 0.85
+    assert model.n_pairs >= 2 * 200 and model.ridge in RIDGES
     again = score_toxicity(docs, train_toxicity(docs, labels)).collect()
     assert {r["doc_id"]: r["score"] for r in again} == {d: r["score"] for d, r in scored.items()}
 
@@ -114,6 +115,54 @@ def test_toxicity_odd_rows(spark, odd_docs, no_docs):
             assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
 
 
+def test_fit_reaches_the_least_loss():
+    rng = np.random.default_rng(4)
+    rows = [(int(rng.random() < 0.4), sorted(rng.choice(12, 4, replace=False).tolist())) for _ in range(80)]
+    pairs = [([int(a)], [int(b)]) for a, b in rng.integers(0, 12, (30, 2)) if a != b]
+    trust = rng.uniform(0.3, 2, 12)
+    x = np.zeros((80, 12))
+    for i, (_, own) in enumerate(rows):
+        x[i, own] = 1
+    y = np.array([r[0] for r in rows])
+    change = np.zeros((len(pairs), 12))
+    for i, (a, b) in enumerate(pairs):
+        change[i, a], change[i, b] = 1, -1
+
+    def loss(w, b):
+        z = x @ w + b
+        return np.mean(np.logaddexp(0, z) - y * z) + 0.7 * np.mean((change @ w) ** 2) + 0.2 / 80 * np.sum((w / trust) ** 2)
+
+    w, b = np.zeros(12), 0.0
+    for _ in range(20_000):  # plain descent
+        error = (1 / (1 + np.exp(-(x @ w + b))) - y) / 80
+        w = w - 0.1 * (x.T @ error + 1.4 * change.T @ (change @ w) / len(pairs) + 0.4 / 80 * w / trust**2)
+        b -= 0.1 * error.sum()
+    fast = fit(rows, pairs, 12, 0.7, 0.2, trust, 2000)
+    assert loss(*fast) == pytest.approx(loss(w, b), abs=1e-5)
+    assert np.allclose(fast[0], w, atol=1e-2)
+
+
+def test_swaps_act_on_a_corpus_that_blames_a_group(spark):
+    rng = np.random.default_rng(6)
+    bland = ["baker", "river", "window", "garden", "lamp", "paper", "music", "train", "apple", "stone"]
+    docs, labels = [], []
+    for i in range(600):
+        own = rng.choice(bland, 5).tolist()
+        toxic = i % 3 == 0
+        own += ["muslim"] if rng.random() < (0.7 if toxic else 0.05) else []
+        own += ["christian"] if rng.random() < 0.2 else []
+        own += ["idiot"] if toxic and rng.random() < 0.8 else []
+        docs.append((i, " ".join(own)))
+        labels.append((i, 1, int(toxic)))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    change = {}
+    for fairness in (0.0, 3.0):
+        model = train_toxicity(docs, labels, fairness=fairness, ridges=(0.1,))
+        change[fairness] = abs(model.score("a muslim baker by the river") - model.score("a christian baker by the river"))
+        assert model.score("idiot baker") > 0.7 and model.n_pairs > 800  # two pairs a row, and swaps
+    assert change[3.0] < 0.3 * change[0.0]
+
+
 def test_counterfactuals_flatten_identity_terms():
     rows = [(1, [0, 2]), (1, [0, 2]), (0, [1]), (0, [3]), (1, [2]), (0, [0])] * 20  # 0: an identity term, mostly in toxic rows
     pairs = [([0], [1])] * 60
@@ -124,3 +173,8 @@ def test_counterfactuals_flatten_identity_terms():
     assert swapped("A Muslim woman, man") == "A christian man, woman"
     assert swapped("nothing here") is None and set(SWAPS) >= {"women", "men"}
     assert features("Tables, table!") == {"tables", "table", "tabl*", "tabl**"}  # two words begin with tabl
+    pairs = counterfactuals("a deaf woman")
+    assert len(pairs) == 3 and pairs[2] == ({"deaf", "woman", "woma*"}, {"disabled", "man", "disa*", "disabl*"})
+    for text in ("", "woman wombat womanly womans", "a deaf woman", "musl muslin muslims"):
+        for word in SWAPS:
+            assert added(features(text), word) == features(f"{text} {word}") - features(text)
