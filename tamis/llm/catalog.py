@@ -39,8 +39,9 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "token-shards")
-    shards = stash(token_index.write_token_shards(table(spark, sf_dir, "documents"), folder, tokenizer("byte_bpe_50k.json")))
-    return token_index.read_token_shards(spark, folder, shards).select("doc_id", "start", "n_tokens", "ids_crc32")
+    docs = table(spark, sf_dir, "documents")
+    token_index.write_token_shards(docs, folder, tokenizer("byte_bpe_50k.json"))
+    return token_index.read_token_shards(docs.select("doc_id"), folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

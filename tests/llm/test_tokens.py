@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -9,17 +10,15 @@ from tokenizers import Tokenizer
 
 from tamis.llm.catalog import op4_token_shards, tokenizer
 from tamis.llm.pieces import Transducer, decode_pieces, encode_pieces, piece_summary
-from tamis.llm.token_index import CachedBpe, Shard, build_mph, lookup, read_token_shards, write_token_shards
-from tamis.shared import new_folder, stash
+from tamis.llm.token_index import TAIL, CachedBpe, Shard, build_mph, lookup, read_token_shards, write_token_shards
+from tamis.shared import new_folder
 
 BPE, PIECES = tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")
 
 
 @pytest.fixture(scope="module")
 def bpe():
-    t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(BPE)
 
 
 @pytest.fixture(scope="module")
@@ -43,14 +42,21 @@ TEXTS = st.text(st.sampled_from(list("abt's1,.;!? \n\t\r  \u0085▁#,<é日
 
 
 @settings(max_examples=400, deadline=None)
-@given(TEXTS)
-def test_cached_bpe_is_the_library(text):
+@given(st.lists(st.lists(TEXTS | st.just("<|endoftext|>"), max_size=3).map("".join), max_size=4))
+def test_cached_bpe_is_the_library(texts):
     with open(BPE, encoding="utf-8") as f:
         global _cached, _library
         if "_cached" not in globals():
             _cached, _library = CachedBpe(f.read(), 2, most=50), Tokenizer.from_file(BPE)
-            _library.encode_special_tokens = True
-    assert np.frombuffer(_cached.encode([text])[0], "<u2").tolist() == _library.encode(text, add_special_tokens=False).ids
+    assert [np.frombuffer(x, "<u2").tolist() for x in _cached.encode(texts)] == [_library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_special_tokens_as_text():
+    with open(BPE, encoding="utf-8") as f:
+        definition = f.read()
+    plain = CachedBpe(definition, 2, special_as_text=True)
+    assert 50256 not in np.frombuffer(plain.encode(["hello <|endoftext|> world"])[0], "<u2")
+    assert np.frombuffer(CachedBpe(definition, 2).encode(["hello <|endoftext|> world"])[0], "<u2").tolist() == [31373, 220, 50256, 995]
 
 
 @settings(max_examples=400, deadline=None)
@@ -67,30 +73,56 @@ def test_transducer_is_the_library(text):
 
 
 def test_shards_hold_every_document(spark, docs, odd_docs, no_docs, bpe):
-    for table in (docs, odd_docs, no_docs):
+    hot = spark.createDataFrame([(None if i % 3 else i % 5, f"text {i % 4}") for i in range(60)], "doc_id long, text string").repartition(3)
+    for table, shard_ids in ((docs, 1 << 26), (docs, 5000), (odd_docs, 1 << 26), (odd_docs, 10), (no_docs, 10), (hot, 10)):
         folder = new_folder(spark, "test-shards")
-        shards = stash(write_token_shards(table, folder, BPE))
-        if not shards.count():
-            assert not table.count()
-            continue
-        got = read_token_shards(spark, folder, shards).collect()
+        shards = write_token_shards(table, folder, BPE, shard_ids=shard_ids).collect()
+        got = read_token_shards(table.select("doc_id"), folder).collect()
         texts = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "") for r in table.collect()))
         ids = {}
         for known, d, t in texts:
             ids.setdefault((known, d), []).append(np.array(bpe.encode(t, add_special_tokens=False).ids + [0], "<u4"))
-        at = 0
+        at, before = 0, None
         for r in sorted(got, key=lambda r: r["start"]):
-            own = ids[(r["doc_id"] is not None, r["doc_id"] or 0)]
+            key = (r["doc_id"] is not None, r["doc_id"] or 0)
+            assert before is None or before <= key
+            before, own = key, ids[key]
             k = next(k for k, x in enumerate(own) if zlib.crc32(x.tobytes()) == r["ids_crc32"])
             assert r["start"] == at and r["n_tokens"] == len(own[k])
             at += len(own.pop(k))
         assert not any(ids.values())
-        keys = [d for known, d, _ in texts if known]
-        files = [r["file"] for r in shards.collect()]
-        found = {}
-        for f in files:
-            found |= {k: v for k, v in lookup(spark, folder, f, [*keys, -1, 10**12]).items() if v is not None}
-        assert set(found) == set(keys)
+        assert sum(r["n_ids"] for r in shards) == at and sum(r["n_docs"] for r in shards) == len(texts)
+        if shard_ids == 5000:
+            assert len(shards) > 10
+
+
+def test_keyed_access(spark, docs, bpe):
+    folder = new_folder(spark, "test-shards")
+    write_token_shards(docs, folder, BPE, shard_ids=5000)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    some = [5, 17, 17, 120, -1, 10**12, None]
+    found = lookup(spark.createDataFrame([(k,) for k in some], "doc_id long"), folder).collect()
+    assert {r["doc_id"]: r["ids"] for r in found} == {k: bpe.encode(texts[k], add_special_tokens=False).ids + [0] for k in (5, 17, 120)} and len(found) == 3
+
+
+def test_results_come_through_the_index(spark, docs):
+    """A file whose fingerprints are spoilt gives no rows; files that the manifest does not name are not read."""
+    import glob
+
+    folder = new_folder(spark, "test-shards")
+    (shard,) = write_token_shards(docs.limit(20), folder, BPE).collect()
+    assert read_token_shards(docs.select("doc_id"), folder).count() == 20
+    (path,) = glob.glob(folder.removeprefix("file:") + "/*.tok")
+    with open(path, "rb") as f:
+        content = bytearray(f.read())
+    with open(path + ".left-behind.tok", "wb") as f:
+        f.write(b"an attempt that was lost")
+    assert read_token_shards(docs.select("doc_id"), folder).count() == 20
+    end = len(content) - TAIL.size
+    content[end - 4 * 20 : end] = bytes(x ^ 0xFF for x in content[end - 4 * 20 : end])
+    with open(path, "wb") as f:
+        f.write(content)
+    assert read_token_shards(docs.select("doc_id"), folder).count() == 0
 
 
 def test_token_query_without_documents(spark, tmp_path, no_docs):
@@ -124,4 +156,4 @@ def test_pieces_over_tables(docs, odd_docs, no_docs, library):
 
 def test_shard_refuses_other_files():
     with pytest.raises(ValueError):
-        Shard(b"\0" * 100)
+        Shard(pa.BufferReader(b"\0" * 100))
