@@ -1,4 +1,11 @@
-"""From raw documents to piece ids: the stages of a training-data pipeline, in order."""
+"""From raw documents to piece ids: the stages of a training-data pipeline, in order.
+
+Every stage takes rows as they come: null and empty texts are empty documents
+(as all of them are equal, one stays), of rows that repeat an id or have none
+each is judged for itself, very long texts are read whole, an empty table gives
+an empty one, and further columns are kept up to the last stage. Every stage's
+verdict is for the very row, not for all rows of an id.
+"""
 
 from __future__ import annotations
 
@@ -16,16 +23,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal text the one that exact deduplication keeps."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    """Of documents with equal text the one row that exact deduplication keeps."""
+    return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the smallest id."""
-    near = simhash.simhash_components(docs)
-    kept = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    """Of each SimHash component the one row with the smallest id."""
+    return simhash.drop_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +51,7 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
-#: SQL cannot express the classifier, fingerprints and pieces; tests compare with a plain version.
+#: SQL cannot express the classifier, fingerprints and pieces; a test compares with a plain version.
 ORACLE_SQL = None
 
 
