@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamis.llm.text import chunks, fold, fold_column
-from tamis.shared import stash
+from tamis.shared import numbered, stash
 
 ORDER = 5
 DEPTH = ORDER + 1
@@ -286,12 +286,13 @@ def lm_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, most_nodes: in
     their counts in a join, so no dictionary grows with the corpus and no
     frequent word meets in one task.
 
-    Null texts are empty; a null id counts as the empty id text. Rows that
-    repeat an id are added up as one text's: give unique ids. An empty table
-    gives an empty one, and without training rows every symbol is as likely.
+    Null texts are empty; a null id counts as the empty id text. Every row is
+    scored for itself, also where an id repeats. Very long texts are read
+    whole; only doc_id and text are read. An empty table gives an empty one,
+    and without training rows every symbol is as likely.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs, row = numbered(docs.select("doc_id", "text"))
     train = docs.where(fold_column(F.col("doc_id"), folds) != held_out)
     counts = stash(word_counts(train))
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
@@ -304,6 +305,8 @@ def lm_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, most_nodes: in
     rare = counts.where(F.col("n") <= least)
     nodes = stash(trie_nodes(gram_counts(train)))
     slices = slices_of(nodes, most_nodes)
+    if len(slices) > 1:
+        docs = stash(docs)  # the numbers of the rows are used once per slice
     tries = [spark.sparkContext.broadcast(load_slice(nodes, slices[0]))]
     per_token = math.log10(n + v + 1)
 
@@ -311,18 +314,19 @@ def lm_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, most_nodes: in
         logs = {w: math.log10(c + 1) for w, c in shared.value.items()}
         end = math.log10(ends + 1)
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            ids, rows = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1).cast(pa.large_binary())]
             for a, b in chunks(texts, 1 << 20):
-                out_ids, words, tf, tokens, known, base = [], [], [], [], [], []
-                for doc_id, text in zip(ids[a:b], texts[a:b]):
+                out_ids, out_rows, words, tf, tokens, known, base = [], [], [], [], [], [], []
+                for doc_id, row, text in zip(ids[a:b], rows[a:b], texts[a:b]):
                     own = text.translate(LOWER).split()
                     hits = [x for x in map(logs.get, own) if x is not None]
                     unknown = Counter(w for w in own if w not in logs) if len(hits) < len(own) else {}
                     m = len(unknown)
                     # one row for the document under a key that is no word, one for each word not broadcast
                     out_ids += [doc_id] * (m + 1)
-                    words += [b" %d" % (doc_id or 0), *unknown]
+                    out_rows += [row] * (m + 1)
+                    words += [b" %d" % row, *unknown]
                     tf += [0, *unknown.values()]
                     tokens += [len(own) + 1] + [0] * m
                     known += [len(hits) + (1 if ends else 0)] + [0] * m
@@ -330,14 +334,15 @@ def lm_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, most_nodes: in
                 scores = np.zeros(len(words))
                 scores[np.flatnonzero(np.array(tokens) > 0)] = text_scores(tries[0].value.trie(), texts[a:b])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out_ids, pa.int64()), pa.array(words, pa.binary()), pa.array(tf, pa.int64()), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores)],
-                    ["doc_id", "word", "tf", "tokens", "known", "base", "score"],
+                    [pa.array(out_ids, pa.int64()), pa.array(out_rows, pa.int64()), pa.array(words, pa.binary()), pa.array(tf, pa.int64()), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores)],
+                    ["doc_id", "row", "word", "tf", "tokens", "known", "base", "score"],
                 )
 
-    rows = docs.mapInArrow(score, "doc_id long, word binary, tf long, tokens long, known long, base double, score double")
+    rows = docs.select("doc_id", "text", row).mapInArrow(score, "doc_id long, row long, word binary, tf long, tokens long, known long, base double, score double")
     met = rows.join(rare.select("word", F.col("n").alias("c")), "word", "left")
     parts = met.select(
         "doc_id",
+        "row",
         "tokens",
         (F.col("known") + F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("known"),
         (F.col("base") + F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("base"),
@@ -345,8 +350,8 @@ def lm_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, most_nodes: in
     )
     for pairs in slices[1:]:
         tries.append(spark.sparkContext.broadcast(load_slice(nodes, pairs)))
-        parts = parts.unionByName(_slice_scores(docs, tries[-1]))
-    summed = parts.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("tokens", "known", "base", "score")])
+        parts = parts.unionByName(_slice_scores(docs.select("doc_id", "text", row), tries[-1]))
+    summed = parts.groupBy("doc_id", "row").agg(*[F.sum(c).alias(c) for c in ("tokens", "known", "base", "score")])
     return summed.select(
         "doc_id",
         (fold_column(F.col("doc_id"), folds) == held_out).alias("held_out"),
@@ -364,6 +369,6 @@ def _slice_scores(docs: DataFrame, trie) -> DataFrame:
             texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1).cast(pa.large_binary())]
             out = [text_scores(trie.value.trie(), texts[a:b]) for a, b in chunks(texts, 1 << 20)]
             zero = np.zeros(batch.num_rows, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(zero), pa.array(zero), pa.array(zero.astype(float)), pa.array(np.concatenate(out) if out else zero.astype(float))], ["doc_id", "tokens", "known", "base", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(zero), pa.array(zero), pa.array(zero.astype(float)), pa.array(np.concatenate(out) if out else zero.astype(float))], ["doc_id", "row", "tokens", "known", "base", "score"])
 
-    return docs.mapInArrow(score, "doc_id long, tokens long, known long, base double, score double")
+    return docs.mapInArrow(score, "doc_id long, row long, tokens long, known long, base double, score double")
