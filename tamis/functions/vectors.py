@@ -67,6 +67,12 @@ def logit_gradient(p: Column, label: Column, classes: int) -> Column:
     return F.zip_with(p, one_hot(label, classes), lambda a, b: a - b)
 
 
+def squared_error_gradient(p: Column, label: Column, classes: int) -> Column:
+    """Gradient by the logits of half the squared distance of the probabilities from the one-hot label."""
+    error = logit_gradient(p, label, classes)
+    return _bind(total(F.zip_with(error, p, lambda a, b: a * b)), lambda t: F.zip_with(error, p, lambda a, b: b * (a - t)))
+
+
 def gradient_embedding(l0: Column, emb: Column, kind: str) -> Column:
     """The last layer's gradient: class-major, the biases first."""
     linear = F.flatten(F.transform(l0, lambda a: F.transform(emb, lambda b: a * b)))

@@ -139,6 +139,8 @@ class Rounds:
     ``select(model, train, pool, k)`` gives (rank, id, score). Rounds end when
     the pool is empty or the accuracy on ``test`` passes ``target``. The state
     is written each round, so a round's plan does not grow with their number.
+    ``fit(train)`` gives the model; without it a linear head is trained with
+    the settings in ``training``.
     """
 
     select: Callable
@@ -147,12 +149,13 @@ class Rounds:
     budget: int
     target: float | None = None
     training: dict = field(default_factory=dict)
+    fit: Callable | None = None
 
     def run(self, train: DataFrame, pool: DataFrame, test: DataFrame, rounds: int) -> DataFrame:
         spark, log = train.sparkSession, []
         for number in range(rounds + 1):
             began = time.time()
-            model, _ = train_linear(train, self.classes, self.width, **self.training)
+            model = self.fit(train) if self.fit else train_linear(train, self.classes, self.width, **self.training)[0]
             trained = time.time()
             found = accuracy(predictions(model, test)).first()["accuracy"]
             log.append((number, train.count(), float(found or 0.0), trained - began))

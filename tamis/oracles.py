@@ -201,6 +201,15 @@ ORACLES["glister_rand"] = (
     f"{_ctes}, pk AS MATERIALIZED ({_picks}), rnd AS (SELECT {_n} + row_number() OVER (ORDER BY u, id) AS rank, id, u AS v FROM (SELECT id, {uniform("'0:' || id")} AS u FROM un WHERE id NOT IN (SELECT id FROM pk)) ORDER BY rank LIMIT {K - _n}) "
     "SELECT CAST(rank AS INTEGER) AS rank, id, round(v, 6) AS score FROM (SELECT * FROM pk UNION ALL SELECT * FROM rnd)"
 )
+ORACLES["user_loss_gradient"] = _vector("sq", "g", f"{BASE}, sq AS (SELECT id, list_transform(range({CLASSES}), lambda c: p[c + 1] * (l0[c + 1] - list_dot_product(l0, p))) AS g FROM un)")
+ORACLES["layer_embedding"] = (
+    f"WITH {BASE} SELECT id, CAST(h AS INTEGER) AS d, round(greatest(list_sum(list_transform(range(64), lambda d: x[d + 1] * ((7 * h + 3 * d) % 11 - 5) / 10.0)) + (h - 4) / 100.0, 0), 6) AS v FROM un, range(8) t(h)"
+)
+ORACLES["log_determinant_pair"] = (
+    f"WITH {BASE}, {UU}, a AS (SELECT i AS id, ln(1 + s) AS v FROM kern WHERE i = j ORDER BY v DESC, id LIMIT 1), "
+    "b AS (SELECT j AS id, ln(1 + 1 - s * s / (1 + 1)) AS v FROM kern WHERE i = (SELECT id FROM a) AND j <> i ORDER BY v DESC, id LIMIT 1) "
+    "SELECT CAST(rank AS INTEGER) AS rank, id, round(v, 6) AS score FROM (SELECT 1 AS rank, * FROM a UNION ALL SELECT 2, * FROM b)"
+)
 _FULL = "flatten(list_transform(l0, lambda a: list_transform(list_append(x, 1), lambda b: a * b)))"
 _match = unrolled(
     K,
@@ -291,3 +300,18 @@ ORACLES["text_clean"] = (
     f"lambda w: w <> '' AND w NOT IN ({', '.join(repr(w) for w in STOP_WORDS)})), ' ') AS cleaned FROM documents"
 )
 ORACLES["text_class_balance"] = "SELECT lang, quality, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY lang, quality"
+
+ORACLES["strategies_by_name"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS strategy, rank, id, score FROM ({ORACLES[known]})"
+    for name, known in {
+        "entropy_sampling": "entropy",
+        "margin_sampling": "margin",
+        "least_confidence": "least_confidence",
+        "bald_dropout": "bald",
+        "random_sampling": "random_selection",
+        "adversarial_deepfool": "deepfool_linear",
+        "coreset": "coreset",
+        "badge": "badge",
+        "fass": "fass_entropy",
+    }.items()
+)

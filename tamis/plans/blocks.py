@@ -27,15 +27,18 @@ MOST_BROADCAST = 64 << 20
 REPRESENTATIONS = ("linear", "raw", "grad_bias", "grad_linear", "grad_bias_linear")
 
 
-def represent(df: DataFrame, kind: str, classes: int, label: str | None = None, emb: str = "emb", state: list[str] = ()) -> DataFrame:
-    """(id, g, e, s) of rows with ``p`` (probabilities) and an embedding; gradients are of ``label``, or of the predicted class."""
+def represent(df: DataFrame, kind: str, classes: int, label: str | None = None, emb: str = "emb", state: list[str] = (), loss: Callable = logit_gradient) -> DataFrame:
+    """(id, g, e, s) of rows with ``p`` (probabilities) and an embedding; gradients are of ``label``, or of the predicted class.
+
+    ``loss(p, label, classes)`` gives a loss's gradient by the logits as a column; the cross-entropy's without it.
+    """
     if kind not in REPRESENTATIONS:
         raise ValueError(f"unknown representation {kind!r}; one of {', '.join(REPRESENTATIONS)}")
     s = F.array(*[F.col(c).cast("double") for c in state]) if state else F.array().cast("array<double>")
     one = F.array(F.lit(1.0))
     if kind in ("linear", "raw"):
         return df.select("id", one.alias("g"), F.col("x" if kind == "raw" else emb).alias("e"), s.alias("s"))
-    l0 = logit_gradient(F.col("p"), F.col(label or "pred"), classes)
+    l0 = loss(F.col("p"), F.col(label or "pred"), classes)
     e = {"grad_bias": one, "grad_linear": F.col(emb), "grad_bias_linear": F.concat(F.col(emb), one)}[kind]
     return df.select("id", l0.alias("g"), e.alias("e"), s.alias("s"))
 

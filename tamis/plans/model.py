@@ -111,6 +111,14 @@ class TwoLayer:
 
         return add_vectors(df, ["logits", "emb"], both)
 
+    def layer(self, df: DataFrame, name: str) -> DataFrame:
+        """Adds ``emb`` from a layer by its name: input, preactivation, hidden or logits."""
+        own = self
+        layers = {"input": lambda x: x, "preactivation": lambda x: x @ own.w1.T + own.b1, "hidden": own.hidden, "logits": own.logits}
+        if name not in layers:
+            raise ValueError(f"unknown layer {name!r}; one of {', '.join(layers)}")
+        return add_vectors(df, ["emb"], lambda x: [layers[name](x)])
+
     def passes(self, df: DataFrame, n: int, rate: float = 0.5, seed: int = 0) -> DataFrame:
         own, masks = self, dropout_masks(n, len(self.b1), rate, seed)
         flat = add_vectors(df, ["passes"], lambda x: [np.concatenate([(own.hidden(x) * m) @ own.w2.T + own.b2 for m in masks], axis=1)])

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from tamis.functions import vectors as V
 from tamis.functions.text import clean
-from tamis.operators import adversarial, bayesian, bilevel, composite, greedy, rounds, uncertainty
+from tamis.operators import adversarial, bayesian, bilevel, composite, greedy, registry, rounds, uncertainty
 from tamis.plans.blocks import Block, gathered, over_pairs, represent, to_blocks
-from tamis.plans.model import fit_prototypes
+from tamis.plans.model import TwoLayer, fit_prototypes
+from tamis.plans.training import Trainer, fresh, train_on_subsets
 from tamis.shared import new_folder, stash
 from tamis.sources import files, pools
 from tamis.streaming.topk import stream_top_k
@@ -483,6 +484,95 @@ def learning_rounds(spark, sf_dir):
     return loop.run(c.parts["labelled"], c.parts["unlabelled"], c.parts["validation"], 2).select("round", "n_train", F.round("accuracy", 6).alias("accuracy"))
 
 
+# --- strategies by name, training ------------------------------------------------------------------------
+
+#: Strategies of the registry with the budget and the arguments of the query.
+NAMED = {
+    "entropy_sampling": (TOP, {}),
+    "margin_sampling": (TOP, {}),
+    "least_confidence": (TOP, {}),
+    "bald_dropout": (TOP, {"n_drop": N_DROP}),
+    "random_sampling": (TOP, {}),
+    "adversarial_deepfool": (TOP, {}),
+    "coreset": (K, {}),
+    "badge": (K, {"seed": 7}),
+    "fass": (K, {}),
+}
+
+
+@query
+def strategies_by_name(spark, sf_dir):
+    c = case(spark, sf_dir)
+    out = None
+    for name, (k, options) in NAMED.items():
+        part = registry.select(name, c.head, c.parts["labelled"], c.parts["unlabelled"], k, **options)
+        part = _rounded(part).select(F.lit(name).alias("strategy"), "rank", "id", "score")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def user_loss_gradient(spark, sf_dir):
+    c = case(spark, sf_dir)
+    rows = represent(c.unlabelled, "grad_bias", CLASSES, loss=V.squared_error_gradient)
+    return _long(rows, F.col("g"))
+
+
+@query
+def layer_embedding(spark, sf_dir):
+    h, d = np.arange(8)[:, None], np.arange(64)[None, :]
+    net = TwoLayer(((7 * h + 3 * d) % 11 - 5) / 10, (np.arange(8) - 4) / 100, np.ones((CLASSES, 8)), np.zeros(CLASSES))
+    return _long(net.layer(case(spark, sf_dir).parts["unlabelled"], "hidden"), F.col("emb"))
+
+
+@query
+def log_determinant_pair(spark, sf_dir):
+    c = case(spark, sf_dir)
+    return _picked(c, greedy.maximise(_features(c.unlabelled), 2, "log_determinant", lam=1.0))
+
+
+def _head_rows(c, model):
+    return c.spark.createDataFrame([(k, d, float(v)) for k, w in enumerate(np.column_stack([model.weights, model.bias])) for d, v in enumerate(w)], "class int, d int, v double")
+
+
+@query
+def sgd_training(spark, sf_dir):
+    c = case(spark, sf_dir)
+    model, _ = Trainer(rate=0.5, epochs=4, batch=32, tasks=1, max_accuracy=1.1).train(c.parts["labelled"], fresh("linear", c.head.weights.shape[1], CLASSES))
+    return _rounded(_head_rows(c, model), "v")
+
+
+@query
+def adam_training(spark, sf_dir):
+    c = case(spark, sf_dir)
+    model, _ = Trainer(rate=0.01, epochs=3, batch=64, tasks=1, optimizer="adam", max_accuracy=1.1).train(c.parts["labelled"], fresh("linear", c.head.weights.shape[1], CLASSES))
+    return _rounded(_head_rows(c, model), "v")
+
+
+@query
+def gradmatch_training(spark, sf_dir):
+    c = case(spark, sf_dir)
+
+    def match(model, rows, k):
+        own = represent(uncertainty.predictions(model, rows), "grad_bias", CLASSES, "label")
+        return bilevel.select_matching(own, own, min(k, CLASSES), use_weights=True)
+
+    model, _ = train_on_subsets(Trainer(rate=0.05, epochs=4, batch=16, tasks=1, max_accuracy=1.1), c.parts["labelled"], fresh("linear", c.head.weights.shape[1], CLASSES), match, every=2)
+    return _rounded(_head_rows(c, model), "v")
+
+
+@query
+def configured_rounds(spark, sf_dir):
+    config = {
+        "model": {"architecture": "two_layer_net", "input_dim": 64, "target_classes": CLASSES, "hidden_units_1": 16},
+        "train_parameters": {"lr": 0.05, "batch_size": 32, "n_epoch": 3, "max_accuracy": 0.95, "isreset": True, "tasks": 1},
+        "active_learning": {"strategy": "margin_sampling", "budget": 20, "rounds": 3, "initial_points": 40, "strategy_args": {"batch_size": 100}},
+    }
+    parts = pools.scenario(pools.embeddings(spark, sf_dir))
+    log = registry.experiment(config, parts["unlabelled"], parts["labelled"])
+    return log.select("round", "n_train", F.round("accuracy", 6).alias("accuracy"))
+
+
 # --- text ---------------------------------------------------------------------------------------------
 
 

@@ -55,9 +55,22 @@ def append_log(rounds: DataFrame, path: str) -> None:
     rounds.write.mode("append").parquet(path)
 
 
+def read_satimage(spark: SparkSession, train: str, test: str) -> list[DataFrame]:
+    """Both files' rows: 36 features standardised by the first file, labels from 1 shifted to start at 0."""
+    own = [read_libsvm(spark, p, 36).withColumn("label", F.col("label") - 1) for p in (train, test)]
+    return standardise(own[0], *own)
+
+
+def read_ijcnn1(spark: SparkSession, *paths: str) -> list[DataFrame]:
+    """Each file's rows: 22 features standardised by the first file, labels -1 and 1 as 0 and 1."""
+    own = [read_libsvm(spark, p, 22).withColumn("label", F.when(F.col("label") < 0, 0).otherwise(F.col("label"))) for p in paths]
+    return standardise(own[0], *own)
+
+
 def save_checkpoint(state: DataFrame, path: str, experiment: str, number: int) -> None:
-    """Adds a round's state; Spark's commit makes it appear whole or not at all."""
-    state.withColumn("experiment", F.lit(experiment)).withColumn("round", F.lit(number)).write.mode("append").partitionBy("experiment", "round").parquet(path)
+    """Writes a round's state in place of what the round has; Spark's commit makes it appear whole or not at all."""
+    own = state.withColumn("experiment", F.lit(experiment)).withColumn("round", F.lit(number))
+    own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("experiment", "round").parquet(path)
 
 
 def load_checkpoint(spark: SparkSession, path: str, experiment: str) -> DataFrame:
@@ -67,6 +80,18 @@ def load_checkpoint(spark: SparkSession, path: str, experiment: str) -> DataFram
     return own.where(F.col("round") == newest)
 
 
+def delete_checkpoints(spark: SparkSession, path: str, experiment: str, keep_newest: int = 0) -> int:
+    """Removes an experiment's rounds but the newest ``keep_newest``; how many went."""
+    from pyarrow import fs
+
+    rounds = sorted(r["round"] for r in spark.read.parquet(path).where(F.col("experiment") == experiment).select("round").distinct().collect())
+    gone = rounds[: len(rounds) - keep_newest] if keep_newest else rounds
+    where, base = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    for number in gone:
+        where.delete_dir(f"{base}/experiment={experiment}/round={number}")
+    return len(gone)
+
+
 def save_head(spark: SparkSession, head: LinearHead, path: str) -> None:
     rows = [(c, w.tolist(), float(b)) for c, (w, b) in enumerate(zip(head.weights, head.bias))]
     spark.createDataFrame(rows, "class int, weights array<double>, bias double").coalesce(1).write.mode("overwrite").parquet(path)

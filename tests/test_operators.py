@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from tamis.functions import vectors as V
 from tamis.functions.text import clean
-from tamis.operators import adversarial, bayesian, bilevel, composite, greedy, rounds, uncertainty
+from tamis.operators import adversarial, bayesian, bilevel, composite, greedy, registry, rounds, uncertainty
 from tamis.plans.blocks import Block, cosine_features, represent
-from tamis.plans.model import LinearHead, TwoLayer, average_weights, dropout_masks, saturated, train_linear
+from tamis.plans.model import LinearHead, TwoLayer, average_weights, dropout_masks, saturated, train_linear, uniform
+from tamis.plans.training import Trainer, cross_entropy, fresh, squared_error, train_on_subsets, weights_of
 from tamis.sources import files, pools
 from tamis.streaming.topk import merge
 
@@ -47,11 +48,13 @@ def pool(spark):
 # --- known values -------------------------------------------------------------------------------
 
 
-def test_closest_centres(spark):
-    points = [(1, 2, 3), (2, 1, 2), (3, 2, 1), (10, 11, 8), (9, 10, 11), (11, 10, 9)]
-    found = greedy.nearest_centres(plain_rows(spark, points), block([(2, 2, 2), (10, 10, 10)])).orderBy("id").collect()
-    assert [r["centre"] for r in found] == [0, 0, 0, 1, 1, 1]
-    assert [r["distance"] for r in found] == pytest.approx([math.sqrt(2), 1, math.sqrt(2), math.sqrt(5), math.sqrt(2), math.sqrt(2)])
+def test_nearest_centres_are_the_nearest(spark):
+    points, centres = RNG.normal(size=(40, 3)), RNG.normal(size=(5, 3))
+    centres[4] = centres[1]  # a tie goes to the earlier centre
+    found = greedy.nearest_centres(plain_rows(spark, points), block(centres)).orderBy("id").collect()
+    distances = np.linalg.norm(points[:, None] - centres[None, :4], axis=2)
+    assert [r["centre"] for r in found] == distances.argmin(axis=1).tolist()
+    assert [r["distance"] for r in found] == pytest.approx(distances.min(axis=1).tolist())
 
 
 def test_closest_centres_in_embedding_space(spark):
@@ -71,15 +74,13 @@ def test_cluster_means_and_assignment(spark):
     assert {r["id"] for r in near if r["centre"] == 0} == {0, 1, 2, 3, 4}
 
 
-@pytest.mark.parametrize("left, right, cap, want", [
-    ([(10, 0), (9, 1), (5, 2), (2, 3)], [(8, 4), (6, 5), (5, 6), (1, 7)], 99, [0, 1, 4, 5, 2, 6, 3, 7]),
-    ([], [(3, 1), (2, 2)], 9, [1, 2]),
-    ([(3, 1), (2, 2)], [], 9, [1, 2]),
-    ([(10, 0), (9, 1), (5, 2), (2, 3)], [(8, 4), (6, 5), (5, 6), (1, 7)], 4, [0, 1, 4, 5]),
-])
-def test_merge_of_best_rows(spark, left, right, cap, want):
-    table = lambda rows: spark.createDataFrame([(i, float(s)) for s, i in rows], "id long, score double")
-    assert [r["id"] for r in merge(table(left), table(right), cap).orderBy("rank").collect()] == want
+@pytest.mark.parametrize("n, m, cap", [(0, 3, 9), (3, 0, 9), (7, 5, 4), (6, 8, 99), (2, 2, 1)])
+def test_merge_keeps_the_best_of_both(spark, n, m, cap):
+    scores = RNG.integers(0, 6, n + m)  # with ties
+    rows = [(i, float(v)) for i, v in enumerate(scores)]
+    table = lambda part: spark.createDataFrame(part, "id long, score double")
+    want = [i for i, _ in sorted(rows, key=lambda r: (-r[1], r[0]))][:cap]
+    assert [r["id"] for r in merge(table(rows[:n]), table(rows[n:]), cap).orderBy("rank").collect()] == want
 
 
 def test_merge_of_a_random_split_in_any_order(spark):
@@ -366,6 +367,119 @@ def test_training_and_rounds(spark):
     assert [r["n_train"] for r in log] == [20, 30, 40][: len(log)]
 
 
+def plain_descent(x, y, w, model, trainer, epochs):
+    """The same descent, row by row in the same order, on one machine."""
+    own = [np.array(a) for a in weights_of(model)]
+    velocity, second, t = [0 * a for a in own], [0 * a for a in own], 0
+    for epoch in range(epochs):
+        order = sorted(range(len(y)), key=lambda i: (uniform(trainer.seed, epoch, i), i))
+        for k in range(0, len(y), trainer.batch):
+            part, t = order[k : k + trainer.batch], t + 1
+            slopes = [0 * a for a in own]
+            for i in part:
+                if len(own) == 2:
+                    z, h = own[0] @ x[i] + own[1], None
+                else:
+                    h = np.maximum(own[0] @ x[i] + own[1], 0)
+                    z = own[2] @ h + own[3]
+                e = np.exp(z - z.max()) / np.exp(z - z.max()).sum() - np.eye(len(z))[y[i]]
+                e = e * w[i] / len(part)
+                if h is None:
+                    more = [np.outer(e, x[i]), e]
+                else:
+                    back = (own[2].T @ e) * (h > 0)
+                    more = [np.outer(back, x[i]), back, np.outer(e, h), e]
+                slopes = [a + b for a, b in zip(slopes, more)]
+            for j, g in enumerate(slopes):
+                if trainer.optimizer == "sgd":
+                    velocity[j] = 0.9 * velocity[j] + g + 5e-4 * own[j]
+                    own[j] = own[j] - trainer.rate * 0.5 * (1 + math.cos(math.pi * epoch / trainer.epochs)) * velocity[j]
+                else:
+                    velocity[j], second[j] = 0.9 * velocity[j] + 0.1 * g, 0.999 * second[j] + 0.001 * g * g
+                    own[j] = own[j] - trainer.rate * (velocity[j] / (1 - 0.9**t)) / (np.sqrt(second[j] / (1 - 0.999**t)) + 1e-8)
+    return own
+
+
+@pytest.mark.parametrize("kind, optimizer", [("linear", "sgd"), ("two_layer", "sgd"), ("two_layer", "adam")])
+def test_one_task_descends_as_on_one_machine(spark, kind, optimizer):
+    y = RNG.integers(0, 3, 50)
+    x, w = RNG.normal(size=(50, 4)) + 2 * np.eye(4)[y], RNG.uniform(0.5, 2, 50)
+    rows = rows_of(spark, x, y).join(spark.createDataFrame([(i, float(v)) for i, v in enumerate(w)], "id long, share double"), "id")
+    trainer = Trainer(rate=0.1, epochs=3, batch=8, optimizer=optimizer, tasks=1, max_accuracy=2.0, seed=5)
+    start = fresh(kind, 4, 3, 6, seed=1)
+    model, log = trainer.train(rows, start, "share")
+    for got, want in zip(weights_of(model), plain_descent(x, y, w, start, trainer, 3)):
+        assert got == pytest.approx(want, abs=1e-9)
+    assert len(log) == 3 and log[-1][1] < log[0][1]
+
+
+def test_training_over_tasks_stops_restarts_and_takes_a_loss(spark):
+    y = RNG.integers(0, 3, 200)
+    rows = rows_of(spark, RNG.normal(size=(200, 4)) + 3 * np.eye(4)[y], y)
+    model, log = Trainer(rate=0.2, epochs=30, batch=10, tasks=4, max_accuracy=0.9).train(rows, fresh("two_layer", 4, 3, 8))
+    assert log[-1][0] >= 0.9 and len(log) < 30
+    assert Trainer(rate=0.1, epochs=12, tasks=2, loss=squared_error, max_accuracy=0.9).train(rows, fresh("linear", 4, 3))[1][-1][0] > 0.8
+    assert len(Trainer(rate=1e-9, epochs=40, tasks=1, window=3, min_gain=0.01, max_accuracy=2.0).train(rows, model)[1]) == 3
+    with pytest.raises(ValueError):
+        Trainer(optimizer="newton").train(rows, model)
+    for loss in (cross_entropy, squared_error):  # the gradients are those of the losses
+        z, labels = RNG.normal(size=(5, 3)), np.array([0, 1, 2, 0, 1])
+        step = np.zeros_like(z)
+        step[2, 1] = 1e-6
+        assert loss(z, labels)[1][2, 1] == pytest.approx((loss(z + step, labels)[0][2] - loss(z - step, labels)[0][2]) / 2e-6, abs=1e-5)
+
+
+def test_subsets_in_training(spark):
+    y = RNG.integers(0, 3, 90)
+    rows, asked = rows_of(spark, RNG.normal(size=(90, 4)) + 3 * np.eye(4)[y], y), []
+
+    def first_ones(model, own, k):
+        asked.append(k)
+        return own.orderBy("id").limit(k).select("id", F.lit(1.0).alias("weight"))
+
+    _, log = train_on_subsets(Trainer(rate=0.1, epochs=7, tasks=1, max_accuracy=2.0), rows, fresh("linear", 4, 3), first_ones, every=3)
+    assert asked == [27, 27, 27] and len(log) == 7
+
+
+def test_strategies_by_name(spark, net, pool):
+    small = pool.where("id < 60")
+    for name in ("badge", "glister", "entropy_sampling", "margin_sampling", "least_confidence", "coreset", "fass", "random_sampling", "bald_dropout", "adversarial_bim", "kmeans_sampling", "adversarial_deepfool"):
+        rows = registry.select(name, net, pool.where("id >= 60"), small, 4).collect()
+        assert [r["rank"] for r in rows] == [1, 2, 3, 4] and len({r["id"] for r in rows}) == 4 and all(r["id"] < 60 for r in rows), name
+    with pytest.raises(ValueError):
+        registry.select("none", net, pool, pool, 4)
+    registry.register_score("smallest_first", lambda p: -F.get(p, 0))
+    registry.register("largest_ids", lambda model, train, rows, k: greedy.top_k(rows.select("id", F.col("id").cast("double").alias("score")), k))
+    try:
+        assert registry.select("smallest_first", net, pool, small, 3).count() == 3
+        assert [r["id"] for r in registry.select("largest_ids", net, pool, small, 3).orderBy("rank").collect()] == [59, 58, 57]
+    finally:
+        V.SCORES.pop("smallest_first")
+        registry.STRATEGIES.pop("smallest_first"), registry.STRATEGIES.pop("largest_ids")
+
+
+def test_experiment_from_a_configuration(spark):
+    y = RNG.integers(0, 3, 120)
+    rows = rows_of(spark, RNG.normal(size=(120, 4)) + 3 * np.eye(4)[y], y)
+    config = {
+        "model": {"architecture": "two_layer_net", "input_dim": 4, "target_classes": 3, "hidden_units_1": 8},
+        "train_parameters": {"lr": 0.1, "batch_size": 8, "n_epoch": 8, "tasks": 1, "isreset": False},
+        "active_learning": {"strategy": "entropy_sampling", "budget": 15, "rounds": 3, "initial_points": 20, "strategy_args": {"unknown": 1, "n_drop": None}},
+    }
+    log = registry.experiment(config, rows.where("id < 80"), rows.where("id >= 80")).orderBy("round").collect()
+    assert [r["n_train"] for r in log] == [20, 35, 50] and log[-1]["accuracy"] > 0.7
+    with pytest.raises(ValueError):
+        registry.experiment({**config, "active_learning": {**config["active_learning"], "strategy": "none"}}, rows, rows)
+
+
+def test_layers_by_name(spark, net, pool):
+    x = np.array([r["x"] for r in pool.orderBy("id").collect()])
+    emb = np.array([r["emb"] for r in net.layer(pool, "preactivation").orderBy("id").collect()])
+    assert emb == pytest.approx(x @ net.w1.T + net.b1)
+    with pytest.raises(ValueError):
+        net.layer(pool, "avgpool")
+
+
 def test_views(spark):
     df = rows_of(spark, np.arange(12.0).reshape(6, 2), [0, 0, 1, 1, 2, 2])
     ids = spark.createDataFrame([(1, 9), (4, 9)], "id long, label int")
@@ -383,6 +497,11 @@ def test_libsvm_csv_and_standardise(spark, tmp_path):
     (tmp_path / "a.csv").write_text("1,2,b\n3,2,a\n5,2,b\n")
     iris = files.read_csv(spark, str(tmp_path / "a.csv"), 2)
     assert [(r["x"], r["label"]) for r in iris.orderBy("id").collect()] == [([1, 2], 1), ([3, 2], 0), ([5, 2], 1)]
+    (tmp_path / "sat.svm").write_text("1 1:1\n7 1:3 36:1\n")
+    (tmp_path / "ij.svm").write_text("-1 1:1\n1 1:3\n")
+    sat = files.read_satimage(spark, str(tmp_path / "sat.svm"), str(tmp_path / "sat.svm"))[1].orderBy("id").collect()
+    assert [r["label"] for r in sat] == [0, 6] and [r["x"][0] for r in sat] == [-1, 1] and len(sat[0]["x"]) == 36
+    assert [r["label"] for r in files.read_ijcnn1(spark, str(tmp_path / "ij.svm"))[0].orderBy("id").collect()] == [0, 1]
     x = np.array([r["x"] for r in files.standardise(iris, iris)[0].collect()])
     assert x.mean(axis=0) == pytest.approx([0, 0]) and x[:, 0].std() == pytest.approx(1)
 
@@ -397,6 +516,11 @@ def test_config_checkpoints_and_weights(spark, tmp_path):
     for n in (1, 2):
         files.save_checkpoint(spark.createDataFrame([(n, 0.5 * n)], "id long, accuracy double"), str(tmp_path / "ck"), "e", n)
     assert [r["id"] for r in files.load_checkpoint(spark, str(tmp_path / "ck"), "e").collect()] == [2]
+    files.save_checkpoint(spark.createDataFrame([(3, 0.1)], "id long, accuracy double"), str(tmp_path / "ck"), "e", 2)  # a retry takes the round's place
+    files.save_checkpoint(spark.createDataFrame([(9, 0.1)], "id long, accuracy double"), str(tmp_path / "ck"), "other", 1)
+    assert [r["id"] for r in files.load_checkpoint(spark, str(tmp_path / "ck"), "e").collect()] == [3]
+    assert files.delete_checkpoints(spark, str(tmp_path / "ck"), "e", keep_newest=1) == 1
+    assert {(r["experiment"], r["round"]) for r in spark.read.parquet(str(tmp_path / "ck")).collect()} == {("e", 2), ("other", 1)}
     head = LinearHead([[1.0, 2.0], [3.0, 4.0]], [0.5, 0.25])
     files.save_head(spark, head, str(tmp_path / "w"))
     again = files.load_head(spark, str(tmp_path / "w"))
