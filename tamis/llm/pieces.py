@@ -1,18 +1,26 @@
 """SentencePiece encoding and decoding with a weighted finite-state transducer.
 
-Three machines are composed with a text. The normaliser adds one space in front
-and writes every space as U+2581. The pieces are arcs that read their own
-characters; a character that no piece holds has an arc that writes its UTF-8
-bytes as byte pieces. The third restricts which piece may follow which.
-
-In a merge model a piece sequence is the model's own exactly if no adjacent two
-would have been merged differently on their own. So the restriction is a
-two-piece automaton: an arc from piece a to piece b weighs one if merging the
-text of a and b ends in a and b, and infinity if not. In the tropical semiring
-the shortest path through the composition is then the model's encoding, the
-only path of finite weight. To every character at most one finite path leads,
-so a depth-first search that tries long pieces first and never enters a
-character twice finds it in time linear in the text.
+Three machines are compiled from a model file and composed with a text.
+
+* The normaliser copies every character, writes a space as U+2581 and, before
+  the first, one more.
+* The pieces are a trie: states with an arc per character, and final states that
+  write the piece's id with a weight and go back to the start. A character that
+  no piece begins with or is has an arc that writes its UTF-8 bytes as byte
+  pieces.
+* The third machine remembers the last piece. In a merge model a piece sequence
+  is the model's own exactly if no adjacent two would have been merged
+  differently on their own: the arc from piece a to piece b weighs one if
+  merging their text ends in a and b, and infinity if not. In a unigram model
+  every piece may follow every other, and a piece weighs its negative score.
+
+The encoding is the path of least weight in the tropical semiring (where two
+paths of a unigram model weigh the same, any one of them). States of
+the composition are (place in the text, last piece) and are made as they are
+reached. ``relaxed`` finds the path by relaxing places in order. In a merge
+model at most one path of finite weight leads to a place, so ``only_path``,
+which tries long pieces first, enters no place twice and stops at the first
+complete path, finds the same; tests compare the two.
 """
 
 from __future__ import annotations
@@ -51,6 +59,37 @@ class Words(dict):
         return out
 
 
+class PieceTrie:
+    """The machine of pieces: ``arcs[state]`` by character, ``final[state]`` the piece that ends there with its weight."""
+
+    def __init__(self):
+        self.arcs: list[dict[str, int]] = [{}]
+        self.final: list[tuple[str, float] | None] = [None]
+
+    def add(self, piece: str, weight: float) -> None:
+        state = 0
+        for c in piece:
+            after = self.arcs[state].get(c)
+            if after is None:
+                after = self.arcs[state][c] = len(self.arcs)
+                self.arcs.append({})
+                self.final.append(None)
+            state = after
+        self.final[state] = (piece, weight)
+
+    def pieces_at(self, text: str, at: int) -> list[tuple[str, float]]:
+        """The pieces that lead on from a place, shortest first."""
+        state, found, arcs, final = 0, [], self.arcs, self.final
+        while at < len(text):
+            state = arcs[state].get(text[at])
+            if state is None:
+                break
+            if final[state] is not None:
+                found.append(final[state])
+            at += 1
+        return found
+
+
 class Transducer:
     def __init__(self, model: bytes, most: int = 80_000):
         import sentencepiece
@@ -58,16 +97,23 @@ class Transducer:
 
         spec = sentencepiece_model_pb2.ModelProto()
         spec.ParseFromString(model)
-        norm = spec.normalizer_spec
-        if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.add_dummy_prefix or not norm.escape_whitespaces:
-            raise ValueError("only the identity normaliser with a space in front is compiled")
-        if spec.trainer_spec.model_type != spec.trainer_spec.BPE or not spec.trainer_spec.byte_fallback:
-            raise ValueError("only merge models with byte fallback are compiled")
+        norm, kind = spec.normalizer_spec, spec.trainer_spec
+        if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces or kind.treat_whitespace_as_suffix:
+            raise ValueError("only normalisers that copy characters and mark spaces are compiled")
+        if kind.model_type not in (kind.BPE, kind.UNIGRAM) or not kind.byte_fallback:
+            raise ValueError("only merge and unigram models with byte fallback are compiled")
+        if any(p.type == p.USER_DEFINED for p in spec.pieces):
+            raise ValueError("pieces that users define are not compiled")
+        self.merges = kind.model_type == kind.BPE
+        #: The normaliser's arcs: what it writes before the first character, and for each it does not copy.
+        self.before_first, self.written_for = SPACE if norm.add_dummy_prefix else "", {" ": SPACE}
+        self.marks = str.maketrans(self.written_for)
         library = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.ids: dict[str, int] = {}
         self.rank: dict[str, float] = {}
         self.byte_ids = np.zeros(256, np.int64)
         self.written: list[bytes] = []
+        self.trie = PieceTrie()
         for i in range(library.get_piece_size()):
             piece = library.id_to_piece(i)
             if library.is_byte(i):
@@ -78,17 +124,17 @@ class Transducer:
             else:
                 self.ids[piece], self.rank[piece] = i, -library.get_score(i)
                 self.written.append(piece.replace(SPACE, " ").encode())
+                self.trie.add(piece, 1.0 if self.merges else -library.get_score(i))
+        #: Fixed value of unigram models: a character without a piece weighs this much more than the heaviest piece.
+        self.fallback = 1.0 if self.merges else max(self.rank.values(), default=0.0) + 10.0
         self.is_byte = np.zeros(len(self.written), bool)
         self.is_byte[self.byte_ids] = True
         self.kind = np.dtype("<u2") if len(self.written) <= 1 << 16 else np.dtype("<u4")
         # where no piece has a space mark after another character, and none has a line break, texts can be cut there
         self.cut_at_space = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.cut_at_break = not any("\n" in p for p in self.ids)
-        self.reach: dict[str, int] = {}  # the longest piece by its first two characters
-        for p in self.ids:
-            self.reach[p[:2]] = max(self.reach.get(p[:2], 0), len(p))
         self.spaced, self.bare = Words(self, SPACE, most), Words(self, "", most // 3)
-        self.follows: dict[str, dict[str, bool]] = {}
+        self.follows: dict[str, dict[str, float]] = {}
         self.line_break = self._packed(["\n"])
 
     def merged(self, text: str) -> list[str]:
@@ -106,42 +152,73 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def finite(self, a: str, b: str) -> bool:
-        """Whether the arc from piece a to piece b has a finite weight; a is empty at the start."""
+    def following(self, a: str, b: str) -> float:
+        """The weight of the third machine's arc from piece a to piece b: 0 or infinity; a is empty at the start."""
+        if not self.merges:
+            return 0.0
         if len(self.follows) > 100_000:
             self.follows.clear()
-        out = self.follows.setdefault(a, {})[b] = self.merged(a + b) == ([a, b] if a else [b])
+        out = self.follows.setdefault(a, {})[b] = 0.0 if self.merged(a + b) == ([a, b] if a else [b]) else INFINITY
         return out
 
+    def arcs_from(self, text: str, at: int) -> list[tuple[str, float]]:
+        """(what is read, weight) of the arcs of pieces and byte fallback that lead on from a place, shortest first."""
+        found = self.trie.pieces_at(text, at)
+        return found if found and len(found[0][0]) == 1 else [(text[at], self.fallback), *found]
+
     def shortest_path(self, text: str) -> list[str]:
-        """The pieces (or single characters without one) along the shortest path."""
-        n, ids, follows, reach = len(text), self.ids, self.follows, self.reach
+        """The pieces (or single characters without one) along the path of least weight."""
+        return self.only_path(text) if self.merges else self.relaxed(text)
+
+    def relaxed(self, text: str) -> list[str]:
+        """The path of least weight by relaxing the arcs of each place in order; of equals the one found first."""
+        best: list[dict[str, tuple[float, str]]] = [{} for _ in range(len(text) + 1)]
+        best[0][""] = (0.0, "")
+        for at in range(len(text)):
+            arcs = self.arcs_from(text, at) if best[at] else ()
+            for last, (weight, _) in best[at].items():
+                for piece, own in arcs:
+                    total = weight + own + self.following(last, piece)
+                    there = best[at + len(piece)]
+                    state = piece if self.merges else ""  # without restrictions the last piece need not be remembered
+                    if total < there.get(state, (INFINITY, ""))[0]:
+                        there[state] = (total, last if self.merges else piece)
+        path, at = [], len(text)
+        state = min(best[at], key=lambda p: best[at][p][0]) if text else ""
+        while at:
+            piece, before = (state, best[at][state][1]) if self.merges else (best[at][""][1], "")
+            path.append(piece)
+            at, state = at - len(piece), before
+        return path[::-1]
+
+    def only_path(self, text: str) -> list[str]:
+        """The one path of finite weight through the machine of a merge model: long pieces first, no place twice."""
+        n, follows, following = len(text), self.follows, self.following
         path: list[str] = []
         at, before, closed = 0, "", set()
-        longest = min(n, reach.get(text[:2], 1)) if n else 0
+        arcs = self.arcs_from(text, 0) if n else []
         while at < n:
             known = follows.get(before)
-            for size in range(longest, 0, -1):
-                piece = text[at : at + size]
-                if piece in ids:
-                    if at + size in closed:
-                        continue
-                    ok = known.get(piece) if known is not None else None
-                    if not (self.finite(before, piece) if ok is None else ok):
-                        continue
-                elif size > 1 or at + 1 in closed:
-                    continue  # one character without a piece: the byte-fallback arc
+            while arcs:
+                piece = arcs.pop()[0]
+                if at + len(piece) in closed:
+                    continue
+                weight = known.get(piece) if known is not None else None
+                if weight is None:
+                    weight = following(before, piece)
+                if weight == INFINITY:
+                    continue
                 path.append(piece)
-                at += size
+                at += len(piece)
                 before = piece
-                longest = min(n - at, reach.get(text[at : at + 2], 1))
+                arcs = self.arcs_from(text, at) if at < n else []
                 break
             else:  # a dead end: the last piece was too long
                 closed.add(at)
                 last = path.pop()
                 at -= len(last)
                 before = path[-1] if path else ""
-                longest = len(last) - 1
+                arcs = [x for x in self.arcs_from(text, at) if len(x[0]) < len(last)]
         return path
 
     def _packed(self, pieces: list[str]) -> bytes:
@@ -164,8 +241,8 @@ class Transducer:
             return b""
         if SPACE in text:
             text = text.replace(SPACE, " ")
-        if not self.cut_at_space:
-            return self._packed(self.shortest_path(SPACE + text.replace(" ", SPACE)))
+        if not self.cut_at_space or not self.before_first:
+            return self._packed(self.shortest_path(self.before_first + text.translate(self.marks)))
         spaced, bare = self.spaced, self.bare
         out = []
         for k, line in enumerate(text.split("\n") if self.cut_at_break else [text]):
@@ -184,7 +261,7 @@ class Transducer:
     def decode(self, ids: list[int]) -> str:
         """The text of an id sequence: pieces and bytes joined, space marks as spaces, the one in front dropped."""
         text = b"".join(map(self.written.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        return text[1:] if self.before_first and text.startswith(" ") else text
 
 
 _machines: dict[int, Transducer] = {}

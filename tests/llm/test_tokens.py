@@ -66,12 +66,68 @@ def test_transducer_is_the_library(text):
     if "_machine" not in globals():
         with open(PIECES, "rb") as f:
             _machine = Transducer(f.read(), most=50)
+    if "_pieces" not in globals():
         _pieces = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     ids = np.frombuffer(_machine.encode(text), "<u2").tolist()
     assert ids == _pieces.encode(text)
     assert _machine.decode(ids) == text.replace("▁", " ")
 
 
+@settings(max_examples=300, deadline=None)
+@given(TEXTS)
+def test_the_search_is_the_shortest_path(text):
+    global _machine
+    if "_machine" not in globals():
+        with open(PIECES, "rb") as f:
+            _machine = Transducer(f.read(), most=50)
+    marked = "▁" + text.replace(" ", "▁")
+    assert _machine.only_path(marked) == _machine.relaxed(marked)
+
+
+def test_unigram_models(spark):
+    """A made-up unigram model: the path of least weight is the library's, with and without a space in front."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    rng = __import__("random").Random(3)
+    for prefix in (True, False):
+        spec = pb.ModelProto()
+        spec.trainer_spec.model_type, spec.trainer_spec.byte_fallback = spec.trainer_spec.UNIGRAM, True
+        spec.normalizer_spec.name, spec.normalizer_spec.add_dummy_prefix, spec.normalizer_spec.remove_extra_whitespaces, spec.normalizer_spec.escape_whitespaces = "identity", prefix, False, True
+        made = ["▁", "▁▁", *{("▁" if rng.random() < 0.4 else "") + "".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))) for _ in range(120)}]
+        for piece, kind in (("<unk>", 2), ("<s>", 3), ("</s>", 3)):
+            spec.pieces.add(piece=piece, score=0.0, type=kind)
+        for i in range(256):
+            spec.pieces.add(piece=f"<0x{i:02X}>", score=0.0, type=6)
+        for piece in made:
+            spec.pieces.add(piece=piece, score=-rng.uniform(1, 12), type=1)
+        model = spec.SerializeToString()
+        own, library = Transducer(model, most=50), sentencepiece.SentencePieceProcessor(model_proto=model)
+        same = 0
+        for _ in range(800):
+            text = "".join(rng.choice("aaabbbccc  dé\n😀") for _ in range(rng.randrange(25)))
+            ids = np.frombuffer(own.encode(text), own.kind).tolist()
+            theirs = library.encode(text)
+            if ids != theirs:  # only where two paths weigh the same
+                weigh = lambda x: sum(library.get_score(i) for i in x)
+                assert weigh(ids) == pytest.approx(weigh(theirs)) and [i for i in ids if i < 259] == [i for i in theirs if i < 259], text
+            same += ids == theirs
+            assert own.decode(ids) == text
+        assert same > 700
+
+
+def test_machines_that_are_not_compiled():
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    with open(PIECES, "rb") as f:
+        model = f.read()
+    for change in (lambda m: setattr(m.normalizer_spec, "remove_extra_whitespaces", True), lambda m: setattr(m.trainer_spec, "byte_fallback", False), lambda m: setattr(m.trainer_spec, "model_type", m.trainer_spec.WORD)):
+        spec = pb.ModelProto()
+        spec.ParseFromString(model)
+        change(spec)
+        with pytest.raises(ValueError):
+            Transducer(spec.SerializeToString())
+
+
 def test_shards_hold_every_document(spark, docs, odd_docs, no_docs, bpe):
     hot = spark.createDataFrame([(None if i % 3 else i % 5, f"text {i % 4}") for i in range(60)], "doc_id long, text string").repartition(3)
     for table, shard_ids in ((docs, 1 << 26), (docs, 5000), (odd_docs, 1 << 26), (odd_docs, 10), (no_docs, 10), (hot, 10)):
