@@ -181,6 +181,13 @@ class Shard:
 # --- encoding -----------------------------------------------------------------------------------
 
 
+def _byte_alphabet() -> list[str]:
+    """The character by which a byte-level model writes each byte: itself where it prints, else the next one from 256 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(256, 512))
+    return [chr(b if b in prints else next(others)) for b in range(256)]
+
+
 class CachedBpe:
     """Byte-level BPE by the tokenizers library, remembering the ids of words.
 
@@ -195,7 +202,7 @@ class CachedBpe:
 
     STOPS = ",.;:!?"
 
-    def __init__(self, definition: str, width: int, most: int = 200_000, special_as_text: bool = False):
+    def __init__(self, definition: str, width: int, most: int = 400_000, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -205,6 +212,9 @@ class CachedBpe:
         spec = json.loads(definition)
         cutter = spec.get("pre_tokenizer") or {}
         self.cuts_stops = spec.get("normalizer") is None and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True)
+        alphabet = _byte_alphabet()
+        self.one_piece = self.cuts_stops and not cutter.get("add_prefix_space") and (spec.get("model") or {}).get("type") == "BPE" and not spec["model"].get("end_of_word_suffix")
+        self.space, self.byte_table = alphabet[32], {b: c for b, c in enumerate(alphabet) if b > 127}
         self.late: dict[str, bytes] = {}  # pieces of late, and before that
         self.early: dict[str, bytes] = {}
         self.line_break = self._encoded(["\n"])[0]
@@ -245,6 +255,18 @@ class CachedBpe:
         stopped = pc.and_(pc.not_equal(stems, own), pc.utf8_is_alnum(pc.utf8_slice_codeunits(stems, -1))).to_numpy(zero_copy_only=False)
         words = pc.if_else(pa.array(stopped), stems, own).to_numpy(zero_copy_only=False)
         asked = [w for w in dict.fromkeys(words[~by_library].tolist()) if w not in late]
+        if self.one_piece:
+            # the pre-tokenizer keeps a word of letters whole, so the model can have it at once
+            letters = pc.utf8_is_alpha(pc.utf8_ltrim(pa.array(asked, pa.large_string()), "\n")).to_pylist()
+            alone = [w for w, x in zip(asked, letters) if x]
+            asked = [w for w, x in zip(asked, letters) if not x]
+            model, space, table, kind = self.library.model.tokenize, self.space, self.byte_table, self.kind
+            for w in alone:
+                body = w if w.isascii() else w.encode().decode("latin-1").translate(table)
+                if w[0] == "\n":
+                    late[w] = self.line_break + np.array([t.id for t in model(body[1:])], kind).tobytes()
+                else:
+                    late[w] = np.array([t.id for t in model(space + body)], kind).tobytes()
         for k in range(0, len(asked), 20_000):
             part = asked[k : k + 20_000]
             for w, ids in zip(part, self._pieces([w[1:] if w[0] == "\n" else " " + w for w in part])):
