@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from tamis.operators.greedy import maximise, selection, top_k
 from tamis.plans.blocks import represent
+from tamis.shared import first_per_group
 
 
 def filtered_coverage(scored: DataFrame, predicted: DataFrame, k: int, classes: int, top_n: int = 5, function: str = "facility_location", representation: str = "linear", **options) -> DataFrame:
@@ -49,8 +50,7 @@ def partitioned_scores(scored: DataFrame, parts: int, k: int) -> DataFrame:
         part = F.when(F.col("pos") < plan[i][0], i).otherwise(part)
         budget = F.when(F.col("pos") < plan[i][0], plan[i][1]).otherwise(budget)
     own = rows.withColumn("part", part).withColumn("budget", budget)
-    placed = F.row_number().over(Window.partitionBy("part").orderBy(F.col("score").desc(), "id"))
-    kept = own.withColumn("place", placed).where("place <= budget")
+    kept = first_per_group(own, "part", max(b for _, b in plan), -F.col("score"), F.col("id")).where("place <= budget")
     return kept.select(F.row_number().over(Window.orderBy("part", "place")).cast("int").alias("rank"), "id", "score")  # k rows
 
 

@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from tamis.functions.vectors import uniform
 from tamis.plans.blocks import Block, cosine_features, cosine_gram, gathered, over_pairs, per_candidate, to_blocks, unpacked
+from tamis.plans.model import uniform as uniform_number
 from tamis.shared import stash
 
 RESULT = "rank int, id long, score double"
@@ -46,15 +47,15 @@ def greedy(rows: DataFrame, k: int, gains: Gains, score: Callable[[Column, Colum
     for step in range(k):
         found = gains(step, chosen).where(~F.col("id").isin([i for i, _ in picks]) if picks else F.lit(True))
         value = F.col("v") if score is None else score(F.col("v"), F.col("id"), step)
-        best = found.withColumn("c", F.when(~F.isnan(value), value)).orderBy(F.col("c").desc_nulls_last(), "id").limit(1).collect()
-        if not best:
+        best = found.withColumn("c", F.when(~F.isnan(value), value)).orderBy(F.col("c").desc_nulls_last(), "id").limit(1)
+        won = rows.select("id", "g", "e", "s").join(F.broadcast(best.select("id", "v")), "id").collect()  # one row, with its vectors
+        if not won:
             break
-        gain = best[0]["v"]
+        gain = won[0]["v"]
         if stop_zero and gain == 0 or stop_negative and gain < 0:
             break
-        picks.append((best[0]["id"], gain))
-        if step + 1 < k:
-            chosen = chosen.add(gathered(rows.where(F.col("id") == best[0]["id"])))
+        picks.append((won[0]["id"], gain))
+        chosen = chosen.add(Block.of([won[0]["id"]], won[0]["g"], won[0]["e"], won[0]["s"]))
     return picks
 
 
@@ -163,6 +164,12 @@ def maximise(
     p = stash(to_blocks(private)) if private is not None else None
     sim = lambda a, b: a.similarity(b, metric)
     psi = CONCAVE[concave]
+    share = min(1.0, np.log(100) / max(k, 1)) if optimizer in ("StochasticGreedy", "LazierThanLazyGreedy") else None
+
+    def drawn(step: int):
+        """Which candidates a stochastic step looks at; gains of the others are never computed."""
+        return None if share is None else lambda ids: np.array([uniform_number(seed, i, step) < share for i in ids.tolist()], bool)
+
 
     def with_state(*columns: DataFrame) -> DataFrame:
         """The pool's blocks with a number per row from each table (id, v), fixed over all steps."""
@@ -185,11 +192,11 @@ def maximise(
                 cur = current(b, chosen)
                 return (value(np.maximum(sim(a, b), cur[None, :]), b) - value(cur[None, :], b)).sum(axis=1)
 
-            return over_pairs(blocks, ground, compute)
+            return over_pairs(blocks, ground, compute, keep=drawn(step))
 
         return gains
 
-    local = lambda own, compute: lambda step, chosen: per_candidate(own, lambda a: compute(a, chosen))
+    local = lambda own, compute: lambda step, chosen: per_candidate(own, lambda a: compute(a, chosen), drawn(step))
     to_chosen = lambda a, chosen: sim(a, chosen).sum(axis=1) if len(chosen.ids) else np.zeros(len(a.ids))
     modular = None
 
@@ -230,7 +237,7 @@ def maximise(
                 had = sim(b, chosen).sum(axis=1) if len(chosen.ids) else np.zeros(len(b.ids))
                 return (psi(had[None, :] + sim(a, b)) - psi(had)[None, :]).sum(axis=1)
 
-            return over_pairs(blocks, q, compute).join(whole.select("id", F.col("v").alias("t")), "id").select("id", (F.col("v") + eta * curve("t")).alias("v"))
+            return over_pairs(blocks, q, compute, keep=drawn(step)).join(whole.select("id", F.col("v").alias("t")), "id").select("id", (F.col("v") + eta * curve("t")).alias("v"))
 
     elif function == "gcmi":
         modular = summed(q).select("id", (2 * lam * F.col("v")).alias("v"))
@@ -270,10 +277,6 @@ def maximise(
     if modular is not None:
         rows = modular.orderBy(F.col("v").desc(), "id").limit(k).collect()
         return [(r["id"], r["v"]) for r in rows if not (stop_zero and r["v"] == 0 or stop_negative and r["v"] < 0)]
-    if optimizer in ("StochasticGreedy", "LazierThanLazyGreedy"):
-        share = min(1.0, np.log(100) / max(k, 1))
-        every = gains
-        gains = lambda step, c: every(step, c).where(uniform(seed, F.col("id"), step) < share)
     return greedy(pool, k, gains, stop_zero=stop_zero, stop_negative=stop_negative)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from tamis.functions.vectors import uniform
 from tamis.operators.uncertainty import predictions, random_rows
 from tamis.plans.model import train_linear
-from tamis.shared import stash
+from tamis.shared import first_per_group, running, stash
 
 
 def accuracy(predicted: DataFrame) -> DataFrame:
@@ -80,8 +80,9 @@ def new_share(chosen: DataFrame, train: DataFrame, budget: int) -> DataFrame:
 
 def redundant(pool: DataFrame, factor: int) -> DataFrame:
     """Each class's first ceil(n / factor) rows in id order, repeated over all its places; (id, source_id, label)."""
-    w = Window.partitionBy("label")
-    placed = pool.select("id", "label", (F.row_number().over(w.orderBy("id")) - 1).alias("pos"), F.ceil(F.count("*").over(w) / factor).alias("keep"))
+    sizes = pool.groupBy(F.col("label").alias("_label")).agg(F.ceil(F.count("*") / factor).alias("keep"))
+    placed = running(pool.select("id", "label"), "label", F.lit(1), "pos", F.col("id")).withColumn("pos", F.col("pos") - 1)
+    placed = stash(placed.join(F.broadcast(sizes), F.col("label").eqNullSafe(F.col("_label"))).drop("_label"))  # a row per class
     sources = placed.where("pos < keep").select("label", F.col("pos").alias("slot"), F.col("id").alias("source_id"))
     return placed.withColumn("slot", F.pmod("pos", "keep")).join(sources, ["label", "slot"]).select("id", "source_id", "label")
 
@@ -94,9 +95,8 @@ def repeated(pool: DataFrame, times: int) -> DataFrame:
 
 def balanced_split(pool: DataFrame, seed_n: int, pool_n: int) -> DataFrame:
     """(id, label, part): per class the first seed_n ids are the seed, the next pool_n the pool."""
-    place = F.row_number().over(Window.partitionBy("label").orderBy("id"))
-    part = F.when(place <= seed_n, "seed").when(place <= seed_n + pool_n, "pool")
-    return pool.select("id", "label", part.alias("part")).where("part is not null")
+    part = F.when(F.col("place") <= seed_n, "seed").otherwise("pool")
+    return first_per_group(pool.select("id", "label"), "label", seed_n + pool_n, F.col("id")).select("id", "label", part.alias("part"))
 
 
 def rare_split(pool: DataFrame, rare: list[int], rare_sizes: tuple[int, int], sizes: tuple[int, int], seed: int = 0) -> DataFrame:
@@ -104,17 +104,18 @@ def rare_split(pool: DataFrame, rare: list[int], rare_sizes: tuple[int, int], si
     is_rare = F.col("label").isin(rare)
     n_seed = F.when(is_rare, rare_sizes[0]).otherwise(sizes[0])
     n_pool = F.when(is_rare, rare_sizes[1]).otherwise(sizes[1])
-    place = F.row_number().over(Window.partitionBy("label").orderBy(uniform(seed, F.col("id")), "id"))
+    place = F.col("place")
     part = F.when(place <= n_seed, "seed").when(place <= n_seed + n_pool, "pool")
-    return pool.select("id", "label", part.alias("part")).where("part is not null")
+    drawn = first_per_group(pool.select("id", "label"), "label", max(sum(rare_sizes), sum(sizes)), uniform(seed, F.col("id")), F.col("id"))
+    return drawn.select("id", "label", part.alias("part")).where("part is not null")
 
 
 def ood_split(pool: DataFrame, known: list[int], seed_n: int, pool_n: int, seed: int = 0) -> DataFrame:
     """(id, label, part): seed and pool rows of the known classes, pool rows of the others; all disjoint."""
     is_known = F.col("label").isin(known)
-    place = F.row_number().over(Window.partitionBy("label").orderBy(uniform(seed, F.col("id")), "id"))
-    part = F.when(is_known & (place <= seed_n), "seed").when(place <= seed_n + pool_n, F.when(is_known, "pool").otherwise("ood"))
-    return pool.select("id", "label", part.alias("part")).where("part is not null")
+    part = F.when(is_known & (F.col("place") <= seed_n), "seed").otherwise(F.when(is_known, "pool").otherwise("ood"))
+    drawn = first_per_group(pool.select("id", "label"), "label", seed_n + pool_n, uniform(seed, F.col("id")), F.col("id"))
+    return drawn.select("id", "label", part.alias("part"))
 
 
 def saturation(curve: DataFrame, window: int = 10, min_gain: float = 0.001) -> DataFrame:
@@ -129,7 +130,8 @@ def saturation(curve: DataFrame, window: int = 10, min_gain: float = 0.001) -> D
 
 
 def running_total(rows: DataFrame, value: str, by: str, order: Column) -> DataFrame:
-    return rows.withColumn("running", F.sum(value).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    """``rows`` with ``running``, the sum of ``value`` up to each row of its group."""
+    return running(rows, by, F.col(value), "running", order)
 
 
 @dataclass

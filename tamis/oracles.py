@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from tamis.functions.text import ACCENTED, PLAIN, PUNCTUATION
 from tamis.queries import CLASSES, K, N_DROP, SCALE, STOP_WORDS, TOP
 
@@ -301,6 +303,8 @@ ORACLES["text_clean"] = (
 )
 ORACLES["text_class_balance"] = "SELECT lang, quality, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY lang, quality"
 
+_share = f"SELECT id, v FROM ({FACILITY}) WHERE {uniform("'0:' || id || ':{step}'")} < {math.log(100) / K}"
+ORACLES["stochastic_greedy"] = unrolled(K, _share, f"{BASE}, {UU}")
 ORACLES["strategies_by_name"] = " UNION ALL ".join(
     f"SELECT '{name}' AS strategy, rank, id, score FROM ({ORACLES[known]})"
     for name, known in {

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -150,33 +151,48 @@ def cosine_gram(blocks: DataFrame) -> np.ndarray:
     return out.reshape(round(len(out) ** 0.5), -1)
 
 
-def per_candidate(blocks: DataFrame, compute: Callable[[Block], np.ndarray]) -> DataFrame:
-    """(id, v) with a value for each row of the blocks."""
+def kept_rows(block: Block, keep: Callable[[np.ndarray], np.ndarray] | None) -> Block:
+    if keep is None:
+        return block
+    own = keep(block.ids)
+    return Block(*[x[own] if len(x) else x for x in vars(block).values()])
+
+
+def per_candidate(blocks: DataFrame, compute: Callable[[Block], np.ndarray], keep: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(id, v) with a value for each row of the blocks, or for those whose ids ``keep`` takes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                b = unpacked(batch, k)
-                yield pa.RecordBatch.from_arrays([pa.array(b.ids), pa.array(np.asarray(compute(b), float))], ["id", "v"])
+                b = kept_rows(unpacked(batch, k), keep)
+                if len(b.ids):
+                    yield pa.RecordBatch.from_arrays([pa.array(b.ids), pa.array(np.asarray(compute(b), float))], ["id", "v"])
 
     return blocks.mapInArrow(run, "id long, v double")
 
 
-def over_pairs(candidates: DataFrame, ground: DataFrame, compute: Callable[[Block, Block], np.ndarray], how: str = "sum") -> DataFrame:
-    """(id, v): for each candidate the sum, min or max over ground blocks of what ``compute`` gives.
+_VOLUMES: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
+
+
+def over_pairs(candidates: DataFrame, ground: DataFrame, compute: Callable[[Block, Block], np.ndarray], how: str = "sum", keep: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(id, v): for each candidate (that ``keep`` takes) the sum, min or max over ground blocks of what ``compute`` gives.
 
     Every pair of blocks meets once. The ground's blocks are broadcast only up
     to ``MOST_BROADCAST`` bytes by their count; else Spark pairs partitions.
     """
     names = ["ids2", "g2", "e2", "s2"]
     other = ground.toDF(*names)
-    volume = ground.agg(F.sum(8 * (F.size("ids") + F.size("g") + F.size("e") + F.size("s")))).first()[0] or 0
+    if ground not in _VOLUMES:  # counted once, whatever the number of steps
+        _VOLUMES[ground] = ground.agg(F.sum(8 * (F.size("ids") + F.size("g") + F.size("e") + F.size("s")))).first()[0] or 0
+    volume = _VOLUMES[ground]
     pairs = candidates.crossJoin(F.broadcast(other) if volume <= MOST_BROADCAST else other)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                a, b = unpacked(batch, k), unpacked(batch, k, 4)
+                a, b = kept_rows(unpacked(batch, k), keep), unpacked(batch, k, 4)
+                if not len(a.ids):
+                    continue
                 yield pa.RecordBatch.from_arrays([pa.array(a.ids), pa.array(np.asarray(compute(a, b), float))], ["id", "v"])
 
     reduce = {"sum": F.sum, "min": F.min, "max": F.max}[how]

@@ -14,12 +14,14 @@ from pyspark.sql.window import Window
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (a local session, as in tests) a folder
-    of this machine is set.
+    Only a local session that names none (as in tests) gets a folder of this
+    machine; a cluster must name one that all its machines share.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None)
     if not named and not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints"))
     return named or os.path.dirname(context.getCheckpointDir())
 
@@ -69,6 +71,27 @@ def join_small(big: DataFrame, small: DataFrame, key: str, rows: int, spread: Co
     return joined.drop("_key", "_salt", "_salt2")
 
 
+def first_per_group(df: DataFrame, by: str, n: int, *order: Column, salts: int = 32) -> DataFrame:
+    """The first ``n`` rows of each group, with ``place`` from 1; a group's rows are cut to n per salt before they meet."""
+    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    some = dealt.withColumn("place", F.row_number().over(Window.partitionBy(by, "_salt").orderBy(*order))).where(F.col("place") <= n).drop("_salt")
+    return some.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("place") <= n)
+
+
+def running(df: DataFrame, by: str, value: Column, name: str, *order: Column) -> DataFrame:
+    """``df`` with the sum of ``value`` over its group's rows up to each, in ``order``, without one task that holds a group.
+
+    Rows are dealt by range of group and order and summed per range; a range
+    starts from the sums of those before it (a row per range and group).
+    """
+    ranged = stash(df.withColumn("_value", value).repartitionByRange(by, *order).withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy(F.col(by).alias("_by"), F.col("_range").alias("_part")).agg(F.sum("_value").alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy("_by").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = ranged.join(sums.select("_by", "_part", before.alias("_before")), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_part")))
+    own = F.sum("_value").over(Window.partitionBy(by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return joined.withColumn(name, own + F.col("_before")).drop("_value", "_range", "_by", "_part", "_sum", "_before")
+
+
 def ordinals(df: DataFrame, *order: Column) -> DataFrame:
     """``df`` with ``_ordinal``, each row's rank from 0 in ``order``, without one task that holds all rows.
 
