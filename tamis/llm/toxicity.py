@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamis.llm.text import fold_column
@@ -187,7 +187,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out:
     that sets the labels ``least_apart`` standard errors apart, and all
     identity terms. Of ``ridges`` the one with the smallest log loss over inner
     folds of the training rows is taken, features being chosen without the
-    inner fold too. Each document adds its counterfactual pairs to the penalty.
+    inner fold too. Each document adds its counterfactual pairs to the penalty,
+    the mean over pairs that differ in a chosen feature.
 
     Several labels of a document: toxic if any says so; null labels and null
     ids are left out; rows that repeat an id and its label count each. Without
@@ -212,9 +213,21 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out:
     counted = stash(sample.mapInArrow(count, "feature string, n long, part int").groupBy("feature").agg(*[F.sum(F.when(F.col("part") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in parts]))
     row = counted.where("feature = ''").first()
     totals = [row[f"n{k}"] if row else 0 for k in parts]
-    # what one row alone has tells nothing of others and stays in the tasks
-    seen = [sum(F.col(f"n{k}") for k in parts if k // FOLDS == toxic) for toxic in (0, 1)]
-    worth = counted.where("feature <> ''").where((seen[0] + seen[1] > 1) | F.col("feature").isin(TERMS)).toArrow()
+
+    def far(without: int | None) -> Column:
+        """apart_by in Spark, so that only features that matter leave the tasks."""
+        rows, n = [], []
+        for toxic in (0, 1):
+            own = [k for k in parts if k // FOLDS == toxic and k % FOLDS != without]
+            rows.append(max(sum(totals[k] for k in own), 1))
+            n.append(sum((F.col(f"n{k}") for k in own), F.lit(0)))
+        p = (n[0] + n[1] + 1) / (rows[0] + rows[1] + 2)
+        return F.abs(n[1] / rows[1] - n[0] / rows[0]) / F.sqrt(p * (1 - p) * (1 / rows[0] + 1 / rows[1])) >= least_apart - 1e-9
+
+    reach = F.col("feature").isin(TERMS)
+    for f in (None, *range(FOLDS)):
+        reach = reach | far(f)
+    worth = counted.where("feature <> ''").where(reach).toArrow()
     names = [*worth.column("feature").to_pylist()]
     names, order = (list(x) for x in (zip(*sorted(zip(names, range(len(names))))) if names else ((), ())))
     n = np.array([worth.column(f"n{k}").to_numpy() for k in parts]).reshape(2 * FOLDS, -1)[:, order]
@@ -248,24 +261,29 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out:
 
     indices = pa.list_(pa.int32())
     pair_list = pa.list_(pa.struct([("lost", indices), ("won", indices)]))
-    rows = sample.mapInArrow(design, "toxic int, fold int, own array<int>, pairs array<struct<lost:array<int>,won:array<int>>>").toArrow().to_pylist()
+    rows = sample.mapInArrow(design, "toxic int, fold int, own array<int>, pairs array<struct<lost:array<int>,won:array<int>>>").toArrow()
+    rows = [
+        {"toxic": toxic, "fold": f, "own": tuple(own), "pairs": [(tuple(p["lost"]), tuple(p["won"])) for p in pairs if p["lost"] or p["won"]], "asked": len(pairs)}
+        for batch in rows.to_batches(1000)
+        for toxic, f, own, pairs in zip(*[c.to_pylist() for c in batch.columns])
+    ]
     rows.sort(key=lambda r: (r["toxic"], r["fold"], r["own"]))
 
     def fitted(own: list[dict], f: int | None, ridge: float, steps: int) -> tuple[np.ndarray, float]:
-        pairs = [(p["lost"], p["won"]) for r in own for p in r["pairs"]]
+        pairs = [p for r in own for p in r["pairs"]]  # pairs whose texts have the same known features change no score
         return fit([(r["toxic"], r["own"]) for r in own], pairs, len(words), fairness, ridge, trust(f), steps)
 
     def inner_loss(ridge: float) -> float:
         total = 0.0
         for f in range(FOLDS):
             weights, bias = fitted([r for r in rows if r["fold"] != f], f, ridge, 80)
-            z = np.array([bias + weights[r["own"]].sum() for r in rows if r["fold"] == f])
+            z = np.array([bias + weights[list(r["own"])].sum() for r in rows if r["fold"] == f])
             total += float((np.logaddexp(0, z) - z * np.array([r["toxic"] for r in rows if r["fold"] == f])).sum())
         return total
 
     ridge = min(ridges, key=inner_loss) if len(ridges) > 1 and rows else ridges[0]
     weights, bias = fitted(rows, None, ridge, 300)
-    return Classifier(words, weights, bias, ridge, sum(len(r["pairs"]) for r in rows))
+    return Classifier(words, weights, bias, ridge, sum(r["asked"] for r in rows))
 
 
 def score_toxicity(docs: DataFrame, model: Classifier, threshold: float = 0.7) -> DataFrame:
