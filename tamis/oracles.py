@@ -319,3 +319,109 @@ ORACLES["strategies_by_name"] = " UNION ALL ".join(
         "fass": "fass_entropy",
     }.items()
 )
+
+# Log-determinants by Cholesky rows: what the rows taken so far explain of each candidate is the square of its row.
+RIDGE = 1e-6
+_LEFT = "(1 + {diagonal} - coalesce(list_dot_product({r}.l, {r}.l), 0))"
+_ROW = "({w} * ({s}) + CASE WHEN {same} THEN {diagonal} ELSE 0 END - coalesce(list_dot_product(a.l, b.l), 0)) / sqrt({left})"
+
+
+def explained(name: str, *sets: tuple[str, float]) -> str:
+    """Each pool row's Cholesky row over the rows of ``sets``, whose similarities to the pool are scaled by a weight."""
+    rows = " UNION ALL ".join(f"SELECT id, x, {w} AS w FROM {t}" for t, w in sets)
+    entry = _ROW.format(w="CASE WHEN a.n IS NULL THEN g.w ELSE 1 END", s=COSINE, same="a.n = b.n", diagonal=RIDGE, left=_LEFT.format(diagonal=RIDGE, r="b"))
+    return (
+        f"{name}_g AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY w, id) AS n FROM ({rows})), "
+        f"{name}_r AS (SELECT 0 AS t, n, id, x, CAST([] AS DOUBLE[]) AS l FROM {name}_g UNION ALL SELECT 0, NULL, id, x, CAST([] AS DOUBLE[]) FROM un "
+        f"UNION ALL SELECT a.t + 1, a.n, a.id, a.x, list_append(a.l, {entry}) FROM {name}_r a JOIN {name}_g g ON g.n = a.t + 1 JOIN {name}_r b ON b.n = a.t + 1), "
+        f"{name} AS MATERIALIZED (SELECT id, x, l FROM {name}_r WHERE n IS NULL AND t = (SELECT count(*) FROM {name}_g))"
+    )
+
+
+def log_determinants(signs: dict[str, int], given: str = "", diagonal: float = RIDGE) -> str:
+    """Greedy steps by the sum of the signed log-determinant gains, one per table of Cholesky rows."""
+
+    def between(t: int) -> list[str]:
+        if t == 0:
+            return [f"{name}0 AS MATERIALIZED (SELECT * FROM {name})" for name in signs]
+        entry = _ROW.format(w="1", s=COSINE, same="a.id = b.id", diagonal=diagonal, left=_LEFT.format(diagonal=diagonal, r="b"))
+        return [f"{name}{t} AS MATERIALIZED (SELECT a.id, a.x, list_append(a.l, {entry}) AS l FROM {name}{t - 1} a, {name}{t - 1} b JOIN pick{t - 1} p ON p.id = b.id)" for name in signs]
+
+    gains = " ".join(f"{'+' if sign > 0 else '-'} ln(greatest({_LEFT.format(diagonal=diagonal, r=name)}, 1e-12))" for name, sign in signs.items())
+    first, *others = signs
+    joined = f"{first}{{step}} {first} " + " ".join(f"JOIN {name}{{step}} {name} ON {name}.id = {first}.id" for name in others)
+    nothing = "alone AS MATERIALIZED (SELECT id, x, CAST([] AS DOUBLE[]) AS l FROM un)"
+    return "WITH RECURSIVE" + unrolled(K, f"SELECT {first}.id, {gains} AS v FROM {joined}", ", ".join(x for x in (BASE, nothing, given) if x), between=between).removeprefix("WITH")
+
+
+ORACLES["log_determinant"] = log_determinants({"alone": 1}, diagonal=1.0)
+ORACLES["logdetmi"] = log_determinants({"alone": 1, "by_q": -1}, explained("by_q", ("qs", 0.9)))
+ORACLES["logdetcg"] = log_determinants({"by_p": 1}, explained("by_p", ("ps", 0.9)))
+ORACLES["logdetcmi"] = log_determinants({"by_p": 1, "by_both": -1}, f"{explained('by_p', ('ps', 0.9))}, {explained('by_both', ('ps', 0.9), ('qs', 0.9))}")
+
+_parts = [
+    unrolled(
+        K,
+        "SELECT j AS id, least(any_value(n), coalesce(min(s) FILTER (WHERE i IN {chosen}), any_value(n))) AS v FROM kern JOIN near ON near.id = j GROUP BY j",
+        f"{BASE}, pl AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS pos, count(*) OVER () AS n FROM un), own AS MATERIALIZED (SELECT * FROM pl WHERE CASE WHEN pos < ceil(n / 2.0) THEN 0 ELSE 1 END = {part}), "
+        f"{kernel('kern', 'own', 'own', _DIST)}, near AS MATERIALIZED (SELECT b.id, min({_DIST}) AS n FROM lab a, own b GROUP BY b.id)",
+    )
+    for part in range(2)
+]
+ORACLES["partition_coreset"] = (
+    f"WITH sz AS (SELECT count(*) AS n FROM embeddings WHERE vec_id % 5 <> 0), bd AS (SELECT CAST(ceil({K} * ceil(n / 2.0) / n) AS INTEGER) AS first FROM sz), "
+    f"al AS (SELECT 0 AS part, * FROM ({_parts[0]}) UNION ALL SELECT 1, * FROM ({_parts[1]})) "
+    f"SELECT CAST(row_number() OVER (ORDER BY part, rank) AS INTEGER) AS rank, id, score FROM al, bd WHERE rank <= CASE WHEN part = 0 THEN first ELSE {K} - first END"
+)
+
+_SHIFTED = "list_transform(range(64), lambda d: x[d + 1] + ch[d + 1])"
+ORACLES["bim"] = (
+    f"WITH RECURSIVE {BASE}, ww AS MATERIALIZED (SELECT list(w ORDER BY c) AS ws FROM w), "
+    "st AS (SELECT 0 AS t, id, x, pred, list_transform(range(64), lambda d: CAST(0 AS DOUBLE)) AS ch FROM un UNION ALL "
+    "SELECT t + 1, id, x, pred, list_transform(range(64), lambda d: ch[d + 1] + 0.05 * sign(list_sum(list_transform(range(10), lambda c: (e[c + 1] / list_sum(e) - CASE WHEN c = pred THEN 1 ELSE 0 END) * ws[c + 1][d + 1])))) "
+    "FROM (SELECT *, list_transform(z, lambda v: exp(v - list_max(z))) AS e FROM "
+    f"(SELECT st.*, ws, list_transform(ws, lambda w: list_dot_product(w, {_SHIFTED})) AS z FROM st, ww WHERE t < 1000) WHERE list_position(z, list_max(z)) - 1 = pred)), "
+    "sc AS (SELECT id, arg_max(list_dot_product(ch, ch), t) AS s FROM st GROUP BY id) "
+    f"SELECT CAST(row_number() OVER (ORDER BY s, id) AS INTEGER) AS rank, id, round(s, 6) AS score FROM sc ORDER BY rank LIMIT {TOP}"
+)
+
+
+def _lloyd(tag: str, seed: int) -> str:
+    """Five iterations from k-means++ centres drawn with ``seed``; the last assignment is {tag}a5."""
+    drawn = lambda t: f"CASE WHEN v > 1e-12 THEN ln({uniform(f"'{seed}:' || id || ':{t}'")}) / v END DESC NULLS LAST"
+    seeds = unrolled(K, "SELECT j AS id, coalesce(min(s) FILTER (WHERE i IN {chosen}), 1.0) AS v FROM kern GROUP BY j", f"{BASE}, {kernel('kern', 'un', 'un', _D2)}", pick=drawn)
+    steps = ", ".join(f"{_assigned(f'{tag}a{t}', f'{tag}c{t}')}, {_means(f'{tag}c{t + 1}', f'{tag}a{t}', f'{tag}c{t}')}" for t in range(5))
+    return f"{tag}c0 AS MATERIALIZED (SELECT CAST(rank - 1 AS INTEGER) AS centre, x FROM ({seeds}) JOIN un USING (id)), {steps}, {_assigned(f'{tag}a5', f'{tag}c5')}"
+
+
+ORACLES["kmeans_best_of"] = (
+    f"WITH {BASE}, {_lloyd('f', 3)}, {_lloyd('g', 4)}, bt AS (SELECT (SELECT sum(s) FROM ga5) < (SELECT sum(s) FROM fa5) AS later), "
+    "al AS (SELECT a.* FROM fa5 a, bt WHERE NOT later UNION ALL SELECT a.* FROM ga5 a, bt WHERE later) "
+    "SELECT CAST(centre + 1 AS INTEGER) AS rank, id, round(sqrt(s), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY centre ORDER BY s, id) AS n FROM al) WHERE n = 1"
+)
+
+
+def _sampled_joints(t: int) -> list[str]:
+    """The chosen rows' joint outcomes: exact up to 200, else 50 drawn per pass, weighed by their mean probability."""
+    before = " UNION ALL ".join(f"SELECT {r} AS r, id FROM pick{r}" for r in range(t)) or "SELECT 0 AS r, CAST(NULL AS BIGINT) AS id WHERE false"
+    out = [f"bc{t} AS MATERIALIZED (SELECT r, bc.id, k, p FROM ({before}) bc JOIN mp USING (id))"]
+    if CLASSES**t > 200:
+        u = uniform(f"'{t - 1}:' || r || ':' || k || ':' || m")
+        out.append(f"bd{t} AS MATERIALIZED (SELECT k AS own, m, r, least(len(list_filter(list_transform(range({CLASSES}), lambda c: list_sum(p[1:c + 1])), lambda v: {u} > v)), {CLASSES - 1}) AS c FROM bc{t}, range(50) t(m))")
+        out.append(f"bj{t} AS (SELECT own * 50 + m AS m, k, product(p[c + 1]) AS j FROM bd{t} JOIN bc{t} USING (r) GROUP BY 1, 2)")
+        out.append(f"jt{t} AS MATERIALIZED (SELECT m, k, j, 1 / ({50 * N_DROP} * avg(j) OVER (PARTITION BY m)) AS w FROM bj{t})")
+    else:
+        tables = "".join(f" JOIN bc{t} b{r} ON b{r}.r = {r} AND b{r}.k = ks.k" for r in range(t)) + "".join(f", range({CLASSES}) c{r}(c)" for r in range(t))
+        number = " + ".join([f"c{r}.c * {CLASSES**r}" for r in range(t)] or ["0"])
+        chance = " * ".join([f"b{r}.p[c{r}.c + 1]" for r in range(t)] or ["1.0"])
+        out.append(f"jt{t} AS MATERIALIZED (SELECT {number} AS m, ks.k, {chance} AS j, 1.0 AS w FROM range({N_DROP}) ks(k){tables})")
+    return out
+
+
+ORACLES["batchbald_sampled"] = unrolled(
+    5,
+    f"SELECT e.id, e.v - ch.h - coalesce((SELECT sum(h) FROM ch WHERE id IN {{chosen}}), 0) AS v FROM ch JOIN (SELECT id, -sum(w * q * CASE WHEN q > 0 THEN ln(q) ELSE 0 END) AS v "
+    f"FROM (SELECT id, m, c, any_value(w) AS w, sum(j * p[c + 1]) / {N_DROP} AS q FROM jt{{step}} JOIN mp USING (k), range({CLASSES}) t(c) GROUP BY id, m, c) GROUP BY id) e ON e.id = ch.id",
+    f"{BASE}, {MASKS}, ch AS MATERIALIZED (SELECT id, avg({ENTROPY}) AS h FROM mp GROUP BY id)",
+    between=_sampled_joints,
+)
