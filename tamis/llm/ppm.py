@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.text import chunks, fold, fold_column
+from tamis.llm.text import chunks, fold_column, slices
 from tamis.shared import numbered, stash
 
 ORDER = 5
@@ -42,6 +43,18 @@ def symbol_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return joined, np.arange(len(joined)) - np.repeat(ends - lengths, lengths)
 
 
+def symbol_keys(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Each symbol's key: up to ORDER codes before it in its text, then its own; zeros where the text has none."""
+    n = len(codes)
+    padded = np.concatenate([np.zeros(ORDER, np.int64), codes])
+    keys = np.zeros(n, np.int64)
+    for k in range(DEPTH):
+        keys = (keys << BITS) | padded[k : k + n]
+    early = np.flatnonzero(at < ORDER)
+    keys[early] &= (np.int64(1) << (BITS * (at[early] + 1))) - 1
+    return keys
+
+
 def grams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct runs of DEPTH codes from every place of every text (padded past its end) and their counts."""
     codes, at = symbol_codes(texts)
@@ -71,7 +84,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             return keys[first], np.add.reduceat(n, first)
 
         for batch in batches:
-            texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(0).cast(pa.large_binary())]
+            texts = _texts(batch.column(0))
             for a, b in chunks(texts):
                 held.append(grams_of(texts[a:b]))
                 if sum(len(k) for k, _ in held) > 3_000_000:
@@ -97,16 +110,14 @@ def trie_nodes(grams: DataFrame) -> DataFrame:
 
 
 class Trie:
-    """Nodes of one slice as sorted arrays per depth, with what coding needs.
+    """Nodes as sorted arrays per depth, with what coding needs.
 
-    A slice holds the contexts that end in some of the pairs of codes, and all
-    contexts shorter than a pair. The chain of shorter contexts from any
-    context stays inside its slice.
+    They are all nodes or a slice of them. A slice holds some contexts and all
+    their ends, so the chain of shorter contexts from any context stays inside.
     """
 
-    def __init__(self, depth: np.ndarray, key: np.ndarray, n: np.ndarray, pairs: np.ndarray | None):
-        self.pairs = pairs  # None: all
-        self.keys, self.n = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
+    def __init__(self, depth: np.ndarray, key: np.ndarray, n: np.ndarray):
+        self.keys, self.n, self.table = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], None
         for d in range(1, DEPTH + 1):
             own = depth == d
             order = np.argsort(key[own])
@@ -126,7 +137,6 @@ class Trie:
                 self.shorter.append(np.bincount(parent, in_shorter, size))
             else:
                 self.shorter.append(np.zeros(size))
-        self._hash_longest()
 
     def _hash_longest(self) -> None:
         """An open-addressed table from the deepest nodes to their log probability; most symbols need no more."""
@@ -149,20 +159,14 @@ class Trie:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def log10p(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol; 0 where its context is another slice's."""
-        n = len(codes)
-        keys = np.zeros(n, np.int64)
-        padded = np.concatenate([np.zeros(ORDER, np.int64), codes])
-        for k in range(DEPTH):
-            keys = (keys << BITS) | padded[k : k + n]
-        out = np.zeros(n)
-        own = np.ones(n, bool)
-        if self.pairs is not None:
-            pair = (keys >> BITS) & ((1 << 2 * BITS) - 1)
-            own = np.isin(np.where(at >= 2, pair, 0), self.pairs)
-        todo = np.flatnonzero(own & (at >= ORDER))
+        """log10 probability of each symbol."""
+        if self.table is None:
+            self._hash_longest()
+        keys = symbol_keys(codes, at)
+        out = np.zeros(len(keys))
+        todo = np.flatnonzero(at >= ORDER)
         slot = self._slot(keys[todo])
-        rest = [np.flatnonzero(own & (at < ORDER))]
+        rest = [np.flatnonzero(at < ORDER)]
         while len(todo):
             held = self.table[slot]
             hit = held == keys[todo]
@@ -171,10 +175,12 @@ class Trie:
             go = ~hit & (held != -1)
             todo, slot = todo[go], (slot[go] + 1) & self.mask
         rest = np.concatenate(rest)
-        out[rest] = self._coded(keys[rest], np.minimum(at[rest], ORDER))
+        out[rest] = self.log10p_of(keys[rest])
         return out
 
-    def _coded(self, keys: np.ndarray, longest: np.ndarray) -> np.ndarray:
+    def log10p_of(self, keys: np.ndarray) -> np.ndarray:
+        """log10 probability of each symbol given by its key."""
+        longest = np.searchsorted([1 << BITS * k for k in range(1, DEPTH)], keys, "right")
         out = np.zeros(len(keys))
         open_ = np.ones(len(keys), bool)
         gone, gone_kinds = np.zeros(len(keys)), np.zeros(len(keys))  # excluded from the present context
@@ -206,50 +212,208 @@ def _index(own: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(own[at] == keys, at, -1)
 
 
-def slices_of(nodes: DataFrame, most: int) -> list[list[int] | None]:
-    """The pairs of codes of each slice: as few slices as keep each under about ``most`` nodes.
+class Sent:
+    """A trie's nodes as they are sent; each worker builds the trie from them once."""
+
+    def __init__(self, *nodes: np.ndarray):
+        self.nodes, self.built = nodes, None
+
+    def trie(self) -> Trie:
+        if self.built is None:
+            self.built = Trie(*self.nodes)
+        return self.built
+
+
+# --- the trie in slices -------------------------------------------------------------------------
+
 
-    None stands for all pairs in one slice. There are at most 258 * 258 pairs.
+PAIR = (1 << 2 * BITS) - 1
+LAST = (1 << BITS) - 1
+
+
+class Slices:
+    """Which slice codes a symbol: it goes by the last two codes of the context, or by three where a pair has too many nodes.
+
+    ``first`` has a slice per pair, or -1 - j where row j of ``second`` has one
+    per third code. Contexts shorter than that are coded in any slice: all hold
+    the nodes of depth 1 and 2, and a divided pair's slices its nodes of depth 3.
+    """
+
+    def __init__(self, first: np.ndarray, second: np.ndarray, count: int):
+        self.first, self.second, self.count = first, second, count
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        out = self.first[(keys >> BITS) & PAIR]
+        split = np.flatnonzero(out < 0)
+        out[split] = self.second[-1 - out[split], (keys[split] >> 3 * BITS) & LAST]
+        return out
+
+    def deal(self, depth: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the node, slice) for every slice that holds a node."""
+        pair = self.first[(key >> BITS) & PAIR]
+        everywhere, divided = depth < 3, (depth == 3) & (pair < 0)
+        own = np.flatnonzero(~everywhere & ~divided)
+        places, dealt = [own], [self.of(key[own])]
+        groups = [(np.flatnonzero(everywhere), np.arange(self.count))]
+        groups += [(np.flatnonzero(divided & (pair == j)), np.unique(self.second[-1 - j])) for j in np.unique(pair[divided])]
+        for nodes, slices in groups:
+            places.append(np.tile(nodes, len(slices)))
+            dealt.append(np.repeat(slices, len(nodes)))
+        return np.concatenate(places), np.concatenate(dealt)
+
+
+def plan_slices(nodes: DataFrame, most: int) -> Slices:
+    """As few slices, of pairs and triples in order, as keep each under about ``most`` nodes.
+
+    The driver gets a count for each of at most 258 * 258 pairs and, for pairs
+    of more than ``most`` nodes, for each code before them. A triple is not
+    divided; the alphabet bounds its nodes.
     """
-    pair = F.shiftright("key", BITS).bitwiseAND(F.lit((1 << 2 * BITS) - 1))
-    deep = nodes.where("depth > 2").groupBy(pair.alias("pair")).count()
-    sizes = sorted((r["pair"], r["count"]) for r in deep.collect())
-    if sum(n for _, n in sizes) <= most:
-        return [None]
-    out, held = [[0]], 0
-    for pair, n in sizes:
+    context = F.shiftright("key", BITS)
+    pair = context.bitwiseAND(F.lit(PAIR))
+    sizes = {r["pair"]: r["count"] for r in nodes.where("depth > 2").groupBy(pair.alias("pair")).count().collect()}
+    split = sorted(p for p, n in sizes.items() if n > most)
+    third = F.shiftright("key", 3 * BITS).bitwiseAND(F.lit(LAST))
+    counted = nodes.where("depth > 3").where(pair.isin(split)).groupBy(pair.alias("pair"), third.alias("third")).count().collect() if split else []
+    items = [(p, 0, n) for p, n in sizes.items() if n <= most] + [(p, 0, 0) for p in split] + [(r["pair"], r["third"], r["count"]) for r in counted]
+    first, second = np.zeros(PAIR + 1, np.int64), np.zeros((len(split), LAST + 1), np.int64)
+    row = {p: j for j, p in enumerate(split)}
+    at = held = 0
+    for p, c, n in sorted(items):
         if held and held + n > most:
-            out.append([])
-            held = 0
-        out[-1].append(pair)
+            at, held = at + 1, 0
         held += n
-    # pairs that no long context has still have short ones, and are coded in the first slice
-    seen = {p for p, _ in sizes}
-    out[0] += [a << BITS | b for a in range(258) for b in range(258) if (a << BITS | b) not in seen and (a or b)]
-    return out
+        if p not in row:
+            first[p] = at
+        elif c:
+            second[row[p], c] = at
+        else:
+            first[p], second[row[p]] = -1 - row[p], at
+    return Slices(first, second, at + 1)
 
 
-class Slice:
-    """A slice's nodes as they are sent; each worker builds the trie from them once."""
+def packed(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
 
-    def __init__(self, depth: np.ndarray, key: np.ndarray, n: np.ndarray, pairs: np.ndarray | None):
-        self.nodes, self.built = (depth.astype(np.int8), key, n, pairs), None
 
-    def trie(self) -> Trie:
-        if self.built is None:
-            self.built = Trie(*self.nodes)
-        return self.built
+def unpacked(payload: bytes) -> pa.Table:
+    return pa.ipc.open_stream(payload).read_all()
+
+
+def pack_blocks(docs: DataFrame, size: int) -> DataFrame:
+    """(block, payload): consecutive rows (doc_id, text, row) of about ``size`` bytes, compressed."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = TaskContext.get().partitionId() << 20, []
+        for batch in batches:
+            for piece in slices(batch, 1, max(size // 8, 1)):
+                held.append(piece)
+                if sum(p.nbytes for p in held) >= size:
+                    yield _row(block=number, payload=packed(pa.Table.from_batches(held)))
+                    number, held = number + 1, []
+        if held:
+            yield _row(block=number, payload=packed(pa.Table.from_batches(held)))
+
+    return docs.mapInArrow(pack, "block long, payload binary")
+
+
+def unpack_blocks(blocks: DataFrame) -> DataFrame:
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload in batch.column(0):
+                yield from unpacked(payload.as_py()).to_batches()
+
+    return blocks.select("payload").mapInArrow(unpack, "doc_id long, text string, row long")
+
+
+def _row(**values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([values], pa.schema([(k, pa.binary() if isinstance(v, bytes) else pa.int64()) for k, v in values.items()]))
+
+
+def _texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
+    return [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in column.cast(pa.large_binary())]
+
+
+def block_keys(texts: list[bytes]) -> np.ndarray:
+    """The distinct keys of all symbols of a block, sorted."""
+    held = [np.unique(symbol_keys(*symbol_codes(texts[a:b]))) for a, b in chunks(texts, 1 << 20)]
+    return np.unique(np.concatenate(held))
 
 
-def load_slice(nodes: DataFrame, pairs: list[int] | None) -> Slice:
-    """A slice's nodes, at most about ``most`` of them, through the driver."""
-    own = nodes
-    if pairs is not None:
-        pair = F.shiftright("key", BITS).bitwiseAND(F.lit((1 << 2 * BITS) - 1))
-        chosen = nodes.sparkSession.createDataFrame([(p,) for p in pairs], "pair long")
-        own = nodes.where("depth <= 2").unionByName(nodes.where("depth > 2").withColumn("pair", pair).join(F.broadcast(chosen), "pair", "left_semi").drop("pair"))
-    table = own.select("depth", "key", "n").toArrow()
-    return Slice(*[table.column(k).to_numpy() for k in range(3)], None if pairs is None else np.array(sorted(pairs), np.int64))
+def sliced_scores(blocks: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """(doc_id, row, score) of the texts of ``blocks``, by a trie of any size.
+
+    Each block asks for its distinct keys, slice by slice. A slice's nodes meet
+    what a group of blocks asks of it; groups are as large as keeps the nodes
+    sent in proportion to the keys asked. The answers go back to their block in
+    the order of its keys. A task holds one slice, and one block's keys or
+    texts; nothing but counts passes through the driver, and every text is read
+    twice, however large the trie.
+    """
+    slices_ = plan_slices(nodes, most)
+    shared = nodes.sparkSession.sparkContext.broadcast(slices_)
+    symbols = nodes.where("depth = 1").agg(F.sum("n")).first()[0]
+    groups = max(1, round(symbols / (8 * slices_.count * most)))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            depth, key, n = [batch.column(k).to_numpy() for k in range(3)]
+            place, part = shared.value.deal(depth, key)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (part, depth[place].astype(np.int64), key[place], n[place])], ["part", "depth", "key", "n"])
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("depth", "ascending"), ("key", "ascending")])
+        key = np.diff(table["key"].to_numpy(), prepend=0)
+        nodes = pa.table({"depth": table["depth"].cast(pa.int8()), "key": key, "n": table["n"]})
+        return pa.Table.from_batches([_row(part=table["part"][0].as_py(), payload=packed(nodes))])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+                keys = block_keys(_texts(unpacked(payload.as_py())["text"]))
+                part = shared.value.of(keys)
+                for p in np.unique(part).tolist():
+                    yield _row(part=p, block=block, payload=packed(pa.table({"key": np.diff(keys[part == p], prepend=0)})))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = None
+        for batch in batches:
+            for part, block, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                table = unpacked(payload.as_py())
+                key = np.cumsum(table["key"].to_numpy())
+                if block is None:
+                    trie = Trie(table["depth"].to_numpy(), key, table["n"].to_numpy())
+                else:
+                    yield _row(block=block, part=part, payload=trie.log10p_of(key).astype(np.float32).tobytes())
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answers: list[np.ndarray] = []
+        for batch in batches:
+            for part, payload in zip(batch.column(1).to_pylist(), batch.column(2)):
+                if part is not None:
+                    answers.append(np.frombuffer(payload.as_py(), np.float32))
+                    continue
+                rows = unpacked(payload.as_py())
+                texts = _texts(rows["text"])
+                keys = block_keys(texts)
+                logp = np.zeros(len(keys))
+                logp[np.argsort(shared.value.of(keys), kind="stable")] = np.concatenate(answers)
+                scores, answers = [], []
+                for a, b in chunks(texts, 1 << 20):
+                    codes, at = symbol_codes(texts[a:b])
+                    scores.append(np.add.reduceat(logp[np.searchsorted(keys, symbol_keys(codes, at))], np.flatnonzero(at == 0)))
+                yield from pa.table({"doc_id": rows["doc_id"], "row": rows["row"], "score": np.concatenate(scores)}).combine_chunks().to_batches()
+
+    dealt = nodes.select("depth", "key", "n").mapInArrow(deal, "part long, depth long, key long, n long")
+    sent = dealt.groupBy("part").applyInArrow(pack, "part long, payload binary").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    asked = blocks.mapInArrow(ask, "part long, block long, payload binary").withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
+    met = sent.withColumn("block", F.lit(None).cast("long")).unionByName(asked).repartition("part", "group").sortWithinPartitions("part", "group", F.col("block").asc_nulls_first())
+    answered = met.select("part", "block", "payload").mapInArrow(answer, "block long, part long, payload binary")
+    back = answered.unionByName(blocks.withColumn("part", F.lit(None).cast("long"))).repartition("block").sortWithinPartitions("block", F.col("part").asc_nulls_last())
+    return back.select("block", "part", "payload").mapInArrow(finish, "doc_id long, row long, score double")
 
 
 # --- the operator -------------------------------------------------------------------------------
@@ -277,14 +441,16 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def lm_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, most_nodes: int = 6_000_000, most_frequent: int = 100_000) -> DataFrame:
+def lm_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, most_nodes: int = 6_000_000, most_frequent: int = 100_000, block: int = 1 << 24) -> DataFrame:
     """Unigram base and PPM scores of each document; learned from those outside the held-out fold.
 
     Words (of the text with A-Z lower-cased) and one end per text are the
     tokens of the base score, with add-one smoothing and one unknown type. The
     ``most_frequent`` words' counts are broadcast; a text's other words meet
     their counts in a join, so no dictionary grows with the corpus and no
-    frequent word meets in one task.
+    frequent word meets in one task. A trie of at most ``most_nodes`` nodes is
+    broadcast; a larger one is cut into slices of that size, which blocks of
+    documents of about ``block`` bytes ask (see sliced_scores).
 
     Null texts are empty; a null id counts as the empty id text. Every row is
     scored for itself, also where an id repeats. Very long texts are read
@@ -304,10 +470,13 @@ def lm_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, most_nodes: in
     least = min(frequent.values()) if len(frequent) == most_frequent else 0
     rare = counts.where(F.col("n") <= least)
     nodes = stash(trie_nodes(gram_counts(train)))
-    slices = slices_of(nodes, most_nodes)
-    if len(slices) > 1:
-        docs = stash(docs)  # the numbers of the rows are used once per slice
-    tries = [spark.sparkContext.broadcast(load_slice(nodes, slices[0]))]
+    docs, whole, trie = docs.select("doc_id", "text", F.col(row).alias("row")), nodes.count() <= most_nodes, None
+    if whole:
+        table = nodes.select(F.col("depth").cast("byte"), "key", "n").toArrow()
+        trie = spark.sparkContext.broadcast(Sent(*[table.column(k).to_numpy() for k in range(3)]))
+    else:
+        blocks = stash(pack_blocks(docs, block))
+        docs = unpack_blocks(blocks)
     per_token = math.log10(n + v + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +484,7 @@ def lm_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, most_nodes: in
         end = math.log10(ends + 1)
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1).cast(pa.large_binary())]
+            texts = _texts(batch.column(1))
             for a, b in chunks(texts, 1 << 20):
                 out_ids, out_rows, words, tf, tokens, known, base = [], [], [], [], [], [], []
                 for doc_id, row, text in zip(ids[a:b], rows[a:b], texts[a:b]):
@@ -332,13 +501,14 @@ def lm_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, most_nodes: in
                     known += [len(hits) + (1 if ends else 0)] + [0] * m
                     base += [math.fsum(hits) + end] + [0.0] * m
                 scores = np.zeros(len(words))
-                scores[np.flatnonzero(np.array(tokens) > 0)] = text_scores(tries[0].value.trie(), texts[a:b])
+                if whole:
+                    scores[np.flatnonzero(np.array(tokens) > 0)] = text_scores(trie.value.trie(), texts[a:b])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out_ids, pa.int64()), pa.array(out_rows, pa.int64()), pa.array(words, pa.binary()), pa.array(tf, pa.int64()), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores)],
                     ["doc_id", "row", "word", "tf", "tokens", "known", "base", "score"],
                 )
 
-    rows = docs.select("doc_id", "text", row).mapInArrow(score, "doc_id long, row long, word binary, tf long, tokens long, known long, base double, score double")
+    rows = docs.mapInArrow(score, "doc_id long, row long, word binary, tf long, tokens long, known long, base double, score double")
     met = rows.join(rare.select("word", F.col("n").alias("c")), "word", "left")
     parts = met.select(
         "doc_id",
@@ -348,9 +518,9 @@ def lm_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, most_nodes: in
         (F.col("base") + F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("base"),
         "score",
     )
-    for pairs in slices[1:]:
-        tries.append(spark.sparkContext.broadcast(load_slice(nodes, pairs)))
-        parts = parts.unionByName(_slice_scores(docs.select("doc_id", "text", row), tries[-1]))
+    if not whole:
+        zero = {c: F.lit(0).cast(parts.schema[c].dataType) for c in ("tokens", "known", "base")}
+        parts = parts.unionByName(sliced_scores(blocks, nodes, most_nodes).withColumns(zero))
     summed = parts.groupBy("doc_id", "row").agg(*[F.sum(c).alias(c) for c in ("tokens", "known", "base", "score")])
     return summed.select(
         "doc_id",
@@ -361,14 +531,3 @@ def lm_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, most_nodes: in
         (F.col("base") - F.col("tokens") * per_token).alias("base_score"),
         "score",
     )
-
-
-def _slice_scores(docs: DataFrame, trie) -> DataFrame:
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1).cast(pa.large_binary())]
-            out = [text_scores(trie.value.trie(), texts[a:b]) for a, b in chunks(texts, 1 << 20)]
-            zero = np.zeros(batch.num_rows, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(zero), pa.array(zero), pa.array(zero.astype(float)), pa.array(np.concatenate(out) if out else zero.astype(float))], ["doc_id", "row", "tokens", "known", "base", "score"])
-
-    return docs.mapInArrow(score, "doc_id long, row long, tokens long, known long, base double, score double")

@@ -70,6 +70,30 @@ def test_scores_match_brute_force(docs, odd_docs, no_docs, most_nodes, most_freq
             assert g[5:] == pytest.approx(w[5:], rel=1e-5)
 
 
+def test_a_trie_in_slices_scores_as_a_whole_one(docs, odd_docs):
+    """Many blocks, groups of blocks, and pairs of codes with more nodes than a slice may have."""
+    table = docs.select("doc_id", "text").unionByName(odd_docs.select("doc_id", "text")).repartition(3)
+    rows = [sorted((str(r["doc_id"]), r["n_known"], round(r["base_score"], 6), r["score"]) for r in ppm.lm_scores(table, **sizes).collect()) for sizes in ({}, {"most_nodes": 2000, "block": 60_000})]
+    assert [r[:3] for r in rows[0]] == [r[:3] for r in rows[1]]
+    assert [r[3] for r in rows[0]] == pytest.approx([r[3] for r in rows[1]], rel=1e-5)
+
+
+def test_slices_hold_whole_chains_of_contexts(spark):
+    texts = [b"aabab aab ab", b"bab aba", b"zz"]
+    keys, n = ppm.grams_of(texts)
+    nodes = ppm.trie_nodes(spark.createDataFrame(list(zip(keys.tolist(), n.tolist())), "key long, n long")).toPandas()
+    slices = ppm.plan_slices(spark.createDataFrame(nodes), 4)
+    assert slices.count > 3 and (slices.first < 0).any()
+    depth, key, count = (nodes[c].to_numpy() for c in ("depth", "key", "n"))
+    place, part = slices.deal(depth, key)
+    whole, symbols = ppm.Trie(depth, key, count), ppm.symbol_keys(*ppm.symbol_codes([*texts, b"abz ba", b""]))
+    for p in range(slices.count):
+        own = symbols[slices.of(symbols) == p]
+        some = place[part == p]
+        assert len(np.unique(some)) == len(some)
+        assert ppm.Trie(depth[some], key[some], count[some]).log10p_of(own) == pytest.approx(whole.log10p_of(own))
+
+
 def test_probabilities_of_all_next_symbols_add_up():
     texts = [b"abracadabra", b"abab", b"cadabra ra"]
     keys, n = ppm.grams_of(texts)
@@ -83,7 +107,7 @@ def test_probabilities_of_all_next_symbols_add_up():
         depth += [d] * len(c)
         key += list(c)
         count += c.values()
-    trie = ppm.Trie(np.array(depth), np.array(key), np.array(count), None)
+    trie = ppm.Trie(np.array(depth), np.array(key), np.array(count))
     for context in (b"", b"a", b"abr", b"zzabra", b"dab"):
         codes, at = ppm.symbol_codes([context])
         p = 0.0
