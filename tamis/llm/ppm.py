@@ -337,10 +337,22 @@ def _texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in column.cast(pa.large_binary())]
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
 def block_keys(texts: list[bytes]) -> np.ndarray:
     """The distinct keys of all symbols of a block, sorted."""
-    held = [np.unique(symbol_keys(*symbol_codes(texts[a:b]))) for a, b in chunks(texts, 1 << 20)]
-    return np.unique(np.concatenate(held))
+    return distinct(np.concatenate([distinct(symbol_keys(*symbol_codes(texts[a:b]))) for a, b in chunks(texts, 1 << 20)]))
+
+
+def looked_up(own: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The value of each key, by keys that are all in the sorted array ``own``; in order they are found much sooner."""
+    order = np.argsort(keys)
+    out = np.empty(len(keys), values.dtype)
+    out[order] = values[np.searchsorted(own, keys[order])]
+    return out
 
 
 def sliced_scores(blocks: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
@@ -404,7 +416,7 @@ def sliced_scores(blocks: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
                 scores, answers = [], []
                 for a, b in chunks(texts, 1 << 20):
                     codes, at = symbol_codes(texts[a:b])
-                    scores.append(np.add.reduceat(logp[np.searchsorted(keys, symbol_keys(codes, at))], np.flatnonzero(at == 0)))
+                    scores.append(np.add.reduceat(looked_up(keys, logp, symbol_keys(codes, at)), np.flatnonzero(at == 0)))
                 yield from pa.table({"doc_id": rows["doc_id"], "row": rows["row"], "score": np.concatenate(scores)}).combine_chunks().to_batches()
 
     dealt = nodes.select("depth", "key", "n").mapInArrow(deal, "part long, depth long, key long, n long")
