@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import exact_dedup, host_rules, line_dedup, mixing, page_text, pieces, ppm, simhash, token_index, toxicity
+from tamis.llm import centroids, exact_dedup, filter_audit, host_rules, line_dedup, mixing, page_text, pieces, ppm, simhash, substring_dedup, token_index, toxicity
 from tamis.llm.oracles import ORACLES
 from tamis.llm.text import fold_column
 from tamis.shared import new_folder, stash
@@ -72,12 +72,25 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_page_text, op2_host_quality, op3_source_mix, op4_token_shards, op5_exact_dedup, op6_line_dedup, op7_toxicity, op8_pieces, op9_lm_scores, op10_simhash, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_page_text, op2_host_quality, op3_source_mix, op4_token_shards, op5_exact_dedup, op6_line_dedup, op7_toxicity, op8_pieces, op9_lm_scores, op10_simhash, op11_filter_audit, op12_substring_dedup, op13_centroids, pipeline)}
 
 __all__ = ["ORACLES", "QUERIES"]

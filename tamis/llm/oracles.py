@@ -57,4 +57,57 @@ gone AS (SELECT DISTINCT doc_id, k + j AS k FROM x, range(3) t(j) WHERE seen > 1
 m AS (SELECT n.*, gone.k IS NOT NULL AS out FROM n LEFT JOIN gone ON n.doc_id = gone.doc_id AND n.k = gone.k)
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT out), '') AS text, count(*) FILTER (WHERE word) AS n_lines, count(*) FILTER (WHERE out) AS n_removed FROM m GROUP BY doc_id"""
 
-ORACLES = {"op2_host_quality": OP2, "op3_source_mix": OP3, "op5_exact_dedup": OP5, "op6_line_dedup": OP6}
+OP11 = f"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {WORDS} AS words FROM documents),
+f AS (SELECT w.doc_id, part, CAST(len(words) < 200 AS INT) AS a, CAST(100 * len(list_distinct(words)) < 50 * len(words) AS INT) AS b,
+  CAST(100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text) AS INT) AS c, CAST(regexp_matches(text, '[#$%&*|]') AS INT) AS d,
+  CAST(coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY text), false) AS INT) AS e FROM w),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, [a, b, c, d, e] AS fails, a + b + c + d + e AS n_fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM f LEFT JOIN l ON f.doc_id = l.doc_id GROUP BY ALL),
+n5 AS (SELECT unnest(range(1, 6)) AS k),
+o AS (SELECT [p.k, q.k, r.k, s.k, t.k] AS ord FROM n5 p, n5 q, n5 r, n5 s, n5 t WHERE len(list_distinct([p.k, q.k, r.k, s.k, t.k])) = 5),
+x AS (SELECT part, array_to_string(list_transform(ord, lambda v: substr('ABCDE', v, 1)), '') AS filter_order, ord, n5.k AS step, ord[n5.k] AS own, n, good, toxic, n_fails, fails[ord[n5.k]] = 1 AS hit,
+  len(list_filter(ord[1:n5.k - 1], lambda v: fails[v] = 1)) > 0 AS before FROM m, o, n5),
+g AS (SELECT part, filter_order, step, own, sum(n) FILTER (WHERE NOT hit AND NOT before) AS kept, sum(n) FILTER (WHERE hit AND NOT before) AS removed, sum(n) FILTER (WHERE hit AND before) AS redundant,
+  sum(n) FILTER (WHERE hit AND n_fails = 1) AS unique_fails, sum(good) FILTER (WHERE hit AND NOT before) AS good_lost, sum(toxic) FILTER (WHERE hit AND NOT before) AS toxic_lost FROM x GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley FROM g"""
+
+_TWENTY = " || ' ' || ".join(["word", *[f"lead(word, {k}) OVER o" for k in range(1, 20)]])
+
+OP12 = f"""
+WITH w AS (SELECT doc_id, {WORDS} AS words FROM documents),
+v AS MATERIALIZED (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM w),
+s AS (SELECT doc_id, pos AS i, {_TWENTY} AS g FROM v WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+x AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS seen FROM s WHERE g IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, i + k AS pos FROM x, range(20) t(k) WHERE seen > 1),
+cut AS (SELECT doc_id, list(pos) AS gone FROM gone GROUP BY doc_id),
+kept AS (SELECT v.doc_id, string_agg(word, ' ' ORDER BY v.pos) AS text FROM v LEFT JOIN gone ON v.doc_id = gone.doc_id AND v.pos = gone.pos WHERE gone.pos IS NULL GROUP BY v.doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM w LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+def _clustered(rounds: int = 3) -> str:
+    """Rounds written out one by one; a centroid is a list, rounded-down means come by whole-number arithmetic."""
+    sql = """
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS cluster, v AS c FROM (SELECT sha256('1:' || vec_id) AS h, v FROM v ORDER BY h LIMIT 16))"""
+    for k in range(rounds + 1):
+        sql += f""",
+p{k} AS (SELECT vec_id, v, cluster, CAST(list_sum(list_transform(list_zip(v, c), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS BIGINT) AS distance FROM v, c{k}),
+a{k} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, arg_min(cluster, distance * 1000 + cluster) AS cluster, min(distance) AS distance FROM p{k} GROUP BY vec_id)"""
+        if k < rounds:
+            sql += f""",
+e{k} AS (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM a{k}),
+m{k} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY d) AS c FROM (SELECT cluster, d, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM e{k} GROUP BY cluster, d) GROUP BY cluster),
+c{k + 1} AS MATERIALIZED (SELECT cluster, coalesce(m.c, o.c) AS c FROM c{k} o LEFT JOIN m{k} m USING (cluster))"""
+    return sql + f"""
+SELECT vec_id, CAST(cluster AS INT) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (cluster)"""
+
+
+OP13 = _clustered()
+
+ORACLES = {"op2_host_quality": OP2, "op3_source_mix": OP3, "op5_exact_dedup": OP5, "op6_line_dedup": OP6, "op11_filter_audit": OP11, "op12_substring_dedup": OP12, "op13_centroids": OP13}

@@ -11,7 +11,8 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    for name_of in ("documents", "labels", "embeddings"):
+        con.sql(f"CREATE VIEW {name_of} AS SELECT * FROM '{SMALL}/{name_of}.parquet'")
     df, sql = QUERIES[name](spark, SMALL), con.sql(ORACLES[name])
     names = sorted(df.columns)
     assert names == sorted(sql.columns)
@@ -22,4 +23,4 @@ def test_matches_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)} | {"pipeline"}
