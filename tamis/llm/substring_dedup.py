@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tamis.llm.text import SPACES, chunks
@@ -134,11 +134,11 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def block_anchors(window: int):
-    """For mapInArrow over (block, text): a row per different anchor of a block, with its count up to two."""
+    """For mapInArrow over (block, text): a row per different anchor of a block; ``own`` is twice the block, and one more where it has the anchor twice."""
 
     def flushed(block: int, held: list[np.ndarray]) -> pa.RecordBatch:
         hashes, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([_signed(hashes), pa.array(np.full(len(n), block)), pa.array(np.minimum(n, 2).astype(np.int32))], ["h", "block", "n"])
+        return pa.RecordBatch.from_arrays([_signed(hashes), pa.array(2 * block + (n > 1))], ["h", "own"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = None, []
@@ -166,47 +166,60 @@ class _Documents:
     def __init__(self, table: pa.Table):
         ids, said = table.column("doc_id").to_pylist(), table.column("said").to_pylist()
         keys = [(d is None, 0 if d is None else d, s) for d, s in zip(ids, said)]
-        self.order = sorted(range(len(keys)), key=keys.__getitem__)
-        self.ids, self.said = [ids[i] for i in self.order], [said[i] for i in self.order]
-        self.texts = pc.take(table.column("text"), pa.array(self.order, pa.int64())).cast(pa.binary()).to_pylist()
-        new = [k == 0 or keys[a] != keys[b] for k, (a, b) in enumerate(zip(self.order, [None, *self.order]))]
+        order = sorted(range(len(keys)), key=keys.__getitem__)
+        self.ids, self.said = [ids[i] for i in order], [said[i] for i in order]
+        self.texts = pc.take(table.column("text"), pa.array(order, pa.int64())).cast(pa.binary()).to_pylist()
+        new = [k == 0 or keys[a] != keys[b] for k, (a, b) in enumerate(zip(order, [None, *order]))]
         self.rank = np.cumsum(new) - 1 if new else np.zeros(0, np.int64)
 
-    def parts(self) -> Iterator[tuple[int, int]]:
-        return chunks(self.texts, 2 * PIECE)
+    def windows(self, window: int, near=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(words per document, places, first and second hashes) of the windows, or of those at places that ``near(words, counts)`` takes."""
+        words, counts = word_hashes(self.texts)
+        starts, a = _windows(words, counts, window)
+        own = near(words, counts)[starts] if near else np.ones(len(starts), bool)
+        if not own.any():
+            return counts, starts[:0], a[:0], a[:0]
+        return counts, starts[own], a[own], _windows(word_hashes(self.texts, 1)[0], counts, window, 1)[1][own]
+
+    def codes(self, counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Numbers in the order of a window's places: the document's rank, then the word's number; places of equal documents are equal."""
+        return np.repeat(self.rank, counts)[starts] << 32 | _positions(counts)[starts]
 
 
 def block_windows(window: int, doc_id: pa.DataType):
-    """For cogrouped (documents, repeated anchors) of a block: a row per different window around such an anchor."""
-    period, names = cover_of(window)[0], ["a", "b", "block", "n", "no_id", "doc_id", "said", "at"]
+    """For cogrouped (documents, repeated anchors) of a block: a row per different window around such an anchor.
+
+    ``at`` is the place of its first word in the block, ``own`` as for anchors;
+    the document is that of its first place.
+    """
+    period = cover_of(window)[0]
 
     def run(table: pa.Table, repeated: pa.Table) -> pa.Table:
         docs, hits = _Documents(table), np.sort(repeated.column("h").to_numpy().view(np.uint64))
-        found = [np.zeros((4, 0), np.uint64)]
-        for i, j in docs.parts() if len(hits) else ():
-            words, counts = word_hashes(docs.texts[i:j])
+
+        def near(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+            """Anchors that repeat, extended to every window that can hold them at their offset."""
             anchors, hashes = _anchors(words, counts, window)
             anchors = anchors[hits[np.minimum(np.searchsorted(hits, hashes), len(hits) - 1)] == hashes]
-            at, near = _positions(counts), np.zeros(len(words), bool)
-            for back in range(period):  # the anchor extended to every window that can hold it at its offset
-                near[anchors[at[anchors] >= back] - back] = True
-            starts, a = _windows(words, counts, window)
-            own = near[starts]
-            starts, a = starts[own], a[own]
-            b = _windows(word_hashes(docs.texts[i:j], 1)[0], counts, window, 1)[1][own] if len(starts) else a
-            rank = np.repeat(docs.rank[i:j], counts)[starts]
-            found.append(np.array([a, b, rank.astype(np.uint64), at[starts].astype(np.uint64)]))
-        a, b, rank, at = np.concatenate(found, axis=1)
-        order = np.lexsort((at, rank, b, a))
-        a, b, rank, at = a[order], b[order], rank[order].astype(np.int64), at[order].astype(np.int64)
-        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
-        n = np.minimum(np.diff(np.r_[first, len(a)]), 2).astype(np.int32)
-        place = {int(r): k for k, r in reversed(list(enumerate(docs.rank.tolist())))}
-        who = [place[r] for r in rank[first].tolist()]
+            at, taken = _positions(counts), np.zeros(len(words), bool)
+            for back in range(period):
+                taken[anchors[at[anchors] >= back] - back] = True
+            return taken
+
+        counts, starts, a, b = docs.windows(window, near if len(hits) else lambda words, counts: np.zeros(len(words), bool))
+        order = np.lexsort((docs.codes(counts, starts), b, a))
+        edges = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])] if len(a) else np.zeros(0, bool)
+        first = np.flatnonzero(edges)
+        more = np.diff(np.r_[first, len(a)]) > 1
+        kept = order[first]
+        in_order = np.argsort(starts[kept], kind="stable")  # rows of one document together take less room
+        kept, more = kept[in_order], more[in_order]
+        who = np.searchsorted(np.cumsum(counts), starts[kept], side="right").tolist()
         block = table.column("block")[0].as_py() if table.num_rows else 0
+        ties = [int.from_bytes(s[:8], "big") - (1 << 63) for s in docs.said]
         ids = [docs.ids[k] for k in who]
-        columns = [_signed(a[first]), _signed(b[first]), pa.array(np.full(len(first), block)), pa.array(n), pa.array([d is None for d in ids], pa.bool_()), pa.array(ids, doc_id), pa.array([docs.said[k] for k in who], pa.binary()), pa.array(at[first].astype(np.int32))]
-        return pa.Table.from_arrays(columns, names)
+        columns = [_signed(a[kept]), _signed(b[kept]), pa.array(2 * block + more, pa.int64()), pa.array(starts[kept].astype(np.int32)), pa.array([d is None for d in ids], pa.bool_()), pa.array(ids, doc_id), pa.array([ties[k] for k in who], pa.int64())]
+        return pa.Table.from_arrays(columns, ["a", "b", "own", "at", "no_id", "doc_id", "tie"])
 
     return run
 
@@ -224,36 +237,30 @@ def _matched(a: np.ndarray, b: np.ndarray, known_a: np.ndarray, known_b: np.ndar
 
 
 def block_kept(window: int, doc_id: pa.DataType):
-    """For cogrouped (documents, repeated windows) of a block: what is left of each document."""
+    """For cogrouped (documents, windows that stand earlier or twice) of a block: what is left of each document.
+
+    A window that has its first place here (``owner``) stays there and goes
+    everywhere else; any other goes wherever the block has it.
+    """
     span = pa.list_(pa.struct([("start", pa.int32()), ("to", pa.int32())]))
 
     def run(table: pa.Table, repeated: pa.Table) -> pa.Table:
-        docs = _Documents(table)
-        a, b = (repeated.column(c).to_numpy().view(np.uint64) for c in "ab")
-        order = np.lexsort((b, a))
-        a, b, owner = a[order], b[order], repeated.column("owner").to_numpy(zero_copy_only=False).astype(bool)[order]
-        least = np.full(len(a), np.iinfo(np.int64).max)
-        seen = []
-        if len(a):
-            for i, j in docs.parts():
-                words, counts = word_hashes(docs.texts[i:j])
-                starts, own = _windows(words, counts, window)
-                near = np.isin(own, a)
-                starts, own = starts[near], own[near]
-                second = _windows(word_hashes(docs.texts[i:j], 1)[0], counts, window, 1)[1][near] if len(starts) else own
-                known = _matched(own, second, a, b)
-                starts, known = starts[known >= 0], known[known >= 0]
-                code = np.repeat(docs.rank[i:j], counts)[starts] << 32 | _positions(counts)[starts]
-                np.minimum.at(least, known, code)
-                seen.append((i, j, counts, starts, known, code))
-        gone: dict[int, np.ndarray] = {}
-        for i, j, counts, starts, known, code in seen:
-            cut = starts[~(owner[known] & (code == least[known]))]
-            steps = np.bincount(cut, minlength=counts.sum() + 1) - np.bincount(cut + window, minlength=counts.sum() + 1)
-            flags = np.cumsum(steps)[:-1] > 0
+        docs, gone = _Documents(table), {}
+        if repeated.num_rows:
+            counts, starts, a, b = docs.windows(window)
+            asked = np.searchsorted(starts, repeated.column("at").to_numpy())
+            order = np.lexsort((b[asked], a[asked]))
+            asked, owner = asked[order], repeated.column("owner").to_numpy(zero_copy_only=False).astype(bool)[order]
+            known = _matched(a, b, a[asked], b[asked])
+            starts, known = starts[known >= 0], known[known >= 0]
+            codes = docs.codes(counts, starts)
+            least = np.full(len(asked), np.iinfo(np.int64).max)
+            np.minimum.at(least, known, codes)
+            cut = starts[~(owner[known] & (codes == least[known]))]
+            size = counts.sum() + 1
+            flags = np.cumsum(np.bincount(cut, minlength=size) - np.bincount(cut + window, minlength=size))[:-1] > 0
             ends = np.cumsum(counts)
-            for k in np.unique(np.searchsorted(ends, cut, side="right")).tolist():
-                gone[i + k] = flags[ends[k] - counts[k] : ends[k]]
+            gone = {k: flags[ends[k] - counts[k] : ends[k]] for k in np.unique(np.searchsorted(ends, cut, side="right")).tolist()}
         kept, n_words, n_removed, spans = [], [], [], []
         for k, text in enumerate(docs.texts):
             words, cut = text.split(), gone.get(k)
@@ -312,19 +319,16 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     table = spark.table(name)
     arrow_id = pa.array([], pa.int64()).type if isinstance(id_type, LongType) else pa.int32() if isinstance(id_type, IntegerType) else pa.string()
 
-    anchors = table.select("block", "text").mapInArrow(block_anchors(window), "h long, block long, n int")
-    hits = anchors.withColumn("all", F.sum("n").over(Window.partitionBy("h"))).where(F.col("all") > 1).select("block", "h")
-    window_row = StructType([StructField("a", LongType()), StructField("b", LongType()), fields[0], StructField("n", IntegerType()), *_place_fields(id_type)])
-    windows = table.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(block_windows(window, arrow_id), window_row)
-    place, same = F.struct("no_id", "doc_id", "said", "at"), Window.partitionBy("a", "b")
-    judged = windows.withColumns({"all": F.sum("n").over(same), "first": F.min(place).over(same)}).where(F.col("all") > 1)
-    repeated = judged.select("block", "a", "b", place.eqNullSafe(F.col("first")).alias("owner"))
+    anchors = table.select("block", "text").mapInArrow(block_anchors(window), "h long, own long")
+    twice = F.sum(1 + F.col("own").bitwiseAND(1))
+    hits = anchors.withColumn("n", twice.over(Window.partitionBy("h"))).where("n > 1").select(F.shiftright("own", 1).alias("block"), "h")
+    row = StructType([StructField("a", LongType()), StructField("b", LongType()), StructField("own", LongType()), StructField("at", IntegerType()), StructField("no_id", BooleanType()), fields[1], StructField("tie", LongType())])
+    windows = table.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(block_windows(window, arrow_id), row)
+    place, same = F.struct("no_id", "doc_id", "tie"), Window.partitionBy("a", "b")
+    judged = windows.withColumns({"n": twice.over(same), "first": F.min(place).over(same)}).where("n > 1")
+    judged = judged.withColumn("owner", place.eqNullSafe(F.col("first"))).where(~F.col("owner") | (F.col("own").bitwiseAND(1) == 1))
+    repeated = judged.select(F.shiftright("own", 1).alias("block"), "at", "owner")
     span = ArrayType(StructType([StructField("start", IntegerType()), StructField("to", IntegerType())]))
     out = StructType([fields[1], fields[3], StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("spans", span)])
     return table.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(block_kept(window, arrow_id), out)
 
-
-def _place_fields(id_type) -> list[StructField]:
-    from pyspark.sql.types import BooleanType
-
-    return [StructField("no_id", BooleanType()), StructField("doc_id", id_type), StructField("said", BinaryType()), StructField("at", IntegerType())]
