@@ -178,8 +178,9 @@ class _Documents:
         starts, a = _windows(words, counts, window)
         own = near(words, counts)[starts] if near else np.ones(len(starts), bool)
         if not own.any():
-            return counts, starts[:0], a[:0], a[:0]
-        return counts, starts[own], a[own], _windows(word_hashes(self.texts, 1)[0], counts, window, 1)[1][own]
+            return counts, starts[:0], a[:0], a[:0].astype(np.uint32)
+        b = _windows(word_hashes(self.texts, 1)[0], counts, window, 1)[1][own]
+        return counts, starts[own], a[own], (b >> np.uint64(32)).astype(np.uint32)
 
     def codes(self, counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Numbers in the order of a window's places: the document's rank, then the word's number; places of equal documents are equal."""
@@ -218,7 +219,7 @@ def block_windows(window: int, doc_id: pa.DataType):
         block = table.column("block")[0].as_py() if table.num_rows else 0
         ties = [int.from_bytes(s[:8], "big") - (1 << 63) for s in docs.said]
         ids = [docs.ids[k] for k in who]
-        columns = [_signed(a[kept]), _signed(b[kept]), pa.array(2 * block + more, pa.int64()), pa.array(starts[kept].astype(np.int32)), pa.array([d is None for d in ids], pa.bool_()), pa.array(ids, doc_id), pa.array([ties[k] for k in who], pa.int64())]
+        columns = [_signed(a[kept]), pa.array(b[kept].view(np.int32)), pa.array(2 * block + more, pa.int64()), pa.array(starts[kept].astype(np.int32)), pa.array([d is None for d in ids], pa.bool_()), pa.array(ids, doc_id), pa.array([ties[k] for k in who], pa.int64())]
         return pa.Table.from_arrays(columns, ["a", "b", "own", "at", "no_id", "doc_id", "tie"])
 
     return run
@@ -303,7 +304,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     and has no words. Documents shorter than a window stay whole. Very long
     texts are hashed in pieces and compared whole; an empty table gives an
     empty one. Only ``doc_id`` and ``text`` are read, so other columns cannot
-    clash. Windows count as equal when two 64-bit hashes of theirs agree.
+    clash. Windows count as equal when two hashes of theirs, of 64 and
+    32 bits, agree.
     Returns doc_id, text (the kept words joined by one space), n_words,
     n_removed and spans (the removed words' numbers, [start, to)).
     """
@@ -322,7 +324,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     anchors = table.select("block", "text").mapInArrow(block_anchors(window), "h long, own long")
     twice = F.sum(1 + F.col("own").bitwiseAND(1))
     hits = anchors.withColumn("n", twice.over(Window.partitionBy("h"))).where("n > 1").select(F.shiftright("own", 1).alias("block"), "h")
-    row = StructType([StructField("a", LongType()), StructField("b", LongType()), StructField("own", LongType()), StructField("at", IntegerType()), StructField("no_id", BooleanType()), fields[1], StructField("tie", LongType())])
+    row = StructType([StructField("a", LongType()), StructField("b", IntegerType()), StructField("own", LongType()), StructField("at", IntegerType()), StructField("no_id", BooleanType()), fields[1], StructField("tie", LongType())])
     windows = table.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(block_windows(window, arrow_id), row)
     place, same = F.struct("no_id", "doc_id", "tie"), Window.partitionBy("a", "b")
     judged = windows.withColumns({"n": twice.over(same), "first": F.min(place).over(same)}).where("n > 1")
