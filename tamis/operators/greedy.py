@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tamis.functions.vectors import uniform
-from tamis.plans.blocks import Block, cosine_features, cosine_gram, gathered, over_pairs, per_candidate, to_blocks, unpacked
+from tamis.plans.blocks import Block, cosine_features, cosine_gram, gathered, gathered_blocks, nearest_rows, over_ground, over_pairs, per_candidate, summed, to_blocks, to_ranked_blocks, unpacked
+from tamis.plans.linear import GrowingFactor, inverse
 from tamis.plans.model import uniform as uniform_number
 from tamis.shared import stash
 
@@ -59,6 +60,70 @@ def greedy(rows: DataFrame, k: int, gains: Gains, score: Callable[[Column, Colum
     return picks
 
 
+#: Candidates of a block that has one bound, blocks evaluated at once at first and at most, and blocks kept on the driver.
+LAZY_BLOCK, WAVE, MOST_WAVE, MOST_KEPT = 256, 4, 32, 64
+
+
+def lazy_greedy(pool: DataFrame, first: DataFrame, k: int, gains: Callable[[Block, Block], np.ndarray], stop_zero: bool = False, stop_negative: bool = False, trace: list | None = None) -> list[tuple[int, float]]:
+    """greedy() for gains that never grow as rows are chosen, evaluating only blocks that may hold the best.
+
+    ``first`` (id, v) has every candidate's gain when nothing is chosen.
+    Candidates are packed by falling gain, so those of a block have gains near
+    one another, and a block's bound is the largest it had when last evaluated.
+    A step takes blocks by falling bound, a few and then twice as many, until no
+    bound left reaches the best gain found. ``gains(candidates, chosen)`` is for
+    at most ``MOST_WAVE`` blocks. The driver holds a bound per block and at most
+    ``MOST_KEPT`` blocks. ``trace`` gets (step, blocks evaluated, all blocks).
+    """
+    worst = float("-inf")
+    ranked = pool.join(first.select("id", F.coalesce(F.nanvl("v", F.lit(worst)), F.lit(worst)).alias("v")), "id")
+    blocks = stash(to_ranked_blocks(ranked, LAZY_BLOCK))
+    table = blocks.select("no", "bound").orderBy("no").toArrow()
+    numbers, bounds = table.column("no").to_numpy(), table.column("bound").to_numpy().copy()
+    kept: dict[int, Block] = {}
+
+    def fetched(places: list[int]) -> list[Block]:
+        missing = [p for p in places if p not in kept]
+        if len(kept) + len(missing) > MOST_KEPT:
+            for p in [p for p in kept if p not in places]:
+                del kept[p]
+        if missing:
+            found = gathered_blocks(blocks, [int(numbers[p]) for p in missing])
+            kept.update((p, found[int(numbers[p])]) for p in missing)
+        return [kept[p] for p in places]
+
+    chosen, picks = Block.none(), []
+    for step in range(k if len(numbers) else 0):
+        best, winner, seen, size = worst, None, np.zeros(len(numbers), bool), WAVE
+        if step == 0:  # the gains that the blocks are packed by
+            best, own = float(bounds[0]), fetched([0])[0]
+            winner = (int(own.ids[0]), own) if best > worst else None
+        while step:
+            least = best - 1e-9 * max(1.0, abs(best)) if winner else worst
+            open_ = np.flatnonzero(~seen & (bounds >= least) & (bounds > worst))
+            places = open_[np.argsort(-bounds[open_], kind="stable")][:size].tolist()
+            if not places:
+                break
+            seen[places] = True
+            group = fetched(places)
+            both = Block(*[np.concatenate(x) for x in zip(*[vars(b).values() for b in group])])
+            value = np.where(np.isin(both.ids, chosen.ids), worst, np.nan_to_num(gains(both, chosen), nan=worst))
+            for p, own, part in zip(places, group, np.split(value, np.cumsum([len(b.ids) for b in group])[:-1])):
+                bounds[p] = part.max()
+                top = int(own.ids[part == bounds[p]].min())
+                if bounds[p] > worst and (winner is None or (-bounds[p], top) < (-best, winner[0])):
+                    best, winner = float(bounds[p]), (top, own)
+            size = min(2 * size, MOST_WAVE)
+        if trace is not None:
+            trace.append((step, int(seen.sum()), len(numbers)))
+        if winner is None or stop_zero and best == 0 or stop_negative and best < 0:
+            break
+        picks.append((winner[0], best))
+        row = np.flatnonzero(winner[1].ids == winner[0])[:1]
+        chosen = chosen.add(Block(*[x[row] for x in vars(winner[1]).values()]))
+    return picks
+
+
 # --- coverage, diversity and information measures -----------------------------------------------
 
 CONCAVE = {"log": np.log1p, "sqrt": np.sqrt, "inverse": lambda x: x / (1 + x)}
@@ -66,40 +131,50 @@ SUBMODULAR = ("facility_location", "feature_based", "graph_cut", "log_determinan
 MUTUAL = ("fl1mi", "fl2mi", "com", "gcmi", "logdetmi")
 CONDITIONAL = ("flcg", "gccg", "logdetcg")
 CONDITIONAL_MUTUAL = ("flcmi", "logdetcmi")
+#: Objectives that cover the pool's rows by the best similarity to a chosen one.
+COVERAGE = ("facility_location", "fl1mi", "flcg", "flcmi")
 RIDGE = 1e-6
 #: Rows of a query or private set up to which a log-determinant may take their own kernel.
 MOST_GATHERED = 5000
 
 
-def _log_det_gain(own: np.ndarray, cross: np.ndarray, within: np.ndarray) -> np.ndarray:
-    """log of what is left of each candidate's variance once the chosen are known."""
-    left = own
-    if len(within):
-        left = own - np.einsum("ij,ij->i", cross, np.linalg.solve(within, cross.T).T)
-    return np.log(np.maximum(left, 1e-12))
-
-
 class _Kernel:
-    """Similarities less what the rows of ``given`` explain of them, those rows scaled by ``weight``."""
+    """Similarities less what the rows of ``given`` explain of them, those rows scaled by ``weight``.
+
+    ``chosen`` rows are followed by a factor on the driver that grows by a row
+    per pick; a candidate's own row of the factor is one product, so nothing is
+    solved in tasks and no state is rewritten from step to step.
+    """
 
     def __init__(self, metric: str, given: Block, weight: np.ndarray | float, diagonal: float = RIDGE):
         self.metric, self.given, self.weight, self.diagonal = metric, given, weight, diagonal
         n = len(given.ids)
-        self.inverse = np.linalg.inv(given.similarity(given, metric) + RIDGE * np.eye(n)) if n else np.zeros((0, 0))
+        self.inverse = inverse(given.similarity(given, metric) + RIDGE * np.eye(n)) if n else np.zeros((0, 0))
+        self.chosen, self.factor = Block.none(), GrowingFactor()
 
     def _to(self, a: Block) -> np.ndarray:
         return a.similarity(self.given, self.metric) * self.weight if len(self.given.ids) else np.zeros((len(a.ids), 0))
 
-    def gain(self, a: Block, chosen: Block) -> np.ndarray:
-        own = a.self_similarity(self.metric) + self.diagonal
+    def _left(self, a: Block) -> np.ndarray:
+        """Each row's variance once the given are known."""
         to = self._to(a)
-        own = own - np.einsum("ij,ij->i", to @ self.inverse, to)
-        if not len(chosen.ids):
-            return _log_det_gain(own, np.zeros((len(a.ids), 0)), np.zeros((0, 0)))
-        c = self._to(chosen)
-        cross = a.similarity(chosen, self.metric) - to @ self.inverse @ c.T
-        within = chosen.similarity(chosen, self.metric) + self.diagonal * np.eye(len(chosen.ids)) - c @ self.inverse @ c.T
-        return _log_det_gain(own, cross, within)
+        return a.self_similarity(self.metric) + self.diagonal - np.einsum("ij,ij->i", to @ self.inverse, to)
+
+    def _cross(self, a: Block, b: Block) -> np.ndarray:
+        if not len(b.ids):
+            return np.zeros((len(a.ids), 0))
+        return a.similarity(b, self.metric) - self._to(a) @ self.inverse @ self._to(b).T
+
+    def follow(self, chosen: Block) -> None:
+        """Takes what was chosen since the last step into the factor."""
+        for t in range(len(self.chosen.ids), len(chosen.ids)):
+            row = Block(*[x[t : t + 1] for x in vars(chosen).values()])
+            self.factor.add(self._cross(row, self.chosen)[0], float(self._left(row)[0]))
+            self.chosen = self.chosen.add(row)
+
+    def gain(self, a: Block) -> np.ndarray:
+        """log of what is left of each candidate's variance once the given and the chosen are known."""
+        return np.log(np.maximum(self._left(a) - self.factor.explained(self._cross(a, self.chosen)), 1e-12))
 
 
 class _GramKernel(_Kernel):
@@ -116,12 +191,13 @@ class _GramKernel(_Kernel):
     def __init__(self, p: np.ndarray, q: np.ndarray, v: float, w: float, diagonal: float = RIDGE):
         self.metric, self.diagonal, d = "cosine", diagonal, v - w
         ridge = RIDGE * np.eye(len(p))
-        inverse = np.linalg.inv(p + q + ridge)
-        pa = p @ inverse
-        m = w * w * (p + q) @ inverse + w * d * (pa + pa.T)
+        a = inverse(p + q + ridge)
+        pa = p @ a
+        m = w * w * (p + q) @ a + w * d * (pa + pa.T)
         if d:
             m += d * d / RIDGE * pa @ (q + ridge)
         self.inverse = (m + m.T) / 2
+        self.chosen, self.factor = Block.none(), GrowingFactor()
 
     def _to(self, a: Block) -> np.ndarray:
         return cosine_features(a) if len(a.ids) else np.zeros((0, len(self.inverse)))
@@ -142,12 +218,22 @@ def maximise(
     stop_zero: bool = False,
     stop_negative: bool = False,
     seed: int = 0,
+    neighbours: int | None = None,
+    trace: list | None = None,
 ) -> list[tuple[int, float]]:
     """Greedy maximiser of an objective over rows (id, g, e); (id, gain) in the order chosen.
 
-    The naive and lazy optimisers choose alike, so both are the same passes;
-    the two stochastic ones look in each step at a hashed share of the pool
-    only, about (n / k) ln 100 rows. A modular objective is a plain top-k.
+    The naive optimiser evaluates every candidate in every step. The lazy one
+    does so once for objectives that cover a ground set, and then only blocks of
+    candidates whose bound reaches the best (see lazy_greedy); both choose
+    alike. The two stochastic ones look in each step at a hashed share of the
+    pool only, about (n / k) ln 100 rows. A modular objective is a plain top-k.
+
+    ``neighbours``, for the coverage of the pool, counts each row as covered by
+    its so many most similar rows only (others give nothing): block meets block
+    once, and a step then costs n times ``neighbours``. With as many neighbours
+    as rows it is the dense objective; with fewer, f falls short by at most the
+    sum, over rows with no chosen neighbour, of their least kept similarity.
     """
     if function not in SUBMODULAR + MUTUAL + CONDITIONAL + CONDITIONAL_MUTUAL:
         raise ValueError(f"unknown objective {function!r}")
@@ -157,6 +243,8 @@ def maximise(
         raise ValueError(f"{function} needs lambda_val")
     if function in MUTUAL + CONDITIONAL_MUTUAL and query is None or function in CONDITIONAL + CONDITIONAL_MUTUAL and private is None:
         raise ValueError(f"{function} needs a query or private set")
+    if neighbours is not None and function not in COVERAGE:
+        raise ValueError(f"neighbours are for {', '.join(COVERAGE)}")
     lam = 1.0 if lam is None else lam
     pool = stash(pool)
     blocks = stash(to_blocks(pool))
@@ -170,7 +258,6 @@ def maximise(
         """Which candidates a stochastic step looks at; gains of the others are never computed."""
         return None if share is None else lambda ids: np.array([uniform_number(seed, i, step) < share for i in ids.tolist()], bool)
 
-
     def with_state(*columns: DataFrame) -> DataFrame:
         """The pool's blocks with a number per row from each table (id, v), fixed over all steps."""
         out = pool
@@ -182,26 +269,57 @@ def maximise(
         return sim(b, chosen).max(axis=1) if len(chosen.ids) else np.zeros(len(b.ids))
 
     largest = lambda ground: over_pairs(blocks, ground, lambda a, b: sim(a, b).max(axis=1), "max")
-    summed = lambda ground: over_pairs(blocks, ground, lambda a, b: sim(a, b).sum(axis=1))
+    added = lambda ground: over_pairs(blocks, ground, lambda a, b: sim(a, b).sum(axis=1))
 
-    def covering(ground: DataFrame, value) -> Gains:
-        """Sum over ground rows of value(best similarity, row) with and without the candidate."""
+    lazy: dict = {}
 
-        def gains(step: int, chosen: Block) -> DataFrame:
-            def compute(a: Block, b: Block) -> np.ndarray:
-                cur = current(b, chosen)
-                return (value(np.maximum(sim(a, b), cur[None, :]), b) - value(cur[None, :], b)).sum(axis=1)
+    def covering(ground: DataFrame, compute, extra: DataFrame | None = None) -> Gains:
+        """Sums over ground rows of compute(candidates, ground rows, chosen), plus ``extra`` (id, v) of the candidate itself."""
 
-            return over_pairs(blocks, ground, compute, keep=drawn(step))
+        def gains(step: int, chosen: Block) -> DataFrame:
+            found = over_pairs(blocks, ground, lambda a, b: compute(a, b, chosen), keep=drawn(step))
+            return found if extra is None else found.join(extra.select("id", F.col("v").alias("m")), "id").select("id", (F.col("v") + F.col("m")).alias("v"))
 
+        lazy.update(ground=ground, compute=compute, extra=extra)
         return gains
 
+    def best_of(value):
+        """For covering(): value(best similarity, states of the ground row) with and without the candidate."""
+
+        def compute(a: Block, b: Block, chosen: Block) -> np.ndarray:
+            cur, states = current(b, chosen)[None, :], [x[None, :] for x in b.s.T]
+            return (value(np.maximum(sim(a, b), cur), states) - value(cur, states)).sum(axis=1)
+
+        return compute
+
     local = lambda own, compute: lambda step, chosen: per_candidate(own, lambda a: compute(a, chosen), drawn(step))
+
+    def left_over(*signed: tuple[float, _Kernel]) -> Gains:
+        """Sums of signed log-determinant gains."""
+
+        def gains(step: int, chosen: Block) -> DataFrame:
+            for _, kernel in signed:
+                kernel.follow(chosen)
+            return per_candidate(blocks, lambda a: sum(sign * kernel.gain(a) for sign, kernel in signed), drawn(step))
+
+        return gains
+
     to_chosen = lambda a, chosen: sim(a, chosen).sum(axis=1) if len(chosen.ids) else np.zeros(len(a.ids))
     modular = None
 
-    if function == "facility_location":
-        gains = covering(blocks, lambda m, b: m)
+    if function in COVERAGE:
+        value = {
+            "facility_location": lambda m, s: m,
+            "fl1mi": lambda m, s: np.minimum(m, eta * s[0]),
+            "flcg": lambda m, s: np.maximum(m - nu * s[0], 0),
+            "flcmi": lambda m, s: np.maximum(np.minimum(m, eta * s[0]) - nu * s[1], 0),
+        }[function]
+        states = {"facility_location": (), "fl1mi": (q,), "flcg": (p,), "flcmi": (q, p)}[function]
+        columns = [largest(x) for x in states]
+        if neighbours is not None:
+            gains = SparseCoverage(blocks, neighbours, metric, columns, value)
+            return lazy_greedy(pool, gains.first(pool), k, gains, stop_zero, stop_negative, trace)
+        gains = covering(with_state(*columns) if columns else blocks, best_of(value))
     elif function == "feature_based":
 
         def compute(a, chosen):
@@ -211,38 +329,27 @@ def maximise(
 
         gains = local(blocks, compute)
     elif function == "graph_cut":
-        gains = local(with_state(summed(blocks)), lambda a, c: a.s[:, 0] - lam * (2 * to_chosen(a, c) + a.self_similarity(metric)))
+        gains = local(with_state(added(blocks)), lambda a, c: a.s[:, 0] - lam * (2 * to_chosen(a, c) + a.self_similarity(metric)))
     elif function == "log_determinant":
-        plain = _Kernel(metric, Block.none(), 1.0, lam)
-        gains = local(blocks, plain.gain)
+        gains = left_over((1, _Kernel(metric, Block.none(), 1.0, lam)))
     elif function == "disparity_sum":
         gains = local(blocks, lambda a, c: (1 - sim(a, c)).sum(axis=1) if len(c.ids) else np.zeros(len(a.ids)))
     elif function == "disparity_min":
         gains = local(blocks, lambda a, c: (1 - sim(a, c)).min(axis=1) if len(c.ids) else np.zeros(len(a.ids)))
-    elif function == "fl1mi":
-        gains = covering(with_state(largest(q)), lambda m, b: np.minimum(m, eta * b.s[:, 0][None, :]))
-    elif function == "flcg":
-        gains = covering(with_state(largest(p)), lambda m, b: np.maximum(m - nu * b.s[:, 0][None, :], 0))
-    elif function == "flcmi":
-        gains = covering(with_state(largest(q), largest(p)), lambda m, b: np.maximum(np.minimum(m, eta * b.s[:, 0][None, :]) - nu * b.s[:, 1][None, :], 0))
     elif function == "fl2mi":
-        best, cover = stash(largest(q)), covering(q, lambda m, b: m)
-        gains = lambda step, c: cover(step, c).join(best.select("id", F.col("v").alias("m")), "id").select("id", (F.col("v") + eta * F.col("m")).alias("v"))
+        gains = covering(q, best_of(lambda m, s: m), stash(largest(q).select("id", (eta * F.col("v")).alias("v"))))
     elif function == "com":
-        whole = stash(summed(q))
         curve = {"log": F.log1p, "sqrt": F.sqrt, "inverse": lambda x: x / (1 + x)}[concave]
 
-        def gains(step, chosen):
-            def compute(a, b):
-                had = sim(b, chosen).sum(axis=1) if len(chosen.ids) else np.zeros(len(b.ids))
-                return (psi(had[None, :] + sim(a, b)) - psi(had)[None, :]).sum(axis=1)
-
-            return over_pairs(blocks, q, compute, keep=drawn(step)).join(whole.select("id", F.col("v").alias("t")), "id").select("id", (F.col("v") + eta * curve("t")).alias("v"))
+        def together(a: Block, b: Block, chosen: Block) -> np.ndarray:
+            had = sim(b, chosen).sum(axis=1) if len(chosen.ids) else np.zeros(len(b.ids))
+            return (psi(had[None, :] + sim(a, b)) - psi(had)[None, :]).sum(axis=1)
 
+        gains = covering(q, together, stash(added(q).select("id", (eta * curve("v")).alias("v"))))
     elif function == "gcmi":
-        modular = summed(q).select("id", (2 * lam * F.col("v")).alias("v"))
+        modular = added(q).select("id", (2 * lam * F.col("v")).alias("v"))
     elif function == "gccg":
-        own = with_state(summed(blocks), summed(p))
+        own = with_state(added(blocks), added(p))
         gains = local(own, lambda a, c: a.s[:, 0] - lam * (2 * to_chosen(a, c) + a.self_similarity(metric)) - 2 * lam * nu * a.s[:, 1])
     else:
         plain = _Kernel(metric, Block.none(), 1.0)
@@ -252,7 +359,7 @@ def maximise(
             """What is left of the similarities; rows come to the driver only where they are fewer than features, or the metric has none."""
             sets = [x for x in sets if not x[0].isEmpty()]
             if not sets:
-                return plain
+                return _Kernel(metric, Block.none(), 1.0)
             first = sets[0][0].select(F.size("ids").alias("n"), F.size("g").alias("g"), F.size("e").alias("e")).where("n > 0").first()
             features = 1 + first["g"] // first["n"] * (first["e"] // first["n"])
             if metric == "cosine" and sum(x[0].agg(F.sum(F.size("ids"))).first()[0] for x in sets) > min(features, MOST_GATHERED):
@@ -266,20 +373,83 @@ def maximise(
             return _Kernel(metric, block, np.array(weights))
 
         if function == "logdetmi":
-            other = given(from_q)
-            gains = local(blocks, lambda a, c: plain.gain(a, c) - other.gain(a, c))
+            gains = left_over((1, plain), (-1, given(from_q)))
         elif function == "logdetcg":
-            gains = local(blocks, given(from_p).gain)
+            gains = left_over((1, given(from_p)))
         else:
-            given_p, given_both = given(from_p), given(from_p, from_q)
-            gains = local(blocks, lambda a, c: given_p.gain(a, c) - given_both.gain(a, c))
+            gains = left_over((1, given(from_p)), (-1, given(from_p, from_q)))
 
     if modular is not None:
         rows = modular.orderBy(F.col("v").desc(), "id").limit(k).collect()
         return [(r["id"], r["v"]) for r in rows if not (stop_zero and r["v"] == 0 or stop_negative and r["v"] < 0)]
+    if lazy and optimizer == "LazyGreedy":
+        over, compute, extra = lazy["ground"], lazy["compute"], lazy["extra"]
+
+        def evaluate(candidates: Block, chosen: Block) -> np.ndarray:
+            found = over_ground(over, candidates, lambda a, b: compute(a, b, chosen))
+            return found if extra is None else found + candidates.s[:, 0]
+
+        own = pool if extra is None else pool.drop("s").join(extra.select("id", F.array("v").alias("s")), "id")
+        return lazy_greedy(own, gains(0, Block.none()), k, evaluate, stop_zero, stop_negative, trace)
     return greedy(pool, k, gains, stop_zero=stop_zero, stop_negative=stop_negative)
 
 
+def _entry_gains(batch: pa.RecordBatch, chosen: np.ndarray, value: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """(candidate, gain) for each neighbour of each row of (id, j, s, states ...): what of a row is covered follows from its chosen neighbours."""
+    sizes = np.diff(batch.column(1).offsets.to_numpy())
+    j, s = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+    row, covered = np.repeat(np.arange(len(sizes)), sizes), np.zeros(len(sizes))
+    hit = np.isin(j, chosen)
+    np.maximum.at(covered, row[hit], s[hit])
+    states = [batch.column(i).to_numpy() for i in range(3, batch.num_columns)]
+    return j, value(np.maximum(s, covered[row]), [x[row] for x in states]) - value(covered, states)[row]
+
+
+class SparseCoverage:
+    """Gains of candidates where a row is covered by its most similar rows only.
+
+    The kernel is a table of each row's neighbours beside its states; a step
+    reads it once, and nothing is kept between steps.
+    """
+
+    def __init__(self, blocks: DataFrame, m: int, metric: str, columns: list[DataFrame], value: Callable):
+        near = nearest_rows(blocks, m, metric)
+        for i, c in enumerate(columns):
+            near = near.join(c.select("id", F.col("v").alias(f"s{i}")), "id")
+        self.value = value
+        self.rows = stash(near.select("id", F.col("near.j").alias("j"), F.col("near.s").alias("s"), *[f"s{i}" for i in range(len(columns))]))
+
+    def first(self, pool: DataFrame) -> DataFrame:
+        """(id, v) of every candidate with nothing chosen; zero for one that is nobody's neighbour."""
+        value = self.value
+
+        def run(batches):
+            for batch in batches:
+                j, gain = _entry_gains(batch, np.zeros(0, np.int64), value)
+                ids, place = np.unique(j, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.bincount(place, gain, len(ids)))], ["j", "v"])
+
+        found = self.rows.mapInArrow(run, "j long, v double").groupBy("j").agg(F.sum("v").alias("v"))
+        return pool.select("id").join(found, F.col("id") == F.col("j"), "left").select("id", F.coalesce("v", F.lit(0.0)).alias("v"))
+
+    def __call__(self, candidates: Block, chosen: Block) -> np.ndarray:
+        order, value, ids = np.argsort(candidates.ids), self.value, chosen.ids
+        asked = candidates.ids[order]
+
+        def run(batches):
+            total = np.zeros(len(asked))
+            for batch in batches:
+                j, gain = _entry_gains(batch, ids, value)
+                at = np.minimum(np.searchsorted(asked, j), len(asked) - 1)
+                own = asked[at] == j
+                total += np.bincount(at[own], gain[own], len(asked))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["at", "v"])
+
+        out = np.zeros(len(asked))
+        out[order] = summed(self.rows.mapInArrow(run, "at long, v double"), len(asked))
+        return out
+
+
 # --- distance ------------------------------------------------------------------------------------
 
 

@@ -17,6 +17,7 @@ from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,13 +102,108 @@ def to_blocks(rows: DataFrame, size: int = BLOCK) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, size):
-                part = batch.slice(k, size)
-                columns = [part.column(0), *[part.column(j).flatten() for j in (1, 2, 3)]]
-                yield pa.RecordBatch.from_arrays([pa.array([c.to_pylist() for c in [column]], pa.list_(column.type)) for column in columns], ["ids", "g", "e", "s"])
+                yield pa.RecordBatch.from_arrays(_packed(batch.slice(k, size)), ["ids", "g", "e", "s"])
 
     return rows.select("id", "g", "e", "s").mapInArrow(pack, SCHEMA)
 
 
+def _packed(part: pa.RecordBatch) -> list[pa.Array]:
+    """Rows (id, g, e, s) as one list each."""
+    columns = [part.column(0), *[part.column(j).flatten() for j in (1, 2, 3)]]
+    return [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
+
+
+def to_ranked_blocks(rows: DataFrame, size: int) -> DataFrame:
+    """Rows (id, g, e, s, v) packed by falling v, the smaller id first: (no, bound, ids, g, e, s).
+
+    ``no`` rises with the order and ``bound`` is the block's largest v. Rows are
+    dealt by range, so no task orders all.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for k in range(0, batch.num_rows, size):
+                part = batch.slice(k, size)
+                yield pa.RecordBatch.from_arrays([pa.array([no]), part.column(4).slice(0, 1), *_packed(part)], ["no", "bound", "ids", "g", "e", "s"])
+                no += 1
+
+    order = [F.col("v").desc(), F.col("id").asc()]
+    ordered = rows.select("id", "g", "e", "s", "v").repartitionByRange(*order).sortWithinPartitions(*order)
+    return ordered.mapInArrow(pack, f"no long, bound double, {SCHEMA}")
+
+
+def gathered_blocks(blocks: DataFrame, numbers: list[int]) -> dict[int, Block]:
+    """A few ranked blocks by their number, on the driver."""
+    table = blocks.where(F.col("no").isin(numbers)).drop("bound").toArrow()
+    out = {}
+    for batch in table.to_batches():
+        out |= {batch.column(0)[k].as_py(): unpacked(batch, k, 1) for k in range(batch.num_rows)}
+    return out
+
+
+def over_ground(ground: DataFrame, candidates: Block, compute: Callable[[Block, Block], np.ndarray]) -> np.ndarray:
+    """For each of a few candidates the sum over all ground blocks of what ``compute`` gives: each task adds up its own."""
+    if not len(candidates.ids):
+        return np.zeros(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(candidates.ids))
+        for batch in batches:
+            for k in range(batch.num_rows):
+                total += compute(candidates, unpacked(batch, k))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["at", "v"])
+
+    return summed(ground.mapInArrow(run, "at long, v double"), len(candidates.ids))
+
+
+def summed(parts: DataFrame, size: int) -> np.ndarray:
+    """Sums of (at, v) as one vector of ``size`` numbers."""
+    table = parts.groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(size)
+    out[table.column("at").to_numpy()] = table.column("v").to_numpy()
+    return out
+
+
+def nearest_rows(blocks: DataFrame, m: int, metric: str) -> DataFrame:
+    """(id, near): each row's ``m`` most similar rows, itself among them, as an array of (j, s), the most similar and smaller id first.
+
+    Block meets block once; a task holds m entries per row of one block, and
+    what the tasks found of a row is merged. Nothing of the n x n kernel beyond
+    n x m entries leaves a task.
+    """
+    pairs = _pairs(blocks, blocks)
+
+    def best(s: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((j, -s), axis=1)[:, :m]
+        return np.take_along_axis(s, order, 1), np.take_along_axis(j, order, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+        def flushed() -> pa.RecordBatch:
+            ids, s, j = held
+            flat = pa.StructArray.from_arrays([pa.array(-s.ravel()), pa.array(j.ravel())], ["far", "j"])
+            near = pa.ListArray.from_arrays(pa.array(np.arange(0, s.size + 1, s.shape[1], dtype=np.int32)), flat)
+            return pa.RecordBatch.from_arrays([pa.array(ids), near], ["id", "near"])
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                a, b = unpacked(batch, k), unpacked(batch, k, 4)
+                s, j = best(a.similarity(b, metric), np.broadcast_to(b.ids, (len(a.ids), len(b.ids))))
+                if held is not None and np.array_equal(held[0], a.ids):
+                    s, j = best(np.concatenate([held[1], s], axis=1), np.concatenate([held[2], j], axis=1))
+                elif held is not None:
+                    yield flushed()
+                held = (a.ids, s, j)
+        if held is not None:
+            yield flushed()
+
+    found = pairs.mapInArrow(run, "id long, near array<struct<far:double,j:bigint>>")
+    merged = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, m)  # m entries per task that met the row
+    return found.groupBy("id").agg(merged.alias("near")).select("id", F.transform("near", lambda x: F.struct(x["j"].alias("j"), (-x["far"]).alias("s"))).alias("near"))
+
+
 def unpacked(batch: pa.RecordBatch, k: int, at: int = 0) -> Block:
     return Block.of(*[batch.column(at + j)[k].values.to_numpy(zero_copy_only=False) for j in range(4)])
 
@@ -145,9 +241,9 @@ def cosine_gram(blocks: DataFrame) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["at", "v"])
 
-    summed = blocks.mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
-    out = np.zeros(summed.num_rows)
-    out[summed.column("at").to_numpy()] = summed.column("v").to_numpy()
+    found = blocks.mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(found.num_rows)
+    out[found.column("at").to_numpy()] = found.column("v").to_numpy()
     return out.reshape(round(len(out) ** 0.5), -1)
 
 
@@ -174,18 +270,20 @@ def per_candidate(blocks: DataFrame, compute: Callable[[Block], np.ndarray], kee
 _VOLUMES: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
 
 
+def _pairs(candidates: DataFrame, ground: DataFrame) -> DataFrame:
+    """Every block of the one table beside every block of the other, which is broadcast up to ``MOST_BROADCAST`` bytes by its count."""
+    other = ground.toDF("ids2", "g2", "e2", "s2")
+    if ground not in _VOLUMES:  # counted once, whatever the number of steps
+        _VOLUMES[ground] = ground.agg(F.sum(8 * (F.size("ids") + F.size("g") + F.size("e") + F.size("s")))).first()[0] or 0
+    return candidates.crossJoin(F.broadcast(other) if _VOLUMES[ground] <= MOST_BROADCAST else other)
+
+
 def over_pairs(candidates: DataFrame, ground: DataFrame, compute: Callable[[Block, Block], np.ndarray], how: str = "sum", keep: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """(id, v): for each candidate (that ``keep`` takes) the sum, min or max over ground blocks of what ``compute`` gives.
 
-    Every pair of blocks meets once. The ground's blocks are broadcast only up
-    to ``MOST_BROADCAST`` bytes by their count; else Spark pairs partitions.
+    Every pair of blocks meets once.
     """
-    names = ["ids2", "g2", "e2", "s2"]
-    other = ground.toDF(*names)
-    if ground not in _VOLUMES:  # counted once, whatever the number of steps
-        _VOLUMES[ground] = ground.agg(F.sum(8 * (F.size("ids") + F.size("g") + F.size("e") + F.size("s")))).first()[0] or 0
-    volume = _VOLUMES[ground]
-    pairs = candidates.crossJoin(F.broadcast(other) if volume <= MOST_BROADCAST else other)
+    pairs = _pairs(candidates, ground)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

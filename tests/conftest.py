@@ -8,6 +8,8 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
 
+from tamis.plans.linear import restart_threads  # noqa: E402
+
 SMALL = "/root/testdata/sf0.001"
 
 
@@ -22,5 +24,6 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    restart_threads()  # tests invert matrices themselves, and the JVM's start has ended numpy's threads
     yield session
     session.stop()
