@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -105,18 +106,45 @@ def _deepfool(model, train, pool, k, max_iter=50):
     return adversarial.select_deepfool(model, pool, k, max_iter)
 
 
-def experiment(config: dict, pool: DataFrame, test: DataFrame) -> DataFrame:
+#: Architectures by the names that configurations use.
+ARCHITECTURES = {"two_layer_net": "two_layer", "logreg_net": "linear", "linear": "linear"}
+#: What a configuration may say; those under IDLE are for devices and printing, and have no meaning here.
+KNOWN = {
+    "model": {"architecture", "input_dim", "target_classes", "hidden_units_1"},
+    "train_parameters": {"lr", "batch_size", "n_epoch", "max_accuracy", "optimizer", "isreset", "tasks", "synchronous", "average_from"},
+    "active_learning": {"strategy", "strategy_args", "initial_points", "budget", "rounds", "seed", "target"},
+}
+IDLE = {"device", "islogs", "isverbose", "logs_location", "batch_size", "loss"}
+
+
+def _refuse(where: str, given: set[str], known: set[str]) -> None:
+    if odd := sorted(given - known - IDLE):
+        raise ValueError(f"{where} does not know {', '.join(odd)}; it knows {', '.join(sorted(known))}")
+
+
+def experiment(config: dict, pool: DataFrame, test: DataFrame, path: str | None = None, name: str = "experiment") -> DataFrame:
     """Runs what a configuration says over (id, x, label) and gives the rounds' log.
 
-    ``model``: architecture (two_layer_net or anything else for a linear head),
-    input_dim, target_classes, hidden_units_1. ``train_parameters``: lr,
-    batch_size, n_epoch, max_accuracy, optimizer, isreset. ``active_learning``:
-    strategy, strategy_args (those the strategy knows), initial_points, budget,
-    rounds, seed. The first rows are drawn by hash, the rounds include the one
-    before any selection.
+    ``model``: architecture (a name in ARCHITECTURES), input_dim,
+    target_classes, hidden_units_1. ``train_parameters``: lr, batch_size,
+    n_epoch, max_accuracy, optimizer, isreset, and how to use tasks.
+    ``active_learning``: strategy, strategy_args, initial_points, budget,
+    rounds, seed. What is not known is a ValueError, but for the settings in
+    IDLE. The first rows are drawn by hash, the rounds include the one before
+    any selection. With a ``path``, a stopped experiment of this name goes on
+    where it was (see Rounds).
     """
     net, given, loop = config["model"], config["train_parameters"], config["active_learning"]
-    kind = "two_layer" if net.get("architecture") == "two_layer_net" else "linear"
+    for where, known in KNOWN.items():
+        _refuse(where, set(config[where]), known)
+    if net.get("architecture") not in ARCHITECTURES:
+        raise ValueError(f"unknown architecture {net.get('architecture')!r}; one of {', '.join(ARCHITECTURES)}")
+    if loop["strategy"] not in STRATEGIES:
+        raise ValueError(f"unknown strategy {loop['strategy']!r}; one of {', '.join(sorted(STRATEGIES))}")
+    kind, options = ARCHITECTURES[net["architecture"]], loop.get("strategy_args", {})
+    known = list(inspect.signature(STRATEGIES[loop["strategy"]]).parameters)[4:]
+    _refuse(loop["strategy"], set(options), set(known))
+    options = {k: v for k, v in options.items() if k in known}
     seed = loop.get("seed", 42)
     start = uncertainty.random_rows(pool, loop["initial_points"], seed).select("id")
     train, rest = pool.join(F.broadcast(start), "id", "left_semi"), pool.join(F.broadcast(start), "id", "left_anti")
@@ -127,6 +155,8 @@ def experiment(config: dict, pool: DataFrame, test: DataFrame) -> DataFrame:
         optimizer=given.get("optimizer", "sgd"),
         max_accuracy=given.get("max_accuracy", 0.95),
         tasks=given.get("tasks"),
+        synchronous=given.get("synchronous", False),
+        average_from=given.get("average_from"),
         seed=seed,
     )
     held: list = []
@@ -136,10 +166,6 @@ def experiment(config: dict, pool: DataFrame, test: DataFrame) -> DataFrame:
         held[:] = [trainer.train(rows, first)[0]]
         return held[-1]
 
-    name, options = loop["strategy"], loop.get("strategy_args", {})
-    if name not in STRATEGIES:
-        raise ValueError(f"unknown strategy {name!r}; one of {', '.join(sorted(STRATEGIES))}")
-    known = STRATEGIES[name].__code__.co_varnames[4 : STRATEGIES[name].__code__.co_argcount]
-    options = {k: v for k, v in options.items() if k in known}
-    steps = rounds.Rounds(lambda model, own, left, k: select(name, model, own, left, k, **options), net["target_classes"], net["input_dim"], loop["budget"], loop.get("target"), fit=fit)
-    return steps.run(train, rest, test, loop["rounds"] - 1)
+    choose = lambda model, own, left, k: select(loop["strategy"], model, own, left, k, **options)
+    steps = rounds.Rounds(choose, net["target_classes"], net["input_dim"], loop["budget"], loop.get("target"), fit=fit, resumed=held.append)
+    return steps.run(train, rest, test, loop["rounds"] - 1, path, name)

@@ -6,14 +6,18 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tamis.functions.vectors import uniform
 from tamis.operators.uncertainty import predictions, random_rows
-from tamis.plans.model import train_linear
+from tamis.plans.model import LinearHead, TwoLayer, train_linear
+from tamis.plans.training import weights_of
 from tamis.shared import first_per_group, running, stash
+from tamis.sources import files
 
 
 def accuracy(predicted: DataFrame) -> DataFrame:
@@ -143,6 +147,13 @@ class Rounds:
     is written each round, so a round's plan does not grow with their number.
     ``fit(train)`` gives the model; without it a linear head is trained with
     the settings in ``training``.
+
+    With a ``path``, every round's ids of training rows, weights and log are
+    written in one commit under (experiment, round), and a run starts from the
+    newest whole round that it finds there: what a stopped run has done is not
+    done again, and it ends as an unbroken one. ``resumed(model)`` hears of the
+    weights found. ``dump(model)`` gives a name and arrays, ``load`` the model
+    again; without them linear heads and two-layer networks are known.
     """
 
     select: Callable
@@ -152,17 +163,59 @@ class Rounds:
     target: float | None = None
     training: dict = field(default_factory=dict)
     fit: Callable | None = None
-
-    def run(self, train: DataFrame, pool: DataFrame, test: DataFrame, rounds: int) -> DataFrame:
-        spark, log = train.sparkSession, []
-        for number in range(rounds + 1):
-            began = time.time()
-            model = self.fit(train) if self.fit else train_linear(train, self.classes, self.width, **self.training)[0]
-            trained = time.time()
-            found = accuracy(predictions(model, test)).first()["accuracy"]
-            log.append((number, train.count(), float(found or 0.0), trained - began))
+    resumed: Callable | None = None
+    dump: Callable = lambda model: (type(model).__name__, weights_of(model))
+    load: Callable = lambda name, arrays: MODELS[name](*arrays)
+
+    def run(self, train: DataFrame, pool: DataFrame, test: DataFrame, rounds: int, path: str | None = None, experiment: str = "rounds") -> DataFrame:
+        spark, log, first, model = train.sparkSession, [], 0, None
+        if path is not None and (found := self._newest(spark, path, experiment)) is not None:
+            first, log, model, ids = found
+            every = train.unionByName(pool.select(*train.columns))
+            train, pool = (stash(every.join(ids, "id", how)) for how in ("left_semi", "left_anti"))
+            if self.resumed:
+                self.resumed(model)
+        for number in range(first, rounds + 1):
+            if model is None:
+                began = time.time()
+                model = self.fit(train) if self.fit else train_linear(train, self.classes, self.width, **self.training)[0]
+                trained = time.time()
+                found = accuracy(predictions(model, test)).first()["accuracy"]
+                log.append((number, train.count(), float(found or 0.0), trained - began))
+                if path is not None:
+                    self._commit(train, model, log, path, experiment, number)
             if number == rounds or self.target is not None and log[-1][2] > self.target or pool.isEmpty():
                 break
             chosen = stash(self.select(model, train, pool, self.budget))
             train, pool = map(stash, move(train, pool, chosen))
-        return spark.createDataFrame(log, "round int, n_train long, accuracy double, train_s double")
+            model = None
+        return spark.createDataFrame([r for r in log if r[0] <= rounds], "round int, n_train long, accuracy double, train_s double")
+
+    def _commit(self, train: DataFrame, model, log: list[tuple], path: str, experiment: str, number: int) -> None:
+        name, arrays = self.dump(model)
+        parts = [("model", i, name, list(a.shape), a.ravel().tolist()) for i, a in enumerate(arrays)]
+        parts += [("log", r[0], None, None, [float(v) for v in r]) for r in log]
+        few = train.sparkSession.createDataFrame(parts, STATE)
+        ids = train.select(F.lit("train").alias("kind"), F.col("id").cast("long").alias("id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("array<int>").alias("shape"), F.lit(None).cast("array<double>").alias("v"))
+        files.save_checkpoint(ids.unionByName(few), path, experiment, number)
+
+    def _newest(self, spark, path: str, experiment: str):
+        """(round, log, model, ids of training rows) of the newest round written whole; None without any."""
+        try:
+            state = files.load_checkpoint(spark, path, experiment)
+        except AnalysisException as missing:
+            if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return None
+        few = state.where("kind <> 'train'").collect()  # a row per weight array and round
+        if not few:
+            return None
+        log = [(int(r["v"][0]), int(r["v"][1]), r["v"][2], r["v"][3]) for r in sorted((r for r in few if r["kind"] == "log"), key=lambda r: r["id"])]
+        weights = sorted((r for r in few if r["kind"] == "model"), key=lambda r: r["id"])
+        model = self.load(weights[0]["name"], [np.array(r["v"]).reshape(r["shape"]) for r in weights])
+        return log[-1][0], log, model, state.where("kind = 'train'").select("id")
+
+
+#: What a round commits: ids of training rows, weight arrays, and the log so far.
+STATE = "kind string, id long, name string, shape array<int>, v array<double>"
+MODELS = {"LinearHead": LinearHead, "TwoLayer": TwoLayer}

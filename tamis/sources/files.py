@@ -82,16 +82,19 @@ def load_checkpoint(spark: SparkSession, path: str, experiment: str) -> DataFram
 
 def delete_checkpoints(spark: SparkSession, path: str, experiment: str, keep_newest: int = 0) -> int:
     """Removes an experiment's rounds but the newest ``keep_newest``; how many went."""
-    from pyarrow import fs
-
     rounds = sorted(r["round"] for r in spark.read.parquet(path).where(F.col("experiment") == experiment).select("round").distinct().collect())
     gone = rounds[: len(rounds) - keep_newest] if keep_newest else rounds
-    where, base = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
     for number in gone:
-        where.delete_dir(f"{base}/experiment={experiment}/round={number}")
+        remove_folder(spark, f"{path}/experiment={experiment}/round={number}")
     return len(gone)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder in whatever store Spark reaches by its path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def save_head(spark: SparkSession, head: LinearHead, path: str) -> None:
     rows = [(c, w.tolist(), float(b)) for c, (w, b) in enumerate(zip(head.weights, head.bias))]
     spark.createDataFrame(rows, "class int, weights array<double>, bias double").coalesce(1).write.mode("overwrite").parquet(path)
