@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 
 from tamis.functions.text import ACCENTED, PLAIN, PUNCTUATION
-from tamis.queries import CLASSES, K, N_DROP, SCALE, STOP_WORDS, TOP
+from tamis.plans.model import uniform as uniform_number
+from tamis.queries import ADAM, CLASSES, K, N_DROP, NEIGHBOURS, SCALE, SGD, START, STOP_WORDS, TOP
 
 BASE = f"""
 base AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings),
@@ -227,6 +228,9 @@ ORACLES["kernel_rbf"] = f"WITH {BASE}, {kernel('kern', 'un', 'un', _D2G)} SELECT
 ORACLES["facility_location"] = unrolled(K, FACILITY, f"{BASE}, {UU}")
 ORACLES["facility_location_gradients"] = unrolled(K, FACILITY, f"{BASE}, {kernel('kern', 'un', 'un', f'({GRADIENT} / sqrt({GNORM.format('a')} * {GNORM.format('b')}) + 1) / 2')}")
 ORACLES["facility_location_euclidean"] = unrolled(K, FACILITY, f"{BASE}, {kernel('kern', 'un', 'un', f'1 / (1 + {_DIST})')}")
+NEAR = f"{kernel('every', 'un', 'un', COSINE)}, kern AS MATERIALIZED (SELECT i, j, s FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY s DESC, j) AS r FROM every) WHERE r <= {NEIGHBOURS})"
+ORACLES["facility_location_sparse"] = unrolled(K, FACILITY, f"{BASE}, {NEAR}")
+ORACLES["flcmi_sparse"] = unrolled(K, capped("greatest(least({m}, q) - p, 0)", ("q", "qk"), ("p", "pk")), f"{BASE}, {NEAR}, {QU}, {PU}")
 ORACLES["feature_based"] = unrolled(
     K,
     "SELECT f.id, sum(ln(1 + coalesce(h, 0) + f) - ln(1 + coalesce(h, 0))) AS v FROM ft f LEFT JOIN (SELECT d, sum(f) AS h FROM ft WHERE id IN {chosen} GROUP BY d) USING (d) GROUP BY f.id",
@@ -338,7 +342,7 @@ def explained(name: str, *sets: tuple[str, float]) -> str:
     )
 
 
-def log_determinants(signs: dict[str, int], given: str = "", diagonal: float = RIDGE) -> str:
+def log_determinants(signs: dict[str, int], given: str = "", diagonal: float = RIDGE, k: int = K) -> str:
     """Greedy steps by the sum of the signed log-determinant gains, one per table of Cholesky rows."""
 
     def between(t: int) -> list[str]:
@@ -351,10 +355,11 @@ def log_determinants(signs: dict[str, int], given: str = "", diagonal: float = R
     first, *others = signs
     joined = f"{first}{{step}} {first} " + " ".join(f"JOIN {name}{{step}} {name} ON {name}.id = {first}.id" for name in others)
     nothing = "alone AS MATERIALIZED (SELECT id, x, CAST([] AS DOUBLE[]) AS l FROM un)"
-    return "WITH RECURSIVE" + unrolled(K, f"SELECT {first}.id, {gains} AS v FROM {joined}", ", ".join(x for x in (BASE, nothing, given) if x), between=between).removeprefix("WITH")
+    return "WITH RECURSIVE" + unrolled(k, f"SELECT {first}.id, {gains} AS v FROM {joined}", ", ".join(x for x in (BASE, nothing, given) if x), between=between).removeprefix("WITH")
 
 
 ORACLES["log_determinant"] = log_determinants({"alone": 1}, diagonal=1.0)
+ORACLES["log_determinant_fifty"] = log_determinants({"alone": 1}, diagonal=1.0, k=50)
 ORACLES["logdetmi"] = log_determinants({"alone": 1, "by_q": -1}, explained("by_q", ("qs", 0.9)))
 ORACLES["logdetcg"] = log_determinants({"by_p": 1}, explained("by_p", ("ps", 0.9)))
 ORACLES["logdetcmi"] = log_determinants({"by_p": 1, "by_both": -1}, f"{explained('by_p', ('ps', 0.9))}, {explained('by_both', ('ps', 0.9), ('qs', 0.9))}")
@@ -425,3 +430,42 @@ ORACLES["batchbald_sampled"] = unrolled(
     f"{BASE}, {MASKS}, ch AS MATERIALIZED (SELECT id, avg({ENTROPY}) AS h FROM mp GROUP BY id)",
     between=_sampled_joints,
 )
+
+
+def trained(trainer, average_from: int | None = None) -> str:
+    """Synchronous steps of a linear head one by one, over (class, dimension, weight, two states)."""
+    weights = [(c, d, v) for c, (w, b) in enumerate(zip(START.weights.tolist(), START.bias.tolist())) for d, v in enumerate([*w, b])]
+    number = f"CAST(least({trainer.batches - 1}, floor({uniform(f"'{trainer.seed}:batch:' || id")} * {trainer.batches})) AS INTEGER)"
+    parts = [
+        BASE.strip(),
+        f"tr AS (SELECT id, label, {number} AS n, list_append(x, 1) AS x FROM base WHERE id % 5 = 0)",
+        "xs AS MATERIALIZED (SELECT id, label, n, d, x[d + 1] AS x FROM tr, range(65) t(d))",
+        f"w0 AS MATERIALIZED (SELECT c, d, CAST(w AS DOUBLE) AS w, CAST(0 AS DOUBLE) AS m, CAST(0 AS DOUBLE) AS v FROM (VALUES {', '.join(f'({c}, {d}, {v!r}::DOUBLE)' for c, d, v in weights)}) t(c, d, w))",
+    ]
+    t, ends = 0, []
+    for epoch in range(trainer.epochs):
+        rate = trainer.rate_of(epoch)
+        for b in sorted(range(trainer.batches), key=lambda b: uniform_number(trainer.seed, epoch, b)):
+            if trainer.optimizer == "sgd":
+                state = "0.9 * w.m + g.g + 0.0005 * w.w AS m, CAST(0 AS DOUBLE) AS v"
+                moved = f"w - {rate!r} * m"
+            else:
+                state = "0.9 * w.m + 0.1 * g.g AS m, 0.999 * w.v + 0.001 * g.g * g.g AS v"
+                moved = f"w - {rate!r} * (m / {1 - 0.9 ** (t + 1)!r}) / (sqrt(v / {1 - 0.999 ** (t + 1)!r}) + 1e-8)"
+            parts += [
+                f"z{t} AS (SELECT id, label, c, sum(x * w) AS z FROM xs JOIN w{t} USING (d) WHERE n = {b} GROUP BY ALL)",
+                f"e{t} AS MATERIALIZED (SELECT id, c, exp(z - max(z) OVER (PARTITION BY id)) AS e, CASE WHEN c = label THEN 1 ELSE 0 END AS y FROM z{t})",
+                f"p{t} AS MATERIALIZED (SELECT id, c, e / sum(e) OVER (PARTITION BY id) - y AS r FROM e{t})",
+                f"g{t} AS MATERIALIZED (SELECT c, d, sum(r * x) / count(*) AS g FROM p{t} JOIN xs USING (id) GROUP BY c, d)",
+                f"w{t + 1} AS MATERIALIZED (SELECT c, d, {moved} AS w, m, v FROM (SELECT w.c, w.d, w.w, {state} FROM w{t} w JOIN g{t} g ON w.c = g.c AND w.d = g.d))",
+            ]
+            t += 1
+        ends.append(t)
+    last = [f"w{t}"] if average_from is None else [f"w{e}" for e in ends[average_from:]]
+    rows = " UNION ALL ".join(f"SELECT c, d, w FROM {name}" for name in last)
+    return f"WITH {', '.join(parts)} SELECT CAST(c AS INTEGER) AS class, CAST(d AS INTEGER) AS d, round(avg(w), 6) AS v FROM ({rows}) GROUP BY c, d"
+
+
+ORACLES["sgd_training"] = trained(SGD)
+ORACLES["adam_training"] = trained(ADAM)
+ORACLES["averaged_training"] = trained(SGD, 1)

@@ -7,6 +7,7 @@ labelled rows of some classes. The model is the prototype head.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from types import SimpleNamespace
 
 import numpy as np
@@ -24,6 +25,7 @@ from tamis.sources import files, pools
 from tamis.streaming.topk import stream_top_k
 
 CLASSES, SCALE, K, TOP, N_DROP = 10, 20.0, 5, 10, 4
+NEIGHBOURS = 20
 STOP_WORDS = ("the", "of", "and", "to", "in")
 
 
@@ -268,7 +270,7 @@ def kernel_rbf(spark, sf_dir):
     return _rounded(over_pairs(blocks, blocks, lambda a, b: np.exp(-a.distance2(b) / 2).sum(axis=1)), "v")
 
 
-def _covering(function, representation="linear", **options):
+def _covering(function, representation="linear", k=K, **options):
     def run(spark, sf_dir):
         c = case(spark, sf_dir)
         sets = {}
@@ -276,7 +278,7 @@ def _covering(function, representation="linear", **options):
             sets["query"] = represent(c.query, representation, CLASSES, "label")
         if function in greedy.CONDITIONAL + greedy.CONDITIONAL_MUTUAL:
             sets["private"] = represent(c.private, representation, CLASSES, "label")
-        return _picked(c, greedy.maximise(represent(c.unlabelled, representation, CLASSES), K, function, **sets, **options))
+        return _picked(c, greedy.maximise(represent(c.unlabelled, representation, CLASSES), k, function, **sets, **options))
 
     return run
 
@@ -301,6 +303,9 @@ QUERIES |= {
     "flcmi": _covering("flcmi"),
     "logdetcmi": _covering("logdetcmi", eta=0.9, nu=0.9),
     "stochastic_greedy": _covering("facility_location", optimizer="StochasticGreedy"),
+    "facility_location_sparse": _covering("facility_location", neighbours=NEIGHBOURS),
+    "flcmi_sparse": _covering("flcmi", neighbours=NEIGHBOURS),
+    "log_determinant_fifty": _covering("log_determinant", lam=1.0, k=50),
 }
 
 
@@ -535,18 +540,28 @@ def _head_rows(c, model):
     return c.spark.createDataFrame([(k, d, float(v)) for k, w in enumerate(np.column_stack([model.weights, model.bias])) for d, v in enumerate(w)], "class int, d int, v double")
 
 
+#: Synchronous training in four mini-batches of all labelled rows.
+SGD = Trainer(rate=0.5, epochs=3, batches=4, synchronous=True, max_accuracy=1.1)
+ADAM = Trainer(rate=0.01, epochs=2, batches=4, synchronous=True, optimizer="adam", max_accuracy=1.1)
+START = fresh("linear", 64, CLASSES)
+
+
 @query
 def sgd_training(spark, sf_dir):
     c = case(spark, sf_dir)
-    model, _ = Trainer(rate=0.5, epochs=4, batch=32, tasks=1, max_accuracy=1.1).train(c.parts["labelled"], fresh("linear", c.head.weights.shape[1], CLASSES))
-    return _rounded(_head_rows(c, model), "v")
+    return _rounded(_head_rows(c, SGD.train(c.parts["labelled"], START)[0]), "v")
 
 
 @query
 def adam_training(spark, sf_dir):
     c = case(spark, sf_dir)
-    model, _ = Trainer(rate=0.01, epochs=3, batch=64, tasks=1, optimizer="adam", max_accuracy=1.1).train(c.parts["labelled"], fresh("linear", c.head.weights.shape[1], CLASSES))
-    return _rounded(_head_rows(c, model), "v")
+    return _rounded(_head_rows(c, ADAM.train(c.parts["labelled"], START)[0]), "v")
+
+
+@query
+def averaged_training(spark, sf_dir):
+    c = case(spark, sf_dir)
+    return _rounded(_head_rows(c, replace(SGD, average_from=1).train(c.parts["labelled"], START)[0]), "v")
 
 
 @query
@@ -555,9 +570,9 @@ def gradmatch_training(spark, sf_dir):
 
     def match(model, rows, k):
         own = represent(uncertainty.predictions(model, rows), "grad_bias", CLASSES, "label")
-        return bilevel.select_matching(own, own, min(k, CLASSES), use_weights=True)
+        return bilevel.select_matching(own, own, k, use_weights=True)
 
-    model, _ = train_on_subsets(Trainer(rate=0.05, epochs=4, batch=16, tasks=1, max_accuracy=1.1), c.parts["labelled"], fresh("linear", c.head.weights.shape[1], CLASSES), match, every=2)
+    model, _ = train_on_subsets(Trainer(rate=0.05, epochs=4, batches=2, synchronous=True, max_accuracy=1.1), c.parts["labelled"], START, match, every=2)
     return _rounded(_head_rows(c, model), "v")
 
 
@@ -565,11 +580,11 @@ def gradmatch_training(spark, sf_dir):
 def configured_rounds(spark, sf_dir):
     config = {
         "model": {"architecture": "two_layer_net", "input_dim": 64, "target_classes": CLASSES, "hidden_units_1": 16},
-        "train_parameters": {"lr": 0.05, "batch_size": 32, "n_epoch": 3, "max_accuracy": 0.95, "isreset": True, "tasks": 1},
+        "train_parameters": {"lr": 0.05, "batch_size": 64, "n_epoch": 3, "max_accuracy": 0.95, "isreset": True, "synchronous": True},
         "active_learning": {"strategy": "margin_sampling", "budget": 20, "rounds": 3, "initial_points": 40, "strategy_args": {"batch_size": 100}},
     }
     parts = pools.scenario(pools.embeddings(spark, sf_dir))
-    log = registry.experiment(config, parts["unlabelled"], parts["labelled"])
+    log = registry.experiment(config, parts["unlabelled"], parts["labelled"], new_folder(spark, "experiment"))
     return log.select("round", "n_train", F.round("accuracy", 6).alias("accuracy"))
 
 

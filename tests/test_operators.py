@@ -1,9 +1,9 @@
 """Operators against known values, brute force and the laws they keep."""
 
+import functools
 import itertools
 import json
 import math
-import random
 
 import numpy as np
 import pytest
@@ -13,10 +13,12 @@ from tamis.functions import vectors as V
 from tamis.functions.text import clean
 from tamis.operators import adversarial, bayesian, bilevel, composite, greedy, registry, rounds, uncertainty
 from tamis.plans.blocks import Block, cosine_features, represent
+from tamis.plans.linear import GrowingFactor
 from tamis.plans.model import LinearHead, TwoLayer, average_weights, dropout_masks, saturated, train_linear, uniform
 from tamis.plans.training import Trainer, cross_entropy, fresh, squared_error, train_on_subsets, weights_of
+from tamis.shared import stash
 from tamis.sources import files, pools
-from tamis.streaming.topk import merge
+from tamis.streaming.topk import TopKSink, merge, stream_top_k
 
 RNG = np.random.default_rng(11)
 
@@ -57,12 +59,14 @@ def test_nearest_centres_are_the_nearest(spark):
     assert [r["distance"] for r in found] == pytest.approx(distances.min(axis=1).tolist())
 
 
-def test_closest_centres_in_embedding_space(spark):
-    model = TwoLayer(np.ones((20, 50)), np.zeros(20), np.ones((2, 20)), np.zeros(2))
-    rows = represent(model.forward(rows_of(spark, np.outer([1, 2, 3], np.ones(50)))), "linear", 2)
-    found = greedy.nearest_centres(rows, block(np.outer([50, 100], np.ones(20)))).orderBy("id").collect()
-    assert [r["centre"] for r in found] == [0, 1, 1]
-    assert [r["distance"] for r in found] == pytest.approx([0, 0, math.sqrt(50**2 * 20)])
+def test_nearest_centres_among_hidden_units(spark, net):
+    x = RNG.normal(size=(30, 50))
+    hidden = np.maximum(x @ net.w1.T + net.b1, 0)
+    centres = hidden[[4, 11, 25]] + RNG.normal(size=(3, 20))
+    found = greedy.nearest_centres(represent(net.forward(rows_of(spark, x)), "linear", 10), block(centres)).orderBy("id").collect()
+    distances = np.sqrt((hidden**2).sum(axis=1)[:, None] - 2 * hidden @ centres.T + (centres**2).sum(axis=1)[None])
+    assert [r["centre"] for r in found] == distances.argmin(axis=1).tolist()
+    assert [r["distance"] for r in found] == pytest.approx(distances.min(axis=1).tolist())
 
 
 def test_cluster_means_and_assignment(spark):
@@ -83,13 +87,16 @@ def test_merge_keeps_the_best_of_both(spark, n, m, cap):
     assert [r["id"] for r in merge(table(rows[:n]), table(rows[n:]), cap).orderBy("rank").collect()] == want
 
 
-def test_merge_of_a_random_split_in_any_order(spark):
-    rows = [(1000 - s, float(s)) for s in range(1, 1001)]
-    random.Random(3).shuffle(rows)
-    held = None
-    for part in (rows[:300], rows[300:310], rows[200:300], rows[310:]):  # with a replay
-        held = merge(held, spark.createDataFrame(part, "id long, score double"), 1000)
-    assert [r["score"] for r in held.orderBy("rank").collect()] == [float(s) for s in range(1000, 0, -1)]
+def test_merges_commute_and_take_replays(spark):
+    rng = np.random.default_rng(21)
+    rows = [(int(i), float(v)) for i, v in zip(rng.permutation(400), rng.integers(-30, 30, 400) / 4)]
+    parts = [rows[:7], rows[7:210], rows[100:210], [], rows[210:]]  # with a replay and an empty batch
+    want = sorted(rows, key=lambda r: (-r[1], r[0]))[:60]
+    for order in ((0, 1, 2, 3, 4), (4, 2, 3, 1, 0)):
+        held = None
+        for k in order:
+            held = merge(held, spark.createDataFrame(parts[k], "id long, score double"), 60)
+        assert [(r["id"], r["score"]) for r in held.orderBy("rank").collect()] == want
 
 
 # --- probabilities and embeddings -----------------------------------------------------------------
@@ -212,8 +219,9 @@ def test_gram_kernel_is_the_kernel_of_the_rows():
     for nu, eta in ((0.9, 0.9), (0.6, 0.0)):
         rows = greedy._Kernel("cosine", w.add(v), np.r_[np.full(50, nu), np.full(60, eta)])
         grams = greedy._GramKernel(gram(w), gram(v), nu, eta)
-        for chosen in (Block.none(), block(x[:3])):
-            assert grams.gain(a, chosen)[3:] == pytest.approx(rows.gain(a, chosen)[3:], abs=1e-5)
+        for chosen in (Block.none(), block(x[:2]), block(x[:3])):
+            rows.follow(chosen), grams.follow(chosen)
+            assert grams.gain(a)[3:] == pytest.approx(rows.gain(a)[3:], abs=1e-5)
 
 
 @pytest.mark.parametrize("name", ["logdetmi", "logdetcg", "logdetcmi"])
@@ -232,6 +240,62 @@ def test_log_determinants_given_more_rows_than_are_gathered(spark, name, monkeyp
         chosen.append(i)
 
 
+@pytest.mark.parametrize("name", ["facility_location", "flcmi", "com"])
+def test_lazy_greedy_chooses_as_the_naive_one_and_evaluates_less(spark, name, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(240, 4)) * np.r_[np.full(40, 6.0), np.full(200, 0.3)][:, None] + 1
+    rows = plain_rows(spark, x), plain_rows(spark, rng.normal(size=(6, 4))), plain_rows(spark, rng.normal(size=(5, 4)))
+    monkeypatch.setattr(greedy, "LAZY_BLOCK", 8)
+    monkeypatch.setattr(greedy, "WAVE", 1)
+    monkeypatch.setattr(greedy, "MOST_KEPT", 6)
+    options = {"query": rows[1], "private": rows[2], "metric": "euclidean", "eta": 1.5, "nu": 0.6}
+    trace, naive = [], greedy.maximise(rows[0], 4, name, optimizer="NaiveGreedy", **options)
+    lazy = greedy.maximise(rows[0], 4, name, trace=trace, **options)
+    assert [i for i, _ in lazy] == [i for i, _ in naive]
+    assert [v for _, v in lazy] == pytest.approx([v for _, v in naive], abs=1e-9)
+    assert len(trace) == 4 and trace[0][1] == 0 and min(n for _, _, n in trace) >= 30
+    assert sum(seen for _, seen, _ in trace[1:]) < 0.7 * sum(n for _, _, n in trace[1:]), trace  # block meets the ground only where it may win
+
+
+@pytest.mark.parametrize("name", ["facility_location", "flcmi"])
+def test_sparse_coverage(spark, name, monkeypatch):
+    rng = np.random.default_rng(13)
+    x, q, p = rng.normal(size=(40, 3)), rng.normal(size=(4, 3)), rng.normal(size=(3, 3))
+    x[7] = x[3]  # a tie of neighbours
+    u, v, w = block(x), block(q), block(p)
+    s, sq, sp = (a.similarity(u, "cosine") for a in (u, v, w))
+    monkeypatch.setattr("tamis.plans.blocks.BLOCK", 16)
+    options = {"query": plain_rows(spark, q), "private": plain_rows(spark, p), "eta": 0.8, "nu": 0.6}
+    dense = greedy.maximise(plain_rows(spark, x), 4, name, **options)
+    whole = greedy.maximise(plain_rows(spark, x), 4, name, neighbours=40, **options)
+    assert [i for i, _ in whole] == [i for i, _ in dense] and [g for _, g in whole] == pytest.approx([g for _, g in dense])
+    cut = np.zeros_like(s)
+    for i in range(40):
+        near = sorted(range(40), key=lambda j: (-s[i, j], j))[:6]
+        cut[i, near] = s[i, near]
+    f = objective(name, cut, sq, sp, None, None, None, x, eta=0.8, nu=0.6)
+    chosen = []
+    for i, gain in greedy.maximise(plain_rows(spark, x), 4, name, neighbours=6, **options):
+        gains = [(-np.inf if j in chosen else f([*chosen, j]) - f(chosen)) for j in range(40)]
+        assert gain == pytest.approx(max(gains)) and gains[i] == pytest.approx(max(gains))
+        chosen.append(i)
+    if name == "facility_location":  # the stated bound on what is lost
+        lost = objective(name, s, sq, sp, None, None, None, x)(chosen) - f(chosen)
+        assert -1e-9 <= lost <= sum(np.sort(s[i])[-6] for i in range(40) if not cut[i, chosen].any()) + 1e-9
+    with pytest.raises(ValueError):
+        greedy.maximise(plain_rows(spark, x), 2, "graph_cut", lam=1.0, neighbours=3)
+
+
+def test_growing_factor_is_the_factor():
+    a = RNG.normal(size=(9, 6))
+    m = a @ a.T + np.eye(9)
+    factor = GrowingFactor()
+    for t in range(5):
+        factor.add(m[t, :t], m[t, t])
+    want = np.einsum("ij,jk,ik->i", m[5:, :5], np.linalg.inv(m[:5, :5]), m[5:, :5])
+    assert factor.explained(m[5:, :5]) == pytest.approx(want) and factor.rows @ m[:5, :5] @ factor.rows.T == pytest.approx(np.eye(5), abs=1e-9)
+
+
 def test_bad_objectives_are_refused(spark):
     rows = plain_rows(spark, RNG.normal(size=(5, 3)))
     for options in ({"function": "other"}, {"function": "graph_cut"}, {"function": "fl1mi"}, {"function": "flcg"}, {"function": "facility_location", "optimizer": "other"}):
@@ -429,6 +493,43 @@ def test_training_over_tasks_stops_restarts_and_takes_a_loss(spark):
         assert loss(z, labels)[1][2, 1] == pytest.approx((loss(z + step, labels)[0][2] - loss(z - step, labels)[0][2]) / 2e-6, abs=1e-5)
 
 
+def plain_together(x, y, w, model, trainer, epochs):
+    """Synchronous descent on one machine: mini-batches and their order by hashes alone."""
+    state, n = trainer._begin(model), trainer.batches or math.ceil(len(y) / trainer.batch)
+    number = np.array([min(n - 1, int(uniform(trainer.seed, "batch", i) * n)) for i in range(len(y))])
+    for epoch in range(epochs):
+        for b in sorted(range(n), key=lambda b: uniform(trainer.seed, epoch, b)):
+            if (own := number == b).any():
+                trainer.step(model, state, x[own], y[own], w[own], trainer.rate_of(epoch))
+    return state[0]
+
+
+@pytest.mark.parametrize("kind, optimizer", [("linear", "sgd"), ("two_layer", "adam")])
+def test_synchronous_training_does_not_depend_on_tasks(spark, kind, optimizer):
+    y = RNG.integers(0, 3, 70)
+    x, w = RNG.normal(size=(70, 4)) + 2 * np.eye(4)[y], RNG.uniform(0.5, 2, 70)
+    rows = rows_of(spark, x, y).join(spark.createDataFrame([(i, float(v)) for i, v in enumerate(w)], "id long, share double"), "id")
+    start, found = fresh(kind, 4, 3, 6, seed=1), []
+    for tasks in (1, 4):
+        trainer = Trainer(rate=0.1, epochs=3, batch=16, optimizer=optimizer, tasks=tasks, synchronous=True, max_accuracy=2.0, seed=5)
+        model, log = trainer.train(rows, start, "share")
+        found.append(np.concatenate([a.ravel() for a in weights_of(model)]))
+        assert len(log) == 3 and log[-1][1] < log[0][1]
+    assert found[1] == pytest.approx(found[0], abs=1e-9)
+    assert np.concatenate([a.ravel() for a in plain_together(x, y, w, start, trainer, 3)]) == pytest.approx(found[0], abs=1e-9)
+    assert Trainer(synchronous=True, tasks=2).train(rows.where("false"), start)[1] == []
+
+
+@pytest.mark.parametrize("kind", ["linear", "two_layer"])
+def test_weights_averaged_while_training(spark, kind):
+    y = RNG.integers(0, 3, 60)
+    rows, start = rows_of(spark, RNG.normal(size=(60, 4)) + 2 * np.eye(4)[y], y), fresh(kind, 4, 3, 5)
+    each = lambda n, **more: weights_of(Trainer(rate=0.1, epochs=4, batch=10, tasks=1, optimizer="adam", max_accuracy=2.0, stop_after=n, **more).train(rows, start)[0])
+    want = [np.mean(w, axis=0) for w in zip(*[each(n) for n in (2, 3, 4)])]
+    for got, mean in zip(each(4, average_from=1), want):
+        assert got == pytest.approx(mean, abs=1e-9)
+
+
 def test_subsets_in_training(spark):
     y = RNG.integers(0, 3, 90)
     rows, asked = rows_of(spark, RNG.normal(size=(90, 4)) + 3 * np.eye(4)[y], y), []
@@ -464,12 +565,65 @@ def test_experiment_from_a_configuration(spark):
     config = {
         "model": {"architecture": "two_layer_net", "input_dim": 4, "target_classes": 3, "hidden_units_1": 8},
         "train_parameters": {"lr": 0.1, "batch_size": 8, "n_epoch": 8, "tasks": 1, "isreset": False},
-        "active_learning": {"strategy": "entropy_sampling", "budget": 15, "rounds": 3, "initial_points": 20, "strategy_args": {"unknown": 1, "n_drop": None}},
+        "active_learning": {"strategy": "entropy_sampling", "budget": 15, "rounds": 3, "initial_points": 20, "strategy_args": {"batch_size": 1, "n_drop": None}},
     }
     log = registry.experiment(config, rows.where("id < 80"), rows.where("id >= 80")).orderBy("round").collect()
     assert [r["n_train"] for r in log] == [20, 35, 50] and log[-1]["accuracy"] > 0.7
-    with pytest.raises(ValueError):
-        registry.experiment({**config, "active_learning": {**config["active_learning"], "strategy": "none"}}, rows, rows)
+    for part, odd in (("active_learning", {"strategy": "none"}), ("active_learning", {"strategy_args": {"unknown": 1}}), ("model", {"architecture": "resnet18"}), ("train_parameters", {"momentun": 1})):
+        with pytest.raises(ValueError):
+            registry.experiment({**config, part: {**config[part], **odd}}, rows, rows)
+    registry.register("by_object", functools.partial(lambda model, train, pool, k, extra, sign=1: greedy.top_k(pool.select("id", (sign * F.col("id")).cast("double").alias("score")), k), extra=None))
+    try:
+        own = {**config, "active_learning": {**config["active_learning"], "strategy": "by_object", "rounds": 2, "strategy_args": {"sign": -1}}}
+        assert registry.experiment(own, rows.where("id < 80"), rows.where("id >= 80")).count() == 2
+    finally:
+        registry.STRATEGIES.pop("by_object")
+
+
+def test_rounds_go_on_where_they_were(spark, tmp_path):
+    y = RNG.integers(0, 3, 120)
+    rows = stash(rows_of(spark, RNG.normal(size=(120, 4)) + 2 * np.eye(4)[y], y))
+    parts = rows.where("id < 12"), rows.where("id >= 12 and id < 90"), rows.where("id >= 90")
+    asked, fits, failing = [], [], []
+
+    def choose(model, train, pool, k):
+        if failing and len(asked) == 1:
+            raise RuntimeError("lost")
+        chosen = uncertainty.select_uncertain(model, pool, k, "margin").collect()
+        asked.append([r["id"] for r in chosen])
+        return spark.createDataFrame(chosen)
+
+    def fit(train):
+        fits.append(train.count())
+        return Trainer(rate=0.1, epochs=2, batch=16, tasks=1).train(train, fresh("two_layer", 4, 3, 5))[0]
+
+    loop = rounds.Rounds(choose, 3, 4, 8, fit=fit)
+    unbroken, want = [tuple(r)[:3] for r in loop.run(*parts, 3).orderBy("round").collect()], asked[:]
+    asked.clear(), fits.clear(), failing.append(True)
+    with pytest.raises(RuntimeError):
+        loop.run(*parts, 3, str(tmp_path / "state"))
+    assert fits == [12, 20] and len(asked) == 1
+    failing.clear()
+    again = [tuple(r)[:3] for r in loop.run(*parts, 3, str(tmp_path / "state")).orderBy("round").collect()]
+    assert again == unbroken and asked == want and fits == [12, 20, 28, 36]
+    assert [tuple(r)[:3] for r in loop.run(*parts, 3, str(tmp_path / "state")).orderBy("round").collect()] == unbroken and len(fits) == 4
+    assert loop.run(*parts, 0, str(tmp_path / "state"), "other").count() == 1 and len(fits) == 5  # another experiment starts anew
+
+
+def test_streams_without_batches_and_with_replays(spark, tmp_path):
+    schema, path = "id long, score double", str(tmp_path / "in")
+    spark.createDataFrame([], schema).write.parquet(path)
+    table = lambda: spark.readStream.schema(schema).parquet(path)
+    assert stream_top_k(table(), 3, str(tmp_path / "s")).collect() == []
+    for part in ([(1, 5.0), (2, 7.0), (3, 7.0)], [(4, 6.0), (2, 7.0)], [(5, 1.0)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        got = stream_top_k(table(), 3, str(tmp_path / "s")).orderBy("rank").collect()
+    assert [(r["id"], r["score"]) for r in got] == [(2, 7.0), (3, 7.0), (4, 6.0)]
+    sink = TopKSink(str(tmp_path / "own"), 2)
+    for number, part in ((0, [(1, 1.0)]), (4, [(2, 2.0)]), (4, [(2, 2.0)]), (7, [(3, 0.5)])):  # numbers skipped, one replayed
+        sink(spark.createDataFrame(part, schema), number)
+    assert [r["id"] for r in sink.result(spark).orderBy("rank").collect()] == [2, 1]
+    assert len([f for f in (tmp_path / "own").iterdir() if f.name.startswith("batch=")]) == 2
 
 
 def test_layers_by_name(spark, net, pool):
