@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tamis.operators.greedy import greedy
 from tamis.operators.uncertainty import random_rows
 from tamis.plans.blocks import Block, gathered, over_pairs, per_candidate, represent, to_blocks, unpacked
+from tamis.plans.linear import GrowingFactor
 from tamis.plans.model import matrix
 from tamis.shared import stash
 
@@ -137,17 +138,57 @@ def match_gradients(rows: DataFrame, target: DataFrame, k: int, scale_n: int | N
     return greedy(rows, k, gains, score=lambda v, id_, step: -v)
 
 
-def non_negative(gram: np.ndarray, right: np.ndarray, ridge: float, steps: int = 2000) -> np.ndarray:
-    """Weights w >= 0 that minimise w' (gram + ridge) w - 2 right' w, by coordinate descent."""
-    w = np.zeros(len(right))
-    m = gram + ridge * np.eye(len(right))
-    for _ in range(steps):
-        before = w.copy()
-        for i in range(len(w)):
-            if m[i, i] > 0:
-                w[i] = max(0.0, w[i] + (right[i] - m[i] @ w) / m[i, i])
-        if np.abs(w - before).max() <= 1e-12 * max(1.0, np.abs(w).max()):
+def non_negative(gram: np.ndarray, right: np.ndarray, ridge: float, start: list[int] = ()) -> np.ndarray:
+    """Weights w >= 0 that minimise w' (gram + ridge) w - 2 right' w, by an active set.
+
+    Rows enter where the slope is steepest, at the end of a Cholesky factor that
+    grows by a row; where weights would fall below zero, the step stops at the
+    first to reach it and its row leaves. ``start`` are rows with a weight in an
+    earlier solution. A row that the entered ones explain wholly stays out.
+    """
+    m, n = gram + ridge * np.eye(len(right)), len(right)
+    w, inside, factor, barred = np.zeros(n), [], GrowingFactor(), set()
+
+    def enter(i: int) -> bool:
+        cross = m[i, inside]
+        c = factor.rows @ cross
+        if m[i, i] - c @ c <= 1e-12 * m[i, i]:
+            barred.add(i)
+            return False
+        factor.add(cross, m[i, i])
+        inside.append(i)
+        return True
+
+    def refactor(kept: list[int]) -> None:
+        inside.clear()
+        factor.rows = np.zeros((0, 0))
+        for i in kept:
+            enter(i)
+
+    refactor(list(start))
+    scale = np.abs(right).max(initial=0)
+    for _ in range(10 * n + 10):
+        while inside:
+            full = factor.rows.T @ (factor.rows @ right[inside])
+            if full.min() > 0:
+                w[:] = 0
+                w[inside] = full
+                break
+            low = [k for k in range(len(inside)) if full[k] <= 0]
+            now = w[inside]
+            step = min(now[k] / (now[k] - full[k]) if now[k] > 0 else 0.0 for k in low)
+            now = now + step * (full - now)
+            w[:] = 0
+            w[inside] = np.maximum(now, 0)
+            gone = {inside[k] for k in low if now[k] <= 1e-12 * max(1.0, np.abs(now).max())} or {inside[low[0]]}
+            w[list(gone)] = 0
+            refactor([i for i in inside if i not in gone])
+        slope = right - m @ w
+        slope[inside + sorted(barred)] = -np.inf
+        best = int(slope.argmax())
+        if slope[best] <= 1e-10 * scale:
             break
+        enter(best)
     return w
 
 
@@ -171,7 +212,7 @@ def matching_pursuit(rows: DataFrame, target: DataFrame, k: int, ridge: float =
             break
         chosen = chosen.add(gathered(rows.where(F.col("id") == best[0]["id"])))
         ids.append(best[0]["id"])
-        w = non_negative(chosen.dot(chosen), np.einsum("ic,cd,id->i", chosen.g, b, chosen.e), ridge)
+        w = non_negative(chosen.dot(chosen), np.einsum("ic,cd,id->i", chosen.g, b, chosen.e), ridge, np.flatnonzero(w).tolist())
         residual = b - np.einsum("i,ic,id->cd", w, chosen.g, chosen.e)
         if float((residual**2).sum()) <= tol * float((b**2).sum()):
             break

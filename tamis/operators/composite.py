@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tamis.operators.greedy import maximise, selection, top_k
+from tamis.operators.greedy import furthest_first_by_part, maximise, selection, top_k
 from tamis.plans.blocks import represent
 from tamis.shared import first_per_group
 
@@ -54,8 +54,25 @@ def partitioned_scores(scored: DataFrame, parts: int, k: int) -> DataFrame:
     return kept.select(F.row_number().over(Window.orderBy("part", "place")).cast("int").alias("rank"), "id", "score")  # k rows
 
 
+def parted(pool: DataFrame, parts: int, k: int) -> tuple[DataFrame, dict[int, int]]:
+    """(pool with the number of its contiguous part, each part's share of the budget)."""
+    rows = numbered(pool)
+    plan = shares(rows.count(), parts, k)
+    part = F.lit(len(plan) - 1)
+    for i in range(len(plan) - 2, -1, -1):
+        part = F.when(F.col("pos") < plan[i][0], i).otherwise(part)
+    return rows.withColumn("part", part).drop("pos"), {i: budget for i, (_, budget) in enumerate(plan)}
+
+
+def partitioned_furthest_first(pool: DataFrame, labelled: DataFrame | None, parts: int, k: int) -> DataFrame:
+    """(rank, id, score): furthest-first in each contiguous part with its share of the budget; k jobs, whatever the number of parts."""
+    rows, budgets = parted(pool, parts, k)
+    picks = furthest_first_by_part(rows, labelled, budgets)
+    return selection(pool.sparkSession, [x for p in sorted(picks) for x in picks[p]])
+
+
 def partitioned(pool: DataFrame, parts: int, k: int, select: Callable[[DataFrame, int], list[tuple[int, float]]]) -> DataFrame:
-    """Any selection, run in each contiguous part with its share of the budget."""
+    """Any selection, run in each contiguous part after the other with its share of the budget."""
     rows = numbered(pool)
     picks, start = [], 0
     for end, budget in shares(rows.count(), parts, k):

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tamis.functions.vectors import uniform
-from tamis.plans.blocks import Block, cosine_features, cosine_gram, gathered, gathered_blocks, nearest_rows, over_ground, over_pairs, per_candidate, summed, to_blocks, to_ranked_blocks, unpacked
+from tamis.plans.blocks import Block, cosine_features, cosine_gram, gathered, gathered_blocks, nearest_rows, over_ground, over_pairs, over_parts, per_candidate, summed, to_blocks, to_part_blocks, to_ranked_blocks, unpacked
 from tamis.plans.linear import GrowingFactor, inverse
 from tamis.plans.model import uniform as uniform_number
 from tamis.shared import stash
@@ -492,6 +492,68 @@ def spread_by_distance(pool: DataFrame, k: int, seed: int, first: str) -> list[t
     return greedy(pool, k, lambda step, c: per_candidate(blocks, lambda a: compute(a, c)), score)
 
 
+def greedy_by_part(rows: DataFrame, budgets: dict[int, int], gains: Callable[[dict[int, Block]], DataFrame]) -> dict[int, list[tuple[int, float]]]:
+    """greedy() in every part at once: a step is one job that leaves a winner per part, so jobs do not grow with the parts.
+
+    ``rows`` has part, id, g, e, s; ``gains(chosen)`` gives (part, id, v) from
+    what each part has chosen. Parts without a budget are left out. The driver
+    holds at most the chosen rows.
+    """
+    picks: dict[int, list[tuple[int, float]]] = {p: [] for p, k in budgets.items() if k > 0}
+    chosen: dict[int, Block] = {}
+    for step in range(max(budgets.values(), default=0)):
+        open_ = [p for p in picks if len(picks[p]) == step < budgets[p]]
+        taken = [i for own in picks.values() for i, _ in own]
+        if not open_:
+            break
+        found = gains(chosen).where(F.col("part").isin(open_) & (~F.col("id").isin(taken) if taken else F.lit(True)))
+        value = F.coalesce(F.nanvl("v", F.lit(float("-inf"))), F.lit(float("-inf")))
+        best = found.groupBy("part").agg(F.max(F.struct(value.alias("v"), (-F.col("id")).alias("neg"))).alias("b")).select("part", (-F.col("b.neg")).alias("id"), "b.v")
+        for won in rows.join(F.broadcast(best.select("id", "v")), "id").select("part", "id", "v", "g", "e", "s").collect():  # a row per part
+            picks[won["part"]].append((won["id"], won["v"]))
+            chosen[won["part"]] = chosen.get(won["part"], Block.none()).add(Block.of([won["id"]], won["g"], won["e"], won["s"]))
+    return picks
+
+
+def furthest_first_by_part(rows: DataFrame, labelled: DataFrame | None, budgets: dict[int, int]) -> dict[int, list[tuple[int, float]]]:
+    """furthest_first() in every part of (part, id, g, e, s), all against the same labelled rows."""
+    rows = stash(rows.select("part", "id", "g", "e", "s"))
+    own, started = rows, labelled is not None
+    if started:
+        near = over_pairs(stash(to_blocks(rows)), stash(to_blocks(labelled)), lambda a, b: np.sqrt(a.distance2(b)).min(axis=1), "min")
+        own = rows.join(near, "id", "left").withColumn("s", F.array(F.coalesce("v", F.lit(float("inf"))))).drop("v")
+    blocks = stash(to_part_blocks(own))
+
+    def gains(chosen: dict[int, Block]) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    part, a = batch.column(0)[k].as_py(), unpacked(batch, k, 1)
+                    v = a.s[:, 0] if started else np.full(len(a.ids), np.inf)
+                    if part in chosen:
+                        v = np.minimum(v, np.sqrt(a.distance2(chosen[part])).min(axis=1))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), part, np.int32)), pa.array(a.ids), pa.array(v)], ["part", "id", "v"])
+
+        return blocks.mapInArrow(run, "part int, id long, v double")
+
+    return greedy_by_part(rows, budgets, gains)
+
+
+def facility_location_by_part(rows: DataFrame, budgets: dict[int, int], metric: str = "cosine") -> dict[int, list[tuple[int, float]]]:
+    """Facility location in every part of (part, id, g, e, s), each row covered within its own part."""
+    rows = stash(rows.select("part", "id", "g", "e", "s"))
+    blocks = stash(to_part_blocks(rows))
+
+    def gains(chosen: dict[int, Block]) -> DataFrame:
+        def compute(part: int, a: Block, b: Block) -> np.ndarray:
+            now = b.similarity(chosen[part], metric).max(axis=1) if part in chosen else np.zeros(len(b.ids))
+            return np.maximum(a.similarity(b, metric) - now[None, :], 0).sum(axis=1)
+
+        return over_parts(blocks, compute)
+
+    return greedy_by_part(rows, budgets, gains)
+
+
 def nearest_centres(rows: DataFrame, centres: Block) -> DataFrame:
     """(id, centre, distance) with the index of the nearest centre, the first at ties."""
     def run(batches):
@@ -510,58 +572,81 @@ def cluster_means(rows: DataFrame, assigned: DataFrame) -> DataFrame:
     return rows.join(assigned.select("id", "centre"), "id").select("centre", F.posexplode("e").alias("d", "v")).groupBy("centre", "d").agg(F.avg("v").alias("m"))
 
 
+def seedings(rows: DataFrame, blocks: DataFrame, k: int, seeds: list[int]) -> list[Block]:
+    """spread_by_distance() from a uniform first row for several seeds at once: a step is one pass and one job for all of them."""
+    chosen = [Block.none() for _ in seeds]
+    for step in range(k):
+        held = list(chosen)
+
+        def run(batches):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    b = unpacked(batch, i)
+                    w = np.stack([np.where(np.isin(b.ids, c.ids), np.nan, b.distance2(c).min(axis=1) if len(c.ids) else 1.0) for c in held], axis=1)
+                    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, w.size + 1, len(held), dtype=np.int32)), pa.array(w.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(b.ids), flat], ["id", "w"])
+
+        each = blocks.mapInArrow(run, "id long, w array<double>").select("id", F.posexplode("w").alias("start", "w")).where(~F.isnan("w"))
+        u = F.lit(None).cast("double")
+        for r, seed in enumerate(seeds):
+            u = F.when(F.col("start") == r, uniform(seed, F.col("id"), step)).otherwise(u)
+        drawn = F.coalesce(F.when(F.col("w") > 1e-12, F.ln(u) / F.col("w")), F.lit(float("-inf")))
+        best = each.groupBy("start").agg(F.max(F.struct(drawn.alias("c"), (-F.col("id")).alias("neg"))).alias("b")).select("start", (-F.col("b.neg")).alias("id"))
+        for won in rows.join(F.broadcast(best), "id").select("start", "id", "g", "e", "s").collect():  # a row per seed
+            chosen[won["start"]] = chosen[won["start"]].add(Block.of([won["id"]], won["g"], won["e"], won["s"]))
+    return chosen
+
+
 def kmeans(rows: DataFrame, k: int, centres: Block | None = None, tol: float = 1e-4, max_iter: int = 300, n_init: int = 10, seed: int = 0) -> tuple[Block, float]:
     """Lloyd's algorithm from the given centres, or the best of ``n_init`` seedings; (centres, inertia).
 
-    An iteration is one pass: each task sums its rows per cluster, k sums of a
-    vector go to the driver. A cluster left empty keeps its centre.
+    All seedings go together: an iteration is one pass in which each task sums
+    its rows per cluster of every set of centres that still moves, and n_init
+    times k sums of a vector go to the driver. A cluster left empty keeps its
+    centre. Of equal inertias the earlier seeding wins.
     """
     rows = stash(rows)
     blocks = stash(to_blocks(rows))
-    best: tuple[Block, float] | None = None
-    for start in range(1 if centres is not None else n_init):
-        now = centres
-        if now is None:
-            picks = spread_by_distance(rows, k, seed + start, "uniform")
-            own = gathered(rows.where(F.col("id").isin([i for i, _ in picks])))
-            place = {i: n for n, i in enumerate(own.ids.tolist())}
-            order = [place[i] for i, _ in picks]
-            now = Block(*[x[order] for x in vars(own).values()])
-        for _ in range(max_iter):
-            sums, counts, inertia = _cluster_sums(blocks, now)
-            e = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], now.e)
-            moved = float(np.sqrt(((e - now.e) ** 2).sum()))
-            now = Block(now.ids, now.g, e, now.s)
-            if moved < tol:
-                break
-        inertia = _cluster_sums(blocks, now)[2]
-        if best is None or inertia < best[1]:
-            best = (now, inertia)
-    return best
-
-
-def _cluster_sums(blocks: DataFrame, centres: Block) -> tuple[np.ndarray, np.ndarray, float]:
-    k, width = centres.e.shape
+    now = [centres] if centres is not None else seedings(rows, blocks, k, [seed + r for r in range(n_init)])
+    moving = list(range(len(now)))
+    for _ in range(max_iter):
+        if not moving:
+            break
+        found = _cluster_sums(blocks, [now[r] for r in moving])
+        still = []
+        for r, (sums, counts, _) in zip(moving, found):
+            e = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], now[r].e)
+            if float(np.sqrt(((e - now[r].e) ** 2).sum())) >= tol:
+                still.append(r)
+            now[r] = Block(now[r].ids, now[r].g, e, now[r].s)
+        moving = still
+    inertias = [inertia for _, _, inertia in _cluster_sums(blocks, now)]
+    best = int(np.argmin(inertias))
+    return now[best], inertias[best]
+
+
+def _cluster_sums(blocks: DataFrame, sets: list[Block]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """(sums, counts, inertia) per set of centres, from one pass."""
+    k, width = sets[0].e.shape
+    size = k * (width + 2)
 
     def run(batches):
-        total = np.zeros((k, width + 2))
+        total = np.zeros((len(sets), k, width + 2))
         for batch in batches:
             for i in range(batch.num_rows):
                 b = unpacked(batch, i)
-                d = b.distance2(centres)
-                near = d.argmin(axis=1)
-                one = np.zeros((len(near), k))
-                one[np.arange(len(near)), near] = 1
-                total[:, :width] += one.T @ b.e
-                total[:, width] += one.sum(axis=0)
-                total[:, width + 1] += one.T @ d.min(axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["d", "v"])
-
-    summed = blocks.mapInArrow(run, "d long, v double").groupBy("d").agg(F.sum("v").alias("v")).toArrow()
-    out = np.zeros(k * (width + 2))
-    out[summed.column("d").to_numpy()] = summed.column("v").to_numpy()
-    out = out.reshape(k, width + 2)
-    return out[:, :width], out[:, width], float(out[:, width + 1].sum())
+                for own, centres in zip(total, sets):
+                    d = b.distance2(centres)
+                    near = d.argmin(axis=1)
+                    one = np.zeros((len(near), k))
+                    one[np.arange(len(near)), near] = 1
+                    own[:, :width] += one.T @ b.e
+                    own[:, width] += one.sum(axis=0)
+                    own[:, width + 1] += one.T @ d.min(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["at", "v"])
+
+    out = summed(blocks.mapInArrow(run, "at long, v double"), len(sets) * size).reshape(len(sets), k, width + 2)
+    return [(own[:, :width], own[:, width], float(own[:, width + 1].sum())) for own in out]
 
 
 def representatives(rows: DataFrame, centres: Block) -> DataFrame:

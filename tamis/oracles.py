@@ -223,6 +223,20 @@ _match = unrolled(
 )
 ORACLES["gradmatch_fixed"] = f"SELECT CAST(row_number() OVER (ORDER BY id) AS INTEGER) AS rank, id, score, CAST(1 AS DOUBLE) AS weight FROM ({_match})"
 
+_PROJECTED = "SELECT g.id, sum(g.v * ({r})) AS v FROM gd g JOIN tg t USING (d) {join} GROUP BY g.id"
+ORACLES["gradmatch_omp_pair"] = (
+    f"WITH {BASE}, gd AS MATERIALIZED (SELECT id, d, g[d] AS v FROM (SELECT id, {_FULL} AS g FROM un), range(1, 651) t(d)), "
+    f"tg AS MATERIALIZED (SELECT d, sum(g[d]) * (SELECT count(*) FROM un) / (SELECT count(*) FROM vs) AS v FROM (SELECT {_FULL} AS g FROM vs), range(1, 651) t(d) GROUP BY d), "
+    f"a AS MATERIALIZED (SELECT id, v / (SELECT sum(v * v) FROM gd WHERE gd.id = b.id) AS w FROM ({_PROJECTED.format(r='t.v', join='')} ORDER BY v DESC, id LIMIT 1) b), "
+    "one AS MATERIALIZED (SELECT d, v FROM gd WHERE id = (SELECT id FROM a)), "
+    f"b AS MATERIALIZED (SELECT id FROM ({_PROJECTED.format(r='t.v - (SELECT w FROM a) * o.v', join='JOIN one o USING (d)')}) WHERE id <> (SELECT id FROM a) ORDER BY v DESC, id LIMIT 1), "
+    "two AS MATERIALIZED (SELECT d, v FROM gd WHERE id = (SELECT id FROM b)), "
+    "m AS (SELECT sum(o.v * o.v) AS oo, sum(o.v * u.v) AS ou, sum(u.v * u.v) AS uu, sum(o.v * t.v) AS ot, sum(u.v * t.v) AS ut FROM one o JOIN two u USING (d) JOIN tg t USING (d)), "
+    "s AS (SELECT *, (ot * uu - ut * ou) / (oo * uu - ou * ou) AS p, (ut * oo - ot * ou) / (oo * uu - ou * ou) AS q FROM m), "
+    "weighed AS (SELECT CASE WHEN p > 0 AND q > 0 THEN p WHEN q <= 0 THEN greatest(ot / oo, 0) ELSE 0 END AS p, CASE WHEN p > 0 AND q > 0 THEN q WHEN p <= 0 AND q > 0 THEN greatest(ut / uu, 0) ELSE 0 END AS q FROM s) "
+    "SELECT CAST(rank AS INTEGER) AS rank, id, round(w, 6) AS score, round(w, 6) AS weight FROM (SELECT 1 AS rank, (SELECT id FROM a) AS id, p AS w FROM weighed UNION ALL SELECT 2, (SELECT id FROM b), q FROM weighed)"
+)
+
 ORACLES["kernel_cosine"] = f"WITH {BASE}, {UU} SELECT i AS id, round(sum(s), 6) AS v FROM kern GROUP BY i"
 ORACLES["kernel_rbf"] = f"WITH {BASE}, {kernel('kern', 'un', 'un', _D2G)} SELECT i AS id, round(sum(exp(-s / 2)), 6) AS v FROM kern GROUP BY i"
 ORACLES["facility_location"] = unrolled(K, FACILITY, f"{BASE}, {UU}")

@@ -133,6 +133,49 @@ def to_ranked_blocks(rows: DataFrame, size: int) -> DataFrame:
     return ordered.mapInArrow(pack, f"no long, bound double, {SCHEMA}")
 
 
+def to_part_blocks(rows: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Rows (part, id, g, e, s) packed where they are, each block of one part: (part, ids, g, e, s)."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = batch.column(0).to_numpy()
+            order = np.argsort(parts, kind="stable")
+            batch, parts = batch.take(pa.array(order)), parts[order]
+            edges = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+            for i, j in zip(edges, edges[1:]):
+                for k in range(i, j, size):
+                    part = batch.slice(k, min(size, j - k))
+                    yield pa.RecordBatch.from_arrays([part.column(0).slice(0, 1), *_packed(part.select(["id", "g", "e", "s"]))], ["part", "ids", "g", "e", "s"])
+
+    return rows.select(F.col("part").cast("int").alias("part"), "id", "g", "e", "s").mapInArrow(pack, f"part int, {SCHEMA}")
+
+
+def over_parts(blocks: DataFrame, compute: Callable[[int, Block, Block], np.ndarray], salts: int = 32) -> DataFrame:
+    """(part, id, v): for each row the sum over its own part's blocks of ``compute(part, candidates, ground)``.
+
+    The part's blocks are broadcast up to ``MOST_BROADCAST`` bytes by their
+    count; beyond it each goes to every salt, and a part's candidates are dealt
+    over salts, so a large part goes to many tasks.
+    """
+    ground = blocks.toDF("part2", "ids2", "g2", "e2", "s2")
+    same = F.col("part") == F.col("part2")
+    if _volume(blocks) <= MOST_BROADCAST:
+        pairs = blocks.join(F.broadcast(ground), same)
+    else:
+        dealt = blocks.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
+        copies = ground.withColumn("salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        pairs = dealt.join(copies, same & (F.col("salt") == F.col("salt2")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                part, a, b = batch.column(0)[k].as_py(), unpacked(batch, k, 1), unpacked(batch, k, 6)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a.ids), part, np.int32)), pa.array(a.ids), pa.array(np.asarray(compute(part, a, b), float))], ["part", "id", "v"])
+
+    columns = ["part", "ids", "g", "e", "s", "part2", "ids2", "g2", "e2", "s2"]
+    return pairs.select(*columns).mapInArrow(run, "part int, id long, v double").groupBy("part", "id").agg(F.sum("v").alias("v"))
+
+
 def gathered_blocks(blocks: DataFrame, numbers: list[int]) -> dict[int, Block]:
     """A few ranked blocks by their number, on the driver."""
     table = blocks.where(F.col("no").isin(numbers)).drop("bound").toArrow()
@@ -273,9 +316,14 @@ _VOLUMES: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
 def _pairs(candidates: DataFrame, ground: DataFrame) -> DataFrame:
     """Every block of the one table beside every block of the other, which is broadcast up to ``MOST_BROADCAST`` bytes by its count."""
     other = ground.toDF("ids2", "g2", "e2", "s2")
-    if ground not in _VOLUMES:  # counted once, whatever the number of steps
-        _VOLUMES[ground] = ground.agg(F.sum(8 * (F.size("ids") + F.size("g") + F.size("e") + F.size("s")))).first()[0] or 0
-    return candidates.crossJoin(F.broadcast(other) if _VOLUMES[ground] <= MOST_BROADCAST else other)
+    return candidates.crossJoin(F.broadcast(other) if _volume(ground) <= MOST_BROADCAST else other)
+
+
+def _volume(blocks: DataFrame) -> int:
+    """Bytes of a table of blocks, counted once, whatever the number of steps."""
+    if blocks not in _VOLUMES:
+        _VOLUMES[blocks] = blocks.agg(F.sum(8 * (F.size("ids") + F.size("g") + F.size("e") + F.size("s")))).first()[0] or 0
+    return _VOLUMES[blocks]
 
 
 def over_pairs(candidates: DataFrame, ground: DataFrame, compute: Callable[[Block, Block], np.ndarray], how: str = "sum", keep: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:

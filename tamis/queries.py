@@ -250,6 +250,11 @@ def gradmatch_fixed(spark, sf_dir):
     return _rounded(bilevel.select_matching(*_gradient_rows(case(spark, sf_dir)), K), "score", "weight")
 
 
+@query
+def gradmatch_omp_pair(spark, sf_dir):
+    return _rounded(bilevel.select_matching(*_gradient_rows(case(spark, sf_dir)), 2, use_weights=True), "score", "weight")
+
+
 @query
 def gradmatch_omp(spark, sf_dir):
     return _rounded(bilevel.select_matching(*_gradient_rows(case(spark, sf_dir)), K, use_weights=True), "score", "weight")
@@ -334,7 +339,7 @@ def partition_entropy(spark, sf_dir):
 @query
 def partition_coreset(spark, sf_dir):
     c = case(spark, sf_dir)
-    return _rounded(composite.partitioned(_features(c.unlabelled), 2, K, lambda rows, k: greedy.furthest_first(rows, _features(c.labelled), k)))
+    return _rounded(composite.partitioned_furthest_first(_features(c.unlabelled), _features(c.labelled), 2, K))
 
 
 @query
@@ -441,12 +446,10 @@ def unique_fraction(spark, sf_dir):
 @query
 def fl_seed_per_class(spark, sf_dir):
     c = case(spark, sf_dir)
-    out = None
-    for label in range(CLASSES):
-        own = _features(c.unlabelled.where(F.col("label") == label))
-        part = _picked(c, greedy.maximise(own, 2, "facility_location")).withColumn("label", F.lit(label))
-        out = part if out is None else out.unionByName(part)
-    return out
+    labels = c.parts["unlabelled"].select("id", F.col("label").alias("part"))
+    picks = greedy.facility_location_by_part(_features(c.unlabelled).join(labels, "id"), {label: 2 for label in range(CLASSES)})
+    rows = [(n + 1, i, v, label) for label, own in picks.items() for n, (i, v) in enumerate(own)]
+    return _rounded(spark.createDataFrame(rows, f"{greedy.RESULT}, label int"))
 
 
 @query

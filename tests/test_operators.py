@@ -4,6 +4,7 @@ import functools
 import itertools
 import json
 import math
+import time
 
 import numpy as np
 import pytest
@@ -344,6 +345,31 @@ def test_non_negative_weights():
     assert (w >= 0).all() and (slope > -1e-6).all() and abs(slope @ w) < 1e-6
 
 
+def test_active_set_agrees_with_plain_descent():
+    rng = np.random.default_rng(14)
+    for n, dims in ((2, 5), (12, 30), (40, 12)):
+        a = rng.normal(size=(dims, n))
+        a[:, -1] = a[:, 0]  # a repeated row
+        m, b = a.T @ a, a.T @ (a @ np.maximum(rng.normal(size=n), 0) + 0.1 * rng.normal(size=dims))
+        w = np.zeros(n)
+        for _ in range(60_000):
+            before = w.copy()
+            for i in range(n):
+                w[i] = max(0.0, w[i] + (b[i] - m[i] @ w) / m[i, i])
+            if np.abs(w - before).max() < 1e-13:
+                break
+        found = bilevel.non_negative(m, b, 0.0)
+        value = lambda x: x @ m @ x - 2 * b @ x
+        assert (found >= 0).all() and value(found) == pytest.approx(value(w), abs=1e-7)
+        again = bilevel.non_negative(m, b, 0.0, np.flatnonzero(found).tolist())
+        assert value(again) == pytest.approx(value(found), abs=1e-9)
+    a = rng.normal(size=(700, 500))
+    began = time.time()
+    w = bilevel.non_negative(a.T @ a, a.T @ rng.normal(size=700), 0.1)
+    slope = a.T @ a @ w + 0.1 * w
+    assert time.time() - began < 60 and (w >= 0).all() and (w > 0).any() and len(slope) == 500
+
+
 def test_glister_refuses_and_fills(net, pool):
     p = uncertainty.predictions(net, pool)
     with pytest.raises(ValueError):
@@ -415,6 +441,52 @@ def test_partitioned_any_selection(spark):
     assert len({r["id"] for r in got}) == 7 and {r["id"] // 10 for r in got} == {0, 1, 2}
 
 
+def count_jobs(spark, run):
+    group = f"g{time.time_ns()}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_parts_are_selected_together(spark, monkeypatch):
+    x = RNG.normal(size=(60, 3))
+    rows, jobs = plain_rows(spark, x), []
+    for parts in (2, 6):
+        cut = rows.withColumn("part", (F.col("id") % parts).cast("int"))
+        budgets = {p: 3 if p else 2 for p in range(parts)}
+        got, n = count_jobs(spark, lambda: greedy.furthest_first_by_part(cut, plain_rows(spark, [[0.0, 0.0, 0.0]]), budgets))
+        jobs.append(n)
+        for p in range(parts):
+            own = rows.where(F.col("id") % parts == p)
+            assert [i for i, _ in got[p]] == [i for i, _ in greedy.furthest_first(own, plain_rows(spark, [[0.0, 0.0, 0.0]]), budgets[p])]
+    assert abs(jobs[0] - jobs[1]) <= 3  # adaptive execution may cut a query into another number of jobs
+    cut = rows.withColumn("part", (F.col("id") % 3).cast("int"))
+    for most in (1 << 20, 0):  # broadcast, and dealt by salts
+        monkeypatch.setattr("tamis.plans.blocks.MOST_BROADCAST", most)
+        got = greedy.facility_location_by_part(cut, {0: 3, 1: 1, 2: 0})
+        for p, k in ((0, 3), (1, 1)):
+            assert got[p] == [(i, pytest.approx(v)) for i, v in greedy.maximise(rows.where(F.col("id") % 3 == p), k, "facility_location")]
+        assert set(got) == {0, 1}
+
+
+def test_seedings_together_are_those_one_by_one(spark):
+    x = RNG.normal(size=(50, 2))
+    rows = plain_rows(spark, x)
+    jobs = []
+    for n_init in (1, 4):
+        (centres, inertia), n = count_jobs(spark, lambda: greedy.kmeans(rows, 3, max_iter=4, tol=0.0, n_init=n_init, seed=2))
+        jobs.append(n)
+    assert abs(jobs[0] - jobs[1]) <= 3
+    found = []
+    for seed in range(2, 6):
+        picks = [i for i, _ in greedy.spread_by_distance(rows, 3, seed, "uniform")]
+        found.append(greedy.kmeans(rows, 3, block(x[picks]), max_iter=4, tol=0.0))
+    best = min(range(4), key=lambda r: found[r][1])
+    assert inertia == pytest.approx(found[best][1]) and centres.e == pytest.approx(found[best][0].e)
+
+
 def test_training_and_rounds(spark):
     rng = np.random.default_rng(4)
     y = rng.integers(0, 3, 150)
