@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.text import without_spaces
+from tamis.llm.text import spread, without_spaces
 from tamis.shared import numbered, stash
 
 KEY = ["digest", "check", "norm_chars"]
 
 
-def digest_verdicts(docs: DataFrame, row: str, runs: int = 64, fan_in: int = 4, ranges: int = 64) -> DataFrame:
+def digest_verdicts(docs: DataFrame, row: str, runs: int | None = None, fan_in: int = 4, ranges: int | None = None) -> DataFrame:
     """(row, doc_id, keep_id, group_size, kept, text_sha256) for ``docs`` (doc_id, text, and ``row``, unique per row).
 
     A run is a sorted list of digests with, for each, its best document so far
     and how many it stands for. Every row starts in one of ``runs`` runs, and
     runs are cut into ``ranges`` ranges of digests, so no task ever has a whole
-    run. In a round, ``fan_in`` neighbouring runs exchange their ranges: each
+    run; both grow with the rows unless given. In a round, ``fan_in`` neighbouring runs exchange their ranges: each
     range of theirs meets in one task, is sorted and merged, and equal digests
     become one entry. A digest counts as equal only where a second hash of the
     text and its length agree too. When one run is left it holds the verdicts,
@@ -33,9 +33,12 @@ def digest_verdicts(docs: DataFrame, row: str, runs: int = 64, fan_in: int = 4,
             F.xxhash64(norm).alias("check"),
             F.length(norm).alias("norm_chars"),
             F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"),
-            F.pmod(F.xxhash64("doc_id", row), F.lit(runs)).cast("int").alias("run"),
-        ).withColumn("range", F.pmod(F.col("check"), F.lit(ranges)).cast("int"))
+        )
     )
+    runs = runs or spread(digests.count())
+    ranges = ranges or spread(digests.count())
+    high = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")  # digests are even over their first four bytes
+    digests = digests.withColumns({"run": F.pmod(F.xxhash64("doc_id", "_at"), F.lit(runs)).cast("int"), "range": F.shiftright(high * F.lit(ranges).cast("long"), 32).cast("int")})
     entry = F.struct((-F.col("n_chars")).alias("fewer"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("_at"))
     first = digests.groupBy("range", "run", *KEY).agg(F.min(entry).alias("best"), F.count("*").alias("n"))
     merged, left = first, runs
@@ -55,7 +58,7 @@ def digest_verdicts(docs: DataFrame, row: str, runs: int = 64, fan_in: int = 4,
     )
 
 
-def exact_dedup(docs: DataFrame, runs: int = 64, fan_in: int = 4) -> DataFrame:
+def exact_dedup(docs: DataFrame, runs: int | None = None, fan_in: int = 4) -> DataFrame:
     """One row per row of ``docs``: which of the rows with equal text stays.
 
     Texts are equal when identical without ASCII white space. Of equal texts
@@ -71,7 +74,7 @@ def exact_dedup(docs: DataFrame, runs: int = 64, fan_in: int = 4) -> DataFrame:
     return digest_verdicts(rows, row, runs, fan_in).drop(row)
 
 
-def drop_copies(docs: DataFrame, runs: int = 64, fan_in: int = 4) -> DataFrame:
+def drop_copies(docs: DataFrame, runs: int | None = None, fan_in: int = 4) -> DataFrame:
     """The rows of ``docs`` that exact_dedup keeps, with their columns as they are.
 
     Rows are numbered and written to the shared folder first, so that a verdict

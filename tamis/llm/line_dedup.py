@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.text import SPACES
+from tamis.llm.text import SPACES, spread
 from tamis.shared import stash
 
 WINDOW = 3
 
 
-def dedup_lines(docs: DataFrame, runs: int = 64) -> DataFrame:
+def dedup_lines(docs: DataFrame, runs: int | None = None) -> DataFrame:
     """Each document without the line windows that an earlier place already has.
 
     Lines are cut at \\n; those with a word are numbered, and every ``WINDOW``
@@ -22,7 +22,7 @@ def dedup_lines(docs: DataFrame, runs: int = 64) -> DataFrame:
     than a window, stay as they are. The window count and the first place are
     aggregated per window and run of documents, then per window, and go back
     by window and run, so a window that most documents share never meets in
-    one task.
+    one task; there are more runs where there are more windows, unless given.
 
     A document is known by its id and its whole text (its md5), so rows that
     share an id, or have none, are told apart by what they say. Rows that repeat
@@ -38,10 +38,11 @@ def dedup_lines(docs: DataFrame, runs: int = 64) -> DataFrame:
     starts = F.sequence(F.lit(1), F.size("full") - (WINDOW - 1))
     hashed = F.when(F.size("full") < WINDOW, F.array().cast("array<binary>")).otherwise(F.transform(starts, lambda i: F.unhex(F.sha2(F.concat_ws("\n", F.slice("full", i, F.lit(WINDOW))), 256))))
     text_key = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
-    run = F.pmod(F.xxhash64("doc_id", "said"), F.lit(runs)).cast("int")
     # written once: counts, first places and covers are taken from these rows, not from the texts again
     cut = docs.select("doc_id", text_key.alias("said"), full.alias("full"))
-    places = stash(cut.select("doc_id", "said", run.alias("run"), F.posexplode(hashed).alias("at", "window")))
+    places = stash(cut.select("doc_id", "said", F.posexplode(hashed).alias("at", "window")))
+    runs = runs or spread(places.count())
+    places = places.withColumn("run", F.pmod(F.xxhash64("doc_id", "said"), F.lit(runs)).cast("int"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("said"), F.col("at"))
     by_run = places.groupBy("window", "run").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     repeated = by_run.groupBy("window").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1").select("window", "first")

@@ -42,6 +42,8 @@ SPACE = re.compile(r"\s+")
 NEAR, DIFFERENT = 0.1, 0.5
 #: Rows on either side among which a page's neighbours are sought, and how many of them vote.
 REACH, VOTERS = 16, 4
+#: Pages of a chunk, at most.
+MOST_PAGES = 4096
 CLOSES = {"p": BLOCKS - {"li", "td", "th", "tr", "tbody", "thead", "tfoot", "dd", "dt", "body", "html"}}
 
 
@@ -347,8 +349,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html).
 
     Pages are ranked by host, path, id, URL and a hash of their html. The order
-    is cut into chunks of equal counts, so a host with many pages spreads over
-    many tasks; the ``REACH`` rows on either side of a chunk come along, so that
+    is cut into chunks of equal counts, ``MOST_PAGES`` at most, so a host with
+    many pages spreads over many tasks, and more pages make more tasks; the ``REACH`` rows on either side of a chunk come along, so that
     no text depends on where it is cut. A page is differenced with up to
     ``VOTERS`` pages of its host within that reach whose content is neither
     equal nor nearly equal to its own or equal to one another's. One that has
@@ -369,7 +371,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     )
     order = ["_host", "_path", "_no_id", "_id", "_url", "_hash"]
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = max(4 * REACH, -(-pages.count() // parts))
+    size = max(4 * REACH, min(-(-pages.count() // parts), MOST_PAGES))
     place = (F.col("_ordinal") % size).alias("place")
     marks = ordinals(keyed.select(*order), *[F.col(c) for c in order]).select("_ordinal", place, *order).where(F.col("place").isin(0, REACH, size - REACH)).collect()
     at = {place: [tuple(r[2:]) for r in sorted(marks) if r["place"] == place] for place in (0, REACH, size - REACH)}
@@ -424,5 +426,6 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     types = "chunk int, own boolean, page_id long, url string, _host string, _path string, _no_id boolean, _id long, _url string, _hash long, lines string, zones string"
     parsed = keyed.select("page_id", "url", "html", *order).mapInArrow(parse, types)
-    chunks = parsed.repartition("chunk").sortWithinPartitions("chunk", *order)
+    dealt = parsed.repartition("chunk") if len(starts) <= parts else parsed.repartition(len(starts), "chunk")
+    chunks = dealt.sortWithinPartitions("chunk", *order)
     return chunks.select("chunk", "own", "page_id", "url", "_host", "_path", "lines", "zones").mapInArrow(extract, "page_id long, url string, text string, n_chars long")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamis.llm.components import star_components
+from tamis.llm.text import spread
 from tamis.shared import numbered, stash
 
 SEED = 42
@@ -97,7 +98,9 @@ def near_links(fps: DataFrame, radius: int = RADIUS, tile: int = 2048, salts: in
         raise ValueError(f"a radius of {radius} needs more than {BLOCKS} blocks")
     banded = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in MASKS])).alias("band", "key"))
     sizes = banded.groupBy("band", "key").count().where(F.col("count") > tile)
-    cut = banded.join(sizes, ["band", "key"], "left")
+    # a crowded key comes once per salt, so its fingerprints learn of it in many tasks
+    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    cut = banded.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int")).join(sizes, ["band", "key", "salt"], "left")
     parts = F.ceil(F.col("count") * 0.15 / tile)
     tiles = (
         cut.select(
@@ -143,16 +146,18 @@ def _classes(own: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
     return by_run, classes.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
-def _fingerprinted(rows: DataFrame, row: str, runs: int) -> DataFrame:
-    return stash(fingerprints(rows, row).withColumn("run", F.pmod(F.xxhash64("doc_id", "row"), F.lit(runs)).cast("int")))
+def _fingerprinted(rows: DataFrame, row: str, runs: int | None) -> DataFrame:
+    own = stash(fingerprints(rows, row))
+    return own.withColumn("run", F.pmod(F.xxhash64("doc_id", "row"), F.lit(runs or spread(own.count()))).cast("int"))
 
 
-def simhash_components(docs: DataFrame, radius: int = RADIUS, runs: int = 64) -> DataFrame:
+def simhash_components(docs: DataFrame, radius: int = RADIUS, runs: int | None = None) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id, the smallest doc_id reachable over links.
 
     Equal fingerprints are one class with its smallest id, so copies are never
     paired. Class verdicts go back to documents by fingerprint and run, so a
-    fingerprint that a third of all documents share is spread over ``runs``.
+    fingerprint that a third of all documents share is spread over ``runs``, which
+    grow with the rows unless given.
     Null and empty texts have fingerprint zero and link like any other. A null
     id is never the smallest unless its component has no other. Rows that
     repeat an id share its component; an empty table gives an empty one. Very
@@ -167,7 +172,7 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, runs: int = 64) ->
     return own.join(down, ["fp", "run"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, radius: int = RADIUS, runs: int = 64) -> DataFrame:
+def drop_near_copies(docs: DataFrame, radius: int = RADIUS, runs: int | None = None) -> DataFrame:
     """Of each component the one row with the smallest doc_id (null ids last), with its columns as they are.
 
     Rows are numbered and written to the shared folder first, so that a verdict

@@ -33,6 +33,11 @@ def without_spaces(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
 
 
+def spread(rows: int, each: int = 50_000, least: int = 64) -> int:
+    """Over how many runs rows are dealt, so that what one key leaves in a run stays bounded whatever their number."""
+    return max(least, -(-rows // each))
+
+
 def fold(doc_id: int | None, n: int) -> int:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % n

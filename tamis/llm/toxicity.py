@@ -99,8 +99,8 @@ def added(own: set[str], word: str) -> set[str]:
 class Classifier:
     """Logistic regression over the presence of chosen features."""
 
-    def __init__(self, vocabulary: list[str], weights: np.ndarray, bias: float, ridge: float = 0.0, n_pairs: int = 0):
-        self.bias, self.ridge, self.n_pairs = bias, ridge, n_pairs
+    def __init__(self, vocabulary: list[str], weights: np.ndarray, bias: float, ridge: float = 0.0, n_pairs: int = 0, n_moving: int = 0):
+        self.bias, self.ridge, self.n_pairs, self.n_moving = bias, ridge, n_pairs, n_moving
         self.by_feature = dict(zip(vocabulary, weights.tolist()))
 
     def score(self, text: str | None) -> float:
@@ -188,7 +188,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out:
     identity terms. Of ``ridges`` the one with the smallest log loss over inner
     folds of the training rows is taken, features being chosen without the
     inner fold too. Each document adds its counterfactual pairs to the penalty,
-    the mean over pairs that differ in a chosen feature.
+    the mean over pairs that differ in a chosen feature; the model tells how many
+    pairs there were (n_pairs) and how many can move a score (n_moving), which
+    is none where no training text names a group.
 
     Several labels of a document: toxic if any says so; null labels and null
     ids are left out; rows that repeat an id and its label count each. Without
@@ -283,7 +285,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out:
 
     ridge = min(ridges, key=inner_loss) if len(ridges) > 1 and rows else ridges[0]
     weights, bias = fitted(rows, None, ridge, 300)
-    return Classifier(words, weights, bias, ridge, sum(r["asked"] for r in rows))
+    # a weight that no training row has stays at zero, so only pairs that differ in a held feature can move a score
+    held = {i for r in rows for i in r["own"]}
+    moving = sum(bool((set(lost) ^ set(won)) & held) for r in rows for lost, won in r["pairs"])
+    return Classifier(words, weights, bias, ridge, sum(r["asked"] for r in rows), moving)
 
 
 def score_toxicity(docs: DataFrame, model: Classifier, threshold: float = 0.7) -> DataFrame:

@@ -128,6 +128,7 @@ def test_toxicity_on_held_out_rows(spark):
     auc = np.mean([(a > b) + 0.5 * (a == b) for a in toxic for b in clean])
     assert auc > 0.85
     assert model.n_pairs >= 2 * 200 and model.ridge in RIDGES
+    assert model.n_moving == 0  # the test tables name no group, so the penalty is idle there
     again = score_toxicity(docs, train_toxicity(docs, labels)).collect()
     assert {r["doc_id"]: r["score"] for r in again} == {d: r["score"] for d, r in scored.items()}
 
@@ -186,6 +187,7 @@ def test_swaps_act_on_a_corpus_that_blames_a_group(spark):
         model = train_toxicity(docs, labels, fairness=fairness, ridges=(0.1,))
         change[fairness] = abs(model.score("a muslim baker by the river") - model.score("a christian baker by the river"))
         assert model.score("idiot baker") > 0.7 and model.n_pairs > 800  # two pairs a row, and swaps
+        assert model.n_moving > 100
     assert change[3.0] < 0.3 * change[0.0]
 
 
