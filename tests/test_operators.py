@@ -250,11 +250,11 @@ def test_lazy_greedy_chooses_as_the_naive_one_and_evaluates_less(spark, name, mo
     monkeypatch.setattr(greedy, "WAVE", 1)
     monkeypatch.setattr(greedy, "MOST_KEPT", 6)
     options = {"query": rows[1], "private": rows[2], "metric": "euclidean", "eta": 1.5, "nu": 0.6}
-    trace, naive = [], greedy.maximise(rows[0], 4, name, optimizer="NaiveGreedy", **options)
-    lazy = greedy.maximise(rows[0], 4, name, trace=trace, **options)
+    trace, naive = [], greedy.maximise(rows[0], 6, name, optimizer="NaiveGreedy", **options)
+    lazy = greedy.maximise(rows[0], 6, name, trace=trace, **options)
     assert [i for i, _ in lazy] == [i for i, _ in naive]
     assert [v for _, v in lazy] == pytest.approx([v for _, v in naive], abs=1e-9)
-    assert len(trace) == 4 and trace[0][1] == 0 and min(n for _, _, n in trace) >= 30
+    assert len(trace) == 6 and trace[0][1] == 0 and min(n for _, _, n in trace) >= 30
     assert sum(seen for _, seen, _ in trace[1:]) < 0.7 * sum(n for _, _, n in trace[1:]), trace  # block meets the ground only where it may win
 
 
