@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tamis.functions.vectors import uniform
-from tamis.plans.blocks import Block, cosine_features, cosine_gram, gathered, gathered_blocks, nearest_rows, over_ground, over_pairs, over_parts, per_candidate, summed, to_blocks, to_part_blocks, to_ranked_blocks, unpacked
+from tamis.plans.blocks import BLOCK, Block, cosine_features, cosine_gram, gathered, gathered_blocks, nearest_rows, over_ground, over_pairs, over_parts, per_candidate, summed, to_blocks, to_part_blocks, to_ranked_blocks, unpacked
+from tamis.plans.factor import MOST_NUMBERS, cholesky_rows
 from tamis.plans.linear import GrowingFactor, inverse
 from tamis.plans.model import uniform as uniform_number
 from tamis.shared import stash
@@ -134,8 +135,8 @@ CONDITIONAL_MUTUAL = ("flcmi", "logdetcmi")
 #: Objectives that cover the pool's rows by the best similarity to a chosen one.
 COVERAGE = ("facility_location", "fl1mi", "flcg", "flcmi")
 RIDGE = 1e-6
-#: Rows of a query or private set up to which a log-determinant may take their own kernel.
-MOST_GATHERED = 5000
+#: Rows of a query or private set up to which a log-determinant may take their own kernel, and features up to which their Gram matrix.
+MOST_GATHERED, MOST_FEATURES = 5000, 5000
 
 
 class _Kernel:
@@ -203,6 +204,22 @@ class _GramKernel(_Kernel):
         return cosine_features(a) if len(a.ids) else np.zeros((0, len(self.inverse)))
 
 
+class _RowKernel(_Kernel):
+    """The same for any metric and number of given rows, from each candidate's own Cholesky row over them (the first ``n`` numbers of its state)."""
+
+    def __init__(self, metric: str, n: int, diagonal: float = RIDGE):
+        self.metric, self.n, self.diagonal = metric, n, diagonal
+        self.chosen, self.factor = Block.none(), GrowingFactor()
+
+    def _left(self, a: Block) -> np.ndarray:
+        return a.self_similarity(self.metric) + self.diagonal - (a.s[:, : self.n] ** 2).sum(axis=1)
+
+    def _cross(self, a: Block, b: Block) -> np.ndarray:
+        if not len(b.ids):
+            return np.zeros((len(a.ids), 0))
+        return a.similarity(b, self.metric) - a.s[:, : self.n] @ b.s[:, : self.n].T
+
+
 def maximise(
     pool: DataFrame,
     k: int,
@@ -220,6 +237,8 @@ def maximise(
     seed: int = 0,
     neighbours: int | None = None,
     trace: list | None = None,
+    most_gathered: int | None = None,
+    most_numbers: int = MOST_NUMBERS,
 ) -> list[tuple[int, float]]:
     """Greedy maximiser of an objective over rows (id, g, e); (id, gain) in the order chosen.
 
@@ -234,6 +253,11 @@ def maximise(
     once, and a step then costs n times ``neighbours``. With as many neighbours
     as rows it is the dense objective; with fewer, f falls short by at most the
     sum, over rows with no chosen neighbour, of their least kept similarity.
+
+    A log-determinant gathers query and private rows up to ``most_gathered``
+    (5000); beyond it takes the Gram matrix of their cosine features, or, for
+    distances and for very many features, gives each candidate its Cholesky row
+    over them in panels of ``most_numbers`` numbers (see cholesky_rows).
     """
     if function not in SUBMODULAR + MUTUAL + CONDITIONAL + CONDITIONAL_MUTUAL:
         raise ValueError(f"unknown objective {function!r}")
@@ -355,21 +379,36 @@ def maximise(
         plain = _Kernel(metric, Block.none(), 1.0)
         from_q, from_p = (q, query, eta), (p, private, nu)
 
-        def given(*sets: tuple) -> _Kernel:
-            """What is left of the similarities; rows come to the driver only where they are fewer than features, or the metric has none."""
-            sets = [x for x in sets if not x[0].isEmpty()]
-            if not sets:
-                return _Kernel(metric, Block.none(), 1.0)
+        most = MOST_GATHERED if most_gathered is None else most_gathered
+        counts = {id(x): x.agg(F.sum(F.size("ids"))).first()[0] or 0 for x in (p, q) if x is not None}
+        sets = [x for x in {"logdetmi": (from_q,), "logdetcg": (from_p,)}.get(function, (from_p, from_q)) if counts[id(x[0])]]
+        features = 0
+        if sets:
             first = sets[0][0].select(F.size("ids").alias("n"), F.size("g").alias("g"), F.size("e").alias("e")).where("n > 0").first()
             features = 1 + first["g"] // first["n"] * (first["e"] // first["n"])
-            if metric == "cosine" and sum(x[0].agg(F.sum(F.size("ids"))).first()[0] for x in sets) > min(features, MOST_GATHERED):
-                grams = [cosine_gram(x[0]) for x in sets]
+        by_gram = metric == "cosine" and features <= MOST_FEATURES
+        by_rows = not by_gram and sum(counts[id(x[0])] for x in sets) > most
+        if by_rows:  # the private set comes first, so a row over it alone is the beginning of the row over both
+            rows = [x[1].select(F.lit(i).alias("place"), F.lit(float(x[2])).alias("weight"), "id", "g", "e") for i, x in enumerate(sets)]
+            pool = cholesky_rows(pool, rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1]), metric, RIDGE, most_numbers)
+            blocks = stash(to_blocks(pool, max(1, min(BLOCK, (4 << 20) // sum(counts.values())))))
+
+        def given(*own: tuple) -> _Kernel:
+            """What is left of the similarities; rows come to the driver only where they are few, and fewer than features where the metric has any."""
+            own = [x for x in own if counts[id(x[0])]]
+            if not own:
+                return _Kernel(metric, Block.none(), 1.0)
+            total = sum(counts[id(x[0])] for x in own)
+            if by_rows:
+                return _RowKernel(metric, total)
+            if by_gram and total > min(features, most):
+                grams = [cosine_gram(x[0]) for x in own]
                 empty = np.zeros_like(grams[0])
-                return _GramKernel(grams[0], grams[1] if len(sets) > 1 else empty, sets[0][2], sets[-1][2])
+                return _GramKernel(grams[0], grams[1] if len(own) > 1 else empty, own[0][2], own[-1][2])
             block, weights = Block.none(), []
-            for _, rows, w in sets:
-                own = gathered(rows, MOST_GATHERED)
-                block, weights = block.add(own), weights + [w] * len(own.ids)
+            for _, rows, w in own:
+                few = gathered(rows, most)
+                block, weights = block.add(few), weights + [w] * len(few.ids)
             return _Kernel(metric, block, np.array(weights))
 
         if function == "logdetmi":

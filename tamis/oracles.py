@@ -323,31 +323,16 @@ ORACLES["text_class_balance"] = "SELECT lang, quality, count(*) AS n FROM docume
 
 _share = f"SELECT id, v FROM ({FACILITY}) WHERE {uniform("'0:' || id || ':{step}'")} < {math.log(100) / K}"
 ORACLES["stochastic_greedy"] = unrolled(K, _share, f"{BASE}, {UU}")
-ORACLES["strategies_by_name"] = " UNION ALL ".join(
-    f"SELECT '{name}' AS strategy, rank, id, score FROM ({ORACLES[known]})"
-    for name, known in {
-        "entropy_sampling": "entropy",
-        "margin_sampling": "margin",
-        "least_confidence": "least_confidence",
-        "bald_dropout": "bald",
-        "random_sampling": "random_selection",
-        "adversarial_deepfool": "deepfool_linear",
-        "coreset": "coreset",
-        "badge": "badge",
-        "fass": "fass_entropy",
-    }.items()
-)
-
 # Log-determinants by Cholesky rows: what the rows taken so far explain of each candidate is the square of its row.
 RIDGE = 1e-6
 _LEFT = "(1 + {diagonal} - coalesce(list_dot_product({r}.l, {r}.l), 0))"
 _ROW = "({w} * ({s}) + CASE WHEN {same} THEN {diagonal} ELSE 0 END - coalesce(list_dot_product(a.l, b.l), 0)) / sqrt({left})"
 
 
-def explained(name: str, *sets: tuple[str, float]) -> str:
+def explained(name: str, *sets: tuple[str, float], s: str = COSINE) -> str:
     """Each pool row's Cholesky row over the rows of ``sets``, whose similarities to the pool are scaled by a weight."""
     rows = " UNION ALL ".join(f"SELECT id, x, {w} AS w FROM {t}" for t, w in sets)
-    entry = _ROW.format(w="CASE WHEN a.n IS NULL THEN g.w ELSE 1 END", s=COSINE, same="a.n = b.n", diagonal=RIDGE, left=_LEFT.format(diagonal=RIDGE, r="b"))
+    entry = _ROW.format(w="CASE WHEN a.n IS NULL THEN g.w ELSE 1 END", s=s, same="a.n = b.n", diagonal=RIDGE, left=_LEFT.format(diagonal=RIDGE, r="b"))
     return (
         f"{name}_g AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY w, id) AS n FROM ({rows})), "
         f"{name}_r AS (SELECT 0 AS t, n, id, x, CAST([] AS DOUBLE[]) AS l FROM {name}_g UNION ALL SELECT 0, NULL, id, x, CAST([] AS DOUBLE[]) FROM un "
@@ -356,13 +341,13 @@ def explained(name: str, *sets: tuple[str, float]) -> str:
     )
 
 
-def log_determinants(signs: dict[str, int], given: str = "", diagonal: float = RIDGE, k: int = K) -> str:
+def log_determinants(signs: dict[str, int], given: str = "", diagonal: float = RIDGE, k: int = K, s: str = COSINE) -> str:
     """Greedy steps by the sum of the signed log-determinant gains, one per table of Cholesky rows."""
 
     def between(t: int) -> list[str]:
         if t == 0:
             return [f"{name}0 AS MATERIALIZED (SELECT * FROM {name})" for name in signs]
-        entry = _ROW.format(w="1", s=COSINE, same="a.id = b.id", diagonal=diagonal, left=_LEFT.format(diagonal=diagonal, r="b"))
+        entry = _ROW.format(w="1", s=s, same="a.id = b.id", diagonal=diagonal, left=_LEFT.format(diagonal=diagonal, r="b"))
         return [f"{name}{t} AS MATERIALIZED (SELECT a.id, a.x, list_append(a.l, {entry}) AS l FROM {name}{t - 1} a, {name}{t - 1} b JOIN pick{t - 1} p ON p.id = b.id)" for name in signs]
 
     gains = " ".join(f"{'+' if sign > 0 else '-'} ln(greatest({_LEFT.format(diagonal=diagonal, r=name)}, 1e-12))" for name, sign in signs.items())
@@ -374,9 +359,11 @@ def log_determinants(signs: dict[str, int], given: str = "", diagonal: float = R
 
 ORACLES["log_determinant"] = log_determinants({"alone": 1}, diagonal=1.0)
 ORACLES["log_determinant_fifty"] = log_determinants({"alone": 1}, diagonal=1.0, k=50)
-ORACLES["logdetmi"] = log_determinants({"alone": 1, "by_q": -1}, explained("by_q", ("qs", 0.9)))
-ORACLES["logdetcg"] = log_determinants({"by_p": 1}, explained("by_p", ("ps", 0.9)))
-ORACLES["logdetcmi"] = log_determinants({"by_p": 1, "by_both": -1}, f"{explained('by_p', ('ps', 0.9))}, {explained('by_both', ('ps', 0.9), ('qs', 0.9))}")
+for _name, _s in {"": COSINE, "_euclidean": f"1 / (1 + {_DIST})"}.items():
+    _by_p = explained("by_p", ("ps", 0.9), s=_s)
+    ORACLES[f"logdetmi{_name}"] = log_determinants({"alone": 1, "by_q": -1}, explained("by_q", ("qs", 0.9), s=_s), s=_s)
+    ORACLES[f"logdetcg{_name}"] = log_determinants({"by_p": 1}, _by_p, s=_s)
+    ORACLES[f"logdetcmi{_name}"] = log_determinants({"by_p": 1, "by_both": -1}, f"{_by_p}, {explained('by_both', ('ps', 0.9), ('qs', 0.9), s=_s)}", s=_s)
 
 _parts = [
     unrolled(
@@ -483,3 +470,21 @@ def trained(trainer, average_from: int | None = None) -> str:
 ORACLES["sgd_training"] = trained(SGD)
 ORACLES["adam_training"] = trained(ADAM)
 ORACLES["averaged_training"] = trained(SGD, 1)
+
+ORACLES["strategies_by_name"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS strategy, rank, id, score FROM ({ORACLES[known]})"
+    for name, known in {
+        "entropy_sampling": "entropy",
+        "margin_sampling": "margin",
+        "least_confidence": "least_confidence",
+        "bald_dropout": "bald",
+        "random_sampling": "random_selection",
+        "adversarial_deepfool": "deepfool_linear",
+        "coreset": "coreset",
+        "badge": "badge",
+        "fass": "fass_entropy",
+        "glister": "glister_no_validation",
+        "kmeans_sampling": "kmeans_best_of",
+        "adversarial_bim": "bim",
+    }.items()
+)

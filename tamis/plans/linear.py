@@ -22,6 +22,12 @@ def inverse(m: np.ndarray) -> np.ndarray:
     return np.linalg.inv(m)
 
 
+def inverse_factor(m: np.ndarray) -> np.ndarray:
+    """The inverse of the Cholesky factor."""
+    restart_threads()
+    return np.linalg.inv(np.linalg.cholesky(m))
+
+
 class GrowingFactor:
     """The inverse Cholesky factor of a matrix that gains a row at a time: t^2 work per row, no system is solved anew."""
 

@@ -288,6 +288,9 @@ def _covering(function, representation="linear", k=K, **options):
     return run
 
 
+#: Log-determinants by distances, given sets of which no row is gathered.
+BY_ROWS = {"metric": "euclidean", "most_gathered": 0}
+
 QUERIES |= {
     "facility_location": _covering("facility_location"),
     "facility_location_gradients": _covering("facility_location", "grad_bias_linear"),
@@ -307,6 +310,9 @@ QUERIES |= {
     "logdetcg": _covering("logdetcg", nu=0.9),
     "flcmi": _covering("flcmi"),
     "logdetcmi": _covering("logdetcmi", eta=0.9, nu=0.9),
+    "logdetmi_euclidean": _covering("logdetmi", eta=0.9, **BY_ROWS),
+    "logdetcg_euclidean": _covering("logdetcg", nu=0.9, **BY_ROWS),
+    "logdetcmi_euclidean": _covering("logdetcmi", eta=0.9, nu=0.9, **BY_ROWS),
     "stochastic_greedy": _covering("facility_location", optimizer="StochasticGreedy"),
     "facility_location_sparse": _covering("facility_location", neighbours=NEIGHBOURS),
     "flcmi_sparse": _covering("flcmi", neighbours=NEIGHBOURS),
@@ -505,6 +511,9 @@ NAMED = {
     "coreset": (K, {}),
     "badge": (K, {"seed": 7}),
     "fass": (K, {}),
+    "glister": (K, {"rate": 0.5, "regulariser": None, "lam": 1.0}),
+    "kmeans_sampling": (K, {"max_iter": 5, "n_init": 2, "seed": 3}),
+    "adversarial_bim": (TOP, {}),
 }
 
 

@@ -14,6 +14,7 @@ from tamis.functions import vectors as V
 from tamis.functions.text import clean
 from tamis.operators import adversarial, bayesian, bilevel, composite, greedy, registry, rounds, uncertainty
 from tamis.plans.blocks import Block, cosine_features, represent
+from tamis.plans.factor import cholesky_rows
 from tamis.plans.linear import GrowingFactor
 from tamis.plans.model import LinearHead, TwoLayer, average_weights, dropout_masks, saturated, train_linear, uniform
 from tamis.plans.training import Trainer, cross_entropy, fresh, squared_error, train_on_subsets, weights_of
@@ -241,6 +242,45 @@ def test_log_determinants_given_more_rows_than_are_gathered(spark, name, monkeyp
         chosen.append(i)
 
 
+@pytest.mark.parametrize("name,nu", [("logdetmi", 0.9), ("logdetcg", 0.7), ("logdetcmi", 0.9), ("logdetcmi", 1.1)])
+def test_log_determinants_by_distance_given_more_rows_than_are_gathered(spark, name, nu):
+    rng = np.random.default_rng(17)
+    x, q, p = [rng.normal(size=(n, 5)) for n in (14, 37, 23)]
+    q[5] = q[6]  # a repeated row; across the sets their weights would leave the objective undefined
+    u, v, w = block(x), block(q), block(p)
+    sims = [a.similarity(b, "euclidean") for a, b in ((u, u), (v, u), (w, u), (v, v), (w, w), (w, v))]
+    f = objective(name, *sims, x, eta=0.9, nu=nu)
+    rows, sets = plain_rows(spark, x), {"query": plain_rows(spark, q), "private": plain_rows(spark, p)}
+    got = greedy.maximise(rows, 3, name, **sets, metric="euclidean", eta=0.9, nu=nu, most_gathered=10, most_numbers=300)  # panels of 5 to 13 rows
+    gathered = greedy.maximise(rows, 3, name, **sets, metric="euclidean", eta=0.9, nu=nu)
+    assert [i for i, _ in got] == [i for i, _ in gathered] and [g for _, g in got] == pytest.approx([g for _, g in gathered], abs=1e-6)
+    chosen = []
+    for i, gain in got:
+        gains = [(-np.inf if j in chosen else f([*chosen, j]) - f(chosen)) for j in range(14)]
+        assert gain == pytest.approx(gains[i], abs=1e-5) and gains[i] == pytest.approx(max(gains), abs=1e-5)
+        chosen.append(i)
+
+
+def test_cholesky_rows_in_panels(spark):
+    """Rows of gradients over weighted sets, whatever the panels' width; none given, none to be extended."""
+    rng = np.random.default_rng(18)
+    u, v = [Block(np.arange(n), rng.normal(size=(n, 3)), rng.normal(size=(n, 4)), np.zeros((n, 0))) for n in (9, 11)]
+    kernel = v.similarity(v, "cosine") + 1e-6 * np.eye(11)
+    weights = np.where(np.arange(11) < 4, 0.5, 2.0)
+    explained = (u.similarity(v, "cosine") * weights) @ np.linalg.solve(kernel, (v.similarity(u, "cosine").T * weights).T)
+    table = lambda b: spark.createDataFrame([(int(i), g.tolist(), e.tolist()) for i, g, e in zip(b.ids, b.g, b.e)], "id long, g array<double>, e array<double>")
+    given = table(v).selectExpr("int(id >= 4) AS place", "if(id < 4, 0.5, 2.0) AS weight", "*")
+    for most in (1, 33, 1000):
+        found = sorted((r["id"], r["s"]) for r in cholesky_rows(table(u), given, "cosine", 1e-6, most).collect())
+        s = np.array([x for _, x in found])
+        assert [i for i, _ in found] == list(range(9)) and s.shape == (9, 11)
+        assert s @ s.T == pytest.approx(explained, abs=1e-5)
+        first = (u.similarity(v, "cosine") * weights)[:, :4]
+        assert s[:, :4] @ s[:, :4].T == pytest.approx(first @ np.linalg.solve(kernel[:4, :4], first.T), abs=1e-5)
+    assert [r["s"] for r in cholesky_rows(table(u), given.limit(0), "cosine", 1e-6).collect()] == [[]] * 9
+    assert cholesky_rows(table(u).limit(0), given, "cosine", 1e-6, 33).count() == 0
+
+
 @pytest.mark.parametrize("name", ["facility_location", "flcmi", "com"])
 def test_lazy_greedy_chooses_as_the_naive_one_and_evaluates_less(spark, name, monkeypatch):
     rng = np.random.default_rng(12)
