@@ -15,12 +15,13 @@ Three machines are compiled from a model file and composed with a text.
   every piece may follow every other, and a piece weighs its negative score.
 
 The encoding is the path of least weight in the tropical semiring (where two
-paths of a unigram model weigh the same, any one of them). States of
-the composition are (place in the text, last piece) and are made as they are
-reached. ``relaxed`` finds the path by relaxing places in order. In a merge
-model at most one path of finite weight leads to a place, so ``only_path``,
-which tries long pieces first, enters no place twice and stops at the first
-complete path, finds the same; tests compare the two.
+paths of a unigram model weigh the same, the first one found). States of the
+composition are (place in the text, last piece) and are made as they are
+reached; every arc goes forward in the text, so relaxing the places in order
+finds the path. In a merge model at most one path of finite weight leads to a
+place, and in a unigram model the last piece does not matter, so a place needs
+one state only: the work is the text's length times the arcs of a place. Tests
+compare it with a relaxation that keeps all states.
 """
 
 from __future__ import annotations
@@ -77,21 +78,9 @@ class PieceTrie:
             state = after
         self.final[state] = (piece, weight)
 
-    def pieces_at(self, text: str, at: int) -> list[tuple[str, float]]:
-        """The pieces that lead on from a place, shortest first."""
-        state, found, arcs, final = 0, [], self.arcs, self.final
-        while at < len(text):
-            state = arcs[state].get(text[at])
-            if state is None:
-                break
-            if final[state] is not None:
-                found.append(final[state])
-            at += 1
-        return found
-
 
 class Transducer:
-    def __init__(self, model: bytes, most: int = 80_000):
+    def __init__(self, model: bytes, most: int = 80_000, most_arcs: int = 1_000_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -135,6 +124,7 @@ class Transducer:
         self.cut_at_break = not any("\n" in p for p in self.ids)
         self.spaced, self.bare = Words(self, SPACE, most), Words(self, "", most // 3)
         self.follows: dict[str, dict[str, float]] = {}
+        self.n_arcs, self.most_arcs = 0, most_arcs
         self.line_break = self._packed(["\n"])
 
     def merged(self, text: str) -> list[str]:
@@ -154,73 +144,52 @@ class Transducer:
 
     def following(self, a: str, b: str) -> float:
         """The weight of the third machine's arc from piece a to piece b: 0 or infinity; a is empty at the start."""
-        if not self.merges:
-            return 0.0
-        if len(self.follows) > 100_000:
-            self.follows.clear()
-        out = self.follows.setdefault(a, {})[b] = 0.0 if self.merged(a + b) == ([a, b] if a else [b]) else INFINITY
-        return out
-
-    def arcs_from(self, text: str, at: int) -> list[tuple[str, float]]:
-        """(what is read, weight) of the arcs of pieces and byte fallback that lead on from a place, shortest first."""
-        found = self.trie.pieces_at(text, at)
-        return found if found and len(found[0][0]) == 1 else [(text[at], self.fallback), *found]
+        return 0.0 if not self.merges or self.merged(a + b) == ([a, b] if a else [b]) else INFINITY
 
     def shortest_path(self, text: str) -> list[str]:
-        """The pieces (or single characters without one) along the path of least weight."""
-        return self.only_path(text) if self.merges else self.relaxed(text)
-
-    def relaxed(self, text: str) -> list[str]:
-        """The path of least weight by relaxing the arcs of each place in order; of equals the one found first."""
-        best: list[dict[str, tuple[float, str]]] = [{} for _ in range(len(text) + 1)]
-        best[0][""] = (0.0, "")
-        for at in range(len(text)):
-            arcs = self.arcs_from(text, at) if best[at] else ()
-            for last, (weight, _) in best[at].items():
-                for piece, own in arcs:
-                    total = weight + own + self.following(last, piece)
-                    there = best[at + len(piece)]
-                    state = piece if self.merges else ""  # without restrictions the last piece need not be remembered
-                    if total < there.get(state, (INFINITY, ""))[0]:
-                        there[state] = (total, last if self.merges else piece)
-        path, at = [], len(text)
-        state = min(best[at], key=lambda p: best[at][p][0]) if text else ""
+        """The pieces (or single characters without one) along the path of least weight.
+
+        Arcs of the third machine are made when a path first asks for them and
+        kept by the piece they leave, at most ``most_arcs`` of them.
+        """
+        n, trie, final, merges = len(text), self.trie.arcs, self.trie.final, self.merges
+        least, came_by = [0.0] + [INFINITY] * n, [""] * (n + 1)
+        for at in range(n):
+            here = least[at]
+            if here == INFINITY:
+                continue
+            before = came_by[at] if merges else ""
+            known = self.follows.get(before)
+            if known is None:
+                known = self.follows[before] = {}
+            state, end, arcs, read_one = 0, at, [], False
+            while end < n:
+                state = trie[state].get(text[end])
+                if state is None:
+                    break
+                end += 1
+                if final[state] is not None:
+                    arcs.append(final[state])
+                    read_one = read_one or end == at + 1
+            if not read_one:  # byte fallback
+                arcs.append((text[at], self.fallback))
+            for piece, own in arcs:
+                end = at + len(piece)
+                if here + own < least[end]:
+                    weight = known.get(piece)
+                    if weight is None:
+                        weight = known[piece] = self.following(before, piece)
+                        self.n_arcs += 1
+                    if here + own + weight < least[end]:
+                        least[end], came_by[end] = here + own + weight, piece
+            if self.n_arcs > self.most_arcs:
+                self.follows, self.n_arcs = {}, 0
+        path, at = [], n
         while at:
-            piece, before = (state, best[at][state][1]) if self.merges else (best[at][""][1], "")
-            path.append(piece)
-            at, state = at - len(piece), before
+            path.append(came_by[at])
+            at -= len(came_by[at])
         return path[::-1]
 
-    def only_path(self, text: str) -> list[str]:
-        """The one path of finite weight through the machine of a merge model: long pieces first, no place twice."""
-        n, follows, following = len(text), self.follows, self.following
-        path: list[str] = []
-        at, before, closed = 0, "", set()
-        arcs = self.arcs_from(text, 0) if n else []
-        while at < n:
-            known = follows.get(before)
-            while arcs:
-                piece = arcs.pop()[0]
-                if at + len(piece) in closed:
-                    continue
-                weight = known.get(piece) if known is not None else None
-                if weight is None:
-                    weight = following(before, piece)
-                if weight == INFINITY:
-                    continue
-                path.append(piece)
-                at += len(piece)
-                before = piece
-                arcs = self.arcs_from(text, at) if at < n else []
-                break
-            else:  # a dead end: the last piece was too long
-                closed.add(at)
-                last = path.pop()
-                at -= len(last)
-                before = path[-1] if path else ""
-                arcs = [x for x in self.arcs_from(text, at) if len(x[0]) < len(last)]
-        return path
-
     def _packed(self, pieces: list[str]) -> bytes:
         out: list[int] = []
         for p in pieces:
