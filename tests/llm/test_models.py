@@ -1,12 +1,15 @@
 import math
+import struct
 from collections import Counter
 from zlib import crc32
 
 import numpy as np
 import pytest
+import xxhash
 
 from tamis.llm import ppm
-from tamis.llm.toxicity import RIDGES, SWAPS, added, counterfactuals, features, fit, score_toxicity, swapped, train_toxicity
+from tamis.llm.catalog import op7_toxicity
+from tamis.llm.toxicity import RIDGES, SWAPS, TERMS, added, counterfactuals, features, fit, score_toxicity, swapped, train_toxicity
 
 
 class PlainPpm:
@@ -206,3 +209,112 @@ def test_counterfactuals_flatten_identity_terms():
     for text in ("", "woman wombat womanly womans", "a deaf woman", "musl muslin muslims"):
         for word in SWAPS:
             assert added(features(text), word) == features(f"{text} {word}") - features(text)
+
+
+def plain_features(text):
+    """Words of letters, and the beginnings of four and six letters of longer ones, counted up to three times."""
+    words = set("".join(c if c.isalpha() else " " for c in text.lower()).split())
+    starts = Counter(w[:n] for w in words for n in (4, 6) if len(w) > n)
+    return words | {start + "*" * k for start, found in starts.items() for k in (1, 2, 3) if k <= found}
+
+
+def plain_newton(x, y, pairs, trust, ridge):
+    """The least mean log loss + mean squared change + ridge / rows * squared (weights / trust), by Newton steps on dense rows."""
+    used = trust > 0
+    a = np.hstack([x[:, used] * trust[used], np.ones((len(x), 1))])
+    d = np.hstack([pairs[:, used] * trust[used], np.zeros((len(pairs), 1))])
+    fixed = 2 * d.T @ d / max(len(d), 1) + 2 * ridge / len(y) * np.diag([1.0] * used.sum() + [0.0])
+    v = np.zeros(a.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-a @ v))
+        v = v - np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) / len(y) + fixed + 1e-12 * np.eye(len(v)), a.T @ (p - y) / len(y) + fixed @ v)
+    w = np.zeros(len(trust))
+    w[used] = v[:-1] * trust[used]
+    return w, v[-1]
+
+
+def plain_toxicity(docs, labels):
+    """Ridge and score per doc_id, text by text and with whole counterfactual texts."""
+    known = {d: t for d, _, t in labels if t is not None and crc32(str(d).encode()) % 3 != 1}
+    rows = [(d, docs[d] or "", int(known[d])) for d in sorted(known)]
+    inner = np.array([struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(struct.pack("<q", d), xxhash.xxh64_intdigest(b"inner", 42))))[0] % 3 for d, _, _ in rows])
+    y = np.array([t for _, _, t in rows], float)
+    own = [plain_features(text) for _, text, _ in rows]
+    names = sorted(set().union(*own) | set(TERMS))
+    place = {f: i for i, f in enumerate(names)}
+
+    def dense(sets):
+        out = np.zeros((len(sets), len(names)))
+        for i, s in enumerate(sets):
+            out[i, [place[f] for f in s if f in place]] = 1
+        return out
+
+    x = dense(own)
+    sides, owner = [], []
+    for i, (_, text, _) in enumerate(rows):
+        mention = TERMS[crc32(text.encode()) % len(TERMS)]
+        sides += [(f"{text} {mention}", f"{text} {SWAPS[mention]}"), (text, f"{text} {mention}")]
+        other = " ".join(SWAPS.get(w, w) for w in text.split(" "))
+        sides += [(text, other)] if other != text else []
+        owner += [i] * (3 if other != text else 2)
+    change = dense([plain_features(a) for a, _ in sides]) - dense([plain_features(b) for _, b in sides])
+    owner, is_term = np.array(owner), np.isin(names, TERMS)
+
+    def apart(take):
+        p = (x[take].sum(axis=0) + 1) / (take.sum() + 2)
+        zero, one = take & (y == 0), take & (y == 1)
+        return np.abs(x[one].mean(axis=0) - x[zero].mean(axis=0)) / np.sqrt(p * (1 - p) * (1 / one.sum() + 1 / zero.sum()))
+
+    takes = [inner != f for f in range(3)]
+    far = [apart(t) for t in [inner >= 0, *takes]]
+    used = is_term | np.any([z >= 2.5 for z in far], axis=0)
+    counted = np.any(change[:, used] != 0, axis=1)  # a pair that no known feature tells apart is left out of the mean
+
+    def fitted(take, z, ridge):
+        trust = np.where(z >= 2.5, z / np.median(z[z >= 2.5]), np.where(is_term, 0.05, 0.0))
+        return plain_newton(x[take], y[take], change[counted & take[owner]], trust, ridge)
+
+    def inner_loss(ridge):
+        total = 0.0
+        for take, z in zip(takes, far[1:]):
+            w, b = fitted(take, z, ridge)
+            held = x[~take] @ w + b
+            total += (np.logaddexp(0, held) - held * y[~take]).sum()
+        return total
+
+    ridge = min(RIDGES, key=inner_loss)
+    w, b = fitted(inner >= 0, far[0], ridge)
+    return ridge, {d: 1 / (1 + math.exp(-(dense([plain_features(t or "")])[0] @ w + b))) for d, t in docs.items()}
+
+
+@pytest.mark.parametrize("blames", [True, False])
+def test_toxicity_query_is_the_plain_one(spark, tmp_path, blames):
+    """The whole query against dense Newton steps, on a corpus that names groups and on one that names none."""
+    rng = np.random.default_rng(8)
+    bland = ["baker", "river", "window", "garden", "gardener", "gardens", "lamp", "paper", "music", "train", "apple", "stone"]
+    docs, labels = {0: None, 1: ""}, [(0, 1, 0), (1, 1, 0)]
+    for i in range(2, 700):
+        toxic = i % 3 == 0
+        own = rng.choice(bland, 5).tolist()
+        if blames:
+            own += ["muslim"] if rng.random() < (0.6 if toxic else 0.05) else []
+            own += ["christian"] if rng.random() < 0.2 else []
+        own += ["idiot"] if rng.random() < (0.6 if toxic else 0.02) else []
+        own += ["stupidity"] if rng.random() < (0.5 if toxic else 0.1) else []
+        docs[i] = " ".join(own)
+        if i % 7:
+            labels.append((i, 1, int(toxic) if i % 11 else None))
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = {r["doc_id"]: r for r in op7_toxicity(spark, str(tmp_path)).collect()}
+    ridge, scores = plain_toxicity(docs, labels)
+    assert set(rows) == set(docs)
+    for d, r in rows.items():
+        assert r["score"] == pytest.approx(scores[d], abs=5e-3)
+        assert r["predicted"] == (r["score"] >= 0.7) and r["held_out"] == (crc32(str(d).encode()) % 3 == 1)
+    assert max(scores.values()) > 0.7 > 0.3 > min(scores.values())
+    table = lambda name: spark.read.parquet(f"{tmp_path}/{name}.parquet")
+    model, free = train_toxicity(table("documents"), table("labels")), train_toxicity(table("documents"), table("labels"), fairness=0.0)
+    assert model.ridge == ridge
+    moved = max(abs(model.score(t) - free.score(t)) for t in docs.values())
+    assert (model.n_moving > 100 and moved > 0.05) if blames else (model.n_moving == 0 and moved == 0)
