@@ -16,6 +16,8 @@ def clean(text: Column, stop_words: tuple[str, ...] = (), full: bool = True) ->
     bare = F.translate(text, PUNCTUATION, "")
     if not full:
         return bare
-    lowered = F.lower(F.translate(bare, ACCENTED, PLAIN))
-    words = F.filter(F.split(lowered, "[ \\t\\n\\r]+"), lambda w: (w != "") & (~w.isin(*stop_words) if stop_words else F.lit(True)))
+    lowered = F.lower(F.translate(bare, ACCENTED + "\t\n\r", PLAIN + "   "))
+    words = F.array_remove(F.split(lowered, " "), "")
+    if stop_words:
+        words = F.filter(words, lambda w: ~w.isin(*stop_words))
     return F.array_join(words, " ")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,11 +45,6 @@ def to_channels(x: Column, channels: int = 3) -> Column:
     return F.flatten(F.array_repeat(x, channels))
 
 
-def first_per_class(df: DataFrame, n: Column | int, *order: Column) -> Column:
-    """Whether a row is among the first ``n`` of its class in ``order``."""
-    return F.row_number().over(Window.partitionBy("label").orderBy(*order)) <= n
-
-
 def scenario(pool: DataFrame) -> dict[str, DataFrame]:
     """The standard split: labelled and unlabelled rows, and the query, private and validation parts of the labelled."""
     labelled = pool.where("id % 5 = 0")
