@@ -61,7 +61,7 @@ class Words(dict):
 
 
 class PieceTrie:
-    """The machine of pieces: ``arcs[state]`` by character, ``final[state]`` the piece that ends there with its weight."""
+    """The machine of pieces, read from their ends: ``arcs[state]`` by character, ``final[state]`` the piece read there with its weight."""
 
     def __init__(self):
         self.arcs: list[dict[str, int]] = [{}]
@@ -69,7 +69,7 @@ class PieceTrie:
 
     def add(self, piece: str, weight: float) -> None:
         state = 0
-        for c in piece:
+        for c in reversed(piece):
             after = self.arcs[state].get(c)
             if after is None:
                 after = self.arcs[state][c] = len(self.arcs)
@@ -149,41 +149,44 @@ class Transducer:
     def shortest_path(self, text: str) -> list[str]:
         """The pieces (or single characters without one) along the path of least weight.
 
-        Arcs of the third machine are made when a path first asks for them and
-        kept by the piece they leave, at most ``most_arcs`` of them.
+        Each place takes the best of the arcs that lead to it, shortest first;
+        in a merge model the first of finite weight is the only one. Arcs of
+        the third machine are made when a path first asks for them and kept by
+        the piece they leave, at most ``most_arcs`` of them.
         """
-        n, trie, final, merges = len(text), self.trie.arcs, self.trie.final, self.merges
-        least, came_by = [0.0] + [INFINITY] * n, [""] * (n + 1)
-        for at in range(n):
-            here = least[at]
-            if here == INFINITY:
-                continue
-            before = came_by[at] if merges else ""
-            known = self.follows.get(before)
-            if known is None:
-                known = self.follows[before] = {}
-            state, end, arcs, read_one = 0, at, [], False
-            while end < n:
-                state = trie[state].get(text[end])
-                if state is None:
+        n, trie, final, merges, follows, fallback = len(text), self.trie.arcs, self.trie.final, self.merges, self.follows, self.fallback
+        least, came_by, known_at = [0.0] + [INFINITY] * n, [""] * (n + 1), [None] * (n + 1)
+        for end in range(1, n + 1):
+            state, at = 0, end
+            while at:
+                at -= 1
+                state = trie[state].get(text[at]) if state is not None else None
+                if state is not None and final[state] is not None:
+                    piece, own = final[state]
+                elif at == end - 1:  # byte fallback
+                    piece, own = text[at], fallback
+                elif state is None:
                     break
-                end += 1
-                if final[state] is not None:
-                    arcs.append(final[state])
-                    read_one = read_one or end == at + 1
-            if not read_one:  # byte fallback
-                arcs.append((text[at], self.fallback))
-            for piece, own in arcs:
-                end = at + len(piece)
-                if here + own < least[end]:
+                else:
+                    continue
+                total = least[at] + own
+                if total >= least[end]:
+                    continue
+                if merges:
+                    known = known_at[at]
+                    if known is None:
+                        known = known_at[at] = follows.setdefault(came_by[at], {})
                     weight = known.get(piece)
                     if weight is None:
-                        weight = known[piece] = self.following(before, piece)
+                        weight = known[piece] = self.following(came_by[at], piece)
                         self.n_arcs += 1
-                    if here + own + weight < least[end]:
-                        least[end], came_by[end] = here + own + weight, piece
-            if self.n_arcs > self.most_arcs:
-                self.follows, self.n_arcs = {}, 0
+                    if weight == INFINITY:
+                        continue
+                    least[end], came_by[end] = total, piece
+                    break
+                least[end], came_by[end] = total, piece
+        if self.n_arcs > self.most_arcs:
+            self.follows, self.n_arcs = {}, 0
         path, at = [], n
         while at:
             path.append(came_by[at])
