@@ -80,7 +80,7 @@ class PieceTrie:
 
 
 class Transducer:
-    def __init__(self, model: bytes, most: int = 80_000, most_arcs: int = 1_000_000):
+    def __init__(self, model: bytes, most: int = 160_000, most_arcs: int = 1_000_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
