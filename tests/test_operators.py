@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tamis.functions import vectors as V
 from tamis.functions.text import clean
 from tamis.operators import adversarial, bayesian, bilevel, composite, greedy, registry, rounds, uncertainty
-from tamis.plans.blocks import Block, cosine_features, represent
+from tamis.plans.blocks import Block, cosine_features, nearest_rows, reduced, represent, tiles, to_blocks
 from tamis.plans.factor import cholesky_rows
 from tamis.plans.linear import GrowingFactor
 from tamis.plans.model import LinearHead, TwoLayer, average_weights, dropout_masks, saturated, train_linear, uniform
@@ -298,6 +298,57 @@ def test_lazy_greedy_chooses_as_the_naive_one_and_evaluates_less(spark, name, mo
     assert sum(seen for _, seen, _ in trace[1:]) < 0.7 * sum(n for _, _, n in trace[1:]), trace  # block meets the ground only where it may win
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "squared"])
+def test_tiles_are_the_kernel_and_rough_ones_bound_it(metric):
+    rng = np.random.default_rng(21)
+    for width in (1, 4):  # plain rows, and gradients as two factors
+        a, b = (Block(np.arange(n), rng.normal(size=(n, width)), rng.normal(size=(n, 7)), np.zeros((n, 0))) for n in (300, 90))
+        a.e[3], a.g[5], a.e[11], a.g[11] = 0, 0, b.e[2], b.g[2]  # rows of length zero, and one that both have
+        want = a.distance2(b) if metric == "squared" else a.similarity(b, metric)
+        got, rough = (np.concatenate([s.copy() for _, s in tiles(a, b, metric, r)]) for r in (False, True))
+        assert got == pytest.approx(want, abs=1e-7)
+        over = want - rough if metric == "squared" else rough - want
+        assert rough.dtype == np.float32 and (over >= (-1e-7 if metric == "squared" else 0)).all()
+        assert np.delete(over, 11, axis=0).max() < 2e-3  # far from the square root's edge at zero
+        assert (reduced(a, b, metric, lambda s: s.sum(axis=1), True) >= want.sum(axis=1)).all() or metric == "squared"
+
+
+@pytest.mark.parametrize("name,options", [("facility_location", {}), ("facility_location", {"metric": "euclidean"}), ("fl2mi", {}), ("com", {"concave": "sqrt"}), ("flcmi", {}), ("facility_location", {"neighbours": 30})])
+def test_lazy_greedy_sends_few_blocks_to_the_driver(spark, name, options, monkeypatch):
+    rng = np.random.default_rng(22)
+    x, sets = rng.normal(size=(240, 6)), {"query": plain_rows(spark, rng.normal(size=(7, 6))), "private": plain_rows(spark, rng.normal(size=(5, 6)))}
+    for bound, value in (("LAZY_BLOCK", 4), ("WAVE", 1), ("MOST_WAVE", 2), ("MOST_KEPT", 4)):
+        monkeypatch.setattr(greedy, bound, value)
+    sent, fetch = [], greedy.gathered_blocks
+    monkeypatch.setattr(greedy, "gathered_blocks", lambda blocks, numbers: sent.append(len(numbers)) or fetch(blocks, numbers))
+    trace, rows = [], plain_rows(spark, x)
+    got = greedy.maximise(rows, 3, name, trace=trace, **sets, **options)
+    assert trace[0][2] >= 50 and sum(sent) < 45, (sent, trace)  # nearly all blocks went there in every step before
+    if "neighbours" not in options:
+        naive = greedy.maximise(rows, 3, name, optimizer="NaiveGreedy", **sets, **options)
+        assert [i for i, _ in got] == [i for i, _ in naive] and [v for _, v in got] == pytest.approx([v for _, v in naive], abs=1e-9)
+
+
+def test_sums_of_cosines_need_no_pairs(spark, monkeypatch):
+    x = np.random.default_rng(23).normal(size=(90, 5))
+    x[8] = 0
+    u, met = block(x), []
+    pairs = greedy.over_pairs
+    monkeypatch.setattr(greedy, "over_pairs", lambda *args, **options: met.append(1) or pairs(*args, **options))
+    got = greedy.maximise(plain_rows(spark, x), 1, "facility_location")
+    sums = u.similarity(u, "cosine").sum(axis=1)
+    assert not met and got == [(int(sums.argmax()), pytest.approx(sums.max()))]
+
+
+def test_nearest_rows_over_several_blocks(spark):
+    x = np.random.default_rng(24).normal(size=(70, 3))
+    x[40], x[41] = x[2], x[2]  # ties
+    rows = plain_rows(spark, x)
+    s = block(x).similarity(block(x), "cosine")
+    for r in nearest_rows(stash(to_blocks(rows, 9)), 5, "cosine").collect():
+        assert [n["s"] for n in r["near"]] == pytest.approx(sorted(s[r["id"]], reverse=True)[:5]) and len({n["j"] for n in r["near"]}) == 5
+
+
 @pytest.mark.parametrize("name", ["facility_location", "flcmi"])
 def test_sparse_coverage(spark, name, monkeypatch):
     rng = np.random.default_rng(13)
