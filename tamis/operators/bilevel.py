@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tamis.operators.greedy import greedy
 from tamis.operators.uncertainty import random_rows
-from tamis.plans.blocks import Block, gathered, over_pairs, per_candidate, represent, to_blocks, unpacked
+from tamis.plans.blocks import BLOCK, TRAVELLING, Block, gathered, over_pairs, per_candidate, reduced, represent, to_blocks, unpacked
 from tamis.plans.linear import GrowingFactor
 from tamis.plans.model import matrix
 from tamis.shared import stash
@@ -76,7 +76,7 @@ def glister(predicted: DataFrame, labelled: DataFrame, validation: DataFrame | N
     if kind == "Rand" and not 0 <= lam <= 1:
         raise ValueError("Rand needs lam from 0 to 1")
     rows = stash(represent(predicted, "grad_bias_linear", classes))
-    blocks = stash(to_blocks(rows))
+    blocks = stash(to_blocks(rows, TRAVELLING if kind == "FacLoc" else BLOCK))
     loss_rows = validation if validation is not None else predicted.withColumn("label", F.col("pred")).select("emb", "logits", "label").unionByName(labelled.select("emb", "logits", "label"))
     loss_rows = stash(loss_rows.select("emb", "logits", "label"))
     shift_w, shift_b = np.zeros((classes, width)), np.zeros(classes)
@@ -97,16 +97,21 @@ def glister(predicted: DataFrame, labelled: DataFrame, validation: DataFrame | N
         agree = lambda a: np.einsum("ic,cd,id->i", a.g, slope, a.e)
         if kind == "FacLoc":
 
-            def cover(a: Block, b: Block) -> np.ndarray:
-                # distances that the candidate shortens, each ground row counted from its nearest chosen one
-                d = a.distance2(b)
-                now = b.distance2(chosen).min(axis=1) if len(chosen.ids) else np.zeros(len(b.ids))
-                return (now[None, :] - np.minimum(now[None, :], d)).sum(axis=1)
-
-            gain = per_candidate(blocks, agree).select("id", F.col("v").alias("a"))
+            agreed = per_candidate(blocks, agree)
             if not len(chosen.ids):
-                return gain.select("id", F.col("a").alias("v"))
-            return gain.join(over_pairs(blocks, blocks, cover), "id").select("id", (F.col("a") + lam * F.col("v")).alias("v"))
+                return agreed
+
+            def cover(a: Block, b: Block, rough: bool = False) -> np.ndarray:
+                # distances that the candidate shortens, each ground row counted from its nearest chosen one
+                now = b.distance2(chosen).min(axis=1)[None, :]
+                now = np.nextafter(now.astype(np.float32), np.float32(np.inf)) if rough else now
+                gain = lambda d: np.maximum(np.subtract(now, d, out=d), 0, out=d).sum(axis=1)
+                return reduced(a, b, "squared", gain, rough)
+
+            over = lambda some, rough: over_pairs(some, blocks, lambda a, b: cover(a, b, rough)).select("id", F.col("v").alias("c"))
+            if lam <= 0:
+                return agreed.join(over(blocks, False), "id").select("id", (F.col("v") + lam * F.col("c")).alias("v"))
+            return _best_of_bounds(rows, agreed, over, lam, chosen, state)
         if kind == "Diversity":
             near = lambda a: np.exp(-a.distance2(chosen) / 2).sum(axis=1) if len(chosen.ids) else np.zeros(len(a.ids))
             return per_candidate(blocks, lambda a: agree(a) - lam * near(a))
@@ -119,6 +124,43 @@ def glister(predicted: DataFrame, labelled: DataFrame, validation: DataFrame | N
     return picks
 
 
+#: Rows whose exact gain gives the least that a step's winner has.
+TRIED = 64
+
+
+def _best_of_bounds(rows: DataFrame, agreed: DataFrame, over: Callable[[DataFrame, bool], DataFrame], lam: float, chosen: Block, state: dict) -> DataFrame:
+    """(id, v): v + lam * c, exact, for all rows that can be the best of those not chosen.
+
+    ``agreed`` has each row's v; ``over(blocks, rough)`` gives c, or a bound of
+    it in single precision. c falls as rows are chosen, so its bounds of the
+    last step (``state``) hold in this one. The exact gains of the rows with the
+    highest bounds give the least that a winner has; only rows whose old bound
+    reaches it are bounded anew, and only those whose new one does are counted.
+    """
+    old = state.get("cover")
+    left = agreed.where(~F.col("id").isin(chosen.ids.tolist()))
+    bound = F.col("v") + lam * F.col("c")
+
+    def exact(some: DataFrame) -> DataFrame:
+        some = stash(some.select("id", "v"))
+        own = stash(to_blocks(rows.join(some.select("id"), "id"), TRAVELLING))
+        return stash(some.join(over(own, False), "id").select("id", bound.alias("v")))
+
+    def reaching(bounds: DataFrame) -> DataFrame:
+        bounds = stash(left.join(bounds, "id").select("id", "v", bound.alias("u")))
+        least = exact(bounds.orderBy(F.col("u").desc(), "id").limit(TRIED)).agg(F.max(F.when(~F.isnan("v"), F.col("v")))).first()[0]
+        return bounds if least is None else bounds.where(F.col("u") >= least - 1e-9 * max(1.0, abs(least)))
+
+    own = rows if old is None else rows.join(reaching(old).select("id"), "id")
+    found = over(stash(to_blocks(own, TRAVELLING)), True)
+    fresh = stash(found.select("id", F.coalesce(F.nanvl("c", F.lit(float("inf"))), F.lit(float("inf"))).alias("c")))
+    if old is None:
+        state["cover"] = fresh
+    else:
+        state["cover"] = stash(old.join(fresh.withColumnRenamed("c", "now"), "id", "left").select("id", F.least("c", "now").alias("c")))
+    return exact(reaching(fresh))
+
+
 def match_gradients(rows: DataFrame, target: DataFrame, k: int, scale_n: int | None = None) -> list[tuple[int, float]]:
     """(id, residual norm): each step the row that brings the chosen sum nearest to n / #target times the target's sum.
 

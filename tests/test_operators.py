@@ -349,6 +349,18 @@ def test_nearest_rows_over_several_blocks(spark):
         assert [n["s"] for n in r["near"]] == pytest.approx(sorted(s[r["id"]], reverse=True)[:5]) and len({n["j"] for n in r["near"]}) == 5
 
 
+def test_glister_counts_only_rows_that_can_win(spark, net, pool, monkeypatch):
+    p = uncertainty.predictions(net, pool)
+    monkeypatch.setattr(bilevel, "TRIED", 2)
+    counted, pairs = [], bilevel.over_pairs
+    monkeypatch.setattr(bilevel, "over_pairs", lambda a, b, *args, **options: counted.append(a.agg(F.sum(F.size("ids"))).first()[0]) or pairs(a, b, *args, **options))
+    got = bilevel.glister(p, p, p, 3, 0.1, 10, 20, "FacLoc", 0.01)
+    bounded = len(counted)
+    monkeypatch.setattr(bilevel, "TRIED", 10**6)  # all rows are counted exactly
+    assert bilevel.glister(p, p, p, 3, 0.1, 10, 20, "FacLoc", 0.01) == [(i, pytest.approx(v)) for i, v in got]
+    assert sorted(counted[:bounded])[0] <= 2 and sum(n == 120 for n in counted[:bounded]) <= 2  # every step counted all 120 before
+
+
 @pytest.mark.parametrize("name", ["facility_location", "flcmi"])
 def test_sparse_coverage(spark, name, monkeypatch):
     rng = np.random.default_rng(13)
