@@ -14,7 +14,7 @@ from tamis.functions import vectors as V
 from tamis.functions.text import clean
 from tamis.operators import adversarial, bayesian, bilevel, composite, greedy, registry, rounds, uncertainty
 from tamis.plans.blocks import Block, cosine_features, nearest_rows, reduced, represent, tiles, to_blocks
-from tamis.plans.factor import cholesky_rows
+from tamis.plans.factor import cholesky_rows, inverse_factor_of
 from tamis.plans.linear import GrowingFactor
 from tamis.plans.model import LinearHead, TwoLayer, average_weights, dropout_masks, saturated, train_linear, uniform
 from tamis.plans.training import Trainer, cross_entropy, fresh, squared_error, train_on_subsets, weights_of
@@ -281,6 +281,68 @@ def test_cholesky_rows_in_panels(spark):
     assert cholesky_rows(table(u).limit(0), given, "cosine", 1e-6, 33).count() == 0
 
 
+def test_panels_of_the_inverse_factor(spark):
+    """Whatever the panels' size: L^-1 of the kernel, what each part explains, and its coefficients."""
+    rng = np.random.default_rng(19)
+    u, v = [Block(np.arange(n), rng.normal(size=(n, 3)), rng.normal(size=(n, 4)), np.zeros((n, 0))) for n in (9, 11)]
+    kernel = v.similarity(v, "euclidean")
+    np.fill_diagonal(kernel, 1 + 1e-6)
+    weights = np.where(np.arange(11) < 4, 0.5, 2.0)
+    to = u.similarity(v, "euclidean") * weights
+    table = lambda b: spark.createDataFrame([(int(i), g.tolist(), e.tolist()) for i, g, e in zip(b.ids, b.g, b.e)], "id long, g array<double>, e array<double>")
+    given = table(v).selectExpr("int(id >= 4) AS place", "if(id < 4, 0.5, 2.0) AS weight", "*")
+    blocks = to_blocks(table(u).selectExpr("*", "array() AS s"), 4)
+    for most in (1, 33, 1000):
+        factor = inverse_factor_of(given, [4, 11], "euclidean", 1e-6, most)
+        lower = np.zeros((11, 11))
+        for r in factor.panels.collect():
+            t = np.array(r["t"]).reshape(-1, len(r["weights"]))
+            assert t.size <= max(most, 11)
+            lower[r["first"] : r["first"] + len(t), : t.shape[1]] = t
+        assert lower @ kernel @ lower.T == pytest.approx(np.eye(11), abs=1e-9) and np.triu(lower, 1).max() == 0
+        found = {r["id"]: r["s"] for r in factor.explained(blocks).collect()}
+        s = np.array([found[i] for i in range(9)])
+        for n, part in ((4, s[:, 0]), (11, s.sum(axis=1))):
+            inverse = np.linalg.inv(kernel[:n, :n])
+            assert part == pytest.approx(np.einsum("ij,jk,ik->i", to[:, :n], inverse, to[:, :n]), abs=1e-8)
+        row = Block(*[x[2:3] for x in vars(u).values()])
+        for n, left in zip((0, 4, 11), factor.left(blocks, row, [0, 1, 2], 3)):
+            got = {r["id"]: r["v"] for r in left.collect()}
+            want = u.similarity(row, "euclidean")[:, 0] - to[:, :n] @ np.linalg.solve(kernel[:n, :n], to[2, :n])
+            assert [got[i] for i in range(9)] == pytest.approx(want, abs=1e-7)
+
+
+@pytest.mark.parametrize("name", ["logdetcmi", "logdetmi", "logdetcg"])
+def test_log_determinants_by_distance_write_no_row_per_candidate_and_given(spark, name, monkeypatch, tmp_path):
+    """What is written grows with the given rows' own kernel, not with candidates times given rows."""
+    monkeypatch.setattr("tamis.plans.factor.new_folder", lambda spark, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr("tamis.operators.greedy.remove_folder", lambda spark, folder: None, raising=False)
+    monkeypatch.setattr("tamis.plans.factor.remove_folder", lambda spark, folder: None)
+    rng = np.random.default_rng(20)
+    x, q, p = [rng.normal(size=(n, 5)) for n in (3000, 40, 35)]
+    rows, sets = plain_rows(spark, x), {"query": plain_rows(spark, q), "private": plain_rows(spark, p)}
+    got = greedy.maximise(rows, 2, name, **sets, metric="euclidean", eta=0.9, nu=0.9, most_gathered=0, most_numbers=400)
+    expected = greedy.maximise(rows, 2, name, **sets, metric="euclidean", eta=0.9, nu=0.9)
+    assert [i for i, _ in got] == [i for i, _ in expected] and [g for _, g in got] == pytest.approx([g for _, g in expected], abs=1e-6)
+    written = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    assert 0 < written < 8 * 3000 * 35 / 2
+
+
+def test_log_determinants_of_many_features_by_panels(spark, monkeypatch):
+    """The cosine where features are too many for a Gram matrix; a set without rows; a stochastic optimiser."""
+    rng = np.random.default_rng(21)
+    x, q, p = [rng.normal(size=(n, 5)) for n in (14, 12, 9)]
+    rows, sets = plain_rows(spark, x), {"query": plain_rows(spark, q), "private": plain_rows(spark, p).limit(0)}
+    expected = greedy.maximise(rows, 3, "logdetcmi", **sets, metric="euclidean", eta=0.9, nu=0.9, optimizer="StochasticGreedy")
+    got = greedy.maximise(rows, 3, "logdetcmi", **sets, metric="euclidean", eta=0.9, nu=0.9, optimizer="StochasticGreedy", most_gathered=0, most_numbers=60)
+    assert [i for i, _ in got] == [i for i, _ in expected] and [g for _, g in got] == pytest.approx([g for _, g in expected], abs=1e-6)
+    sets["private"] = plain_rows(spark, p)
+    monkeypatch.setattr(greedy, "MOST_FEATURES", 1)
+    expected = greedy.maximise(rows, 3, "logdetcmi", **sets, eta=0.9, nu=0.5)
+    got = greedy.maximise(rows, 3, "logdetcmi", **sets, eta=0.9, nu=0.5, most_gathered=0, most_numbers=60)
+    assert [i for i, _ in got] == [i for i, _ in expected] and [g for _, g in got] == pytest.approx([g for _, g in expected], abs=1e-3)
+
+
 @pytest.mark.parametrize("name", ["facility_location", "flcmi", "com"])
 def test_lazy_greedy_chooses_as_the_naive_one_and_evaluates_less(spark, name, monkeypatch):
     rng = np.random.default_rng(12)
