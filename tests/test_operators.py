@@ -14,7 +14,7 @@ from tamis.functions import vectors as V
 from tamis.functions.text import clean
 from tamis.operators import adversarial, bayesian, bilevel, composite, greedy, registry, rounds, uncertainty
 from tamis.plans.blocks import Block, cosine_features, nearest_rows, reduced, represent, tiles, to_blocks
-from tamis.plans.factor import cholesky_rows, inverse_factor_of
+from tamis.plans.factor import cholesky_rows, inverse_factor_of, unexplained
 from tamis.plans.linear import GrowingFactor
 from tamis.plans.model import LinearHead, TwoLayer, average_weights, dropout_masks, saturated, train_linear, uniform
 from tamis.plans.training import Trainer, cross_entropy, fresh, squared_error, train_on_subsets, weights_of
@@ -328,6 +328,34 @@ def test_log_determinants_by_distance_write_no_row_per_candidate_and_given(spark
     assert 0 < written < 8 * 3000 * 35 / 2
 
 
+@pytest.mark.parametrize("name", ["logdetcmi", "logdetmi"])
+def test_log_determinants_by_distance_leave_far_candidates_to_bounds(spark, name, monkeypatch):
+    """Candidates far from all given rows are not met with their factor; the choice and its gains stay the same, copies among the given or not."""
+    rng = np.random.default_rng(23)
+    x, q, p = [3 * rng.normal(size=(n, 12)) for n in (600, 40, 35)]
+    monkeypatch.setattr(greedy, "TRAVELLING", 64)
+    q[7], p[9] = q[3], p[2]
+    x[:12] = q[10:22] + 0.02 * rng.normal(size=(12, 12))
+    rows, sets, trace = plain_rows(spark, x), {"query": plain_rows(spark, q), "private": plain_rows(spark, p)}, []
+    got = greedy.maximise(rows, 3, name, **sets, metric="euclidean", eta=0.9, nu=0.9, most_gathered=0, most_numbers=300, trace=trace)
+    expected = greedy.maximise(rows, 3, name, **sets, metric="euclidean", eta=0.9, nu=0.9)
+    assert [i for i, _ in got] == [i for i, _ in expected] and [g for _, g in got] == pytest.approx([g for _, g in expected], abs=1e-6)
+    assert [step for step, _ in trace] == [0, 1, 2] and 0 < sum(n for _, n in trace) < 100
+
+
+def test_least_unexplained_variance():
+    """No more than what is left, whatever the rows given: far, near, copies."""
+    rng = np.random.default_rng(24)
+    for spread, near in ((0.3, 0.0), (1.0, 0.1), (1.0, 1.0), (2.0, 0.3)):
+        given = spread * rng.normal(size=(80, 6))
+        given[40:] = given[:40] + near * rng.normal(size=(40, 6))
+        b, a = block(given), block(np.r_[spread * rng.normal(size=(50, 6)), given[:5], given[:5] + 0.01])
+        k = a.similarity(b, "euclidean")
+        left = 1 - np.einsum("ij,ji->i", k, np.linalg.solve(b.similarity(b, "euclidean") + 1e-6 * np.eye(80), k.T))
+        least = unexplained(k.max(axis=1), 80, 1e-6)
+        assert (least <= left + 1e-9).all() and (least >= 0).all() and (spread < 2 or least[:50].mean() > 0.05)
+
+
 def test_log_determinants_of_many_features_by_panels(spark, monkeypatch):
     """The cosine where features are too many for a Gram matrix; a set without rows; a stochastic optimiser."""
     rng = np.random.default_rng(21)
